@@ -94,7 +94,8 @@ def long_values(df: DataFrame, columns: Sequence[str], keep: Sequence[Column] =
         lval, dval, sval = _slots(name, types[name])
         cells.append(F.struct(F.lit(name).alias("column"), lval.alias("lval"), dval.alias("dval"), sval.alias("sval")))
     out = df.select(*keep, F.inline(F.array(*cells)))
-    return out.withColumn("is_missing", F.coalesce("lval", "dval", "sval").isNull())
+    empty = F.col("lval").isNull() & F.col("dval").isNull() & F.col("sval").isNull()
+    return out.withColumn("is_missing", empty)
 
 
 def column_rows(df: DataFrame, columns: Sequence[str], measures: dict[str, dict[str, Column]]) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbrule.core.frames import field_types, is_numeric, quoted
+from plumbrule.core.session import cut_lineage
 
 RANGE, PART = "_range", "_part"
 
@@ -32,6 +33,10 @@ def order_number(name: str, dtype: T.DataType) -> Column:
     raise TypeError(f"order key {name} must be a number, date or timestamp")
 
 
+def _has_number(dtype: T.DataType) -> bool:
+    return is_numeric(dtype) or isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType))
+
+
 def range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
@@ -72,6 +77,10 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None, spread_ties:
     """
     types = field_types(df)
     first = order[0]
+    if not _has_number(types[first]):
+        # Text keys have no cheap cut points: let Spark range-partition them and fix the result.
+        placed = df.repartitionByRange(parts or range_count(df), *map(quoted, order))
+        return cut_lineage(placed.withColumn(RANGE, F.spark_partition_id().cast("long")).withColumn(PART, F.lit(0)))
     cuts = cut_points(df, [first], parts)
     out = add_ranges(df, cuts, {first: RANGE}).withColumn(RANGE, F.col(RANGE).cast("long"))
     points = cuts[first]
@@ -79,6 +88,8 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None, spread_ties:
     if not tied:
         return out.withColumn(PART, F.lit(0))
     second = order[1]
+    if not _has_number(types[second]):
+        return out.withColumn(PART, F.lit(0))
     sub = cut_points(df, [second], parts)
     out = add_ranges(out, sub, {second: PART})
     on_cut = F.col(RANGE).between(1, len(points)) & (
@@ -174,20 +185,21 @@ def running_sums(
     return out.drop(RANGE)
 
 
-def exact_quantiles(
+def stacked_running(
     df: DataFrame,
     columns: Sequence[str],
-    probs: Sequence[float],
+    measures: dict[str, Column],
     by: Sequence[str] = (),
+    descending: bool = False,
 ) -> DataFrame:
-    """Linear-interpolated quantiles: one row per (``by``, column) with ``q0, q1, ...``.
+    """Distinct values of several numeric columns with running totals of the measures.
 
-    Unlike the ``percentile`` aggregate no task holds all distinct values of a group.
+    One row per (``by``, ``column``, ``value``) with, for every measure ``m``: its sum ``m``, the sum
+    ``cum_m`` up to and including the value, and the group's ``total_m``.
     """
-    types = field_types(df)
-    cuts = cut_points(df, columns)
+    names = list(measures)
     ranges = {c: f"_r{i}" for i, c in enumerate(columns)}
-    wide = add_ranges(df, cuts, ranges)
+    wide = add_ranges(df, cut_points(df, columns), ranges)
     cells = F.array(
         *[
             F.struct(
@@ -196,34 +208,55 @@ def exact_quantiles(
                 F.col(ranges[c]).cast("int").alias(RANGE),
             )
             for c in columns
-            if is_numeric(types[c])
         ]
     )
     keys = [*by, "column"]
     counted = (
-        wide.select(*[F.col(quoted(b)) for b in by], F.inline(cells))
+        wide.select(*[F.col(quoted(b)) for b in by], *[e.alias(m) for m, e in measures.items()], F.inline(cells))
         .where(F.col("value").isNotNull())
         .groupBy(*map(quoted, keys), RANGE, "value")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(*[F.sum(m).alias(m) for m in names])
     )
-    per_range = counted.groupBy(*map(quoted, keys), RANGE).agg(F.sum("n").alias("n"))
+    if descending:
+        counted = counted.withColumn(RANGE, -F.col(RANGE))
+    per_range = counted.groupBy(*map(quoted, keys), RANGE).agg(*[F.sum(m).alias(m) for m in names])
     upto = (
         Window.partitionBy(*map(quoted, keys), RANGE)
-        .orderBy("value")
+        .orderBy(F.desc("value") if descending else F.asc("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    placed = _attach(
-        counted.withColumn("last", F.sum("n").over(upto)), _offsets(per_range, keys, [RANGE], ["n"]), [*keys, RANGE]
+    local = counted.select("*", *[F.sum(m).over(upto).alias(f"cum_{m}") for m in names])
+    placed = _attach(local, _offsets(per_range, keys, [RANGE], names), [*keys, RANGE])
+    return placed.select(
+        *map(quoted, keys),
+        "value",
+        *names,
+        *[(F.col(f"cum_{m}") + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in names],
+        *[F.col(f"_total_{m}").alias(f"total_{m}") for m in names],
     )
-    last = F.col("last") + F.col("_before_n") - 1
-    first = last - F.col("n") + 1
+
+
+def exact_quantiles(
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: Sequence[float],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Linear-interpolated quantiles: one row per (``by``, column) with ``n, q0, q1, ...``.
+
+    Unlike the ``percentile`` aggregate no task holds all distinct values of a group.
+    """
+    keys = [*by, "column"]
+    placed = stacked_running(df, columns, {"n": F.lit(1)}, by)
+    last = F.col("cum_n") - 1
+    first = F.col("cum_n") - F.col("n")
     picks = []
     for i, p in enumerate(probs):
-        at = F.lit(float(p)) * (F.col("_total_n") - 1)
+        at = F.lit(float(p)) * (F.col("total_n") - 1)
         for side, rank in (("lo", F.floor(at)), ("hi", F.ceil(at))):
             picks.append(F.max(F.when(rank.between(first, last), F.col("value"))).alias(f"{side}{i}"))
         picks.append(F.max(at - F.floor(at)).alias(f"frac{i}"))
-    found = placed.groupBy(*map(quoted, keys)).agg(*picks, F.max("_total_n").alias("n"))
+    found = placed.groupBy(*map(quoted, keys)).agg(*picks, F.max("total_n").alias("n"))
     return found.select(
         *map(quoted, keys),
         "n",
