@@ -7,6 +7,7 @@ import importlib
 MODULES = (
     "profiling",
     "associations",
+    "exploration",
 )
 
 

@@ -35,7 +35,7 @@ def ks_sql(column: str) -> str:
       FROM (SELECT sum(r) OVER (ORDER BY v) AS cr, sum(n) OVER (ORDER BY v) AS cn, sum(r) OVER () AS nr, sum(n) OVER () AS nn
             FROM (SELECT v, sum(r)::DOUBLE AS r, sum(n)::DOUBLE AS n FROM
                   (SELECT {column}::DOUBLE AS v, 1 AS r, 0 AS n FROM refs UNION ALL SELECT {column}::DOUBLE, 0, 1 FROM news)
-                  GROUP BY v))"""
+                  WHERE v IS NOT NULL GROUP BY v))"""
 
 
 def side_moments(column: str) -> str:
@@ -411,25 +411,69 @@ def q_anova(spark, sf_dir):
     return rounded(out, "f_score", digits=5).drop("p_value", "stars")
 
 
-ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
-NEW_COLUMNS = {"o_custkey": ("bigint", True), "o_orderstatus": ("string", False), "o_totalprice": ("double", True), "o_orderpriority": ("string", False)}
-FULL_CELLS = {"o_custkey": "o_custkey_b", "o_orderstatus": "o_orderstatus", "o_totalprice": "o_totalprice_b"}
+NEW_COLUMNS = {
+    "o_custkey": ("bigint", True),
+    "o_orderstatus": ("string", False),
+    "o_totalprice": ("double", True),
+    "o_currency": ("string", False),
+    "priority_code": ("string", False),
+    "o_orderpriority": ("string", False),
+}
+FULL_CELLS = {
+    "o_custkey": "o_custkey_b",
+    "o_orderstatus": "o_orderstatus",
+    "o_totalprice": "o_totalprice_b",
+    "o_currency": "o_currency",
+    "priority_code": "priority_code",
+}
+
+
+def full_side(op: str, factor: str, status: str) -> str:
+    return f"""(SELECT CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_custkey END AS o_custkey, {status} AS o_orderstatus,
+      o_totalprice * {factor} AS o_totalprice, 'EUR' AS o_currency, 'p' || o_orderpriority AS priority_code, o_orderpriority
+      FROM orders WHERE o_orderdate {op} TIMESTAMP '1998-01-01')"""
+
+
+FULL_SIDES = f"""refs AS {full_side('<', '1.0::DOUBLE', 'o_orderstatus')},
+  news AS {full_side('>=', '1.25::DOUBLE', "CASE WHEN o_orderkey % 3 = 0 THEN 'O' ELSE o_orderstatus END")}"""
+
+
+def shifted_orders(spark, sf_dir):
+    """Older orders, and recent orders with a price shift and a status shift."""
+    key = F.col("o_orderkey")
+
+    def side(df, factor, status):
+        return df.select(
+            F.when(key % 7 != 0, F.col("o_custkey")).alias("o_custkey"),
+            status.alias("o_orderstatus"),
+            (F.col("o_totalprice") * factor).alias("o_totalprice"),
+            F.lit("EUR").alias("o_currency"),
+            F.concat(F.lit("p"), "o_orderpriority").alias("priority_code"),
+            "o_orderpriority",
+        )
+
+    old, recent = orders_sides(spark, sf_dir, "*")
+    status = F.col("o_orderstatus")
+    return side(old, 1.0, status), side(recent, 1.25, F.when(key % 3 == 0, "O").otherwise(status))
 
 
 @query(
     "complete_validation",
-    f"""{REPORT}, {stats_sql('news', NEW_COLUMNS)} {schema_issue_sql('o_orderpriority', 4, 'news', NEW_COLUMNS)},
+    f"""WITH {FULL_SIDES}, {KS}, cat AS ({chi_sql('o_orderstatus')} UNION ALL {chi_sql('o_currency')} UNION ALL {chi_sql('priority_code')}), {CHI_TAIL},
+    report AS (SELECT "column", 'ks' AS test, statistic, p_value < 0.05 AS drifted, NULL::DOUBLE AS total_variation_distance, false AS low_expected_counts FROM ksr
+      UNION ALL SELECT "column", 'chi', statistic, statistic > ({CRITICAL})[dof], total_variation_distance, low_expected_counts FROM chi),
+    {stats_sql('news', NEW_COLUMNS)} {schema_issue_sql('o_orderpriority', len(NEW_COLUMNS), 'news', NEW_COLUMNS)},
     {binned_source(['o_custkey', 'o_totalprice'], 'news', 'nb')}, cells AS ({cells_sql(FULL_CELLS, 'o_orderpriority', 'nb')}), {MI_TAIL},
     same AS ({identity_sql(list(FULL_CELLS), 'o_orderpriority', 'news')}),
     scores AS (SELECT "column", CASE WHEN identity_score = 1.0 THEN 1.0::DOUBLE ELSE least(mi / ln(k), 1.0) END AS score FROM mi JOIN same USING ("column"))
     SELECT severity, 'schema' AS category, "column", rule, round(measured, 6) AS measured FROM raw_issues
     UNION ALL SELECT CASE WHEN score > 0.95 THEN 'error' WHEN score >= 0.8 THEN 'warning' ELSE 'info' END, 'leakage', "column",
        CASE WHEN score > 0.95 THEN 'leak_extreme' WHEN score >= 0.8 THEN 'leak_very_strong' ELSE 'leak_strong' END, round(score, 6) FROM scores WHERE score >= 0.6
-    UNION ALL SELECT 'warning', 'drift', "column", CASE WHEN test = 'chi-squared' THEN 'category_drift' ELSE 'numeric_drift' END,
-       round(CASE WHEN test = 'chi-squared' THEN total_variation_distance ELSE statistic END, 6) FROM report WHERE drifted
+    UNION ALL SELECT 'warning', 'drift', "column", CASE WHEN test = 'chi' THEN 'category_drift' ELSE 'numeric_drift' END,
+       round(CASE WHEN test = 'chi' THEN total_variation_distance ELSE statistic END, 6) FROM report WHERE drifted
     UNION ALL SELECT 'info', 'drift', "column", 'low_expected', NULL FROM report WHERE low_expected_counts""",
 )
 def q_complete(spark, sf_dir):
-    ref, new = orders_sides(spark, sf_dir, *ORDER_COLUMNS)
+    ref, new = shifted_orders(spark, sf_dir)
     out = association.complete_validation(new, "o_orderpriority", "classification", ref)
     return out.select("severity", "category", "column", "rule", F.round("measured", 6).alias("measured"))
