@@ -191,6 +191,7 @@ def stacked_running(
     measures: dict[str, Column],
     by: Sequence[str] = (),
     descending: bool = False,
+    key: str = "column",
 ) -> DataFrame:
     """Distinct values of several numeric columns with running totals of the measures.
 
@@ -203,14 +204,14 @@ def stacked_running(
     cells = F.array(
         *[
             F.struct(
-                F.lit(c).alias("column"),
+                F.lit(c).alias(key),
                 F.nanvl(F.col(quoted(c)).cast("double"), F.lit(None).cast("double")).alias("value"),
                 F.col(ranges[c]).cast("int").alias(RANGE),
             )
             for c in columns
         ]
     )
-    keys = [*by, "column"]
+    keys = [*by, key]
     counted = (
         wide.select(*[F.col(quoted(b)) for b in by], *[e.alias(m) for m, e in measures.items()], F.inline(cells))
         .where(F.col("value").isNotNull())

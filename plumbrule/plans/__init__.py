@@ -8,6 +8,8 @@ MODULES = (
     "profiling",
     "associations",
     "exploration",
+    "evaluation",
+    "sequences",
 )
 
 
