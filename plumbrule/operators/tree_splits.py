@@ -62,7 +62,7 @@ def best_split_mse(df: DataFrame, target: str, features: Sequence[str], top: int
     placed = _next_values(steps)
 
     def sse(n: Column, s: Column, q: Column) -> Column:
-        return q - s * s / n
+        return q - F.try_divide(s * s, n)
 
     c = {m: F.col(f"cum_{m}") for m in "nsq"}
     t = {m: F.col(f"total_{m}") for m in "nsq"}

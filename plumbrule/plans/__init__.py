@@ -10,6 +10,7 @@ MODULES = (
     "exploration",
     "evaluation",
     "sequences",
+    "modelling",
 )
 
 
