@@ -115,3 +115,8 @@ def column_rows(df: DataFrame, columns: Sequence[str], measures: dict[str, dict[
 def rounded(col: Column, digits: int = 6) -> Column:
     """Rounded double without a negative zero."""
     return F.round(col, digits) + F.lit(0.0)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """Mark a table for broadcast only when a count proves it small; otherwise leave the join to Spark."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -8,17 +8,18 @@ recomputes the same ranges; the results are exact whatever the cut points are.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbrule.core.frames import field_types, is_numeric, quoted
+from plumbrule.core.frames import as_double, field_types, is_numeric, quoted
 from plumbrule.core.session import cut_lineage
 
-RANGE, PART = "_range", "_part"
+RANGE, PART, GROUP = "_range", "_part", "_group"
 
 
 def order_number(name: str, dtype: T.DataType) -> Column:
@@ -45,16 +46,17 @@ def cut_points(df: DataFrame, columns: Sequence[str], parts: int | None = None)
     """Approximate quantiles of every column in one pass; at most ``parts`` numbers per column."""
     types = field_types(df)
     parts = parts or range_count(df)
-    probs = [i / parts for i in range(1, parts)]
-    row = df.agg(
-        *[
-            F.percentile_approx(order_number(c, types[c]), probs, max(1000, 20 * parts)).alias(f"c{i}")
-            for i, c in enumerate(columns)
-        ]
-    ).first()
+    base = df.select(*[order_number(c, types[c]).alias(f"x{i}") for i, c in enumerate(columns)])
+    row = base.agg(*[_grid_quantiles(f"x{i}", range(1, parts), parts).alias(f"c{i}") for i in range(len(columns))]).first()
     return {c: sorted({float(v) for v in (row[f"c{i}"] or []) if v == v}) for i, c in enumerate(columns)}
 
 
+def _grid_quantiles(column: str, steps: range, grid: int) -> Column:
+    """Approximate quantiles at ``steps / grid``; parsed from text, as thousands of literal objects are slow to make."""
+    probs = ", ".join(repr(i / grid) + "D" for i in steps)
+    return F.expr(f"percentile_approx({column}, array({probs}), {max(1000, 20 * grid)})")
+
+
 def add_ranges(df: DataFrame, cuts: dict[str, list[float]], outputs: dict[str, str]) -> DataFrame:
     """Add the range number of each column (a binary search in the JVM); missing values get NULL."""
     types = field_types(df)
@@ -81,17 +83,13 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None, spread_ties:
         # Text keys have no cheap cut points: let Spark range-partition them and fix the result.
         placed = df.repartitionByRange(parts or range_count(df), *map(quoted, order))
         return cut_lineage(placed.withColumn(RANGE, F.spark_partition_id().cast("long")).withColumn(PART, F.lit(0)))
-    cuts = cut_points(df, [first], parts)
-    out = add_ranges(df, cuts, {first: RANGE}).withColumn(RANGE, F.col(RANGE).cast("long"))
+    second = order[1] if spread_ties and len(order) > 1 and _has_number(types[order[1]]) else None
+    cuts = cut_points(df, [first] if second is None else [first, second], parts)
     points = cuts[first]
-    tied = spread_ties and len(order) > 1 and bool(points)
-    if not tied:
-        return out.withColumn(PART, F.lit(0))
-    second = order[1]
-    if not _has_number(types[second]):
+    out = add_ranges(df, {first: points}, {first: RANGE}).withColumn(RANGE, F.col(RANGE).cast("long"))
+    if second is None or not points:
         return out.withColumn(PART, F.lit(0))
-    sub = cut_points(df, [second], parts)
-    out = add_ranges(out, sub, {second: PART})
+    out = add_ranges(out, {second: cuts[second]}, {second: PART})
     on_cut = F.col(RANGE).between(1, len(points)) & (
         F.element_at(F.array(*map(F.lit, points)), F.greatest(F.col(RANGE), F.lit(1)).cast("int"))
         == order_number(first, types[first])
@@ -101,22 +99,24 @@ def _ranged(df: DataFrame, order: Sequence[str], parts: int | None, spread_ties:
     )
 
 
-def _offsets(counts: DataFrame, by: Sequence[str], cells: Sequence[str], sums: Sequence[str]) -> DataFrame:
+def _group_key(by: Sequence[str]) -> Column:
+    """The group columns as one column that is never NULL, so that joins keep groups with missing keys
+    and reuse the partitioning of the windows."""
+    return F.struct(*map(quoted, by)) if by else F.struct(F.lit(0).alias("all"))
+
+
+def _offsets(counts: DataFrame, cells: Sequence[str], sums: Sequence[str]) -> DataFrame:
     """Totals of the earlier ranges and of the whole group, one row per (group, range)."""
-    whole = Window.partitionBy(*by)
+    whole = Window.partitionBy(GROUP)
     before = whole.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     return counts.select(
-        *[F.col(quoted(c)).alias(f"_o_{i}") for i, c in enumerate([*by, *cells])],
+        GROUP,
+        *cells,
         *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_before_{s}") for s in sums],
         *[F.sum(s).over(whole).alias(f"_total_{s}") for s in sums],
     )
 
 
-def _attach(local: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> DataFrame:
-    match = [F.col(quoted(k)).eqNullSafe(F.col(f"_o_{i}")) for i, k in enumerate(keys)]
-    return local.join(offsets, match).drop(*[f"_o_{i}" for i in range(len(keys))])
-
-
 def ordered_index(
     df: DataFrame,
     order: Sequence[str],
@@ -144,16 +144,16 @@ def spread_index(
 
 
 def _index(staged, order, by, cells, name, total):
-    keys = [*by, *cells]
-    counts = staged.groupBy(*map(quoted, keys)).agg(F.count(F.lit(1)).alias("n"))
-    local = staged.withColumn(
-        name, F.row_number().over(Window.partitionBy(*map(quoted, keys)).orderBy(*map(quoted, order))).cast("long")
-    )
-    out = _attach(local, _offsets(counts, by, cells, ["n"]), keys)
+    keys = [GROUP, *cells]
+    # rows without an order key sort first
+    staged = staged.withColumns({GROUP: _group_key(by), RANGE: F.coalesce(RANGE, F.lit(-1).cast("long"))})
+    counts = staged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    local = staged.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*map(quoted, order))).cast("long"))
+    out = local.join(_offsets(counts, cells, ["n"]), keys)
     out = out.withColumn(name, F.col(name) + F.col("_before_n") - 1)
     if total:
         out = out.withColumn(total, F.col("_total_n"))
-    return out.drop("_before_n", "_total_n", *cells)
+    return out.drop("_before_n", "_total_n", *keys)
 
 
 def running_sums(
@@ -170,19 +170,15 @@ def running_sums(
     """
     points = cuts if cuts is not None else cut_points(df, [order], parts)[order]
     staged = add_ranges(df, {order: points}, {order: RANGE})
-    keys = [*by, RANGE]
-    counts = staged.groupBy(*map(quoted, keys)).agg(*[F.sum(s).alias(s) for s in sums])
-    upto = (
-        Window.partitionBy(*map(quoted, keys))
-        .orderBy(quoted(order))
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    staged = staged.withColumns({GROUP: _group_key(by), RANGE: F.coalesce(F.col(RANGE).cast("long"), F.lit(-1).cast("long"))})
+    counts = staged.groupBy(GROUP, RANGE).agg(*[F.sum(s).alias(s) for s in sums])
+    upto = Window.partitionBy(GROUP, RANGE).orderBy(quoted(order)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = staged.select("*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums])
-    out = _attach(local, _offsets(counts, by, [RANGE], sums), keys)
+    out = local.join(_offsets(counts, [RANGE], sums), [GROUP, RANGE])
     for s in sums:
         out = out.withColumn(f"cum_{s}", F.col(f"cum_{s}") + F.col(f"_before_{s}"))
         out = out.withColumnRenamed(f"_total_{s}", f"total_{s}").drop(f"_before_{s}")
-    return out.drop(RANGE)
+    return out.drop(RANGE, GROUP)
 
 
 def stacked_running(
@@ -215,21 +211,21 @@ def stacked_running(
     counted = (
         wide.select(*[F.col(quoted(b)) for b in by], *[e.alias(m) for m, e in measures.items()], F.inline(cells))
         .where(F.col("value").isNotNull())
-        .groupBy(*map(quoted, keys), RANGE, "value")
+        .groupBy(_group_key(keys).alias(GROUP), RANGE, "value")
         .agg(*[F.sum(m).alias(m) for m in names])
     )
     if descending:
         counted = counted.withColumn(RANGE, -F.col(RANGE))
-    per_range = counted.groupBy(*map(quoted, keys), RANGE).agg(*[F.sum(m).alias(m) for m in names])
+    per_range = counted.groupBy(GROUP, RANGE).agg(*[F.sum(m).alias(m) for m in names])
     upto = (
-        Window.partitionBy(*map(quoted, keys), RANGE)
+        Window.partitionBy(GROUP, RANGE)
         .orderBy(F.desc("value") if descending else F.asc("value"))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     local = counted.select("*", *[F.sum(m).over(upto).alias(f"cum_{m}") for m in names])
-    placed = _attach(local, _offsets(per_range, keys, [RANGE], names), [*keys, RANGE])
+    placed = local.join(_offsets(per_range, [RANGE], names), [GROUP, RANGE])
     return placed.select(
-        *map(quoted, keys),
+        f"{GROUP}.*",
         "value",
         *names,
         *[(F.col(f"cum_{m}") + F.col(f"_before_{m}")).alias(f"cum_{m}") for m in names],
@@ -237,6 +233,89 @@ def stacked_running(
     )
 
 
+def _sketch(df: DataFrame, columns: Sequence[str], grid: int) -> dict[str, tuple[int, list[float]]]:
+    """Present-value count and an even grid of approximate quantiles per column, in one pass."""
+    types = field_types(df)
+    base = df.select(*[as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(columns)])
+    row = base.agg(
+        *[
+            x
+            for i in range(len(columns))
+            for x in (F.count(f"x{i}").alias(f"n{i}"), _grid_quantiles(f"x{i}", range(grid + 1), grid).alias(f"g{i}"))
+        ]
+    ).first()
+    return {c: (row[f"n{i}"], row[f"g{i}"] or []) for i, c in enumerate(columns)}
+
+
+def order_statistics(
+    df: DataFrame,
+    columns: Sequence[str],
+    ranks: Callable[[str, int], Sequence[int]],
+    grid: int = 1000,
+) -> dict[str, tuple[int, dict[int, float]]]:
+    """Exact values at 0-based ranks of the sorted present values: ``column -> (n, {rank: value})``.
+
+    A sketch brackets every rank between two values; the second pass counts the rows below each bracket
+    and lists only the values inside, so the shuffle carries a few thousandths of the column.
+    """
+    columns = list(columns)
+    if not columns:
+        return {}
+    sketch = _sketch(df, columns, grid)
+    wanted = {c: sorted(set(ranks(c, n))) for c, (n, _) in sketch.items() if n}
+    if not wanted:
+        return {c: (0, {}) for c in columns}
+    types = field_types(df)
+    cells = []
+    for c, rs in wanted.items():
+        n, g = sketch[c]
+        spans: list[list[float]] = []
+        for r in rs:
+            at = r * grid // max(n - 1, 1)
+            lo, hi = g[max(at - 2, 0)], g[min(at + 3, grid)]
+            if spans and lo <= spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], hi)
+            else:
+                spans.append([lo, hi])
+        x = as_double(c, types[c])
+        zone, inside = None, F.lit(False)
+        for i, (lo, hi) in enumerate(spans):
+            zone = F.when(x < lo, 2 * i) if zone is None else zone.when(x < lo, 2 * i)
+            zone = zone.when(x <= hi, 2 * i + 1)
+            inside = inside | x.between(lo, hi)
+        cells.append(
+            F.struct(F.lit(c).alias("column"), x.isNotNull().alias("ok"), zone.otherwise(2 * len(spans)).alias("zone"), F.when(inside, x).alias("value"))
+        )
+    counted = df.select(F.inline(F.array(*cells))).where("ok").groupBy(F.col("column").alias(GROUP), "zone", "value").agg(F.count(F.lit(1)).alias("n"))
+    zones = counted.groupBy(GROUP, "zone").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy(GROUP, "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = counted.where(F.col("value").isNotNull()).withColumn("last", F.sum("n").over(upto))
+    placed = local.join(_offsets(zones, ["zone"], ["n"]), [GROUP, "zone"]).withColumnRenamed(GROUP, "column")
+    last = F.col("last") + F.col("_before_n") - 1
+    asked = F.create_map(*[x for c, rs in wanted.items() for x in (F.lit(c), F.array(*[F.lit(r).cast("long") for r in rs]))])
+    hit = placed.withColumns({"hi": last, "lo": last - F.col("n") + 1, "rs": asked[F.col("column")]})
+    rows = hit.where(F.exists("rs", lambda r: r.between(F.col("lo"), F.col("hi")))).select("column", "value", "lo", "hi").collect()
+    out = {}
+    for c in columns:
+        mine = [r for r in rows if r["column"] == c]
+        found = {k: r["value"] for r in mine for k in wanted.get(c, ()) if r["lo"] <= k <= r["hi"]}
+        if len(found) < len(wanted.get(c, ())):
+            raise ArithmeticError(f"a rank of {c} fell outside its bracket; use a finer grid")
+        out[c] = (sketch[c][0], found)
+    return out
+
+
+def quantile_ranks(n: int, probs: Sequence[float]) -> list[int]:
+    """The ranks on both sides of each interpolated quantile of ``n`` values."""
+    return [r for p in probs for r in (math.floor(p * (n - 1)), math.ceil(p * (n - 1)))]
+
+
+def interpolate(n: int, p: float, at: Callable[[int], float]) -> float:
+    x = p * (n - 1)
+    lo, hi = at(math.floor(x)), at(math.ceil(x))
+    return lo + (hi - lo) * (x - math.floor(x))
+
+
 def exact_quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -247,6 +326,10 @@ def exact_quantiles(
 
     Unlike the ``percentile`` aggregate no task holds all distinct values of a group.
     """
+    if not by:
+        stats = order_statistics(df, columns, lambda c, n: quantile_ranks(n, probs))
+        rows = [(c, n, *[float(interpolate(n, p, v.__getitem__)) for p in probs]) for c, (n, v) in stats.items() if n]
+        return df.sparkSession.createDataFrame(rows, "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
     keys = [*by, "column"]
     placed = stacked_running(df, columns, {"n": F.lit(1)}, by)
     last = F.col("cum_n") - 1
@@ -269,11 +352,43 @@ def exact_quantiles(
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
-    """One exact median per column; as many numbers as columns reach the driver."""
-    if not columns:
-        return {}
-    rows = exact_quantiles(df, columns, [0.5]).select("column", "q0").collect()
-    return {r["column"]: r["q0"] for r in rows}
+    """One exact median per column that has a value."""
+    stats = order_statistics(df, columns, lambda c, n: quantile_ranks(n, [0.5]))
+    return {c: float(interpolate(n, 0.5, v.__getitem__)) for c, (n, v) in stats.items() if n}
+
+
+def filled_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> dict[str, tuple[float, list[float]]]:
+    """Median of each column and the quantiles the column has once its gaps hold that median.
+
+    The copies of the median sit together in the sorted filled column, so its ranks translate to ranks of
+    the present values and one pass serves both.
+    """
+    rows = df.count()
+
+    def below(n: int) -> int:
+        return math.floor((n - 1) / 2) + 1
+
+    def translate(r: int, n: int) -> int | None:
+        gap = rows - n
+        return r if r < below(n) else None if r < below(n) + gap else r - gap
+
+    def ranks(_c: str, n: int) -> list[int]:
+        asked = [translate(r, n) for r in quantile_ranks(rows, probs)]
+        return [*quantile_ranks(n, [0.5]), *[r for r in asked if r is not None]]
+
+    out = {}
+    for c, (n, v) in order_statistics(df, columns, ranks).items():
+        if not n:
+            out[c] = (0.0, [0.0] * len(probs))
+            continue
+        middle = float(interpolate(n, 0.5, v.__getitem__))
+
+        def at(r: int, n=n, v=v, middle=middle) -> float:
+            k = translate(r, n)
+            return middle if k is None else v[k]
+
+        out[c] = (middle, [float(interpolate(rows, p, at)) for p in probs])
+    return out
 
 
 def neighbour_chunks(

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from plumbrule.core.frames import (
     _slots,
     as_double,
+    broadcast_if_small,
     categorical_columns,
     column_rows,
     field_types,
@@ -22,7 +23,7 @@ from plumbrule.core.frames import (
     quoted,
     value_of,
 )
-from plumbrule.core.ordering import exact_quantiles, medians, ordered_index
+from plumbrule.core.ordering import filled_quantiles, medians, ordered_index
 from plumbrule.functions.significance import f_sf
 from plumbrule.operators.profile import column_stats
 from plumbrule.operators.schema_rules import issue, issues_from
@@ -33,28 +34,19 @@ SMALL = 100_000
 BINNED = "_binned_"
 
 
-def bin_edges(df: DataFrame, columns: Sequence[str], bins: int = BINS) -> dict[str, list[float]]:
-    """Inner equal-frequency edges of each column (at most ``bins - 1`` numbers per column)."""
-    if not columns:
-        return {}
-    rows = exact_quantiles(df, columns, [i / bins for i in range(1, bins)]).collect()
-    return {r["column"]: sorted({r[f"q{i}"] for i in range(bins - 1)}) for r in rows}
-
-
 def add_bins(df: DataFrame, columns: Sequence[str], bins: int = BINS, prefix: str = BINNED) -> DataFrame:
     """Add ``<prefix><c>``: number of equal-frequency edges at or below the value; missing takes the median."""
     columns = list(columns)
     if not columns:
         return df
     types = field_types(df)
-    middle = medians(df, columns)
-    filled = df.select("*", *[F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias(f"_fill_{i}") for i, c in enumerate(columns)])
+    facts = filled_quantiles(df, columns, [i / bins for i in range(1, bins)])
+    filled = df.select("*", *[F.coalesce(as_double(c, types[c]), F.lit(facts[c][0])).alias(f"_fill_{i}") for i, c in enumerate(columns)])
     named = {f"_fill_{i}": c for i, c in enumerate(columns)}
-    edges = bin_edges(filled, list(named), bins)
     out = Bucketizer(
         inputCols=list(named),
         outputCols=[prefix + c for c in named.values()],
-        splitsArray=[[float("-inf"), *(edges.get(f) or [0.0]), float("inf")] for f in named],
+        splitsArray=[[float("-inf"), *sorted(set(facts[c][1])), float("inf")] for c in named.values()],
     ).transform(filled)
     return out.drop(*named).withColumns({prefix + c: F.col(quoted(prefix + c)).cast("int") for c in columns})
 
@@ -152,7 +144,7 @@ def correlation_ratios(df: DataFrame, features: Sequence[str], target: str) -> D
     between = F.sum(F.col("n") * (F.col("m") - F.col("mu")) * (F.col("m") - F.col("mu")))
     total = between + F.sum("within")
     return (
-        groups.join(means, "column")
+        groups.join(F.broadcast(means), "column")  # one row per column
         .groupBy("column")
         .agg(F.when(total > 0, between / total).otherwise(0.0).alias("eta2"))
         .withColumn("eta2", F.least(F.greatest("eta2", F.lit(0.0)), F.lit(1.0)))
@@ -334,7 +326,7 @@ def target_associations(df: DataFrame, target: str, features: Sequence[str], inf
         coded = usable.withColumn("_y", as_double(target, types[target]))
     else:
         codes = class_codes(usable, target)
-        coded = usable.join(codes, usable[target].cast("string") == codes["label"]).withColumn("_y", F.col("code").cast("double"))
+        coded = usable.join(broadcast_if_small(codes), usable[target].cast("string") == codes["label"]).withColumn("_y", F.col("code").cast("double"))
     filled = coded.select("_y", *[F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias(c) for c in numbers])
     r = {c: v or 0.0 for c, v in correlations(filled, numbers, "_y").items()}
     rows = df.sparkSession.createDataFrame([(c, abs(r[c]), r[c]) for c in numbers], "feature string, abs_target_correlation double, target_correlation double")
@@ -368,7 +360,7 @@ def anova_f(df: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     means = groups.groupBy("feature").agg((F.sum(F.col("n") * F.col("m")) / F.sum("n")).alias("mu"))
     gap = F.col("m") - F.col("mu")
     table = (
-        groups.join(means, "feature")
+        groups.join(F.broadcast(means), "feature")  # one row per feature
         .groupBy("feature")
         .agg(
             F.sum(F.col("n") * gap * gap).alias("between"),

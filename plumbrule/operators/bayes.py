@@ -10,11 +10,18 @@ from pyspark.sql import functions as F
 
 from plumbrule.core.frames import as_double, field_types, quoted
 from plumbrule.functions.columns import log_sum_exp
-from plumbrule.operators.prep import categories
 
+MAX_CLASSES = 1_000
 LOG_2PI = math.log(2 * math.pi)
 
 
+def _few(per_class: DataFrame) -> list:
+    rows = per_class.limit(MAX_CLASSES + 1).collect()
+    if len(rows) > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} classes")
+    return rows
+
+
 def _scored(df: DataFrame, classes: list, logs: list[Column]) -> DataFrame:
     """Add ``prediction`` (first best class), ``probabilities`` and ``log_evidence``."""
     out = df.withColumn("_l", F.array(*logs)).withColumn("log_evidence", log_sum_exp("_l"))
@@ -30,14 +37,12 @@ def gaussian_nb(train: DataFrame, label: str, features: Sequence[str], smoothing
     """Priors, means and smoothed variances per class (as many numbers as classes times features)."""
     types = field_types(train)
     x = [as_double(c, types[c]) for c in features]
-    rows = (
-        train.groupBy(F.col(quoted(label)).alias("g"))
-        .agg(
+    rows = _few(
+        train.groupBy(F.col(quoted(label)).alias("g")).agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(x)],
             *[F.var_pop(c).alias(f"v{i}") for i, c in enumerate(x)],
         )
-        .collect()
     )
     rows = sorted((r for r in rows if r["g"] is not None), key=lambda r: r["g"])
     n = sum(r["n"] for r in rows)
@@ -118,7 +123,7 @@ def top_words(log_probs: DataFrame, count: int = 15) -> DataFrame:
 def bernoulli_nb(train: DataFrame, label: str, features: Sequence[str], alpha: float = 1.0, threshold: float = 0.0) -> tuple[list, dict]:
     types = field_types(train)
     hits = [F.sum((as_double(c, types[c]) > threshold).cast("long")).alias(f"p{i}") for i, c in enumerate(features)]
-    rows = train.groupBy(F.col(quoted(label)).alias("g")).agg(F.count(F.lit(1)).alias("n"), *hits).collect()
+    rows = _few(train.groupBy(F.col(quoted(label)).alias("g")).agg(F.count(F.lit(1)).alias("n"), *hits))
     rows = sorted((r for r in rows if r["g"] is not None), key=lambda r: r["g"])
     n = sum(r["n"] for r in rows)
     clip = lambda p: min(max(p, 1e-12), 1 - 1e-12)
@@ -148,7 +153,3 @@ def dummy_baseline(df: DataFrame, label: str) -> DataFrame:
     """One row: the majority class and the accuracy of always predicting it."""
     counts = df.where(F.col(quoted(label)).isNotNull()).groupBy(F.col(quoted(label)).alias("g")).agg(F.count(F.lit(1)).alias("n"))
     return counts.agg(F.min(F.struct((-F.col("n")).alias("k"), "g"))["g"].alias("prediction"), (F.max("n") / F.sum("n")).alias("accuracy"))
-
-
-def class_values(df: DataFrame, label: str) -> list:
-    return categories(df, label)

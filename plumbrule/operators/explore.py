@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.frames import as_double, column_rows, field_types, is_numeric, quoted, value_of
+from plumbrule.core.frames import as_double, broadcast_if_small, column_rows, field_types, quoted
 from plumbrule.core.moments import moments
 from plumbrule.core.ordering import exact_quantiles
 from plumbrule.operators.profile import value_counts
@@ -90,7 +90,7 @@ def class_boxplot(df: DataFrame, label: str, columns: Sequence[str]) -> DataFram
     reach = 1.5 * (F.col("q75") - F.col("q25"))
     inside = F.col("x").between(F.col("q25") - reach, F.col("q75") + reach)
     return (
-        cells.join(box, [label, "column"])
+        cells.join(broadcast_if_small(box), [label, "column"])
         .groupBy(quoted(label), "column")
         .agg(
             *[F.max(q).alias(q) for q in ("q25", "q50", "q75")],
@@ -130,7 +130,7 @@ def class_kde(df: DataFrame, label: str, column: str, points: int = 200) -> Data
     grid = F.col("e.lo") + F.col("step") * ((F.col("e.hi") - F.col("e.lo")) / (points - 1))
     z = (grid - F.col("x")) / F.col("h")
     dense = (
-        counts.join(per_class.select("label", "size", bandwidth.alias("h")), "label")
+        counts.join(broadcast_if_small(per_class.select("label", "size", bandwidth.alias("h"))), "label")
         .withColumn("e", edge)
         .select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("step"))
         .select("label", "step", "size", "h", grid.alias("at"), (F.col("n") * F.exp(-0.5 * z * z)).alias("k"))
@@ -196,15 +196,3 @@ def run_summary(runs: DataFrame, group: str, value: str) -> DataFrame:
         group, F.col("q0").alias("q25"), F.col("q1").alias("q50"), F.col("q2").alias("q75")
     )
     return facts.join(q, group)
-
-
-def share_of_total(col: str) -> Column:
-    return F.col(col) / F.sum(col).over(Window.partitionBy())
-
-
-def present(df: DataFrame, name: str) -> Column:
-    return value_of(name, field_types(df)[name]).isNotNull()
-
-
-def is_number(df: DataFrame, name: str) -> bool:
-    return is_numeric(field_types(df)[name])

@@ -10,12 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.frames import as_double, column_rows, field_types, quoted
+from plumbrule.core.frames import as_double, broadcast_if_small, column_rows, field_types, quoted
 from plumbrule.core.ordering import medians
 from plumbrule.operators.association import class_codes
 from plumbrule.operators.profile import value_counts
 
 MAX_CATEGORIES = 1_000
+MAX_VOCABULARY = 100_000
 
 
 def impute_median(df: DataFrame, columns: Sequence[str], fitted: dict[str, float] | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataF
 
 def label_encode(df: DataFrame, column: str, output: str = "code") -> DataFrame:
     """Add the 0-based code of the label in text order; missing labels keep a NULL code."""
-    codes = class_codes(df, column).withColumnsRenamed({"label": "_label", "code": output})
+    codes = broadcast_if_small(class_codes(df, column).withColumnsRenamed({"label": "_label", "code": output}))
     return df.join(codes, F.col(quoted(column)).cast("string") == F.col("_label"), "left").drop("_label")
 
 
@@ -151,4 +152,6 @@ def vocabulary(df: DataFrame, column: str, stop_words: Sequence[str] = (), size:
 def token_matrix(df: DataFrame, column: str, key: str, stop_words: Sequence[str] = (), size: int = 5000) -> DataFrame:
     """Sparse bag of words: ``key, token, n`` for tokens of the vocabulary."""
     words = vocabulary(df, column, stop_words, size).select("token")
+    if size <= MAX_VOCABULARY:
+        words = F.broadcast(words)  # at most ``size`` rows by construction
     return tokens(df, column, stop_words, [key]).groupBy(quoted(key), "token").agg(F.count(F.lit(1)).alias("n")).join(words, "token")

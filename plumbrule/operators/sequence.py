@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbrule.core.frames import quoted
+from plumbrule.core.frames import broadcast_if_small, quoted
 from plumbrule.core.moments import Moments, moments
 from plumbrule.core.ordering import neighbour_chunks
 
@@ -49,7 +49,7 @@ def standardize_series(df: DataFrame, by: Sequence[str], value: str, output: str
     """(x - mean) / population deviation within each series, by a grouped aggregate and a join."""
     facts = df.groupBy(*map(quoted, by)).agg(F.avg(value).alias("_m"), F.stddev_pop(value).alias("_s"))
     sd = F.when(F.coalesce("_s", F.lit(0.0)) == 0, 1.0).otherwise(F.col("_s"))
-    return df.join(facts, list(by)).withColumn(output, (F.col(quoted(value)) - F.col("_m")) / sd).drop("_m", "_s")
+    return df.join(broadcast_if_small(facts), list(by)).withColumn(output, (F.col(quoted(value)) - F.col("_m")) / sd).drop("_m", "_s")
 
 
 def lag_table(df: DataFrame, by: Sequence[str], order: Sequence[str], value: str, lags: int) -> DataFrame:
