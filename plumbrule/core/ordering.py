@@ -11,6 +11,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -54,7 +55,7 @@ def cut_points(df: DataFrame, columns: Sequence[str], parts: int | None = None)
 def _grid_quantiles(column: str, steps: range, grid: int) -> Column:
     """Approximate quantiles at ``steps / grid``; parsed from text, as thousands of literal objects are slow to make."""
     probs = ", ".join(repr(i / grid) + "D" for i in steps)
-    return F.expr(f"percentile_approx({column}, array({probs}), {max(1000, 20 * grid)})")
+    return F.expr(f"percentile_approx({column}, array({probs}), {max(1000, 10 * grid)})")
 
 
 def add_ranges(df: DataFrame, cuts: dict[str, list[float]], outputs: dict[str, str]) -> DataFrame:
@@ -233,60 +234,65 @@ def stacked_running(
     )
 
 
-def _sketch(df: DataFrame, columns: Sequence[str], grid: int) -> dict[str, tuple[int, list[float]]]:
-    """Present-value count and an even grid of approximate quantiles per column, in one pass."""
+def _sketch(df: DataFrame, columns: Sequence[str], grid: int) -> tuple[int, dict[str, tuple[int, list[float]]]]:
+    """Row count, and per column its present-value count and an even grid of approximate quantiles; one pass."""
     types = field_types(df)
     base = df.select(*[as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(columns)])
     row = base.agg(
+        F.count(F.lit(1)).alias("rows"),
         *[
             x
             for i in range(len(columns))
             for x in (F.count(f"x{i}").alias(f"n{i}"), _grid_quantiles(f"x{i}", range(grid + 1), grid).alias(f"g{i}"))
-        ]
+        ],
     ).first()
-    return {c: (row[f"n{i}"], row[f"g{i}"] or []) for i, c in enumerate(columns)}
+    return row["rows"], {c: (row[f"n{i}"], row[f"g{i}"] or []) for i, c in enumerate(columns)}
 
 
 def order_statistics(
     df: DataFrame,
     columns: Sequence[str],
-    ranks: Callable[[str, int], Sequence[int]],
-    grid: int = 1000,
+    ranks: Callable[[int, int], Sequence[int]],
+    grid: int = 500,
 ) -> dict[str, tuple[int, dict[int, float]]]:
     """Exact values at 0-based ranks of the sorted present values: ``column -> (n, {rank: value})``.
 
+    ``ranks(n, rows)`` names the ranks wanted of a column with ``n`` values in a table of ``rows`` rows.
+
     A sketch brackets every rank between two values; the second pass counts the rows below each bracket
     and lists only the values inside, so the shuffle carries a few thousandths of the column.
     """
     columns = list(columns)
     if not columns:
         return {}
-    sketch = _sketch(df, columns, grid)
-    wanted = {c: sorted(set(ranks(c, n))) for c, (n, _) in sketch.items() if n}
+    rows, sketch = _sketch(df, columns, grid)
+    wanted = {c: sorted(set(ranks(n, rows))) for c, (n, _) in sketch.items() if n}
     if not wanted:
         return {c: (0, {}) for c in columns}
     types = field_types(df)
-    cells = []
+    splits = {}
     for c, rs in wanted.items():
         n, g = sketch[c]
         spans: list[list[float]] = []
         for r in rs:
             at = r * grid // max(n - 1, 1)
-            lo, hi = g[max(at - 2, 0)], g[min(at + 3, grid)]
+            lo, hi = g[max(at - 2, 0)], float(np.nextafter(g[min(at + 3, grid)], np.inf))
             if spans and lo <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], hi)
             else:
                 spans.append([lo, hi])
-        x = as_double(c, types[c])
-        zone, inside = None, F.lit(False)
-        for i, (lo, hi) in enumerate(spans):
-            zone = F.when(x < lo, 2 * i) if zone is None else zone.when(x < lo, 2 * i)
-            zone = zone.when(x <= hi, 2 * i + 1)
-            inside = inside | x.between(lo, hi)
-        cells.append(
-            F.struct(F.lit(c).alias("column"), x.isNotNull().alias("ok"), zone.otherwise(2 * len(spans)).alias("zone"), F.when(inside, x).alias("value"))
-        )
-    counted = df.select(F.inline(F.array(*cells))).where("ok").groupBy(F.col("column").alias(GROUP), "zone", "value").agg(F.count(F.lit(1)).alias("n"))
+        # ranges between the split points: even numbers are gaps, odd numbers are brackets
+        splits[c] = [float("-inf"), *[x for span in spans for x in span], float("inf")]
+    at = {c: i for i, c in enumerate(wanted)}
+    base = df.select(*[as_double(c, types[c]).alias(f"x{i}") for c, i in at.items()])
+    base = Bucketizer(
+        inputCols=[f"x{i}" for i in at.values()], outputCols=[f"z{i}" for i in at.values()], splitsArray=list(splits.values()), handleInvalid="keep"
+    ).transform(base)
+    cells = [
+        F.struct(F.lit(c).alias(GROUP), F.col(f"z{i}").cast("int").alias("zone"), F.when(F.col(f"z{i}") % 2 == 1, F.col(f"x{i}")).alias("value"))
+        for c, i in at.items()
+    ]
+    counted = base.select(F.inline(F.array(*cells))).where(F.col("zone").isNotNull()).groupBy(GROUP, "zone", "value").agg(F.count(F.lit(1)).alias("n"))
     zones = counted.groupBy(GROUP, "zone").agg(F.sum("n").alias("n"))
     upto = Window.partitionBy(GROUP, "zone").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = counted.where(F.col("value").isNotNull()).withColumn("last", F.sum("n").over(upto))
@@ -294,10 +300,10 @@ def order_statistics(
     last = F.col("last") + F.col("_before_n") - 1
     asked = F.create_map(*[x for c, rs in wanted.items() for x in (F.lit(c), F.array(*[F.lit(r).cast("long") for r in rs]))])
     hit = placed.withColumns({"hi": last, "lo": last - F.col("n") + 1, "rs": asked[F.col("column")]})
-    rows = hit.where(F.exists("rs", lambda r: r.between(F.col("lo"), F.col("hi")))).select("column", "value", "lo", "hi").collect()
+    found_rows = hit.where(F.exists("rs", lambda r: r.between(F.col("lo"), F.col("hi")))).select("column", "value", "lo", "hi").collect()
     out = {}
     for c in columns:
-        mine = [r for r in rows if r["column"] == c]
+        mine = [r for r in found_rows if r["column"] == c]
         found = {k: r["value"] for r in mine for k in wanted.get(c, ()) if r["lo"] <= k <= r["hi"]}
         if len(found) < len(wanted.get(c, ())):
             raise ArithmeticError(f"a rank of {c} fell outside its bracket; use a finer grid")
@@ -327,7 +333,7 @@ def exact_quantiles(
     Unlike the ``percentile`` aggregate no task holds all distinct values of a group.
     """
     if not by:
-        stats = order_statistics(df, columns, lambda c, n: quantile_ranks(n, probs))
+        stats = order_statistics(df, columns, lambda n, _: quantile_ranks(n, probs))
         rows = [(c, n, *[float(interpolate(n, p, v.__getitem__)) for p in probs]) for c, (n, v) in stats.items() if n]
         return df.sparkSession.createDataFrame(rows, "column string, n long, " + ", ".join(f"q{i} double" for i in range(len(probs))))
     keys = [*by, "column"]
@@ -353,7 +359,7 @@ def exact_quantiles(
 
 def medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """One exact median per column that has a value."""
-    stats = order_statistics(df, columns, lambda c, n: quantile_ranks(n, [0.5]))
+    stats = order_statistics(df, columns, lambda n, _: quantile_ranks(n, [0.5]))
     return {c: float(interpolate(n, 0.5, v.__getitem__)) for c, (n, v) in stats.items() if n}
 
 
@@ -363,17 +369,17 @@ def filled_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
     The copies of the median sit together in the sorted filled column, so its ranks translate to ranks of
     the present values and one pass serves both.
     """
-    rows = df.count()
+    size = {}
 
     def below(n: int) -> int:
         return math.floor((n - 1) / 2) + 1
 
-    def translate(r: int, n: int) -> int | None:
-        gap = rows - n
-        return r if r < below(n) else None if r < below(n) + gap else r - gap
+    def translate(r: int, n: int, rows: int) -> int | None:
+        return r if r < below(n) else None if r < below(n) + rows - n else r - (rows - n)
 
-    def ranks(_c: str, n: int) -> list[int]:
-        asked = [translate(r, n) for r in quantile_ranks(rows, probs)]
+    def ranks(n: int, rows: int) -> list[int]:
+        size["rows"] = rows
+        asked = [translate(r, n, rows) for r in quantile_ranks(rows, probs)]
         return [*quantile_ranks(n, [0.5]), *[r for r in asked if r is not None]]
 
     out = {}
@@ -381,10 +387,10 @@ def filled_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[floa
         if not n:
             out[c] = (0.0, [0.0] * len(probs))
             continue
-        middle = float(interpolate(n, 0.5, v.__getitem__))
+        middle, rows = float(interpolate(n, 0.5, v.__getitem__)), size["rows"]
 
-        def at(r: int, n=n, v=v, middle=middle) -> float:
-            k = translate(r, n)
+        def at(r: int, n=n, v=v, middle=middle, rows=rows) -> float:
+            k = translate(r, n, rows)
             return middle if k is None else v[k]
 
         out[c] = (middle, [float(interpolate(rows, p, at)) for p in probs])

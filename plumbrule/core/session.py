@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,19 +27,29 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "plumbrule"
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
-        shared = tempfile.mkdtemp(prefix="plumbrule-checkpoint-")
-    sc.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session; a temporary one in local mode."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a shared folder before running iterative operators")
+    folder = _LOCAL.get(spark.sparkContext.applicationId)
+    if folder is None:
+        folder = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="plumbrule-")
+    return folder
+
+
+_LOCAL: dict[str, str] = {}
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the frame to the shared checkpoint folder and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the frame to the shared folder and read it back.
+
+    The result survives the loss of executors, and the optimizer starts afresh: a checkpointed plan would
+    keep its inferred constraints, which grow with every round of an iteration.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/plumbrule-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -106,13 +106,16 @@ def keeps_order(pairs: DataFrame, size: int) -> bool:
     return ranks.where(F.col("rf") != F.col("rt")).isEmpty()
 
 
-def identical_columns(counts: DataFrame, facts: Sequence) -> set[str]:
-    """Columns whose sorted distinct values pair off with the sorted classes, row by row."""
+def identical_columns(df: DataFrame, target: str, facts: Sequence) -> set[str]:
+    """Columns whose sorted distinct values pair off with the sorted classes, row by row.
+
+    The counts rule out nearly all columns; only those with as many pairs as values and classes are read again.
+    """
     found = set()
     for r in facts:
         if 0 < r["n_pairs"] == r["n_values"] == r["n_classes_seen"]:
-            mine = counts.where((F.col("column") == r["column"]) & ~F.col("is_missing"))
-            if keeps_order(mine, r["n_pairs"]):
+            pairs = pair_counts(df, [r["column"]], target).where(~F.col("is_missing"))
+            if keeps_order(pairs, r["n_pairs"]):
                 found.add(r["column"])
     return found
 
@@ -157,7 +160,7 @@ def identity_scores(df: DataFrame, target: str, features: Sequence[str] | None =
     usable = df.where(value_of(target, field_types(df)[target]).isNotNull())
     counts = pair_counts(usable, names, target)
     facts = association_facts(counts).collect()
-    same = identical_columns(counts, facts) | _correlated(usable, names, target)
+    same = identical_columns(usable, target, facts) | _correlated(usable, names, target)
     rows = [(c, 1.0 if c in same else 0.0) for c in names]
     return df.sparkSession.createDataFrame(rows, "column string, identity_score double")
 
@@ -189,7 +192,7 @@ def _class_scores(df: DataFrame, names: list[str], target: str, bins: int) -> di
     facts = {r["column"]: r for r in association_facts(counts).collect()}
     if not facts or max(r["n_classes"] for r in facts.values()) < 2:
         return dict.fromkeys(names, 0.0)
-    same = identical_columns(counts, [facts[c] for c in names]) | _correlated(df, names, target)
+    same = identical_columns(df, target, [facts[c] for c in names]) | _correlated(df, names, target)
     out = {}
     for c in names:
         own = facts[c]
@@ -207,7 +210,7 @@ def _number_scores(df: DataFrame, names: list[str], target: str) -> dict[str, fl
     if not is_numeric(field_types(df)[target]):
         raise ValueError("a regression target must be numeric")
     counts = pair_counts(df, names, target)
-    same = identical_columns(counts, association_facts(counts).collect())
+    same = identical_columns(df, target, association_facts(counts).collect())
     numbers = [c for c in numeric_columns(df) if c in names]
     texts = [c for c in categorical_columns(df) if c in names]
     r = correlations(df, numbers, target)

@@ -145,19 +145,28 @@ def _cell_links(core: DataFrame, d: int, eps: float) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """``node, label``: smallest node id of each connected component.
 
-    Each round takes the smallest label among the neighbours and then jumps to that label's own label, so
-    long chains shrink quickly; rounds end when nothing changes.
+    Each round points every node at its smallest neighbour, follows these pointers to their roots by
+    doubling, and goes on with the graph of the roots, which has at most half as many nodes with links.
     """
-    both = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut_lineage(nodes.select("node", F.col("node").alias("label")))
+    edges = cut_lineage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = nodes.select("node", F.col("node").alias("label"))
+    while not edges.isEmpty():
+        roots = _roots(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).select(F.col("a").alias("from"), "to"))
+        labels = cut_lineage(labels.join(roots, F.col("label") == F.col("from"), "left").select("node", F.coalesce("to", "label").alias("label")))
+        ends = edges.join(roots.select(F.col("from").alias("a"), F.col("to").alias("ra")), "a").join(roots.select(F.col("from").alias("b"), F.col("to").alias("rb")), "b")
+        edges = cut_lineage(ends.where("ra != rb").select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+    return labels
+
+
+def _roots(pointers: DataFrame) -> DataFrame:
+    """Follow ``from -> to`` (never upwards) to the end by repeated doubling."""
     while True:
-        seen = both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("l")), "b").groupBy("a").agg(F.min("l").alias("l"))
-        step = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.col("label").alias("was"), F.least("label", F.coalesce("l", "label")).alias("to"))
-        jump = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        after = cut_lineage(step.join(jump, "to", "left").select("node", "was", F.least("to", F.coalesce("next", "to")).alias("label")))
-        labels = after.select("node", "label")
-        if after.where(F.col("was") != F.col("label")).isEmpty():
-            return labels
+        pointers = cut_lineage(pointers)
+        ahead = pointers.select(F.col("from").alias("to"), F.col("to").alias("next"))
+        doubled = pointers.join(ahead, "to", "left").select("from", "to", F.coalesce("next", "to").alias("next"))
+        if doubled.where("next != to").isEmpty():
+            return pointers
+        pointers = doubled.select("from", F.col("next").alias("to"))
 
 
 def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_samples: int) -> DataFrame:

@@ -154,4 +154,4 @@ def token_matrix(df: DataFrame, column: str, key: str, stop_words: Sequence[str]
     words = vocabulary(df, column, stop_words, size).select("token")
     if size <= MAX_VOCABULARY:
         words = F.broadcast(words)  # at most ``size`` rows by construction
-    return tokens(df, column, stop_words, [key]).groupBy(quoted(key), "token").agg(F.count(F.lit(1)).alias("n")).join(words, "token")
+    return tokens(df, column, stop_words, [key]).join(words, "token").groupBy(quoted(key), "token").agg(F.count(F.lit(1)).alias("n"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.sql import functions as F
 
@@ -146,7 +147,8 @@ MNB = f"""WITH {TOKENS_SQL}, voc AS (SELECT token FROM tok GROUP BY token ORDER
 
 def language_bag(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
-    return docs, prep.token_matrix(docs, "text", "doc_id", STOP, 5000)
+    # read several times by the model: keep the counts, not the exploded text
+    return docs, prep.token_matrix(docs, "text", "doc_id", STOP, 5000).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 @query(
