@@ -6,7 +6,7 @@ import math
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,7 +23,8 @@ from plumbrule.core.frames import (
     quoted,
     value_of,
 )
-from plumbrule.core.ordering import filled_quantiles, medians, ordered_index
+from plumbrule.core.ordering import filled_quantiles, medians, neighbour_chunks, ordered_index, running_sums
+from plumbrule.core.session import cut_lineage
 from plumbrule.functions.significance import f_sf
 from plumbrule.operators.profile import column_stats
 from plumbrule.operators.schema_rules import issue, issues_from
@@ -251,6 +252,55 @@ def feature_information(df: DataFrame, target: str, features: Sequence[str], bin
     return facts.select(lookup[F.col("column")].alias("feature"), F.col("mi").alias("mutual_information"))
 
 
+def digamma(x: Column) -> Column:
+    """Digamma function for x >= 1: shift by six, then the asymptotic series."""
+    y = x + 6.0
+    shift = sum((1.0 / (x + float(j)) for j in range(6)), F.lit(0.0))
+    z = 1.0 / (y * y)
+    return F.ln(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - shift
+
+
+def nearest_information(df: DataFrame, target: str, features: Sequence[str], k: int = 3) -> DataFrame:
+    """Nearest-neighbour mutual information of numeric features with the classes: ``feature, mutual_information``.
+
+    Equal values are merged first.  The distance of a value to its k-th neighbour of the same class comes
+    from the k values on either side; the rows of any class within that distance are the difference of two
+    running counts, so neither pairs nor whole classes are ever gathered.  Missing values take the median.
+    """
+    types = field_types(df)
+    names = list(features)
+    usable = df.where(value_of(target, types[target]).isNotNull())
+    middle = medians(usable, names)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias("value")) for c in names])
+    counts = usable.select(F.col(quoted(target)).alias("label"), F.inline(cells)).groupBy("column", "label", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts)
+    chunks, w = neighbour_chunks(counts, ["value"], ["column", "label"], before=k, after=k)
+    other = [F.struct(F.abs(fn("value", j).over(w) - F.col("value")).alias("d"), fn("n", j).over(w).alias("n")) for j in range(1, k + 1) for fn in (F.lag, F.lead)]
+    sides = F.array_sort(F.filter(F.array(*other), lambda s: s["d"].isNotNull()))
+    placed = chunks.withColumn("sides", sides).where("_own").drop("_own", "_chunk", "_idx")
+    sizes = counts.groupBy("column", "label").agg(F.sum("n").alias("size"))
+    placed = placed.join(broadcast_if_small(sizes), ["column", "label"]).where(F.col("size") > 1)
+    placed = placed.withColumn("k", F.least(F.lit(k), F.col("size") - 1))
+    # walk outwards until the k-th neighbour is reached; the other copies of the value come first, at distance 0
+    start = F.struct((F.col("n") - 1).alias("seen"), F.lit(0.0).alias("r"))
+    reach = F.aggregate("sides", start, lambda a, s: F.when(a["seen"] >= F.col("k"), a).otherwise(F.struct((a["seen"] + s["n"]).alias("seen"), s["d"].alias("r"))))["r"]
+    asked = cut_lineage(placed.withColumn("r", reach).select("column", "value", "n", "size", "k", (F.col("value") - F.col("r")).alias("lo"), (F.col("value") + F.col("r")).alias("hi"), "r"))
+    spots = asked.select("column", F.explode(F.array("lo", "hi")).alias("spot"), F.lit(0).cast("long").alias("n"))
+    line = counts.select("column", F.col("value").alias("spot"), "n").unionByName(spots).groupBy("column", "spot").agg(F.sum("n").alias("n"))
+    line = running_sums(line, "spot", ["n"], by=["column"])
+    below = line.select("column", F.col("spot").alias("lo"), F.col("cum_n").alias("upto_lo"), F.col("n").alias("at_lo"))
+    above = line.select("column", F.col("spot").alias("hi"), F.col("cum_n").alias("upto_hi"), F.col("n").alias("at_hi"))
+    both = asked.join(below, ["column", "lo"]).join(above, ["column", "hi"])
+    # a positive radius is open at both ends, a zero radius holds the copies of the value
+    inside = F.when(F.col("r") > 0, F.col("upto_hi") - F.col("at_hi") - F.col("upto_lo")).otherwise(F.col("at_lo"))
+    n = F.col("n")
+    terms = both.withColumn("m", F.greatest(inside, F.lit(1)).cast("double")).groupBy("column").agg(
+        F.sum(n).cast("double").alias("rows"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"d_{c}") for c in ("k", "size", "m")]
+    )
+    mi = digamma(F.col("rows")) + (F.col("d_k") - F.col("d_size") - F.col("d_m")) / F.col("rows")
+    return terms.select(F.col("column").alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
+
+
 def rank_features(df: DataFrame, target: str, features: Sequence[str], top_n: int | None = 12, task: str = "classification") -> DataFrame:
     if task == "regression":
         df = add_bins(df, [target], prefix="_t_").drop(target).withColumnRenamed("_t_" + target, target)

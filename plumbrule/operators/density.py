@@ -193,12 +193,18 @@ def dbscan(df: DataFrame, key: str, features: Sequence[str], eps: float, min_sam
     return marked.select("id", "core").join(known, "id", "left").select("id", "core", F.coalesce("cluster", F.lit(-1)).cast("int").alias("cluster"))
 
 
-def eps_sweep(df: DataFrame, key: str, features: Sequence[str], eps_values: Sequence[float], min_samples: int) -> DataFrame:
-    """Clusters and noise share per eps."""
+def eps_sweep(df: DataFrame, key: str, features: Sequence[str], eps_values: Sequence[float], min_samples: int, truth: str | None = None) -> DataFrame:
+    """Clusters and noise share per eps, and the adjusted Rand index against ``truth`` when given."""
+    from plumbrule.operators.clusters import external_quality
+
     out = None
     for eps in eps_values:
-        row = dbscan(df, key, features, eps, min_samples).agg(
+        found = cut_lineage(dbscan(df, key, features, eps, min_samples))
+        row = found.agg(
             F.lit(float(eps)).alias("eps"), (F.max("cluster") + 1).alias("clusters"), F.avg((F.col("cluster") == -1).cast("double")).alias("noise_share")
         )
+        if truth is not None:
+            known = found.join(df.select(F.col(quoted(key)).cast("long").alias("id"), F.col(quoted(truth)).alias("truth")), "id")
+            row = row.withColumn("ari", external_quality(known, "truth", "cluster").select("ari").scalar())
         out = row if out is None else out.unionByName(row)
     return out

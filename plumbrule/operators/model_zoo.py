@@ -20,18 +20,18 @@ from pyspark.ml.classification import (
     RandomForestClassifier,
 )
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbrule.core.frames import as_double, field_types, is_numeric, quoted, require_columns, value_of
 from plumbrule.core.ordering import medians
 from plumbrule.operators import metrics
 from plumbrule.operators.association import class_codes
-from plumbrule.operators.prep import impute_median, modes, scale_facts
+from plumbrule.operators.prep import fourier_features, impute_median, modes, scale_facts, standard_scale
 from plumbrule.operators.profile import column_stats, suggest_features, task_type
-from plumbrule.operators.split import random_folds, random_split, stratified_folds, stratified_split
+from plumbrule.operators.split import learning_subsets, random_folds, random_split, stratified_folds, stratified_split
 
 LABEL, FEATURES, FOLD = "_label", "_features", "fold"
 MAX_CLASSES = 1_000
@@ -191,7 +191,8 @@ def _in_parallel(jobs: Sequence[Callable], width: int) -> list:
     if width <= 1:
         return [job() for job in jobs]
     with ThreadPoolExecutor(max_workers=width) as pool:
-        return [f.result() for f in [pool.submit(inheritable_thread_target(job)) for job in jobs]]
+        wrap = inheritable_thread_target(SparkSession.active())
+        return [f.result() for f in [pool.submit(wrap(job)) for job in jobs]]
 
 
 def _width(model: PipelineModel, df: DataFrame) -> int:
@@ -318,3 +319,75 @@ def split_stability(data: PreparedData, names: Sequence[str], seeds: Sequence[in
             scores = evaluate(every[name].fit(x).transform(prep.transform(test).select(LABEL, FEATURES)), data.task)
             rows.append((seed, name, float(scores["accuracy" if data.task == "classification" else "r2"])))
     return data.frame.sparkSession.createDataFrame(rows, "seed int, model string, score double")
+
+
+def learning_curve(data: PreparedData, names: Sequence[str], fractions: Sequence[float] = (0.1, 0.25, 0.5, 0.75, 1.0), k: int = 5, trees: int = 50, seed: int = 42) -> DataFrame:
+    """Score per model, fraction of the training rows and held-out fold; empty below 50 rows or 10 per class."""
+    rows: list[tuple] = []
+    schema = "model string, fraction double, fold int, n_train long, score double"
+    counts = data.frame.groupBy(LABEL).count().agg(F.sum("count").alias("n"), F.min("count").alias("least")).first()
+    spark = data.frame.sparkSession
+    if (counts["n"] or 0) < 50 or (data.task == "classification" and counts["least"] < 10):
+        return spark.createDataFrame(rows, schema)
+    folded = stratified_folds(data.frame, LABEL, data.key, k, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    subsets = learning_subsets(folded, LABEL, data.key, fractions, k).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for fold in range(k):
+            test = folded.where(F.col(FOLD) == fold)
+            for f in fractions:
+                train = subsets.where((F.col("held_out") == fold) & (F.col("fraction") == F.lit(float(f))))
+                prep = fit_features(train, data.numeric, data.categorical)
+                x, n = prep.transform(train).select(LABEL, FEATURES), train.count()
+                every = classifiers(len(data.classes), n, _width(prep, train), trees, seed) if data.task == "classification" else regressors(n, trees, seed)
+                for name in names:
+                    scores = evaluate(every[name].fit(x).transform(prep.transform(test).select(LABEL, FEATURES)), data.task)
+                    rows.append((name, float(f), fold, n, float(scores["accuracy" if data.task == "classification" else "r2"])))
+    finally:
+        subsets.unpersist()
+        folded.unpersist()
+    return spark.createDataFrame(rows, schema)
+
+
+def compare_representations(tables: dict[str, tuple[DataFrame, Sequence[str]]], target: str, key: Sequence[str], name: str = "Logistic Regression", k: int = 5) -> DataFrame:
+    """Mean cross-validation accuracy of one model on several representations of the same rows."""
+    out = None
+    for label, (df, features) in tables.items():
+        data = prepare_dataset(df, target, list(features), "classification", key)
+        runs = cross_validate(data, lambda rows, width, data=data: {name: classifiers(len(data.classes), rows, width)[name]}, k)
+        row = runs.where(F.col("metric") == "accuracy").agg(F.lit(label).alias("representation"), F.avg("value").alias("accuracy"), F.stddev_pop("value").alias("std"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+class MarginClassifier:
+    """Two-class hinge-loss classifier on scaled columns, linear or on random Fourier features."""
+
+    def __init__(self, penalty: float = 1.0, kernel: str = "linear", gamma: float = 1.0, components: int = 200, steps: int = 200, seed: int = 42):
+        self.penalty, self.kernel, self.gamma, self.components, self.steps, self.seed = penalty, kernel, gamma, components, steps, seed
+
+    def _inputs(self, df: DataFrame) -> DataFrame:
+        scaled = standard_scale(df, self.features, self.facts)
+        if self.kernel == "rbf":
+            return fourier_features(scaled, self.features, self.components, self.gamma, self.seed, "_r").withColumn(FEATURES, array_to_vector("_r")).drop("_r")
+        return scaled.withColumn(FEATURES, array_to_vector(F.array(*[F.col(quoted(c)).cast("double") for c in self.features])))
+
+    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> MarginClassifier:
+        self.features, self.label, self.facts = list(features), label, scale_facts(df, features)
+        self.classes = sorted(r[0] for r in df.select(quoted(label)).distinct().limit(3).collect())
+        if len(self.classes) != 2:
+            raise ValueError("a margin classifier needs exactly two classes")
+        data = self._inputs(df).withColumn(LABEL, (F.col(quoted(label)) == F.lit(self.classes[1])).cast("double")).select(LABEL, FEATURES)
+        self.model = LinearSVC(regParam=1.0 / (self.penalty * max(data.count(), 1)), maxIter=self.steps, **COLS).fit(data)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        """Add ``prediction`` and ``margin`` (signed by the true class when the label is present)."""
+        scored = self.model.transform(self._inputs(df))
+        raw: Column = vector_to_array("rawPrediction")[1]
+        sign = F.when(F.col(quoted(self.label)) == F.lit(self.classes[1]), 1.0).otherwise(-1.0) if self.label in df.columns else F.lit(1.0)
+        picked = F.get(F.array(*map(F.lit, self.classes)), F.col("prediction").cast("int"))
+        return scored.withColumns({"margin": raw * sign, "_c": picked}).drop("prediction", "rawPrediction", FEATURES).withColumnRenamed("_c", "prediction")
+
+    def support_vectors(self, df: DataFrame, width: float = 0.25) -> DataFrame:
+        """Rows whose margin is within ``width`` of 1."""
+        return self.transform(df).where(F.abs(F.col("margin") - 1) <= width)

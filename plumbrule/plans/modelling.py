@@ -679,3 +679,30 @@ def q_lines(spark, sf_dir):
     return prediction_lines(df).select(F.get_json_object("value", "$.p_partkey").cast("bigint").alias("p_partkey"), "value")
 
 
+
+
+@query("nearest_information")
+def q_nearest_information(spark, sf_dir):
+    from plumbrule.operators.association import nearest_information
+
+    df = table(spark, sf_dir, "part").select("p_type", "p_size", "p_retailprice")
+    return nearest_information(df, "p_type", ["p_size", "p_retailprice"])
+
+
+@query("margin_classifier")
+def q_margin(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_size", "p_retailprice", F.when(F.col("p_size") + F.col("p_retailprice") / 100 > 36, "up").otherwise("down").alias("side"))
+    out = model_zoo.MarginClassifier(steps=50).fit(df, ["p_size", "p_retailprice"], "side").transform(df)
+    near = F.abs(F.col("margin") - 1) <= 0.25
+    return out.groupBy("side", "prediction").agg(F.count(F.lit(1)).alias("n"), F.count_if(near).alias("support_vectors"))
+
+
+@query("learning_curve")
+def q_learning_curve(spark, sf_dir):
+    return model_zoo.learning_curve(quality_prepared(spark, sf_dir), ["Gaussian NB"], (0.25, 1.0), k=2)
+
+
+@query("eps_sweep")
+def q_eps_sweep(spark, sf_dir):
+    df = scaled_parts(spark, sf_dir).withColumn("half", (F.col("x") > 0.5).cast("int"))
+    return density.eps_sweep(df, "p_partkey", ["x", "y"], [0.02, 0.0333], 12, "half")

@@ -292,3 +292,35 @@ def test_boosting_stops_on_a_perfect_stump(spark):
     df = spark.createDataFrame([(float(i), float(i > 24)) for i in range(50)], "x double, y double")
     fit = ensembles.Samme(rounds=5).fit(df, ["x"], "y")
     assert len(fit.models) == 1 and fit.errors == [0.0] and fit.alphas == [1e6]
+
+
+def test_nearest_information_brute_force(spark):
+    from plumbrule.operators.association import nearest_information
+
+    rng = np.random.default_rng(9)
+    x = np.r_[rng.normal(0, 1, 40), rng.normal(2, 1, 50), [7.0]]
+    g = ["a"] * 40 + ["b"] * 50 + ["c"]
+    psi = lambda n: -0.57721566490153286 + sum(1 / j for j in range(1, n))
+    ks, sizes, ms = [], [], []
+    for i in range(90):
+        same = np.sort([abs(x[i] - x[j]) for j in range(91) if g[j] == g[i] and j != i])
+        ks.append(psi(3))
+        sizes.append(psi(len(same) + 1))
+        # the shrunken radius leaves out the k-th neighbour itself
+        ms.append(psi(int(sum(abs(x - x[i]) < same[2]))))
+    want = max(0.0, psi(90) + np.mean(ks) - np.mean(sizes) - np.mean(ms))
+    df = spark.createDataFrame(list(zip(map(float, x), g)), "x double, g string")
+    assert nearest_information(df, "g", ["x"]).first()["mutual_information"] == pytest.approx(want, abs=0.02)
+
+
+def test_margins_and_support_vectors(spark):
+    df = spark.createDataFrame([(float(i % 20), float(i % 7), "hi" if i % 20 > 9 else "lo") for i in range(200)], "a double, b double, y string")
+    fit = model_zoo.MarginClassifier(steps=100).fit(df, ["a", "b"], "y")
+    out = fit.transform(df)
+    assert out.where("prediction = y").count() >= 190
+    assert fit.support_vectors(df).where("abs(margin - 1) > 0.25").isEmpty()
+    ring = spark.createDataFrame([(float(a), float(b), "in" if a * a + b * b < 6 else "out") for a in range(-4, 5) for b in range(-4, 5)], "a double, b double, y string")
+    rbf = model_zoo.MarginClassifier(10.0, "rbf", 0.5, 100, 100).fit(ring, ["a", "b"], "y").transform(ring)
+    assert rbf.where("prediction = y").count() >= 75
+    with pytest.raises(ValueError):
+        model_zoo.MarginClassifier().fit(df.where("y = 'hi'"), ["a"], "y")
