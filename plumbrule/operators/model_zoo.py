@@ -377,7 +377,11 @@ class MarginClassifier:
         if len(self.classes) != 2:
             raise ValueError("a margin classifier needs exactly two classes")
         data = self._inputs(df).withColumn(LABEL, (F.col(quoted(label)) == F.lit(self.classes[1])).cast("double")).select(LABEL, FEATURES)
-        self.model = LinearSVC(regParam=1.0 / (self.penalty * max(data.count(), 1)), maxIter=self.steps, **COLS).fit(data)
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            self.model = LinearSVC(regParam=1.0 / (self.penalty * max(data.count(), 1)), maxIter=self.steps, tol=1e-4, **COLS).fit(data)
+        finally:
+            data.unpersist()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -315,12 +315,12 @@ def test_nearest_information_brute_force(spark):
 
 def test_margins_and_support_vectors(spark):
     df = spark.createDataFrame([(float(i % 20), float(i % 7), "hi" if i % 20 > 9 else "lo") for i in range(200)], "a double, b double, y string")
-    fit = model_zoo.MarginClassifier(steps=100).fit(df, ["a", "b"], "y")
+    fit = model_zoo.MarginClassifier(steps=20).fit(df, ["a", "b"], "y")
     out = fit.transform(df)
     assert out.where("prediction = y").count() >= 190
     assert fit.support_vectors(df).where("abs(margin - 1) > 0.25").isEmpty()
     ring = spark.createDataFrame([(float(a), float(b), "in" if a * a + b * b < 6 else "out") for a in range(-4, 5) for b in range(-4, 5)], "a double, b double, y string")
-    rbf = model_zoo.MarginClassifier(10.0, "rbf", 0.5, 100, 100).fit(ring, ["a", "b"], "y").transform(ring)
+    rbf = model_zoo.MarginClassifier(10.0, "rbf", 0.5, 100, 20).fit(ring, ["a", "b"], "y").transform(ring)
     assert rbf.where("prediction = y").count() >= 75
     with pytest.raises(ValueError):
         model_zoo.MarginClassifier().fit(df.where("y = 'hi'"), ["a"], "y")
