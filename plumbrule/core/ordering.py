@@ -21,6 +21,7 @@ from plumbrule.core.frames import as_double, field_types, is_numeric, quoted
 from plumbrule.core.session import cut_lineage
 
 RANGE, PART, GROUP = "_range", "_part", "_group"
+BRACKET_ROWS = 4_000_000
 
 
 def order_number(name: str, dtype: T.DataType) -> Column:
@@ -262,31 +263,72 @@ def order_statistics(
     A sketch brackets every rank between two values; the second pass counts the rows below each bracket
     and lists only the values inside, so the shuffle carries a few thousandths of the column.
     """
-    columns = list(columns)
+    return _select_ranks(df, list(columns), lambda _c, n, rows: ranks(n, rows), grid)
+
+
+def _select_ranks(df, columns, ranks, grid, parent=math.inf):
     if not columns:
         return {}
     rows, sketch = _sketch(df, columns, grid)
-    wanted = {c: sorted(set(ranks(n, rows))) for c, (n, _) in sketch.items() if n}
-    if not wanted:
-        return {c: (0, {}) for c in columns}
-    types = field_types(df)
-    splits = {}
+    wanted = {c: sorted(set(ranks(c, n, rows))) for c, (n, _) in sketch.items() if n}
+    out: dict[str, tuple[int, dict[int, float]]] = {c: (n, {}) for c, (n, _) in sketch.items()}
+    spans: dict[str, list[list[float]]] = {}
+    inside: dict[str, list[list[int]]] = {}
     for c, rs in wanted.items():
         n, g = sketch[c]
-        spans: list[list[float]] = []
         for r in rs:
             at = r * grid // max(n - 1, 1)
-            lo, hi = g[max(at - 2, 0)], float(np.nextafter(g[min(at + 3, grid)], np.inf))
-            if spans and lo <= spans[-1][1]:
-                spans[-1][1] = max(spans[-1][1], hi)
+            lo, hi = g[max(at - 2, 0)], g[min(at + 3, grid)]
+            if lo == hi:
+                out[c][1][r] = lo  # one value fills the bracket
+                continue
+            hi = float(np.nextafter(hi, np.inf))
+            mine = spans.setdefault(c, [])
+            if mine and lo <= mine[-1][1]:
+                mine[-1][1] = max(mine[-1][1], hi)
+                inside[c][-1].append(r)
             else:
-                spans.append([lo, hi])
-        # ranges between the split points: even numbers are gaps, odd numbers are brackets
-        splits[c] = [float("-inf"), *[x for span in spans for x in span], float("inf")]
-    at = {c: i for i, c in enumerate(wanted)}
+                mine.append([lo, hi])
+                inside.setdefault(c, []).append([r])
+    if not spans:
+        return out
+    largest = max(sketch[c][0] for c in spans)
+    # a bracket that hardly shrank is full of equal values, which the counting below merges
+    if largest * 5 > grid * BRACKET_ROWS and largest * 2 <= parent:
+        found = _refine(df, spans, inside, grid, largest)
+    else:
+        found = _read_brackets(df, spans, inside)
+    for (c, r), value in found.items():
+        out[c][1][r] = value
+    for c, rs in wanted.items():
+        if len(out[c][1]) < len(rs):
+            raise ArithmeticError(f"a rank of {c} fell outside its bracket; use a finer grid")
+    return out
+
+
+def _refine(df, spans, inside, grid, parent):
+    """Very large table: treat each bracket as a column of its own, which is some hundred times shorter."""
+    types = field_types(df)
+    cells = [(c, i) for c in spans for i in range(len(spans[c]))]
+    x = {c: as_double(c, types[c]) for c in spans}
+    below = df.agg(*[F.count_if(x[c] < spans[c][i][0]).alias(f"b{j}") for j, (c, i) in enumerate(cells)]).first()
+    parts = df.select(*[F.when((x[c] >= spans[c][i][0]) & (x[c] < spans[c][i][1]), x[c]).alias(f"s{j}") for j, (c, i) in enumerate(cells)])
+    local = {f"s{j}": [r - below[f"b{j}"] for r in inside[c][i]] for j, (c, i) in enumerate(cells)}
+    values = _select_ranks(parts, list(local), lambda name, _n, _rows: local[name], grid, parent)
+    return {(c, r): values[f"s{j}"][1][r - below[f"b{j}"]] for j, (c, i) in enumerate(cells) for r in inside[c][i]}
+
+
+def _read_brackets(df, spans, inside):
+    """Count what lies below each bracket, list the values in it, and pick the ranks."""
+    types = field_types(df)
+    at = {c: i for i, c in enumerate(spans)}
     base = df.select(*[as_double(c, types[c]).alias(f"x{i}") for c, i in at.items()])
+    # ranges between the split points: even numbers are gaps, odd numbers are brackets
     base = Bucketizer(
-        inputCols=[f"x{i}" for i in at.values()], outputCols=[f"z{i}" for i in at.values()], splitsArray=list(splits.values()), handleInvalid="keep"
+        inputCols=[f"x{i}" for i in at.values()],
+        outputCols=[f"z{i}" for i in at.values()],
+        splitsArray=[[float("-inf"), *[v for span in spans[c] for v in span], float("inf")] for c in at],
+        handleInvalid="keep",
     ).transform(base)
     cells = [
         F.struct(F.lit(c).alias(GROUP), F.col(f"z{i}").cast("int").alias("zone"), F.when(F.col(f"z{i}") % 2 == 1, F.col(f"x{i}")).alias("value"))
@@ -298,17 +340,11 @@ def order_statistics(
     local = counted.where(F.col("value").isNotNull()).withColumn("last", F.sum("n").over(upto))
     placed = local.join(_offsets(zones, ["zone"], ["n"]), [GROUP, "zone"]).withColumnRenamed(GROUP, "column")
     last = F.col("last") + F.col("_before_n") - 1
-    asked = F.create_map(*[x for c, rs in wanted.items() for x in (F.lit(c), F.array(*[F.lit(r).cast("long") for r in rs]))])
-    hit = placed.withColumns({"hi": last, "lo": last - F.col("n") + 1, "rs": asked[F.col("column")]})
-    found_rows = hit.where(F.exists("rs", lambda r: r.between(F.col("lo"), F.col("hi")))).select("column", "value", "lo", "hi").collect()
-    out = {}
-    for c in columns:
-        mine = [r for r in found_rows if r["column"] == c]
-        found = {k: r["value"] for r in mine for k in wanted.get(c, ()) if r["lo"] <= k <= r["hi"]}
-        if len(found) < len(wanted.get(c, ())):
-            raise ArithmeticError(f"a rank of {c} fell outside its bracket; use a finer grid")
-        out[c] = (sketch[c][0], found)
-    return out
+    asked = {c: sorted(r for rs in inside[c] for r in rs) for c in spans}
+    lists = F.create_map(*[x for c, rs in asked.items() for x in (F.lit(c), F.array(*[F.lit(r).cast("long") for r in rs]))])
+    hit = placed.withColumns({"hi": last, "lo": last - F.col("n") + 1, "rs": lists[F.col("column")]})
+    rows = hit.where(F.exists("rs", lambda r: r.between(F.col("lo"), F.col("hi")))).select("column", "value", "lo", "hi").collect()
+    return {(r["column"], k): r["value"] for r in rows for k in asked[r["column"]] if r["lo"] <= k <= r["hi"]}
 
 
 def quantile_ranks(n: int, probs: Sequence[float]) -> list[int]:

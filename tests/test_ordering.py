@@ -77,6 +77,18 @@ def test_quantiles_match_numpy(skewed, probs):
     assert [row[f"q{i}"] for i in range(len(probs))] == pytest.approx(np.quantile(x, probs).tolist())
 
 
+def test_quantiles_of_a_table_too_long_for_its_brackets(skewed, monkeypatch):
+    from plumbrule.core import ordering
+
+    monkeypatch.setattr(ordering, "BRACKET_ROWS", 100)
+    df = skewed.select((F.col("x") + F.col("id") / 4000).alias("u"), "x")
+    u = np.array([r["u"] for r in df.select("u").collect()])
+    probs = [0.0, 0.1, 0.33, 0.5, 0.98, 1.0]
+    stats = ordering.order_statistics(df, ["u", "x"], lambda n, _: ordering.quantile_ranks(n, probs), grid=20)
+    got = [ordering.interpolate(4000, p, stats["u"][1].__getitem__) for p in probs]
+    assert got == pytest.approx(np.quantile(u, probs).tolist())
+
+
 def test_median_ignores_missing(spark):
     df = spark.createDataFrame([(1.0,), (None,), (float("nan"),), (4.0,)], "x double")
     assert medians(df, ["x"]) == {"x": 2.5}
