@@ -208,8 +208,11 @@ def test_noise_is_not_leakage(spark):
 
 
 def test_imperfect_proxy_stays_below_the_limit(spark):
-    rows = [(("x" if (i % 2) == (i % 10 != 0) else "y"), "p" if i % 2 else "q") for i in range(120)]
-    assert association.leakage_issues(spark.createDataFrame(rows, "proxy string, target string"), "target", "classification").count() in (0, 1)
+    # 108 of 120 rows agree, misses on both sides: normalised information 0.531
+    rows = [("xy"[(i % 2) ^ (i % 20 < 2)], "pq"[i % 2]) for i in range(120)]
+    df = spark.createDataFrame(rows, "proxy string, target string")
+    assert scores(df)["proxy"] == pytest.approx(0.531, abs=1e-3)
+    assert association.leakage_issues(df, "target", "classification").isEmpty()
 
 
 def test_regression_scores(spark):
