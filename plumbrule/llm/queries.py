@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from plumbrule.llm import source_mix, token_counts
+from plumbrule.llm import language_id, quality_knn, source_mix, token_counts, warc_bundles
+from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -58,13 +60,29 @@ FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+@query("op3_language_id")
+def op3(spark, sf_dir):
+    return language_id.identify_languages(table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 5) == 0)
+
+
 @query("op4_source_mix", SQL_MIX)
 def op4(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op7_warc_bundles")
+def op7(spark, sf_dir):
+    return warc_bundles.archive_pages(table(spark, sf_dir, "pages"))
+
+
 @query("op8_token_counts")
 def op8(spark, sf_dir):
     import public_tokenizers
 
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query("op9_quality_knn")
+def op9(spark, sf_dir):
+    held_out = crc_remainder(F.col("doc_id"), 4) == 2
+    return quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)

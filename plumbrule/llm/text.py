@@ -60,8 +60,8 @@ def raw_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
-    """Cut batches into runs of whole rows with at most ``limit`` bytes of text, one row at least."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = BLOCK, rows: int = 1 << 30) -> Iterator[pa.RecordBatch]:
+    """Cut batches into runs of whole rows with at most ``limit`` bytes of text and ``rows`` rows, one row at least."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -70,7 +70,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
         begin = 0
         while begin < batch.num_rows:
             done = total[begin - 1] if begin else 0
-            end = max(begin + 1, int(np.searchsorted(total, done + limit, "right")))
+            end = min(begin + rows, max(begin + 1, int(np.searchsorted(total, done + limit, "right"))))
             yield batch.slice(begin, end - begin)
             begin = end
 
