@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import language_id, quality_knn, source_mix, token_counts, warc_bundles
+from plumbrule.llm import language_id, quality_knn, robust_outliers, source_mix, token_counts, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -70,6 +70,11 @@ def op4(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op6_robust_outliers")
+def op6(spark, sf_dir):
+    return robust_outliers.robust_quality(table(spark, sf_dir, "documents"))
+
+
 @query("op7_warc_bundles")
 def op7(spark, sf_dir):
     return warc_bundles.archive_pages(table(spark, sf_dir, "pages"))
