@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import forest_join, language_id, quality_knn, robust_outliers, source_mix, token_counts, warc_bundles
+from plumbrule.llm import forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, token_counts, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -60,6 +60,11 @@ FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+@query("op1_paragraph_dedup")
+def op1(spark, sf_dir):
+    return paragraph_dedup.removal_summary(paragraph_dedup.dedup_paragraphs(table(spark, sf_dir, "documents")))
+
+
 @query("op2_forest_join")
 def op2(spark, sf_dir):
     return forest_join.join_texts(table(spark, sf_dir, "documents"))
