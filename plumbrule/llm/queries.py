@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, token_counts, warc_bundles
+from plumbrule.llm import forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -80,6 +80,11 @@ def op4(spark, sf_dir):
     return source_mix.mix_sources(table(spark, sf_dir, "documents"))
 
 
+@query("op5_suffix_dedup")
+def op5(spark, sf_dir):
+    return paragraph_dedup.removal_summary(suffix_dedup.dedup_substrings(table(spark, sf_dir, "documents")))
+
+
 @query("op6_robust_outliers")
 def op6(spark, sf_dir):
     return robust_outliers.robust_quality(table(spark, sf_dir, "documents"))
