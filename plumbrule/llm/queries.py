@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, warc_bundles
+from plumbrule.llm import decontaminate, forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -106,3 +106,8 @@ def op8(spark, sf_dir):
 def op9(spark, sf_dir):
     held_out = crc_remainder(F.col("doc_id"), 4) == 2
     return quality_knn.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), held_out)
+
+
+@query("op10_decontaminate")
+def op10(spark, sf_dir):
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
