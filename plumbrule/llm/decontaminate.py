@@ -31,8 +31,8 @@ from plumbrule.llm.text import TOKEN, blocks, mix, packed, plain_strings, raw_by
 SHARE = 0.08
 GRAM = 8
 CLASS_RATIO = 1.1
-WALKS = 8
-TABLES = 16
+WALKS = 4
+TABLES = 24
 SAMPLES = 5
 #: Walk steps for one byte of an item that are sampled; the pointer moves at about every second step.
 STEPS = 1.7
@@ -113,27 +113,39 @@ def walk(buf: np.ndarray, starts: np.ndarray, steps: np.ndarray, bits: np.ndarra
         yield out
 
 
-def sampled_keys(buf: np.ndarray, starts: np.ndarray, lows: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the start, key) of each start and table; ``lows`` is the class of each start."""
-    order = np.argsort(-lows, kind="stable")
-    starts, lows = starts[order], lows[order]
-    steps = np.maximum(2, (STEPS * lows).astype(np.int64))
-    groups = [(low, np.flatnonzero(lows == low)) for low in np.unique(lows)]
+def sampled_keys(buf: np.ndarray, starts: np.ndarray, lows: np.ndarray, bits: np.ndarray, met=None) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the pair, key) of each pair of start and class, for every table.
+
+    A start with several classes is walked once, as far as the largest needs.  ``met`` tells which keys to keep.
+    """
+    places, own = np.unique(starts, return_inverse=True)
+    largest = np.zeros(len(places), np.int64)
+    np.maximum.at(largest, own, lows)
+    order = np.argsort(-largest, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    column = rank[own]
+    groups = [(int(low), np.flatnonzero(lows == low)) for low in np.unique(lows)]
+    groups = [(low, pairs[np.argsort(column[pairs], kind="stable")]) for low, pairs in groups]
     number, keys = [], []
-    for w, copied in enumerate(walk(buf, starts, steps, bits)):
-        for low, own in groups:
-            part = copied[:, own[0] : own[-1] + 1]
-            for t, at in enumerate(sampled_steps(int(low))[w]):
-                code = np.full(len(own), (int(low) << 16) + w * TABLES + t, np.uint64)
+    for w, copied in enumerate(walk(buf, places[order], np.maximum(2, (STEPS * largest[order]).astype(np.int64)), bits)):
+        for low, pairs in groups:
+            steps = sampled_steps(low)[w]
+            used, back = np.unique(steps, return_inverse=True)
+            part = copied[used][:, column[pairs]]
+            for t, at in enumerate(back.reshape(steps.shape)):
+                code = np.full(len(pairs), low * WALKS * TABLES + w * TABLES + t, np.uint64)
                 for s in at:
-                    code = code * np.uint64(257) + part[s]
-                number.append(order[own])
-                keys.append(mix(code))
+                    code = (code << np.uint64(8)) | part[s]
+                keep = slice(None) if met is None else met(code)
+                number.append(pairs[keep])
+                keys.append(code[keep])
     return (np.concatenate(number), np.concatenate(keys)) if keys else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
 def key_slots(keys: np.ndarray) -> np.ndarray:
-    return (keys >> np.uint64(64 - KEY_BITS)).astype(np.int64)
+    """Bit of each key in the bitmap."""
+    return ((keys * _GRAM_FACTOR) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
 def semi_global(items: list[bytes], regions: list[bytes]) -> np.ndarray:
@@ -169,7 +181,7 @@ class Index:
     share: float
 
 
-_SIGNED = "item_id long, item binary, low int, grams array<long>, keys array<long>"
+_SIGNED = "item_id long, item binary, low int, grams array<long>, slots array<long>, keys array<long>"
 
 
 def _sign(bits_for):
@@ -189,8 +201,8 @@ def _sign(bits_for):
                 grams = [np.unique(slots[offsets[i] : offsets[i] + lengths[i] - GRAM + 1]).tolist() for i in use]
                 yield pa.RecordBatch.from_arrays(
                     [block.column(0).take(pa.array(use)), pa.array([buf[offsets[i] : offsets[i] + lengths[i]].tobytes() for i in use], pa.binary()), pa.array(lows.astype(np.int32)),
-                     pa.array(grams, pa.list_(pa.int64())), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys[order].view(np.int64)))],
-                    names=["item_id", "item", "low", "grams", "keys"],
+                     pa.array(grams, pa.list_(pa.int64())), *[pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(v)) for v in (key_slots(keys[order]), keys[order].view(np.int64))]],
+                    names=["item_id", "item", "low", "grams", "slots", "keys"],
                 )
 
     return run
@@ -232,9 +244,7 @@ def _find(shared):
             at, lows = np.concatenate(starts), np.concatenate(lows)
             if not len(at):
                 continue
-            number, keys = sampled_keys(buf, first[at], lows, index.bits)
-            met = _is_set(index.keys, key_slots(keys))
-            number, keys = number[met], keys[met]
+            number, keys = sampled_keys(buf, first[at], lows, index.bits, lambda codes: _is_set(index.keys, key_slots(codes)))
             if not len(number):
                 continue
             order = np.lexsort((number, at[number]))
@@ -288,7 +298,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
         return none
     index = Index(
         _bitmap(signed.select(F.explode("grams").alias("slot")), GRAM_BITS),
-        _bitmap(signed.select(F.explode("keys").alias("key")).select(F.shiftrightunsigned("key", 64 - KEY_BITS).alias("slot")), KEY_BITS),
+        _bitmap(signed.select(F.explode("slots").alias("slot")), KEY_BITS),
         tuple(lows),
         random_bits(max(2, int(STEPS * lows[-1]))),
         share,
