@@ -284,12 +284,12 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
 
     ``start`` is a byte of the document's words with single spaces, near which the best part begins;
     ``distance`` counts the edits from the item to it, at most ``share`` of the item's length.  NULL and empty
-    documents hold nothing; NULL items and items with fewer than eight bytes of words are not searched for.  Equal items are all
+    documents, and those without an id, hold nothing; NULL items and items with fewer than eight bytes of words are not searched for.  Equal items are all
     reported; rows with the same id and text are one document; ids are whole numbers; other columns play no
     part.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     signed = cut_lineage(wanted.mapInArrow(_sign(lambda low: random_bits(max(2, int(STEPS * low)))), _SIGNED))
     lows = sorted(r["low"] for r in signed.select("low").distinct().collect())

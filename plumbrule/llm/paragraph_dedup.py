@@ -109,6 +109,7 @@ def repeated_paragraphs(docs: DataFrame, *, least: float = LEAST, least_words: i
 
     ``docs`` has ``doc_id, mark, text``; ``mark`` tells texts with the same id apart.
     """
+    docs = docs.where("doc_id IS NOT NULL")
     bands = needed_trees(ROWS_PER_BAND, least, recall)
     names = [f"k{i}" for i in range(bands)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
@@ -188,7 +189,7 @@ def dedup_paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     A paragraph with at least ``least_words`` words goes if an earlier one, in the order of ``doc_id`` and
     place, is equal or at least ``least`` similar to it or to another of its component; this holds inside a
     text as well.  ``kept_in`` lists the documents that keep the removed paragraphs.  NULL and empty texts
-    have no paragraphs; rows repeated with the same id and text are one document, so both keep what it keeps;
+    have no paragraphs; rows without an id keep all; rows repeated with the same id and text are one document, so both keep what it keeps;
     other columns play no part; an empty table gives an empty result.
     """
     rows = marked(docs, key, text)

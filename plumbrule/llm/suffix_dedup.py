@@ -346,6 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     if length < GRAM + 8:
         raise ValueError(f"strings have at least {GRAM + 8} bytes")
     spark = docs.sparkSession
+    docs = docs.where("doc_id IS NOT NULL")
     size = F.octet_length("text").cast("long")
     ids = cut_lineage(docs.where(size >= length).select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("sum"), size.alias("n")))
     total = ids.agg(F.sum("n")).first()[0] or 0
@@ -374,7 +375,7 @@ def dedup_substrings(docs: DataFrame, *, length: int = LENGTH, key: str = "doc_i
     A byte goes if a string of ``length`` bytes over it also starts in a document with a smaller ``doc_id``;
     matches never cross documents, and all strings are judged on the input.  NULL and short texts keep all;
     rows with equal ids are the same document and never remove from each other; equal texts fall to the
-    smallest id.  Ids are whole numbers.  Other columns play no part; an empty table gives an empty result.
+    smallest id.  Ids are whole numbers; rows without one keep all and match nothing.  Other columns play no part; an empty table gives an empty result.
     """
     rows = marked(docs, key, text).withColumn("doc_id", F.col("doc_id").cast("long"))
     return without_spans(rows, repeated_spans(rows, length))
