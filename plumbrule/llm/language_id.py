@@ -94,7 +94,7 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     shared_idf = docs.sparkSession.sparkContext.broadcast(idf)
 
     def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_pandas(group[["text"]], preserve_index=False)
+        batch = pa.RecordBatch.from_arrays([pa.array(group["text"].tolist(), pa.large_string())], names=["text"])
         vectors = np.vstack([weighted(count_matrix(*letter_terms(b), b.num_rows, WIDTH), shared_idf.value) for b in blocks(iter([batch]), rows=ROWS)])
         vectors = vectors[vectors.any(axis=1)]
         if not len(vectors):
