@@ -13,7 +13,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -93,20 +92,21 @@ def fit(docs: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc
     idf = inverse_frequencies(*document_frequencies(rows, letter_terms, WIDTH))
     shared_idf = docs.sparkSession.sparkContext.broadcast(idf)
 
-    def centroids(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        batch = pa.RecordBatch.from_arrays([pa.array(group["text"].tolist(), pa.large_string())], names=["text"])
-        vectors = np.vstack([weighted(count_matrix(*letter_terms(b), b.num_rows, WIDTH), shared_idf.value) for b in blocks(iter([batch]), rows=ROWS)])
+    out = pa.schema([("lang", pa.string()), ("centre", pa.binary()), ("allowed", pa.float64())])
+
+    def centroids(group: pa.Table) -> pa.Table:
+        parts = [weighted(count_matrix(*letter_terms(b), b.num_rows, WIDTH), shared_idf.value) for b in blocks(iter(group.to_batches()), rows=ROWS)]
+        vectors = np.vstack(parts)
         vectors = vectors[vectors.any(axis=1)]
         if not len(vectors):
-            return pd.DataFrame({"lang": [], "centre": [], "allowed": []})
+            return out.empty_table()
         centres, own = cluster(vectors, CENTROIDS)
-        near = (vectors * centres[own]).sum(axis=1)
-        allowed = float(np.quantile(near, tail))
-        used = sorted(set(own.tolist()))
-        return pd.DataFrame({"lang": key[0], "centre": [centres[c].astype(np.float32).tobytes() for c in used], "allowed": allowed})
+        allowed = float(np.quantile((vectors * centres[own]).sum(axis=1), tail))
+        lang = group.column("lang")[0].as_py()
+        return pa.Table.from_pylist([{"lang": lang, "centre": centres[c].astype(np.float32).tobytes(), "allowed": allowed} for c in sorted(set(own.tolist()))], out)
 
     sample = bounded_sample(rows, "lang", "doc_id", PER_LANGUAGE)
-    found = sample.groupBy("lang").applyInPandas(centroids, "lang string, centre binary, allowed double").collect()
+    found = sample.groupBy("lang").applyInArrow(centroids, "lang string, centre binary, allowed double").collect()
     found.sort(key=lambda r: (r["lang"], r["centre"]))
     languages = sorted({r["lang"] for r in found})
     number = {name: i for i, name in enumerate(languages)}
