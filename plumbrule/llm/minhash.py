@@ -44,7 +44,7 @@ def signatures(shingles: np.ndarray, sizes: np.ndarray, n: int) -> np.ndarray:
 
 def prefix_keys(signature: np.ndarray, trees: int, depth: int) -> np.ndarray:
     """One 64-bit key per tree: the first ``depth`` numbers of the tree's label."""
-    labels = signature.reshape(len(signature), trees, -1)[:, :, :depth].astype(np.uint64)
+    labels = signature.reshape(len(signature), trees, signature.shape[1] // trees)[:, :, :depth].astype(np.uint64)
     out = np.full((len(signature), trees), 7, np.uint64)
     for i in range(depth):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + labels[:, :, i])
