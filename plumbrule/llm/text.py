@@ -142,7 +142,7 @@ def grouped(reduce, values: np.ndarray, sizes: np.ndarray, empty) -> np.ndarray:
 
 def digests(words: np.ndarray, counts: np.ndarray) -> list[bytes | None]:
     """16 bytes that stand for the sequence of words of each text; None without words."""
-    firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    firsts = np.cumsum(counts) - counts
     place = np.arange(len(words)) - np.repeat(firsts, counts)
     n = int(counts.max(initial=0)) + 1
     one = grouped(np.add, words * _powers(_BASE, "base", n)[place], counts, np.uint64(0))
