@@ -215,7 +215,8 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.Reco
     ``texts`` has ``doc_id, text`` and ``wanted`` has ``doc_id, node``; ``sets_of`` turns a block of texts into
     rows ``node, shingles``.  Only texts with a wanted node are shuffled.
     """
-    own = texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    # the wanted rows grow with the input, so they are never broadcast
+    own = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
     found = own.mapInArrow(lambda batches: map(sets_of, batches), "node binary, shingles binary")
     return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
 

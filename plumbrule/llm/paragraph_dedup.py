@@ -156,7 +156,7 @@ def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     ``spans`` has ``doc_id, mark, begin, end``: bytes to remove from each text.
     """
     lists = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("_spans"))
-    both = docs.join(lists, ["doc_id", "mark"], "left")
+    both = docs.join(lists.hint("merge"), ["doc_id", "mark"], "left")  # lists grow with the input
     names = [c for c in both.columns if c != "_spans"]
     schema = StructType([both.schema[c] for c in names]).add("kept_text", "binary").add("spans", _SPANS)
     span_type = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))

@@ -361,7 +361,8 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     heavy = np.array([r["key"] for r in pairs.where("doc_id IS NULL").select("key").distinct().collect()], np.int64).view(np.uint64)
     lists = pairs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
     live = ids.select("doc_id", "mark").distinct().join(dead.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").join(lists, "doc_id")
-    texts = rows.join(live, ["doc_id", "mark"]).select("doc_id", "mark", "text", "keys")
+    # live grows with the input, so it is never broadcast
+    texts = rows.join(live.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "keys")
     segments = texts.mapInArrow(_segments(length, spark.sparkContext.broadcast(heavy)), SEGMENTS)
     spans = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_matches(length), SPANS)
     spans = cut_lineage(spans)
