@@ -26,9 +26,7 @@ def _wrapped(docs: DataFrame) -> DataFrame:
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Documents whose nearest labelled texts are mostly of low quality go; texts without a character to judge stay."""
     rows = _wrapped(docs)
-    labels = table(spark, sf_dir, "labels").where("quality IS NOT NULL").select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).distinct()
-    known = rows.where((crc_remainder(F.col("doc_id"), 4) != 2) & F.col("text").isNotNull()).join(labels, F.col("doc_id") == F.col("label_id"))
-    model = quality_knn.fit(rows.select("text"), known.select("doc_id", "text", "quality"))
+    model = quality_knn.fit(rows.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 4) == 2)
     return quality_knn.score(rows.select("text", "row"), model).where(F.col("score") >= threshold).select("row.*")
 
 

@@ -97,9 +97,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def fit(docs: DataFrame, labelled: DataFrame) -> QualityModel:
-    """Frequencies from all ``docs`` (``text``); directions and vectors from a sample of ``labelled`` (``doc_id, text, quality``)."""
+def fit(docs: DataFrame, labels: DataFrame, held_out: Column) -> QualityModel:
+    """Frequencies from all ``docs`` (``doc_id, text``); directions and vectors from a sample of the labelled ones.
+
+    The sample is drawn from ids alone, and at most ``PER_LABEL`` ids of each label are then sent to the texts.
+    """
     idf = inverse_frequencies(*document_frequencies(docs, style_terms, WIDTH))
+    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").distinct()
+    ids = docs.where(~held_out & F.col("text").isNotNull()).select("doc_id").distinct()
+    labelled = ids.join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "quality")
     counts = {r["quality"]: r["n"] for r in labelled.groupBy("quality").agg(F.count(F.lit(1)).alias("n")).collect()}
     shared = docs.sparkSession.sparkContext.broadcast(idf)
 
@@ -108,9 +114,10 @@ def fit(docs: DataFrame, labelled: DataFrame) -> QualityModel:
             x = weighted(count_matrix(*style_terms(block), block.num_rows, WIDTH), shared.value).astype(np.float16)
             yield pa.RecordBatch.from_arrays([*block.select(["doc_id", "quality"]).columns, pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "quality", "x"])
 
-    sample = bounded_sample(labelled.select("doc_id", "text", "quality"), "quality", "doc_id", PER_LABEL)
+    drawn = bounded_sample(labelled, "quality", "doc_id", PER_LABEL)
+    sample = docs.where("text IS NOT NULL").join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "quality")
     schema = StructType([sample.schema["doc_id"], sample.schema["quality"]]).add("x", "binary")
-    found = sorted(sample.select("doc_id", "text", "quality").mapInArrow(vectors, schema).collect(), key=lambda r: (r["quality"], r["doc_id"], r["x"]))
+    found = sorted(sample.mapInArrow(vectors, schema).collect(), key=lambda r: (r["quality"], r["doc_id"], r["x"]))
     x = np.array([np.frombuffer(r["x"], np.float16) for r in found], np.float32).reshape(-1, WIDTH)
     labels = np.array([r["quality"] for r in found], np.float32)
     _, directions = np.linalg.eigh(x.T @ x) if len(x) else (None, np.zeros((WIDTH, 0), np.float32))
@@ -160,8 +167,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, held_out: Column, key: str
     rows; other columns of either table play no part.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
-    known = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").cast("int").alias("quality")).where("quality IS NOT NULL").distinct()
-    labelled = rows.where(~held_out & F.col("text").isNotNull()).join(known, F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "quality")
-    model = fit(rows, labelled)
+    model = fit(rows, labels, held_out)
     scored = score(rows.withColumn("held_out", held_out), model)
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
