@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from plumbrule.core.session import cut_lineage
 from plumbrule.llm.minhash import (
-    LEAST, SIMILARITY_BINS, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
+    LEAST, SIMILARITY_BINS, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, release, shingle_sets, signatures,
 )
 from plumbrule.llm.text import blocks, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
 
@@ -43,31 +43,36 @@ def _words(block: pa.RecordBatch):
 
 
 def _sign(trees: int, depth: int, floor: int, size: int):
+    """Names of texts and the keys of their shortest prefixes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             words, counts = _words(block)
             shingles, sizes = shingle_hashes(words, counts, size)
-            signature = signatures(shingles, sizes, trees * depth)
-            keys = [list_column(prefix_keys(signature, trees, d)) for d in range(floor, depth + 1)]
-            columns = [block.column(block.schema.get_field_index("doc_id")), pa.array(digests(words, counts), pa.binary()), pa.array(sizes.astype(np.int64)), *keys]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "node", "n_shingles", *[f"k{d}" for d in range(floor, depth + 1)]])
+            keys = prefix_keys(signatures(shingles, sizes, trees * depth), trees, floor)
+            columns = [block.column(block.schema.get_field_index("doc_id")), pa.array(digests(words, counts), pa.binary()), pa.array(sizes.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(k) for k in keys.T]], names=["doc_id", "node", "n_shingles", *[f"t{i}" for i in range(trees)]])
 
     return run
 
 
-def sets_of_texts(size: int = SIZE):
-    """Rows ``node, shingles`` of a block of whole texts."""
+def sets_of_texts(trees: int, depth: int, floor: int, size: int = SIZE):
+    """Rows ``node, shingles`` of a block of whole texts, and the keys of every depth."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        nodes, sets = [], []
+        nodes, sets, signature = [], [], [np.zeros((0, trees * depth), np.uint32)]
         for block in blocks(iter([batch])):
             words, counts = _words(block)
             shingles, sizes = shingle_hashes(words, counts, size)
             nodes += digests(words, counts)
             ends = np.cumsum(sizes)
             sets += [np.unique(shingles[b - n : b]) for b, n in zip(ends, sizes)]
+            signature.append(signatures(shingles, sizes, trees * depth))
         flat = np.concatenate([np.zeros(0, np.uint64), *sets])
-        return pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), packed(flat, np.array([len(s) for s in sets], np.int64))], names=["node", "shingles"])
+        signed = np.concatenate(signature)
+        keys = [list_column(prefix_keys(signed, trees, d)) for d in range(floor, depth + 1)]
+        columns = [pa.array(nodes, pa.binary()), packed(flat, np.array([len(s) for s in sets], np.int64)), *keys]
+        return pa.RecordBatch.from_arrays(columns, names=["node", "shingles", *[f"k{d}" for d in range(floor, depth + 1)]])
 
     return run
 
@@ -83,21 +88,25 @@ def similarity_join(
     spark = docs.sparkSession
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
     floor = least_depth(trees, least, recall)
-    names = [f"k{d}" for d in range(floor, depth + 1)]
+    names = [f"t{i}" for i in range(trees)]
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, node binary, n_shingles long, " + ", ".join(f"{k} array<long>" for k in names)
+    schema = f"doc_id {id_type}, node binary, n_shingles long, " + ", ".join(f"{t} long" for t in names)
     signed = cut_lineage(rows.mapInArrow(_sign(trees, depth, floor, size), schema))
     members = signed.select("doc_id", "node")
-    distinct = signed.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    distinct = cut_lineage(distinct)
-    # one row per different text: keys are equal for equal words
-    keyed = signed.where("node IS NOT NULL").join(distinct.select("node", F.col("first_id").alias("doc_id"), "copies"), ["node", "doc_id"]).dropDuplicates(["node"])
-    deepest, shortest = f"k{depth}", f"k{floor}"
-    pairs = keyed.select("node", F.posexplode(shortest).alias("tree", "key"))
-    met = pairs.join(pairs.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), ["tree", "key"], "left_semi").select("node").distinct()
-    met = cut_lineage(keyed.join(met, "node", "left_semi"))
-    sets = shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(size))
-    nodes = cut_lineage(met.join(sets, "node"))
+    # one row per different text; keys are equal for equal words, and this is combined before the shuffle
+    distinct = signed.where("node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), *[F.min(t).alias(t) for t in names]
+    )
+    distinct = cut_lineage(distinct.select("node", "first_id", "copies", "n_shingles", F.array(*names).alias("keys")))
+    slots = distinct.select("node", F.posexplode("keys").alias("tree", "key"))
+    crowd = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = cut_lineage(slots.join(crowd.hint("merge"), ["tree", "key"], "left_semi").select("node").distinct())
+    met = cut_lineage(distinct.drop("keys").join(met.hint("merge"), "node", "left_semi").withColumnRenamed("first_id", "doc_id"))
+    deepest = f"k{depth}"
+    more = "".join(f", k{d} array<long>" for d in range(floor, depth + 1))
+    nodes = cut_lineage(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
+    distinct = distinct.drop("keys")
+    release(spark)
     found, counts, middle = None, np.zeros(SIMILARITY_BINS), least + (np.arange(SIMILARITY_BINS) + 0.5) / SIMILARITY_BINS * (1 - least)
     for d in range(depth, floor - 1, -1) if not nodes.isEmpty() else ():
         own = f"k{d}"

@@ -9,11 +9,12 @@ a pair.
 from __future__ import annotations
 
 import functools
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbrule.core.session import cut_lineage
@@ -64,13 +65,15 @@ def crowded(nodes: DataFrame, keys: str, known: list[tuple[str, bool]]) -> DataF
     which an equal key means "already compared"; with ``True`` this holds for lower trees only.  A bucket whose
     members all share such a key is left out.
     """
-    arrays = list(dict.fromkeys([keys, *[name for name, _ in known]]))
+    arrays = list(dict.fromkeys(name for name, _ in known))
     trees = len(nodes.select(keys).first()[0])
-    rows = nodes.select("node", "n_shingles", *arrays, F.posexplode(keys).alias("tree", "key"))
+    slots = nodes.select("node", "n_shingles", F.posexplode(keys).alias("tree", "key"))
+    # only buckets with two members are looked at more closely, and half of a key's bits tell keys apart there
+    several = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
+    short = [F.transform(name, lambda x: F.shiftright(x, 32).cast("int")).alias(name) for name in arrays]
+    rows = slots.drop("n_shingles").join(several.hint("merge"), ["tree", "key"]).join(nodes.select("node", *short).hint("merge"), "node")
     spans = [e for name in arrays for t in range(trees) for e in (F.min(F.col(name)[t]).alias(f"lo_{name}_{t}"), F.max(F.col(name)[t]).alias(f"hi_{name}_{t}"))]
-    # only buckets with two members are looked at more closely
-    several = rows.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    full = rows.join(several, ["tree", "key"]).groupBy("tree", "key", "members", "weight").agg(*spans)
+    full = rows.groupBy("tree", "key", "members", "weight").agg(*spans)
     done = F.lit(False)
     for name, lower in known:
         for t in range(trees):
@@ -80,12 +83,17 @@ def crowded(nodes: DataFrame, keys: str, known: list[tuple[str, bool]]) -> DataF
 
 
 def _cells(nodes: DataFrame, keys: str, buckets: DataFrame) -> DataFrame:
-    """One row per node and cell: a bucket too large for one comparison is cut into blocks, and each pair of blocks is a cell."""
+    """One row per node and cell: a bucket too large for one comparison is cut into blocks, and each pair of blocks is a cell.
+
+    Places are found by names and keys alone; the sets join them afterwards.
+    """
     blocks = F.greatest(F.ceil(F.col("members") / BLOCK_NODES), F.ceil(F.col("weight") / BLOCK_SHINGLES)).cast("int")
-    rows = nodes.select("*", F.posexplode(keys).alias("tree", "key")).join(buckets.withColumn("blocks", blocks), ["tree", "key"])
+    sized = buckets.select("tree", "key", blocks.alias("blocks"))
+    rows = nodes.select("node", F.posexplode(keys).alias("tree", "key")).join(sized.hint("merge"), ["tree", "key"])
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("members", "weight", "blocks", "other")
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "other")
+    return rows.join(nodes.hint("merge"), "node")
 
 
 def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -209,16 +217,22 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return components(touched, edges) if not touched.isEmpty() else touched.withColumn("label", F.col("node"))
 
 
-def shingle_sets(texts: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
+def shingle_sets(texts: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.RecordBatch], pa.RecordBatch], more: str = "") -> DataFrame:
     """``node, shingles`` of the wanted nodes, read again from the texts that hold them.
 
     ``texts`` has ``doc_id, text`` and ``wanted`` has ``doc_id, node``; ``sets_of`` turns a block of texts into
-    rows ``node, shingles``.  Only texts with a wanted node are shuffled.
+    rows ``node, shingles`` and the columns that ``more`` declares.
     """
     # the wanted rows grow with the input, so they are never broadcast
     own = texts.join(wanted.select("doc_id").distinct().hint("merge"), "doc_id", "left_semi")
-    found = own.mapInArrow(lambda batches: map(sets_of, batches), "node binary, shingles binary")
-    return found.join(wanted.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    found = own.mapInArrow(lambda batches: map(sets_of, batches), "node binary, shingles binary" + more)
+    return found.join(wanted.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are written; it does so when the driver frees their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def needed_trees(depth: int, least: float, recall: float) -> int:
