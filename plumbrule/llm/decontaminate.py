@@ -4,15 +4,15 @@ Texts are read as lower-case words with single spaces, in UTF-8 bytes.  A docume
 of it is within ``SHARE`` of the item's length in edit distance.
 
 1. Windows begin at words and have the length of a class of items.  A window that has an item keeps a known
-   number of the item's byte 8-grams, so windows with fewer 8-grams of the benchmark are passed over at once;
-   no window with an item is.
+   number of the item's byte 8-grams, so windows with fewer 8-grams of the class are passed over at once; no
+   window with an item is.
 2. The random walk of Chakraborty, Goldenberg and Koucky turns window and item into strings in which few edits
    make few differences: it copies the byte under a pointer, and a random bit of (step, byte) moves the pointer.
    Several walks, each sampled at several sets of steps, give the keys; a shared key makes a candidate.  The
    number of keys is set so that an item with the most edits allowed is found with the target recall.
 3. Candidates are verified by the exact edit distance of the item to the best part of the window's surroundings.
 
-What is broadcast has a fixed size: two bitmaps, the random bits and the sampled steps.
+What is broadcast has a fixed size: a bitmap, a table of class bits, and the random bits.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from plumbrule.llm.text import TOKEN, blocks, mix, packed, plain_strings, raw_by
 SHARE = 0.08
 GRAM = 8
 CLASS_RATIO = 1.1
-WALKS = 4
-TABLES = 24
+WALKS = 8
+TABLES = 16
 SAMPLES = 5
 #: Walk steps for one byte of an item that are sampled; the pointer moves at about every second step.
 STEPS = 1.7
@@ -172,7 +172,10 @@ def semi_global(items: list[bytes], regions: list[bytes]) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Index:
-    """What every task needs; of fixed size but for the random bits, which grow with the longest item."""
+    """What every task needs; of fixed size but for the random bits, which grow with the longest item.
+
+    ``grams`` has for every slot of 8-grams one bit per class, classes beyond 32 sharing bits.
+    """
 
     grams: np.ndarray
     keys: np.ndarray
@@ -208,6 +211,15 @@ def _sign(bits_for):
     return run
 
 
+def _class_bits(signed: DataFrame, lows: list[int]) -> np.ndarray:
+    """Bits of the classes that have each 8-gram slot; at most ``2**GRAM_BITS`` rows come to the driver."""
+    number = (F.array_position(F.array(*map(F.lit, lows)), F.col("low")) - 1) % 32
+    bits = signed.select(F.explode("grams").alias("slot"), number.cast("int").alias("class")).groupBy("slot").agg(F.expr("bit_or(shiftleft(1L, class))").alias("bits")).toArrow()
+    out = np.zeros(1 << GRAM_BITS, np.uint32)
+    out[bits.column("slot").to_numpy()] = bits.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
 def _bitmap(slots: DataFrame, bits: int) -> np.ndarray:
     """Bits at the given ``slot`` numbers; the driver gets at most ``2**bits / 64`` rows, and packs them into ``2**bits / 8`` bytes."""
     words = slots.groupBy(F.shiftright("slot", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 AS int)))").alias("bits")).collect()
@@ -221,27 +233,41 @@ def _is_set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return (bitmap[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 > 0
 
 
+def dense_starts(hits: np.ndarray, first: np.ndarray, low: int, least: int) -> np.ndarray:
+    """Numbers of the words in ``first`` at which a window of ``low`` bytes begins with ``least`` hits or more."""
+    if len(hits) < least:
+        return np.zeros(0, np.int64)
+    room = low - GRAM
+    dense = np.flatnonzero(hits[least - 1 :] - hits[: len(hits) - least + 1] <= room)
+    begin = np.searchsorted(first, hits[dense + least - 1] - room)
+    end = np.searchsorted(first, hits[dense], "right")
+    step = np.zeros(len(first) + 1, np.int64)
+    np.add.at(step, begin, 1)
+    np.add.at(step, np.maximum(begin, end), -1)
+    return np.flatnonzero(np.cumsum(step[:-1]) > 0)
+
+
 _WINDOWS = "doc_id long, mark long, start long, region binary, keys array<long>"
 
 
 def _find(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index: Index = shared.value
-        gram_set = np.unpackbits(index.grams, bitorder="little").astype(bool)
         for block in blocks(batches, limit=BLOCK_BYTES):
             buf, offsets = plain_bytes(block.column(2))
-            hits = np.concatenate([[0], np.cumsum(gram_set[gram_slots(buf)], dtype=np.int32)])
+            classes = index.grams[gram_slots(buf)]
+            hits = np.flatnonzero(classes)
+            classes = classes[hits]
             word = buf > 32
             first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
-            text = np.searchsorted(offsets, first, "right") - 1
-            end = offsets[text + 1] - 1
             starts, lows = [], []
-            for low in index.lows:
-                last = np.minimum(first + low - GRAM + 1, end)
-                ok = hits[np.maximum(last, first)] - hits[first] >= kept_grams(low, index.share)
-                starts.append(np.flatnonzero(ok))
-                lows.append(np.full(int(ok.sum()), low))
+            for i, low in enumerate(index.lows):
+                own = dense_starts(hits[classes >> np.uint32(i % 32) & np.uint32(1) > 0], first, low, kept_grams(low, index.share))
+                starts.append(own)
+                lows.append(np.full(len(own), low))
             at, lows = np.concatenate(starts), np.concatenate(lows)
+            text = np.searchsorted(offsets, first, "right") - 1
+            end = offsets[text + 1] - 1
             if not len(at):
                 continue
             number, keys = sampled_keys(buf, first[at], lows, index.bits, lambda codes: _is_set(index.keys, key_slots(codes)))
@@ -297,7 +323,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
     if not lows:
         return none
     index = Index(
-        _bitmap(signed.select(F.explode("grams").alias("slot")), GRAM_BITS),
+        _class_bits(signed, lows),
         _bitmap(signed.select(F.explode("slots").alias("slot")), KEY_BITS),
         tuple(lows),
         random_bits(max(2, int(STEPS * lows[-1]))),
