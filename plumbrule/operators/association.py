@@ -291,9 +291,11 @@ def nearest_information(df: DataFrame, target: str, features: Sequence[str], k:
     below = line.select("column", F.col("spot").alias("lo"), F.col("cum_n").alias("upto_lo"), F.col("n").alias("at_lo"))
     above = line.select("column", F.col("spot").alias("hi"), F.col("cum_n").alias("upto_hi"), F.col("n").alias("at_hi"))
     both = asked.join(below, ["column", "lo"]).join(above, ["column", "hi"])
-    # a positive radius is open at both ends, a zero radius holds the copies of the value
+    # a positive radius is open at both ends, a zero radius holds the copies of the value; both counts then take in
+    # the row itself, so copies of one class only tell that class for certain
     inside = F.when(F.col("r") > 0, F.col("upto_hi") - F.col("at_hi") - F.col("upto_lo")).otherwise(F.col("at_lo"))
     n = F.col("n")
+    both = both.withColumn("k", F.when(F.col("r") > 0, F.col("k")).otherwise(n))
     terms = both.withColumn("m", F.greatest(inside, F.lit(1)).cast("double")).groupBy("column").agg(
         F.sum(n).cast("double").alias("rows"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"d_{c}") for c in ("k", "size", "m")]
     )

@@ -96,9 +96,11 @@ def class_log_priors(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(F.col(quoted(label)).alias("label")).agg(F.count(F.lit(1)).alias("n")).select("label", F.ln(F.col("n") / total.scalar()).alias("log_prior"))
 
 
-def score_multinomial(tokens: DataFrame, key: str, log_probs: DataFrame, priors: DataFrame) -> DataFrame:
+def score_multinomial(tokens: DataFrame, key: str, log_probs: DataFrame, priors: DataFrame, docs: DataFrame | None = None) -> DataFrame:
     """Best class per document of a long bag of words ``key, token, n`` (smallest label on a tie).
 
+    Documents without a known token get the class with the largest prior; ``docs`` names all documents, if
+    some may have no token at all.
     A document's class sums are aggregated before anything is compared, and a frequent token only adds
     rows to a map-side sum.
     """
@@ -111,7 +113,10 @@ def score_multinomial(tokens: DataFrame, key: str, log_probs: DataFrame, priors:
     )
     scored = sums.join(priors, "label").withColumn("s", F.col("s") + F.col("log_prior"))
     best = F.min(F.struct((-F.col("s")).alias("k"), "label"))
-    return scored.groupBy(quoted(key)).agg(best.alias("b")).select(quoted(key), F.col("b.label").alias("prediction"), (-F.col("b.k")).alias("log_score"))
+    found = scored.groupBy(quoted(key)).agg(best.alias("b")).select(quoted(key), F.col("b.label").alias("prediction"), (-F.col("b.k")).alias("log_score"))
+    usual = priors.agg(F.min(F.struct((-F.col("log_prior")).alias("k"), "label")).alias("u")).scalar()
+    every = (tokens if docs is None else docs).select(quoted(key)).distinct().join(found, key, "left").withColumn("u", usual)
+    return every.select(quoted(key), F.coalesce("prediction", "u.label").alias("prediction"), F.coalesce("log_score", -F.col("u.k")).alias("log_score"))
 
 
 def top_words(log_probs: DataFrame, count: int = 15) -> DataFrame:

@@ -38,14 +38,12 @@ def linear_attribution(df: DataFrame, key: str, features: Sequence[str], weights
 def shapley(rows: DataFrame, key: str, features: Sequence[str], background: Sequence[dict], score: ScoreFn, output: str = "score") -> DataFrame:
     """Exact Shapley values of ``score`` (a column ``output`` it adds) for up to ten features.
 
-    Every row meets every coalition and every background row (at most 100) in one exploded table, which is
+    Every row meets every coalition and every background row in one exploded table, which is
     scored once; averages per coalition then combine with the Shapley weights as one grouped sum.
     """
     d = len(features)
     if d > MAX_EXACT:
         raise ValueError(f"exact Shapley values take at most {MAX_EXACT} features")
-    if len(background) > 100:
-        raise ValueError("use at most 100 background rows")
     back = F.array(*[F.struct(*[F.lit(float(b[f])).alias(f"b{i}") for i, f in enumerate(features)]) for b in background])
     base = rows.select(F.col(quoted(key)).alias("id"), *[F.col(quoted(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
     wide = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(2**d - 1))).alias("mask")).select("*", F.explode(back).alias("b"))
@@ -66,8 +64,8 @@ def shapley(rows: DataFrame, key: str, features: Sequence[str], background: Sequ
 
 
 def background_rows(df: DataFrame, order: Sequence[str], features: Sequence[str], size: int = 100) -> list[dict]:
-    """Evenly spaced rows used as background (at most 100 reach the driver)."""
-    picked = even_sample(df.dropna("any", subset=list(features)), order, min(size, 100))
+    """Evenly spaced rows used as background; ``size`` rows reach the driver."""
+    picked = even_sample(df.dropna("any", subset=list(features)), order, size)
     return [r.asDict() for r in picked.select(*map(quoted, features)).collect()]
 
 

@@ -101,15 +101,19 @@ def class_boxplot(df: DataFrame, label: str, columns: Sequence[str]) -> DataFram
     )
 
 
-def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every pair of columns, long form, over complete rows."""
-    m = moments(df, columns)
-    sd = np.sqrt(np.diag(m.scatter))
-    with np.errstate(divide="ignore", invalid="ignore"):
-        r = m.scatter / np.outer(sd, sd)
-    rows = [
-        (a, b, None if not np.isfinite(r[i, j]) else float(r[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns)
-    ]
+def correlation_matrix(df: DataFrame, columns: Sequence[str], at_once: int = 200) -> DataFrame:
+    """Pearson correlation of every pair of columns, long form, each over the rows that hold both.
+
+    One pass per ``at_once`` pairs; a pair without spread has no correlation.
+    """
+    types = field_types(df)
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1)]
+    found: dict[tuple[int, int], float | None] = {}
+    for begin in range(0, len(pairs), at_once):
+        some = pairs[begin : begin + at_once]
+        row = df.agg(*[F.corr(as_double(columns[i], types[columns[i]]), as_double(columns[j], types[columns[j]])).alias(f"r{k}") for k, (i, j) in enumerate(some)]).first()
+        found.update({pair: r if r is not None and np.isfinite(r) else None for pair, r in zip(some, row)})
+    rows = [(a, b, found[max(i, j), min(i, j)]) for i, a in enumerate(columns) for j, b in enumerate(columns)]
     return df.sparkSession.createDataFrame(rows, "column_a string, column_b string, correlation double")
 
 

@@ -86,6 +86,17 @@ def q_correlation(spark, sf_dir):
     return rounded(explore.correlation_matrix(table(spark, sf_dir, "lineitem"), LINE_NUMBERS), "correlation")
 
 
+@query(
+    "correlation_matrix_missing",
+    "WITH m AS (SELECT l_quantity AS a, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END AS b, CASE WHEN l_orderkey % 7 < 6 THEN NULL ELSE l_discount END AS c FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, round(corr({a}, {b}), 6) AS correlation FROM m" for a in "abc" for b in "abc"),
+)
+def q_correlation_missing(spark, sf_dir):
+    lines, key = table(spark, sf_dir, "lineitem"), F.col("l_orderkey")
+    df = lines.select(F.col("l_quantity").alias("a"), F.when(key % 5 != 0, F.col("l_extendedprice")).alias("b"), F.when(key % 7 >= 6, F.col("l_discount")).alias("c"))
+    return rounded(explore.correlation_matrix(df, ["a", "b", "c"]), "correlation")
+
+
 @query(
     "class_kde",
     """WITH e AS (SELECT min(value) AS lo, max(value) AS hi FROM events),

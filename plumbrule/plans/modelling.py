@@ -156,13 +156,14 @@ def language_bag(spark, sf_dir):
     MNB
     + """, pr AS (SELECT lang, ln(count(*) / (SELECT count(*) FROM documents)) AS lp FROM documents GROUP BY lang),
     sc AS (SELECT doc_id, lp.lang, sum(n * log_prob) + any_value(pr.lp) AS s FROM bag JOIN lp USING (token) JOIN pr ON pr.lang = lp.lang GROUP BY doc_id, lp.lang)
-    SELECT doc_id, arg_max(lang, s) AS prediction, round(max(s), 4) AS log_score FROM sc GROUP BY doc_id""".replace("JOIN lp USING (token)", "JOIN lp ON lp.token = bag.token"),
+    SELECT d.doc_id, coalesce(arg_max(sc.lang, s), (SELECT arg_max(lang, lp) FROM pr)) AS prediction, round(coalesce(max(s), (SELECT max(lp) FROM pr)), 4) AS log_score
+    FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN sc USING (doc_id) GROUP BY d.doc_id""".replace("JOIN lp USING (token)", "JOIN lp ON lp.token = bag.token"),
 )
 def q_multinomial(spark, sf_dir):
     docs, bag = language_bag(spark, sf_dir)
     labelled = bag.join(docs.select("doc_id", "lang"), "doc_id")
     logs = bayes.multinomial_nb(labelled, "lang")
-    return rounded(bayes.score_multinomial(bag, "doc_id", logs, bayes.class_log_priors(docs, "lang")), "log_score", digits=4)
+    return rounded(bayes.score_multinomial(bag, "doc_id", logs, bayes.class_log_priors(docs, "lang"), docs), "log_score", digits=4)
 
 
 @query(
@@ -677,13 +678,25 @@ def q_lines(spark, sf_dir):
 
 
 
+PSI = "(-0.5772156649015329 + coalesce(list_sum(list_transform(range(1, {0}::BIGINT), lambda i: 1.0::DOUBLE / i)), 0))"
 
-@query("nearest_information")
+
+@query(
+    "nearest_information",
+    f"""WITH x AS (SELECT p_partkey AS id, p_type AS label, unnest([{{'f': 'p_size', 'v': p_size::DOUBLE}}, {{'f': 'price_cents', 'v': round(p_retailprice * 100)}}], recursive := true) FROM part),
+    s AS (SELECT a.f, a.id, a.v, a.label, abs(a.v - b.v) AS d, row_number() OVER (PARTITION BY a.f, a.id ORDER BY abs(a.v - b.v)) AS rn, count(*) OVER (PARTITION BY a.f, a.id) AS others
+          FROM x a JOIN x b ON a.f = b.f AND a.label = b.label AND a.id <> b.id),
+    r AS (SELECT f, id, v, label, others, d AS r FROM s WHERE rn = least(3, others)),
+    m AS (SELECT r.f, r.id, any_value(r.others) + 1 AS size, count(*) FILTER (abs(r.v - x.v) < r.r OR (r.r = 0 AND r.v = x.v)) AS m,
+            CASE WHEN any_value(r.r) > 0 THEN least(3, any_value(r.others)) ELSE count(*) FILTER (r.v = x.v AND r.label = x.label) END AS k
+          FROM r JOIN x ON r.f = x.f GROUP BY r.f, r.id)
+    SELECT f AS feature, round(greatest({PSI.format('count(*)')} + avg({PSI.format('k')}) - avg({PSI.format('size')}) - avg({PSI.format('m')}), 0), 6) AS mutual_information FROM m GROUP BY f""",
+)
 def q_nearest_information(spark, sf_dir):
     from plumbrule.operators.association import nearest_information
 
-    df = table(spark, sf_dir, "part").select("p_type", "p_size", "p_retailprice")
-    return nearest_information(df, "p_type", ["p_size", "p_retailprice"])
+    df = table(spark, sf_dir, "part").select("p_type", "p_size", F.round(F.col("p_retailprice") * 100).alias("price_cents"))
+    return rounded(nearest_information(df, "p_type", ["p_size", "price_cents"]), "mutual_information")
 
 
 @query("margin_classifier")

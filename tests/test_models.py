@@ -313,6 +313,37 @@ def test_nearest_information_brute_force(spark):
     assert nearest_information(df, "g", ["x"]).first()["mutual_information"] == pytest.approx(want, abs=0.02)
 
 
+def test_nearest_information_of_tied_values(spark):
+    """A number that determines forty classes tells all of them; one that is the same everywhere tells nothing."""
+    from plumbrule.operators.association import nearest_information
+
+    df = spark.createDataFrame([(float(i % 40), 1.0, f"c{i % 40}") for i in range(2000)], "x double, flat double, g string")
+    found = {r["feature"]: r["mutual_information"] for r in nearest_information(df, "g", ["x", "flat"]).collect()}
+    assert found["x"] == pytest.approx(np.log(40), abs=0.02)
+    assert found["flat"] == pytest.approx(0.0, abs=0.02)
+
+
+def test_multinomial_keeps_documents_without_known_words(spark):
+    from plumbrule.operators import bayes
+
+    train = spark.createDataFrame([(1, "a", "x", 3), (2, "b", "y", 1), (3, "b", "y", 2)], "doc long, label string, token string, n long")
+    docs = spark.createDataFrame([(1,), (2,), (3,), (4,), (5,)], "doc long")
+    priors = bayes.class_log_priors(spark.createDataFrame([("a",), ("b",), ("b",)], "label string"), "label")
+    tokens = train.select("doc", "token", "n").union(spark.createDataFrame([(4, "unknown", 1)], "doc long, token string, n long"))
+    found = {r["doc"]: (r["prediction"], r["log_score"]) for r in bayes.score_multinomial(tokens, "doc", bayes.multinomial_nb(train, "label"), priors, docs).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and found[1][0] == "a"
+    assert found[4] == found[5] == ("b", pytest.approx(np.log(2 / 3)))
+
+
+def test_correlation_uses_the_rows_of_each_pair(spark):
+    from plumbrule.operators.explore import correlation_matrix
+
+    rows = [(float(i), float(i * i), float(i) if i % 10 == 0 else None) for i in range(100)]
+    got = {(r["column_a"], r["column_b"]): r["correlation"] for r in correlation_matrix(spark.createDataFrame(rows, "a double, b double, c double"), ["a", "b", "c"]).collect()}
+    x = np.arange(100.0)
+    assert got["a", "b"] == pytest.approx(np.corrcoef(x, x * x)[0, 1]) and got["a", "c"] == pytest.approx(1.0)
+
+
 def test_margins_and_support_vectors(spark):
     df = spark.createDataFrame([(float(i % 20), float(i % 7), "hi" if i % 20 > 9 else "lo") for i in range(200)], "a double, b double, y string")
     fit = model_zoo.MarginClassifier(steps=20).fit(df, ["a", "b"], "y")
