@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.session import cut_lineage
 from plumbrule.llm.minhash import (
-    LEAST, SIMILARITY_BINS, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, release, shingle_sets, signatures,
+    LEAST, SIMILARITY_BINS, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
 )
+from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
 
 TREES = 16
@@ -91,28 +91,27 @@ def similarity_join(
     names = [f"t{i}" for i in range(trees)]
     id_type = rows.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, node binary, n_shingles long, " + ", ".join(f"{t} long" for t in names)
-    signed = cut_lineage(rows.mapInArrow(_sign(trees, depth, floor, size), schema))
+    signed = settle(rows.mapInArrow(_sign(trees, depth, floor, size), schema))
     members = signed.select("doc_id", "node")
     # one row per different text; keys are equal for equal words, and this is combined before the shuffle
     distinct = signed.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), *[F.min(t).alias(t) for t in names]
     )
-    distinct = cut_lineage(distinct.select("node", "first_id", "copies", "n_shingles", F.array(*names).alias("keys")))
+    distinct = settle(distinct.select("node", "first_id", "copies", "n_shingles", F.array(*names).alias("keys")))
     slots = distinct.select("node", F.posexplode("keys").alias("tree", "key"))
     crowd = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut_lineage(slots.join(crowd.hint("merge"), ["tree", "key"], "left_semi").select("node").distinct())
-    met = cut_lineage(distinct.drop("keys").join(met.hint("merge"), "node", "left_semi").withColumnRenamed("first_id", "doc_id"))
+    met = settle(slots.join(crowd.hint("merge"), ["tree", "key"], "left_semi").select("node").distinct())
+    met = settle(distinct.drop("keys").join(met.hint("merge"), "node", "left_semi").withColumnRenamed("first_id", "doc_id"))
     deepest = f"k{depth}"
     more = "".join(f", k{d} array<long>" for d in range(floor, depth + 1))
-    nodes = cut_lineage(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
+    nodes = settle(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
     distinct = distinct.drop("keys")
-    release(spark)
     found, counts, middle = None, np.zeros(SIMILARITY_BINS), least + (np.arange(SIMILARITY_BINS) + 0.5) / SIMILARITY_BINS * (1 - least)
     for d in range(depth, floor - 1, -1) if not nodes.isEmpty() else ():
         own = f"k{d}"
         known = [(own, True)] + ([(f"k{d + 1}", False)] if own != deepest else [])
-        buckets = cut_lineage(crowded(nodes, own, known))
-        step = cut_lineage(compare_buckets(nodes, own, buckets, least, known))
+        buckets = settle(crowded(nodes, own, known))
+        step = settle(compare_buckets(nodes, own, buckets, least, known))
         found = step if found is None else found.unionByName(step)
         for row in step.select(F.posexplode("similar").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
             counts[row["bin"]] += row["n"]
@@ -126,7 +125,7 @@ def similarity_join(
     out = distinct.join(linked, "node", "left").select(
         "node", "first_id", "copies", F.coalesce("label", "node").alias("label"), F.coalesce("n_texts", F.lit(0)).alias("n_texts"), F.coalesce("n_copies", F.lit(0)).alias("n_copies")
     )
-    return members, cut_lineage(out)
+    return members, settle(out)
 
 
 def join_texts(docs: DataFrame, **options) -> DataFrame:

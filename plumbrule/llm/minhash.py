@@ -9,15 +9,14 @@ a pair.
 from __future__ import annotations
 
 import functools
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.session import cut_lineage
+from plumbrule.llm.steps import settle
 from plumbrule.llm.text import grouped, mix
 
 SIZE = 5
@@ -213,7 +212,7 @@ def label_components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     from plumbrule.operators.density import components
 
     edges = links.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b"))
-    touched = cut_lineage(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node")))
+    touched = settle(edges.select("a").unionByName(edges.select(F.col("b").alias("a"))).distinct().select(F.col("a").alias("node")))
     return components(touched, edges) if not touched.isEmpty() else touched.withColumn("label", F.col("node"))
 
 
@@ -229,12 +228,6 @@ def shingle_sets(texts: DataFrame, wanted: DataFrame, sets_of: Callable[[pa.Reco
     return found.join(wanted.select("node").distinct().hint("merge"), "node", "left_semi").dropDuplicates(["node"])
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written; it does so when the driver frees their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def needed_trees(depth: int, least: float, recall: float) -> int:
     """Trees that give a pair with similarity ``least`` the wanted chance to share a prefix."""
     return int(np.ceil(np.log(1 - recall) / np.log(1 - least**depth)))

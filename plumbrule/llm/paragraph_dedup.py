@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StructType
 
-from plumbrule.core.session import cut_lineage
 from plumbrule.llm.minhash import LEAST, SIZE, compare_buckets, crowded, label_components, needed_trees, prefix_keys, shingle_sets, signatures
+from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, byte_class, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
 
 MIN_WORDS = 15
@@ -114,26 +114,26 @@ def repeated_paragraphs(docs: DataFrame, *, least: float = LEAST, least_words: i
     names = [f"k{i}" for i in range(bands)]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, mark long, begin long, end long, node binary, n_shingles long, " + ", ".join(f"{k} long" for k in names)
-    every = cut_lineage(docs.select("doc_id", "mark", "text").mapInArrow(_sign(bands, least_words), schema))
+    every = settle(docs.select("doc_id", "mark", "text").mapInArrow(_sign(bands, least_words), schema))
     # keys of equal words are equal, so any aggregate gives them; this one is combined before the shuffle
     distinct = every.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies"), F.min("n_shingles").alias("n_shingles"), *[F.min(k).alias(k) for k in names])
-    distinct = cut_lineage(distinct.select("node", "doc_id", "copies", "n_shingles", F.array(*names).alias("keys")))
+    distinct = settle(distinct.select("node", "doc_id", "copies", "n_shingles", F.array(*names).alias("keys")))
     slots = distinct.select("node", F.posexplode("keys").alias("tree", "key"))
     crowd = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = cut_lineage(slots.join(crowd, ["tree", "key"], "left_semi").select("node").distinct())
-    met = cut_lineage(distinct.join(met, "node", "left_semi"))
-    nodes = cut_lineage(met.join(shingle_sets(docs.select("doc_id", "text"), met.select("doc_id", "node"), _sets(least_words)), "node"))
+    met = settle(slots.join(crowd.hint("merge"), ["tree", "key"], "left_semi").select("node").distinct())
+    met = settle(distinct.join(met.hint("merge"), "node", "left_semi"))
+    nodes = settle(met.join(shingle_sets(docs.select("doc_id", "text"), met.select("doc_id", "node"), _sets(least_words)), "node"))
     known = [("keys", True)]
     if nodes.isEmpty():
         labels = distinct.select("node", F.col("node").alias("label")).limit(0)
     else:
-        found = cut_lineage(compare_buckets(nodes, "keys", crowded(nodes, "keys", known), least, known))
+        found = settle(compare_buckets(nodes, "keys", crowded(nodes, "keys", known), least, known))
         labels = label_components(nodes.select("node"), found)
     linked = distinct.join(labels, "node", "left").where("copies > 1 OR label IS NOT NULL").select("node", F.coalesce("label", "node").alias("label"))
-    spots = cut_lineage(every.select("doc_id", "mark", "begin", "end", "node").join(linked, "node").drop("node"))
+    spots = settle(every.select("doc_id", "mark", "begin", "end", "node").join(linked.hint("merge"), "node").drop("node"))
     firsts = spots.groupBy("label").agg(F.min(F.struct("doc_id", "begin", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     same = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("begin") == F.col("first.begin")) & (F.col("mark") == F.col("first.mark"))
-    return spots.join(firsts, "label").select("doc_id", "mark", "begin", "end", "label", same.alias("kept"), F.col("first.doc_id").alias("kept_in"))
+    return spots.join(firsts.hint("merge"), "label").select("doc_id", "mark", "begin", "end", "label", same.alias("kept"), F.col("first.doc_id").alias("kept_in"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -193,7 +193,7 @@ def dedup_paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
     other columns play no part; an empty table gives an empty result.
     """
     rows = marked(docs, key, text)
-    removed = cut_lineage(repeated_paragraphs(rows, **options).where("NOT kept"))
+    removed = settle(repeated_paragraphs(rows, **options).where("NOT kept"))
     keepers = removed.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("kept_in")).alias("kept_in"))
     return without_spans(rows, removed).join(keepers, ["doc_id", "mark"], "left")
 
