@@ -18,16 +18,15 @@ their own hashes.  That changes only which task compares what.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.session import cut_lineage
 from plumbrule.llm.paragraph_dedup import marked, without_spans
+from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, mix, packed, plain_strings, raw_bytes, span_hashes
 
 LENGTH = 50
@@ -35,10 +34,10 @@ GRAM = 18
 #: Anchors, or segments, that a task merges before it sends them on.
 CHUNK = 500_000
 #: An anchor with this share of all is cut up by its windows; there are at most as many as the inverse.
-HEAVY_SHARE = 1 / 20_000
+HEAVY_SHARE = 1 / 5_000_000
 HEAVY_LEAST = 2_000
-#: Bytes of segments sorted at once.
-SORTED_BYTES = 1 << 20
+#: Bytes of segments sorted at once, so that the ranks stay in the processor's cache.
+SORTED_BYTES = 1 << 18
 _PLACE = np.uint64((1 << 26) - 1)
 
 
@@ -236,26 +235,52 @@ def _segments(length: int, heavy):
     return run
 
 
+def _dense(code: np.ndarray) -> np.ndarray:
+    """Rank of each number, equal numbers sharing one."""
+    order = np.argsort(code)
+    ordered = code[order]
+    out = np.empty(len(code), np.uint64)
+    new = np.ones(len(code), np.uint64)
+    new[1:] = ordered[1:] != ordered[:-1]
+    out[order] = np.cumsum(new)
+    return out
+
+
 def depth_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Rank of the suffix at each start in the order of its first ``length`` bytes; equal strings share a rank.
 
-    Prefix doubling: ranks of 8 bytes, then of twice as many, and last of two overlapping parts that
-    together have ``length`` bytes.
+    As in prefix doubling, the order of longer strings follows from the ranks of two or three parts, which may
+    overlap; only the places that a later step asks for are ranked.
     """
-    padded = np.concatenate([data, np.zeros(2 * length + 8, np.uint8)])
-    code = np.zeros(len(data) + length, np.uint64)
+    steps, depth = [], min(8, length)
+    while depth < length:
+        new = min(3 * depth, length)
+        steps.append([0, new - depth] if new <= 2 * depth else [0, depth, new - depth])
+        depth = new
+    places = [starts]
+    for offsets in reversed(steps):
+        asked = np.zeros(len(data), bool)
+        for o in offsets:
+            asked[places[-1] + o] = True
+        places.append(np.flatnonzero(asked))
+    place = places.pop()
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    code = np.zeros(len(place), np.uint64)
     for i in range(min(8, length)):
-        code = (code << np.uint64(8)) | padded[i : i + len(code)]
-    depth = min(8, length)
-    rank = np.unique(code, return_inverse=True)[1].astype(np.uint64)
-    while depth * 2 <= length:
-        pair = rank * np.uint64(len(rank) + 1)
-        pair[:-depth] += rank[depth:] + np.uint64(1)
-        rank = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        depth *= 2
-    if depth == length:
-        return rank[starts]
-    return np.unique(rank[starts] * np.uint64(len(rank) + 1) + rank[starts + length - depth], return_inverse=True)[1]
+        code = (code << np.uint64(8)) | padded[place + i]
+    full = np.zeros(len(data), np.uint64)
+    rank = _dense(code)
+    for offsets in steps:
+        full[place] = rank
+        place = places.pop()
+        base = np.uint64(len(data) + 1)
+        code = full[place + offsets[0]]
+        for o in offsets[1:]:
+            if len(data) >= 1 << 21:  # three ranks would not fit one number
+                code = _dense(code)
+            code = code * base + full[place + o]
+        rank = _dense(code)
+    return rank - np.uint64(1)
 
 
 def previous_factors(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -332,12 +357,6 @@ def _matches(length: int):
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose results are written; it does so when the driver frees their plans."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """``doc_id, mark, begin, end``: byte spans whose every window of ``length`` bytes has an earlier match.
 
@@ -348,25 +367,24 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.where("doc_id IS NOT NULL")
     size = F.octet_length("text").cast("long")
-    ids = cut_lineage(docs.where(size >= length).select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("sum"), size.alias("n")))
+    ids = settle(docs.where(size >= length).select("doc_id", "mark", F.md5(F.col("text").cast("binary")).alias("sum"), size.alias("n")))
     total = ids.agg(F.sum("n")).first()[0] or 0
     copies = ids.groupBy("sum").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    dead = cut_lineage(ids.join(copies, "sum").where("doc_id > first_id").select("doc_id", "mark", "n").distinct())
+    dead = settle(ids.join(copies.hint("merge"), "sum").where("doc_id > first_id").select("doc_id", "mark", "n").distinct())
     heavy_from = max(HEAVY_LEAST, int(total / (length / 3) * HEAVY_SHARE))
     rows = docs.where(size >= length)
     anchors = rows.select("doc_id", "text").mapInArrow(_anchors(length), "route long, key long, doc_id long, n long")
-    pairs = cut_lineage(anchors.repartition("route").sortWithinPartitions("route", "key").mapInArrow(_repeated(heavy_from), "doc_id long, key long"))
-    release(spark)
+    pairs = settle(anchors.repartition("route").sortWithinPartitions("route", "key").mapInArrow(_repeated(heavy_from), "doc_id long, key long"))
     # bounded: every one of these stands for heavy_from anchors
     heavy = np.array([r["key"] for r in pairs.where("doc_id IS NULL").select("key").distinct().collect()], np.int64).view(np.uint64)
     lists = pairs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.collect_list("key").alias("keys"))
-    live = ids.select("doc_id", "mark").distinct().join(dead.select("doc_id", "mark"), ["doc_id", "mark"], "left_anti").join(lists, "doc_id")
+    live = ids.select("doc_id", "mark").distinct().join(dead.select("doc_id", "mark").hint("merge"), ["doc_id", "mark"], "left_anti").join(lists.hint("merge"), "doc_id")
+    live = settle(live)
     # live grows with the input, so it is never broadcast
     texts = rows.join(live.hint("merge"), ["doc_id", "mark"]).select("doc_id", "mark", "text", "keys")
     segments = texts.mapInArrow(_segments(length, spark.sparkContext.broadcast(heavy)), SEGMENTS)
     spans = segments.repartition("route").sortWithinPartitions("route").mapInArrow(_matches(length), SPANS)
-    spans = cut_lineage(spans)
-    release(spark)
+    spans = settle(spans)
     return spans.unionByName(dead.select("doc_id", "mark", F.lit(0).cast("long").alias("begin"), F.col("n").alias("end")))
 
 
