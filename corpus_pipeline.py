@@ -8,7 +8,7 @@ the operators that the stages call.  An empty table stays empty.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbrule.core.session import cut_lineage
@@ -19,15 +19,21 @@ from plumbrule.plans.registry import table
 
 
 def _wrapped(docs: DataFrame) -> DataFrame:
-    """``doc_id, mark, text`` beside the whole row, so that other columns cannot clash with new ones."""
-    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.struct(*docs.columns).alias("row"))
+    """``doc_id, mark, text`` beside the rest of the row, so that other columns cannot clash with new ones."""
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("row"))
+
+
+def _unwrapped(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
+    """The columns of ``docs`` from wrapped rows, some of them replaced."""
+    own = {"text": F.col("text")} | new
+    return rows.select(*[own[c].alias(c) if c in own else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
     """Documents whose nearest labelled texts are mostly of low quality go; texts without a character to judge stay."""
     rows = _wrapped(docs)
     model = quality_knn.fit(rows.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 4) == 2)
-    return quality_knn.score(rows.select("text", "row"), model).where(F.col("score") >= threshold).select("row.*")
+    return _unwrapped(quality_knn.score(rows.select("text", "row"), model).where(F.col("score") >= threshold), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = _wrapped(docs).withColumn("id", F.struct("doc_id", "mark"))
     classes = forest_join.join_texts(rows.select("id", "text"), key="id")
     first = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("id")).distinct()
-    return rows.join(first, "id", "left_semi").dropDuplicates(["id"]).select("row.*")
+    return _unwrapped(rows.join(first, "id", "left_semi").dropDuplicates(["id"]), docs)
 
 
 def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,11 +53,10 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     out = without_spans(rows, suffix_dedup.repeated_spans(rows.select("doc_id", "mark", "text")))
     changed = F.size("spans") > 0
     left = F.regexp_replace(F.make_valid_utf8(F.col("kept_text").cast("string")), "�", "")
-    new = {"text": F.when(changed, left).otherwise(F.col("row.text"))}
+    new = {"text": F.when(changed, left).otherwise(F.col("text"))}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(changed, F.length(left)).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    kept = out.where(~changed | (F.octet_length("kept_text") > 0))
-    return kept.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
+    return _unwrapped(out.where(~changed | (F.octet_length("kept_text") > 0)), docs, **new)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
