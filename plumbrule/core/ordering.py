@@ -44,19 +44,35 @@ def range_count(df: DataFrame) -> int:
     return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: Tasks among which the sketches of all map tasks are merged before the last one.
+LEAVES = 64
+
+
 def cut_points(df: DataFrame, columns: Sequence[str], parts: int | None = None) -> dict[str, list[float]]:
     """Approximate quantiles of every column in one pass; at most ``parts`` numbers per column."""
     types = field_types(df)
     parts = parts or range_count(df)
     base = df.select(*[order_number(c, types[c]).alias(f"x{i}") for i, c in enumerate(columns)])
-    row = base.agg(*[_grid_quantiles(f"x{i}", range(1, parts), parts).alias(f"c{i}") for i in range(len(columns))]).first()
-    return {c: sorted({float(v) for v in (row[f"c{i}"] or []) if v == v}) for i, c in enumerate(columns)}
+    row = _grid_quantiles(base, len(columns), range(1, parts), parts)
+    return {c: sorted({float(v) for v in (row[f"g{i}"] or []) if v == v}) for i, c in enumerate(columns)}
+
 
+def _grid_quantiles(base: DataFrame, width: int, steps: range, grid: int):
+    """One row: ``rows``, and for each column ``x0..`` its value count ``n`` and quantiles ``g`` at ``steps / grid``.
 
-def _grid_quantiles(column: str, steps: range, grid: int) -> Column:
-    """Approximate quantiles at ``steps / grid``; parsed from text, as thousands of literal objects are slow to make."""
-    probs = ", ".join(repr(i / grid) + "D" for i in steps)
-    return F.expr(f"percentile_approx({column}, array({probs}), {max(1000, 10 * grid)})")
+    Every map task makes one sketch per column; these meet in ``LEAVES`` tasks, whose results meet in one.  The
+    size of a sketch depends on the grid only.
+    """
+    size = F.lit(min(65_535, max(200, 8 * grid)))
+    leaf = F.pmod(F.spark_partition_id(), F.lit(LEAVES))
+    sums = [x for i in range(width) for x in (F.count(f"x{i}").alias(f"n{i}"), F.kll_sketch_agg_double(f"x{i}", size).alias(f"s{i}"))]
+    leaves = base.withColumn("_leaf", leaf).groupBy("_leaf").agg(F.count(F.lit(1)).alias("rows"), *sums)
+    merged = [x for i in range(width) for x in (F.sum(f"n{i}").alias(f"n{i}"), F.kll_merge_agg_double(f"s{i}", size).alias(f"s{i}"))]
+    whole = leaves.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"), *merged)
+    # parsed from text, as thousands of literal objects are slow to make
+    ranks = ", ".join(repr(i / grid) + "D" for i in steps)
+    quantiles = lambda i: F.expr(f"CASE WHEN n{i} > 0 THEN kll_sketch_get_quantile_double(s{i}, array({ranks})) END")
+    return whole.select("rows", *[x for i in range(width) for x in (F.coalesce(f"n{i}", F.lit(0)).alias(f"n{i}"), quantiles(i).alias(f"g{i}"))]).first()
 
 
 def add_ranges(df: DataFrame, cuts: dict[str, list[float]], outputs: dict[str, str]) -> DataFrame:
@@ -239,14 +255,7 @@ def _sketch(df: DataFrame, columns: Sequence[str], grid: int) -> tuple[int, dict
     """Row count, and per column its present-value count and an even grid of approximate quantiles; one pass."""
     types = field_types(df)
     base = df.select(*[as_double(c, types[c]).alias(f"x{i}") for i, c in enumerate(columns)])
-    row = base.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[
-            x
-            for i in range(len(columns))
-            for x in (F.count(f"x{i}").alias(f"n{i}"), _grid_quantiles(f"x{i}", range(grid + 1), grid).alias(f"g{i}"))
-        ],
-    ).first()
+    row = _grid_quantiles(base, len(columns), range(grid + 1), grid)
     return row["rows"], {c: (row[f"n{i}"], row[f"g{i}"] or []) for i, c in enumerate(columns)}
 
 
