@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -84,3 +86,9 @@ def word_count(text: str | Column) -> Column:
 
 def utc_date(ts: str | Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd")
+
+
+def hashed_normal(seed: int, *parts: Column | str) -> Column:
+    """Box-Muller normal number from a hash of the parts, the same on every run and cluster."""
+    u = [F.xxhash64(F.lit(seed + j), *parts).cast("double") / 2.0**64 + 0.5 for j in (0, 1)]
+    return F.sqrt(-2 * F.ln(F.greatest(u[0], F.lit(1e-12)))) * F.cos(2 * math.pi * u[1])

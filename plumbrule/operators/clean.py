@@ -7,8 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbrule.core.frames import field_types, require_columns, value_of, with_nulls
+from plumbrule.core.frames import field_types, quoted, require_columns, value_of, with_nulls
 from plumbrule.core.ordering import medians, ordered_index
+from plumbrule.functions.columns import hashed_normal
 
 
 def clean_dataframe(df: DataFrame) -> DataFrame:
@@ -67,9 +68,10 @@ def median_binarize(df: DataFrame, columns: Sequence[str], fitted: dict[str, flo
     return df.withColumns({c: (F.col(c) > F.lit(cut[c])).cast("int") for c in columns})
 
 
-def add_noise(df: DataFrame, columns: Sequence[str], sigma: float, seed: int = 42) -> DataFrame:
-    """Add normal noise to the columns."""
-    return df.withColumns({c: F.col(c) + F.randn(seed + i) * sigma for i, c in enumerate(columns)})
+def add_noise(df: DataFrame, columns: Sequence[str], sigma: float, seed: int = 42, key: Sequence[str] | None = None) -> DataFrame:
+    """Add normal noise to the columns, drawn from the row's ``key`` (default: all its values), so the same on every cluster."""
+    names = [quoted(c) for c in key or df.columns]
+    return df.withColumns({c: F.col(quoted(c)) + hashed_normal(seed, F.lit(i), *names) * sigma for i, c in enumerate(columns)})
 
 
 def complete_rows(df: DataFrame) -> DataFrame:

@@ -97,6 +97,22 @@ class Bagging:
         return total
 
 
+#: Fixed values that the weights of known models agree with: the largest error that counts as none, the weight of a
+#: faultless round, and weight and error of the lone tree when no round beats guessing.
+FAULTLESS = 1e-12
+FAULTLESS_WEIGHT = 1e6
+LONE_WEIGHT = 1.0
+LONE_ERROR = 0.5
+
+
+def round_weight(error: float, classes: int, rate: float) -> float | None:
+    """Weight of a round by the multi-class exponential loss (Zhu and others, 2009); None if it does not beat guessing."""
+    if error <= FAULTLESS:
+        return rate * FAULTLESS_WEIGHT
+    odds = (1 - error) / error * (classes - 1)
+    return rate * math.log(odds) if odds > 1 else None
+
+
 class Samme:
     """Multi-class boosting of weighted stumps; weights live in a column and lineage is cut now and then."""
 
@@ -111,25 +127,25 @@ class Samme:
         k, self.features = int(facts["k"]), list(features)
         data = cut_lineage(data.withColumn("w", F.lit(1.0 / facts["n"])))
         self.classes, self.models, self.alphas, self.errors = k, [], [], []
-        for i in range(self.rounds):
-            tree = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="w", maxDepth=self.depth, seed=self.seed + i).fit(data)
+        while len(self.models) < self.rounds:
+            number = len(self.models)
+            tree = DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, weightCol="w", maxDepth=self.depth, seed=self.seed + number).fit(data)
             scored = tree.transform(data).withColumn("bad", (F.col("prediction") != F.col(LABEL)).cast("double"))
-            s = scored.agg((F.sum(F.col("w") * F.col("bad")) / F.sum("w")).alias("e")).first()["e"]
-            if s <= 1e-12:
-                self._add(tree, self.rate * 1e6, 0.0)
+            error = scored.agg((F.sum(F.col("w") * F.col("bad")) / F.sum("w")).alias("e")).first()["e"]
+            weight = round_weight(error, k, self.rate)
+            if weight is None:
                 break
-            if s >= 1 - 1 / k:
+            faultless = error <= FAULTLESS
+            self._add(tree, weight, 0.0 if faultless else error)
+            if faultless:
                 break
-            s = min(max(s, 1e-12), 1 - 1e-12)
-            alpha = self.rate * (math.log((1 - s) / s) + math.log(k - 1))
-            self._add(tree, alpha, s)
             # the sum of the new weights is known from the error, so no extra pass is needed to normalise
-            total = (1 - s) + s * math.exp(alpha)
-            data = scored.select(LABEL, FEATURES, (F.col("w") * F.exp(alpha * F.col("bad")) / total).alias("w"))
-            if (i + 1) % CUT_EVERY == 0:
+            total = (1 - error) + error * math.exp(weight)
+            data = scored.select(LABEL, FEATURES, (F.col("w") * F.exp(weight * F.col("bad")) / total).alias("w"))
+            if (number + 1) % CUT_EVERY == 0:
                 data = cut_lineage(data)
         if not self.models:
-            self._add(DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, maxDepth=self.depth).fit(data), 1.0, 0.5)
+            self._add(DecisionTreeClassifier(featuresCol=FEATURES, labelCol=LABEL, maxDepth=self.depth).fit(data), LONE_WEIGHT, LONE_ERROR)
         return self
 
     def _add(self, model, alpha: float, error: float) -> None:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbrule.core.frames import quoted
+from plumbrule.functions.columns import hashed_normal
 from plumbrule.operators.clean import even_sample
 
 MAX_EXACT = 10
@@ -96,13 +97,7 @@ def lime(rows: DataFrame, key: str, features: Sequence[str], scales: Sequence[fl
     width = width or 0.75 * math.sqrt(d)
     base = rows.select(F.col(quoted(key)).alias("id"), *[F.col(quoted(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
     made = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("s"))
-
-    def normal(i: int) -> Column:
-        """Box-Muller normal number from the row, the sample and the feature, the same on every run."""
-        u = [F.xxhash64(F.lit(seed + j), "id", "s", F.lit(i)).cast("double") / 2.0**64 + 0.5 for j in (0, 1)]
-        return F.sqrt(-2 * F.ln(F.greatest(u[0], F.lit(1e-12)))) * F.cos(2 * math.pi * u[1])
-
-    made = made.withColumns({f"z{i}": normal(i) for i in range(d)})
+    made = made.withColumns({f"z{i}": hashed_normal(seed, "id", "s", F.lit(i)) for i in range(d)})
     moved = made.select("id", *[f"z{i}" for i in range(d)], *[(F.col(f"x{i}") + F.col(f"z{i}") * float(scales[i])).alias(f) for i, f in enumerate(features)])
     scored = score(moved)
     gap2 = sum((F.col(f"z{i}") * F.col(f"z{i}") for i in range(d)), F.lit(0.0))

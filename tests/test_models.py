@@ -313,6 +313,22 @@ def test_nearest_information_brute_force(spark):
     assert nearest_information(df, "g", ["x"]).first()["mutual_information"] == pytest.approx(want, abs=0.02)
 
 
+def test_noise_does_not_depend_on_partitions(spark):
+    from plumbrule.operators.clean import add_noise
+
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(3000)], "id long, x double")
+    one, two = (sorted(add_noise(f, ["x"], 2.0, key=["id"]).collect()) for f in (df.coalesce(1), df.repartition(7)))
+    assert one == two
+    gaps = np.array([r["x"] - r["id"] % 7 for r in one])
+    assert abs(gaps.mean()) < 0.15 and abs(gaps.std() - 2) < 0.15
+
+
+def test_round_weights():
+    assert ensembles.round_weight(0.0, 3, 0.5) == 5e5
+    assert ensembles.round_weight(0.7, 3, 1.0) is None
+    assert ensembles.round_weight(0.25, 3, 1.0) == pytest.approx(np.log(3) + np.log(2))
+
+
 def test_nearest_information_of_tied_values(spark):
     """A number that determines forty classes tells all of them; one that is the same everywhere tells nothing."""
     from plumbrule.operators.association import nearest_information
