@@ -36,7 +36,7 @@ def source_weights(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2)) -> Da
     keyed = sizes.withColumn("absent", F.col("source").isNull().cast("int"))
     order = ordered_index(keyed.where("absent = 0").select("source"), ["source"], name="number").withColumn("number", F.col("number").cast("long"))
     known = keyed.where("absent = 0").join(order, "source")
-    last = keyed.where("absent = 1").crossJoin(order.agg(F.count(F.lit(1)).alias("number")))
+    last = keyed.where("absent = 1").withColumn("number", order.agg(F.count(F.lit(1))).scalar())
     numbered = known.unionByName(last)
     turn = F.pmod(F.col("number"), F.lit(len(weights))).cast("int")
     return numbered.select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), turn + 1).cast("double").alias("weight"))
