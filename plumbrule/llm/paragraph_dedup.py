@@ -1,8 +1,13 @@
-"""Removal of paragraphs that occur, exactly or nearly, in an earlier document.
+"""Removal of paragraphs and passages that occur, exactly or nearly, in an earlier document.
 
 A line is a paragraph; a long line is cut on at sentence ends that its own words choose, so a passage is cut
 alike wherever it stands.  Neighbouring pieces that are too short to be compared make one paragraph.  Paragraphs with the same words are one node; different ones meet by MinHash bands,
 are compared exactly, and form components.  The first paragraph of each component stays.
+
+What is left is compared in windows of ``MIN_WORDS`` words that lie anywhere, across lines and sentences.  Of
+every ``WINNOW`` windows in a row the one with the smallest hash is taken (winnowing), so equal passages of
+``MIN_WORDS + WINNOW - 1`` words always share one, and all their words but ``WINNOW - 1`` at each end lie in
+shared ones.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ from pyspark.sql.types import ArrayType, StructType
 
 from plumbrule.llm.minhash import LEAST, SIZE, compare_buckets, crowded, label_components, needed_trees, prefix_keys, shingle_sets, signatures
 from plumbrule.llm.steps import settle
-from plumbrule.llm.text import blocks, byte_class, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
+from plumbrule.llm.text import blocks, byte_class, digests, grouped, mix, packed, plain_strings, raw_bytes, shingle_hashes, tokens
 
 MIN_WORDS = 15
 #: One sentence end in so many also ends the paragraph.
 SENTENCES = 4
+#: Of so many windows in a row at least one is compared.
+WINNOW = 10
 ROWS_PER_BAND = 2
 RECALL = 0.995
 _ENDS = byte_class(".!?", False)
@@ -136,6 +143,85 @@ def repeated_paragraphs(docs: DataFrame, *, least: float = LEAST, least_words: i
     return spots.join(firsts.hint("merge"), "label").select("doc_id", "mark", "begin", "end", "label", same.alias("kept"), F.col("first.doc_id").alias("kept_in"))
 
 
+def chosen_windows(hashes: np.ndarray, counts: np.ndarray, winnow: int = WINNOW) -> np.ndarray:
+    """Numbers of the hashes that are the smallest, and of equal ones the last, of ``winnow`` neighbours in their text.
+
+    A text with fewer hashes has its smallest.
+    """
+    chosen = np.zeros(len(hashes), bool)
+    if len(hashes) >= winnow:
+        width = len(hashes) - winnow + 1
+        best, place = hashes[:width].copy(), np.arange(width)
+        for j in range(1, winnow):
+            own = hashes[j : j + width]
+            lower = own <= best
+            best[lower] = own[lower]
+            place[lower] = np.flatnonzero(lower) + j
+        owner = np.repeat(np.arange(len(counts)), counts)
+        chosen[place[owner[:width] == owner[winnow - 1 :]]] = True
+    few = np.repeat(counts < winnow, counts)
+    chosen |= few & (hashes == np.repeat(grouped(np.minimum, hashes, counts, np.uint64(0)), counts))
+    return np.flatnonzero(chosen)
+
+
+def _windows(column: pa.Array, least_words: int):
+    """(text number, first byte in the text, end, hash, second hash) of every chosen window of ``least_words`` words."""
+    buf, offsets = raw_bytes(plain_strings(column))
+    starts, ends, words, counts = tokens(_lower()[buf], offsets)
+    counts = np.where(counts >= least_words, counts, 0)
+    enough = np.repeat(counts > 0, np.diff(np.searchsorted(starts, offsets)))
+    starts, ends, words = starts[enough], ends[enough], words[enough]
+    hashes, n = shingle_hashes(words, counts, least_words)
+    first = np.arange(len(hashes)) + np.repeat((np.cumsum(counts) - counts) - (np.cumsum(n) - n), n)
+    at = chosen_windows(hashes, n)
+    text, first = np.repeat(np.arange(len(n)), n)[at], first[at]
+    check = np.zeros(len(at), np.uint64)
+    for i in range(least_words):
+        check = mix(check + words[first + i])
+    return text, starts[first] - offsets[text], ends[first + least_words - 1] - offsets[text], hashes[at].view(np.int64), (check >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _hash_windows(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(_windows(block.column(0), least_words)[3])], names=["window"])
+
+    return run
+
+
+def _place_windows(least_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            text, begin, end, window, check = _windows(block.column(2), least_words)
+            own = pa.array(text)
+            yield pa.RecordBatch.from_arrays(
+                [block.column(0).take(own), block.column(1).take(own), *map(pa.array, (begin, end, window, check))], names=["doc_id", "mark", "begin", "end", "window", "check"]
+            )
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, gone: DataFrame, *, least_words: int = MIN_WORDS) -> DataFrame:
+    """``doc_id, mark, begin, end, kept_in`` of every chosen window that an earlier document has.
+
+    ``docs`` has ``doc_id, mark, text``; windows that touch a span of ``gone`` (``doc_id, mark, begin, end``) are
+    left out, so a document never loses words for the sake of a place that is removed itself.
+    """
+    docs = docs.where("doc_id IS NOT NULL")
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    # only hashes are counted at first; the places of those that occur once are dropped before they are grouped
+    hashes = docs.select("text").mapInArrow(_hash_windows(least_words), "window long")
+    several = settle(hashes.groupBy("window").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("window"))
+    places = docs.select("doc_id", "mark", "text").mapInArrow(_place_windows(least_words), f"doc_id {id_type}, mark long, begin long, end long, window long, check int")
+    places = places.join(several.hint("merge"), "window", "left_semi")
+    lists = gone.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("begin", "end")).alias("gone"))
+    touched = F.exists("gone", lambda s: (s["begin"] < F.col("end")) & (s["end"] > F.col("begin")))
+    left = settle(places.join(lists.hint("merge"), ["doc_id", "mark"], "left").where(~F.coalesce(touched, F.lit(False))).drop("gone"))
+    own = F.struct("doc_id", "mark")
+    firsts = left.groupBy("window", "check").agg(F.min(own).alias("first"), F.max(own).alias("last")).where("first != last").drop("last")
+    return left.join(firsts.hint("merge"), ["window", "check"]).where(own != F.col("first")).select("doc_id", "mark", "begin", "end", F.col("first.doc_id").alias("kept_in"))
+
+
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Sorted spans, those that touch made one."""
     out: list[tuple[int, int]] = []
@@ -188,12 +274,16 @@ def dedup_paragraphs(docs: DataFrame, *, key: str = "doc_id", text: str = "text"
 
     A paragraph with at least ``least_words`` words goes if an earlier one, in the order of ``doc_id`` and
     place, is equal or at least ``least`` similar to it or to another of its component; this holds inside a
-    text as well.  ``kept_in`` lists the documents that keep the removed paragraphs.  NULL and empty texts
+    text as well.  Of the rest, passages that an earlier document has word for word go wherever they begin: all
+    of ``least_words + WINNOW - 1`` words or more, but for up to ``WINNOW - 1`` words at each end, and shorter
+    ones of at least ``least_words`` words if they hold a chosen window.  ``kept_in`` lists the documents that keep the removed paragraphs.  NULL and empty texts
     have no paragraphs; rows without an id keep all; rows repeated with the same id and text are one document, so both keep what it keeps;
     other columns play no part; an empty table gives an empty result.
     """
     rows = marked(docs, key, text)
-    removed = settle(repeated_paragraphs(rows, **options).where("NOT kept"))
+    whole = settle(repeated_paragraphs(rows, **options).where("NOT kept").select("doc_id", "mark", "begin", "end", "kept_in"))
+    passages = repeated_passages(rows, whole, least_words=options.get("least_words", MIN_WORDS))
+    removed = settle(whole.unionByName(passages))
     keepers = removed.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("kept_in")).alias("kept_in"))
     return without_spans(rows, removed).join(keepers, ["doc_id", "mark"], "left")
 
