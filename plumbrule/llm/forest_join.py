@@ -2,10 +2,9 @@
 
 Every text has one label of ``DEPTH`` minimum hashes per tree.  A tree is the prefix trie of its labels: a
 node of the trie is the bucket of texts that share a prefix.  The join begins with whole labels and shortens
-the prefix by one number at a time.  After each step all new pairs have been verified exactly, and the found
-similarities, weighted by the chance with which the forest finds such a pair at this depth, give an estimate
-of the recall.  The join stops when the estimate and, at the similarity threshold itself, the theoretical
-chance reach the target, or the estimate does so with the bulk of pairs well above the threshold.
+the prefix by one number at a time.  After each step all new pairs have been verified exactly.  The join stops
+when a pair at the similarity threshold itself is found with the target chance: what has been found so far
+never stops it, since one large group of very similar texts would then decide for the pairs of all others.
 """
 
 from __future__ import annotations
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.llm.minhash import (
-    LEAST, SIMILARITY_BINS, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
+    LEAST, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
 )
 from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
@@ -106,17 +105,13 @@ def similarity_join(
     more = "".join(f", k{d} array<long>" for d in range(floor, depth + 1))
     nodes = settle(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
     distinct = distinct.drop("keys")
-    found, counts, middle = None, np.zeros(SIMILARITY_BINS), least + (np.arange(SIMILARITY_BINS) + 0.5) / SIMILARITY_BINS * (1 - least)
+    found = None
     for d in range(depth, floor - 1, -1) if not nodes.isEmpty() else ():
         own = f"k{d}"
         known = [(own, True)] + ([(f"k{d + 1}", False)] if own != deepest else [])
         buckets = settle(crowded(nodes, own, known))
         step = settle(compare_buckets(nodes, own, buckets, least, known))
         found = step if found is None else found.unionByName(step)
-        for row in step.select(F.posexplode("similar").alias("bin", "n")).groupBy("bin").agg(F.sum("n").alias("n")).collect():
-            counts[row["bin"]] += row["n"]
-        if counts.sum() and counts.sum() / (counts / recall_at(middle, d, trees)).sum() >= recall:
-            break
     if found is None:
         found = spark.createDataFrame([], "node binary, root binary, n_texts long, n_copies long, similar array<long>")
     labels = label_components(nodes.select("node"), found)
