@@ -3,7 +3,7 @@
 Texts are read as lower-case words with single spaces, in UTF-8 bytes.  A document holds an item if some part
 of it is within ``SHARE`` of the item's length in edit distance.
 
-1. Windows begin at words and have the length of a class of items.  A window that has an item keeps a known
+1. Windows begin at words, in scripts without spaces at every code point, and have the length of a class of items.  A window that has an item keeps a known
    number of the item's byte 8-grams, so windows with fewer 8-grams of the class are passed over at once; no
    window with an item is.
 2. The random walk of Chakraborty, Goldenberg and Koucky turns window and item into strings in which few edits
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.core.session import cut_lineage
-from plumbrule.llm.text import TOKEN, blocks, mix, packed, plain_strings, raw_bytes
+from plumbrule.llm.text import TOKEN, blocks, mix, packed, plain_strings, raw_bytes, spaceless_breaks
 
 SHARE = 0.08
 GRAM = 8
@@ -259,7 +259,9 @@ def _find(shared):
             hits = np.flatnonzero(classes)
             classes = classes[hits]
             word = buf > 32
-            first = np.flatnonzero(word & ~np.concatenate([[False], word[:-1]]))
+            fresh = ~np.concatenate([[False], word[:-1]])
+            fresh[spaceless_breaks(buf[:-1])] = True
+            first = np.flatnonzero(word & fresh)
             starts, lows = [], []
             for i, low in enumerate(index.lows):
                 own = dense_starts(hits[classes >> np.uint32(i % 32) & np.uint32(1) > 0], first, low, kept_grams(low, index.share))

@@ -88,6 +88,28 @@ TOKEN = byte_class("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ01234567
 TOKEN_SQL = "[^\\x00-\\x2f\\x3a-\\x40\\x5b-\\x60\\x7b-\\x7f]+"
 
 
+#: Code points of scripts that put no spaces between words (first, last): each is a word of its own.
+SPACELESS = (
+    (0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x2E80, 0x33FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xA000, 0xA4CF), (0xA980, 0xA9FF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFE30, 0xFE4F), (0xFF00, 0xFFEF), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF),
+)
+
+
+def spaceless_breaks(buf: np.ndarray) -> np.ndarray:
+    """Sorted places where a code point of a script without spaces begins or ends."""
+    lead = np.flatnonzero(buf >= 0xE0)
+    if not len(lead):
+        return lead
+    padded = np.concatenate([buf, np.zeros(4, np.uint8)])
+    b0, b1, b2, b3 = (padded[lead + i].astype(np.int64) for i in range(4))
+    four = b0 >= 0xF0
+    point = np.where(four, (b0 & 7) << 18 | (b1 & 63) << 12 | (b2 & 63) << 6 | b3 & 63, (b0 & 15) << 12 | (b1 & 63) << 6 | b2 & 63)
+    firsts, lasts = np.array(SPACELESS).T
+    near = np.searchsorted(firsts, point, "right") - 1
+    own = (near >= 0) & (point <= lasts[near])
+    return np.unique(np.concatenate([lead[own], np.minimum(lead[own] + 3 + four[own], len(buf))]))
+
+
 def runs(mask: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of true values; a run also ends at every break."""
     if not len(mask):
@@ -108,8 +130,11 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def tokens(buf: np.ndarray, offsets: np.ndarray, table: np.ndarray = TOKEN):
-    """(starts, ends, hashes, number of words of each text) of the words in a block."""
-    starts, ends = runs(table[buf], offsets)
+    """(starts, ends, hashes, number of words of each text) of the words in a block.
+
+    Scripts without spaces have one word a code point.
+    """
+    starts, ends = runs(table[buf], np.concatenate([offsets, spaceless_breaks(buf)]))
     counts = np.diff(np.searchsorted(starts, offsets))
     return starts, ends, span_hashes(buf, starts, ends), counts
 
