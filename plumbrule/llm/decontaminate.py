@@ -5,7 +5,7 @@ of it is within ``SHARE`` of the item's length in edit distance.
 
 1. Windows begin at words, in scripts without spaces at every code point, and have the length of a class of items.  A window that has an item keeps a known
    number of the item's byte 8-grams, so windows with fewer 8-grams of the class are passed over at once; no
-   window with an item is.
+   window with an item is.  In classes whose items may keep no 8-gram, no window is passed over.
 2. The random walk of Chakraborty, Goldenberg and Koucky turns window and item into strings in which few edits
    make few differences: it copies the byte under a pointer, and a random bit of (step, byte) moves the pointer.
    Several walks, each sampled at several sets of steps, give the keys; a shared key makes a candidate.  The
@@ -39,6 +39,8 @@ STEPS = 1.7
 GRAM_BITS = 22
 KEY_BITS = 26
 BLOCK_BYTES = 2 << 20
+#: Of the candidate starts in so many bytes one is verified, in a region that holds the item wherever it starts there.
+PART = 64
 _GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -83,8 +85,8 @@ def class_end(low: int) -> int:
 
 
 def kept_grams(low: int, share: float) -> int:
-    """8-grams that a window of the class's length keeps of an item with the most edits."""
-    return max(1, low - GRAM + 1 - GRAM * int(share * (class_end(low) - 1)))
+    """8-grams that a window of the class's length keeps of an item with the most edits; below 1 it may keep none."""
+    return low - GRAM + 1 - GRAM * int(share * (class_end(low) - 1))
 
 
 def random_bits(steps: int, seed: int = 3) -> np.ndarray:
@@ -235,6 +237,8 @@ def _is_set(bitmap: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def dense_starts(hits: np.ndarray, first: np.ndarray, low: int, least: int) -> np.ndarray:
     """Numbers of the words in ``first`` at which a window of ``low`` bytes begins with ``least`` hits or more."""
+    if least < 1:
+        return np.arange(len(first))
     if len(hits) < least:
         return np.zeros(0, np.int64)
     room = low - GRAM
@@ -247,6 +251,12 @@ def dense_starts(hits: np.ndarray, first: np.ndarray, low: int, least: int) -> n
     return np.flatnonzero(np.cumsum(step[:-1]) > 0)
 
 
+def region_of(starts: np.ndarray, lows: np.ndarray, share: float, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First bytes and ends of what is compared with the items of a class, within the texts from ``begin`` to ``end``."""
+    room = (lows * CLASS_RATIO * 2 * share).astype(np.int64) + 16 + PART
+    return np.maximum(starts - room, begin), np.minimum(starts + (lows * CLASS_RATIO).astype(np.int64) + room, end)
+
+
 _WINDOWS = "doc_id long, mark long, start long, region binary, keys array<long>"
 
 
@@ -280,8 +290,7 @@ def _find(shared):
             place = at[number]
             used, begin = np.unique(place, return_index=True)
             longest = np.maximum.reduceat(lows[number], begin)
-            room = (longest * CLASS_RATIO * 2 * index.share).astype(np.int64) + 16
-            low_end, high_end = np.maximum(first[used] - room, offsets[text[used]]), np.minimum(first[used] + (longest * CLASS_RATIO).astype(np.int64) + room, end[used])
+            low_end, high_end = region_of(first[used], longest, index.share, offsets[text[used]], end[used])
             ends = np.concatenate([begin, [len(keys)]]).astype(np.int32)
             size = high_end - low_end
             shift = np.concatenate([[0], np.cumsum(size)[:-1]])
@@ -336,7 +345,7 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
     known = signed.select("item_id", F.explode("keys").alias("key"))
     votes = asked.join(known, "key").groupBy("doc_id", "mark", "item_id", "start").agg(F.count(F.lit(1)).alias("votes"))
     # neighbouring windows show the same part of a document; the one with most keys goes on
-    best = votes.groupBy("doc_id", "mark", "item_id", F.floor(F.col("start") / 64).alias("part")).agg(F.max(F.struct("votes", F.negative("start").alias("back"))).alias("best"))
+    best = votes.groupBy("doc_id", "mark", "item_id", F.floor(F.col("start") / PART).alias("part")).agg(F.max(F.struct("votes", F.negative("start").alias("back"))).alias("best"))
     chosen = best.select("doc_id", "mark", "item_id", (-F.col("best.back")).alias("start"))
     pairs = chosen.join(signed.select("item_id", "item"), "item_id").join(windows.select("doc_id", "mark", "start", "region").dropDuplicates(["doc_id", "mark", "start"]), ["doc_id", "mark", "start"])
     checked = pairs.select("doc_id", "mark", "item_id", "start", "item", "region").mapInArrow(_verify, "doc_id long, mark long, item_id long, start long, distance long, length long")

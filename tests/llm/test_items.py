@@ -4,7 +4,7 @@ import numpy as np
 
 from plumbrule.llm import decontaminate, forest_join, paragraph_dedup
 from plumbrule.llm.text import raw_bytes, spaceless_breaks, tokens
-from tests.llm.common import documents
+from tests.llm.common import documents, prose
 
 
 def letters(seed: int, n: int, first: int = 0x4E00, size: int = 3000) -> str:
@@ -46,3 +46,23 @@ def test_near_copies_without_spaces(spark):
     rows = [(1, "".join(text)), (2, "".join([*text[:150], "改", *text[151:]])), (3, "".join(reversed(text)))]
     found = {r["doc_id"]: r["class_id"] for r in forest_join.join_texts(documents(spark, rows)).collect()}
     assert found == {1: 1, 2: 1, 3: 3}
+
+
+def test_short_items_that_keep_no_gram(spark):
+    """One letter changed in the middle of 15 leaves no run of eight."""
+    words = [prose(i, 40, 3000).replace(".", "").lower().split() for i in range(200)]
+    short = [(" ".join(w) * 3)[:15].strip() for w in words]
+    rows = [(i, prose(1000 + i, 12) + " " + s[:7] + "q" + s[8:] + " " + prose(2000 + i, 12)) for i, s in enumerate(short) if len(s) == 15 and s[7] != " "]
+    items = spark.createDataFrame([(i, short[i]) for i, _ in rows], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(documents(spark, rows), items).collect()}
+    assert len(rows) > 100 and sum((i, i) in found for i, _ in rows) >= 0.95 * len(rows)
+
+
+def test_regions_hold_items_that_start_anywhere_in_a_part():
+    """A start 63 bytes before or behind an item of the class has the whole item in its region."""
+    low = 100
+    buf = np.frombuffer(b"ab " * 300, np.uint8)
+    for shift in (-63, 63):
+        begin, end = decontaminate.region_of(np.array([450]), np.array([low]), 0.08, np.array([0]), np.array([len(buf)]))
+        last = 450 + shift + int(1.08 * (decontaminate.class_end(low) - 1))
+        assert begin[0] <= 450 + shift and end[0] >= last
