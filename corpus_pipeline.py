@@ -30,10 +30,16 @@ def _unwrapped(rows: DataFrame, docs: DataFrame, **new: Column) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str, threshold: float = 0.7) -> DataFrame:
-    """Documents whose nearest labelled texts are mostly of low quality go; texts without a character to judge stay."""
+    """Documents whose nearest labelled texts are mostly of low quality go.
+
+    Texts without a character to judge stay, and all texts if no label can be used.
+    """
     rows = _wrapped(docs)
     model = quality_knn.fit(rows.select("doc_id", "text"), table(spark, sf_dir, "labels"), crc_remainder(F.col("doc_id"), 4) == 2)
-    return _unwrapped(quality_knn.score(rows.select("text", "row"), model).where(F.col("score") >= threshold), docs)
+    if not len(model.labels):
+        return docs
+    empty = F.coalesce(F.octet_length("text"), F.lit(0)) == 0
+    return _unwrapped(quality_knn.score(rows.select("text", "row"), model).where(empty | (F.col("score") >= threshold)), docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
