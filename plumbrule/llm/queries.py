@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import decontaminate, forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, warc_bundles
+from plumbrule.llm import decontaminate, forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, vector_codes, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -60,6 +60,55 @@ FROM r LEFT JOIN e ON r.source IS NOT DISTINCT FROM e.source
 """
 
 
+def vector_codes_sql(rounds: int = 6) -> str:
+    """Quantisation with plain whole-number sums: one table of assignments and one of entries for every round."""
+    steps = [
+        r"""
+q AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 4096) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+p AS MATERIALIZED (
+  SELECT vec_id, label, t.part, list_slice(v, t.part * len(v) // 8 + 1, (t.part + 1) * len(v) // 8) AS s
+  FROM q, (SELECT unnest(range(8)) AS part) t),
+c0 AS MATERIALIZED (
+  SELECT part, e.entry, s FROM p JOIN (
+    SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM q ORDER BY vec_id LIMIT 16) e USING (vec_id))"""
+    ]
+    for r in range(rounds + 1):
+        steps.append(f"""
+g{r} AS MATERIALIZED (
+  SELECT p.vec_id, p.part, p.label, p.s, c.entry,
+         CAST(list_sum(list_transform(range(1, len(p.s) + 1), lambda i: (p.s[i] - c.s[i]) * (p.s[i] - c.s[i]))) AS BIGINT) AS gap
+  FROM p JOIN c{r} c USING (part)),
+a{r} AS MATERIALIZED (
+  SELECT vec_id, part, label, s, entry, gap FROM g{r}
+  QUALIFY row_number() OVER (PARTITION BY vec_id, part ORDER BY gap, entry) = 1)""")
+        if r < rounds:
+            steps.append(f"""
+m{r} AS MATERIALIZED (
+  SELECT part, entry, i, CAST(sum(x) AS BIGINT) AS total, count(*) AS n
+  FROM (SELECT part, entry, unnest(s) AS x, unnest(range(1, len(s) + 1)) AS i FROM a{r}) GROUP BY part, entry, i),
+k{r} AS MATERIALIZED (
+  SELECT part, entry, list((total - ((total % n) + n) % n) // n ORDER BY i) AS s FROM m{r} GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(k.s, c.s) AS s FROM c{r} c LEFT JOIN k{r} k USING (part, entry))""")
+    return (
+        "WITH"
+        + ",".join(steps)
+        + f""",
+e AS (
+  SELECT vec_id, any_value(label) AS label, string_agg(format('{{:02x}}', entry), '' ORDER BY part) AS code,
+         CAST(sum(gap) AS BIGINT) AS error
+  FROM a{rounds} GROUP BY vec_id),
+h AS (
+  SELECT sha256(string_agg(array_to_string(s, ','), ',' ORDER BY part, entry)) AS digest FROM c{rounds})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       digest AS codebooks_sha256
+FROM e, h"""
+    )
+
+
 @query("op1_paragraph_dedup")
 def op1(spark, sf_dir):
     return paragraph_dedup.removal_summary(paragraph_dedup.dedup_paragraphs(table(spark, sf_dir, "documents")))
@@ -111,3 +160,8 @@ def op9(spark, sf_dir):
 @query("op10_decontaminate")
 def op10(spark, sf_dir):
     return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_vector_codes", vector_codes_sql())
+def op13(spark, sf_dir):
+    return vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
