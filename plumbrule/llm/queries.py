@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbrule.llm import conversation_repair, decontaminate, forest_join, language_id, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, vector_codes, warc_bundles
+from plumbrule.llm import conversation_repair, decontaminate, forest_join, language_id, lm_scoring, paragraph_dedup, quality_knn, robust_outliers, source_mix, suffix_dedup, token_counts, vector_codes, warc_bundles
 from plumbrule.llm.vectors import crc_remainder
 from plumbrule.plans.registry import table
 
@@ -167,6 +167,11 @@ def op11(spark, sf_dir):
     return conversation_repair.repair_digest(table(spark, sf_dir, "conversations"))
 
 
+@query("op12_lm_scoring")
+def op12(spark, sf_dir):
+    return lm_scoring.documents_to_score(table(spark, sf_dir, "documents"))
+
+
 @query("op13_vector_codes", vector_codes_sql())
 def op13(spark, sf_dir):
     return vector_codes.code_digest(table(spark, sf_dir, "embeddings"))
