@@ -43,6 +43,8 @@ def letter_terms(block: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(sizes)), sizes)
     letter = _letters()[points]
     before = np.concatenate([[False], letter[:-1]])
+    first = np.cumsum(sizes) - sizes
+    before[first[first < len(before)]] = False
     keep = letter | before
     points, owner = np.where(letter, points, np.uint32(32))[keep].astype(np.uint64), owner[keep]
     rows, terms = [], []
