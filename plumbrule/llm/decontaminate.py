@@ -316,9 +316,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(distance), pa.array(lengths)], names=["doc_id", "mark", "item_id", "start", "distance", "length"])
 
 
-def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", by_text: bool = False) -> DataFrame:
     """``doc_id, item_id, start, distance, similarity`` of every document and item that it holds.
 
+    With ``by_text`` the result also has ``mark``, the xxhash64 of the text, and different texts under one id stay apart.
+
     ``start`` is a byte of the document's words with single spaces, near which the best part begins;
     ``distance`` counts the edits from the item to it, at most ``share`` of the item's length.  NULL and empty
     documents, and those without an id, hold nothing; NULL items and items with fewer than eight bytes of words are not searched for.  Equal items are all
@@ -330,9 +332,9 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("text IS NOT NULL")
     signed = cut_lineage(wanted.mapInArrow(_sign(lambda low: random_bits(max(2, int(STEPS * low)))), _SIGNED))
     lows = sorted(r["low"] for r in signed.select("low").distinct().collect())
-    none = spark.createDataFrame([], "doc_id long, item_id long, start long, distance long, similarity double")
+    own = ["doc_id", "mark"] if by_text else ["doc_id"]
     if not lows:
-        return none
+        return spark.createDataFrame([], ", ".join(f"{c} long" for c in own) + ", item_id long, start long, distance long, similarity double")
     index = Index(
         _class_bits(signed, lows),
         _bitmap(signed.select(F.explode("slots").alias("slot")), KEY_BITS),
@@ -350,8 +352,8 @@ def find_items(docs: DataFrame, items: DataFrame, *, share: float = SHARE, key:
     pairs = chosen.join(signed.select("item_id", "item"), "item_id").join(windows.select("doc_id", "mark", "start", "region").dropDuplicates(["doc_id", "mark", "start"]), ["doc_id", "mark", "start"])
     checked = pairs.select("doc_id", "mark", "item_id", "start", "item", "region").mapInArrow(_verify, "doc_id long, mark long, item_id long, start long, distance long, length long")
     found = checked.where(F.col("distance") <= F.floor(F.col("length") * share))
-    nearest = found.groupBy("doc_id", "item_id").agg(F.min(F.struct("distance", "start", "length")).alias("b"))
-    return nearest.select("doc_id", "item_id", "b.start", "b.distance", (1.0 - F.col("b.distance") / F.col("b.length")).alias("similarity"))
+    nearest = found.groupBy(*own, "item_id").agg(F.min(F.struct("distance", "start", "length")).alias("b"))
+    return nearest.select(*own, "item_id", "b.start", "b.distance", (1.0 - F.col("b.distance") / F.col("b.length")).alias("similarity"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
