@@ -66,9 +66,11 @@ def cut_repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item, exactly or with few edits, go."""
-    found = decontaminate.find_items(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(found, F.col("doc_id").cast("long") == F.col("hit"), "left_anti")
+    """Documents that hold a benchmark item, exactly or with few edits, go; another text under the same id stays."""
+    key, mark = F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), F.xxhash64("text")
+    found = decontaminate.find_items(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), by_text=True)
+    hits = found.select(F.col("doc_id").alias("_hit"), F.col("mark").alias("_mark")).distinct()
+    return docs.join(hits, (key == F.col("_hit")) & (mark == F.col("_mark")), "left_anti")
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
