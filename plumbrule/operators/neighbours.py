@@ -1,14 +1,20 @@
-"""Distances between rows: exact nearest neighbours and class-wise sums over all rows.
+"""Distances between rows: exact nearest neighbours and class-wise sums, by way of a pivot table.
 
-Both tables are dealt into blocks of bounded size by a hash of their unique key, and every pair of blocks
-becomes one small co-grouped task working on arrays.  A task returns only its k best candidates or its
-class sums, so neither pairs of rows nor a whole table ever pass through one task or the driver.
+Points go to the nearest of some hashed pivots.  A cell is cut into rings by the distance to its pivot, and a
+ring that holds too many rows into parts, so that a block has a bounded number of rows; the table of blocks
+(pivot, least and largest distance, rows) is small.  By the triangle inequality it bounds the distance from a
+query to every block.  A query visits blocks in the order of that bound, one, then four, then sixteen more,
+until the next bound lies beyond its k-th distance.  Points are never copied to blocks they do not belong to;
+a query travels only to the blocks that it visits, and a block with many visitors is cut up by visitor.
+
+Equal vectors are searched once, whatever their number.  Rows without a vector take no part.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -16,9 +22,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbrule.core.frames import quoted
+from plumbrule.core.session import cut_lineage
 
+#: Rows of a block, and visitors of one task of a block.
 BLOCK_ROWS = 4096
+VISITORS = 4096
+#: Pivots, blocks and numbers of a label table that one task keeps; blocks grow with the table beyond that.
+PIVOTS = 2048
+BLOCKS = 100_000
+LABEL_NUMBERS = 8_000_000
+RINGS = 64
 CHUNK = 64
+#: Rounding room of a bound.
+SLACK = 1e-9
+
+Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
 def vector(df: DataFrame, features: Sequence[str] | str) -> Column:
@@ -28,19 +46,7 @@ def vector(df: DataFrame, features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(quoted(c)).cast("double") for c in features])
 
 
-def _blocks(df: DataFrame, rows: int) -> int:
-    return max(1, math.ceil(df.count() / rows))
-
-
-def _tiles(df: DataFrame, mine: int, others: int, first: bool) -> DataFrame:
-    """Add the row's block and repeat the row once per block of the other table."""
-    block = F.pmod(F.xxhash64("id"), F.lit(mine))
-    rows = df.select("*", block.alias("_b"), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias("_o"))
-    tile = F.col("_b") * others + F.col("_o") if first else F.col("_o") * mine + F.col("_b")
-    return rows.withColumn("_tile", tile).drop("_b", "_o")
-
-
-def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+def euclidean(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     out = np.empty((len(q), len(p)))
     for at in range(0, len(q), CHUNK):
         gap = q[at : at + CHUNK, None, :] - p[None, :, :]
@@ -48,72 +54,282 @@ def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    return np.array(series.tolist(), dtype=float)
-
+def chebyshev(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(q), len(p)))
+    for i in range(q.shape[1]):
+        np.maximum(out, np.abs(q[:, i, None] - p[None, :, i]), out=out)
+    return out
 
-def _cogrouped(queries: DataFrame, points: DataFrame, kernel: Callable, schema: str, block_rows: int) -> DataFrame:
-    nq, np_ = _blocks(queries, block_rows), _blocks(points, block_rows)
-    left = _tiles(queries, nq, np_, True).groupBy("_tile")
-    # fresh names keep the two sides apart when a table meets itself
-    right = _tiles(points, np_, nq, False)
-    right = right.select(*[F.col(c).alias(f"p_{c}") for c in right.columns]).groupBy("p__tile")
-    return left.cogroup(right).applyInPandas(kernel, schema)
 
+def _matrix(series: pd.Series) -> np.ndarray:
+    return np.array(series.tolist(), dtype=float)
 
-def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, neighbour, distance, rank`` of the k nearest points; ties go to the smaller id.
 
-    Both inputs are ``id`` (unique integer) and ``v`` (array<double>).
+@dataclass(frozen=True)
+class Pivots:
+    """Pivots with their groups, and the blocks: number of the pivot, distances to it, rows."""
+
+    points: np.ndarray
+    group: np.ndarray
+    cell: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    rows: np.ndarray
+    metric: Metric
+
+    def bounds(self, group: int, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(blocks of the group, least and largest possible distance from every query to them)."""
+        own = np.flatnonzero(self.group[self.cell] == group)
+        pivots, place = np.unique(self.cell[own], return_inverse=True)
+        d = self.metric(q, self.points[pivots])[:, place]
+        low = np.maximum(np.maximum(d - self.high[own], self.low[own] - d), 0.0)
+        return own, low - SLACK * (d + self.low[own]), (d + self.high[own]) * (1 + SLACK)
+
+
+def _choose(points: DataFrame, n: int, block_rows: int) -> pd.DataFrame:
+    """Pivots by hash, at least one of every group; bounded by ``PIVOTS`` and the number of groups."""
+    wanted = min(PIVOTS, math.ceil(n / block_rows))
+    hashed = points.select("g", "v", "id", F.xxhash64(F.lit(17), "id").alias("h"))
+    some = hashed.orderBy("h", "id").limit(wanted)
+    least = hashed.groupBy("g").agg(F.min_by(F.struct("v", "id", "h"), F.struct("h", "id")).alias("p")).select("g", "p.v", "p.id", "p.h")
+    return some.unionByName(least).dropDuplicates(["id"]).orderBy("g", "h", "id").select("g", "v").toPandas()
+
+
+def _whole(points: DataFrame, n: int, metric: Metric) -> tuple[DataFrame, Pivots]:
+    """One block for every group of a small table."""
+    groups = np.array(sorted(r["g"] for r in points.select("g").distinct().collect()), np.int64)
+    number = F.array_position(F.array(*[F.lit(int(g)) for g in groups]), F.col("g").cast("int")).cast("int") - 1
+    anywhere = np.repeat(np.array([points.select("v").first()["v"]], float), len(groups), axis=0)
+    every, zero = np.arange(len(groups)), np.zeros(len(groups))
+    return points.withColumn("block", number), Pivots(anywhere, groups, every, zero, zero + np.inf, np.full(len(groups), n), metric)
+
+
+def place(points: DataFrame, metric: Metric = euclidean, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, Pivots]:
+    """(the points with their ``block``, the table of blocks); points are ``id, g, v`` and perhaps more columns."""
+    n = points.count()
+    block_rows = max(block_rows, n // BLOCKS)
+    if 0 < n <= block_rows:
+        return _whole(points, n, metric)
+    chosen = _choose(points, n, block_rows)
+    pivots, group = _matrix(chosen["v"]) if len(chosen) else np.zeros((0, 1)), chosen["g"].to_numpy(dtype=np.int64)
+
+    def nearest_pivot(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            if rows.empty:
+                continue
+            v, g = _matrix(rows["v"]), rows["g"].to_numpy()
+            cell, gap = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+            for one in np.unique(g):
+                own, mine = np.flatnonzero(group == one), g == one
+                d = metric(v[mine], pivots[own])
+                best = d.argmin(axis=1)
+                cell[mine], gap[mine] = own[best], d[np.arange(len(d)), best]
+            yield rows.assign(cell=cell, gap=gap)
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in points.schema.fields)
+    near = cut_lineage(points.mapInPandas(nearest_pivot, f"{schema}, cell long, gap double"))
+    steps = [i / RINGS for i in range(1, RINGS)]
+    edges = near.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("gap", steps, 1000).alias("edges")).where(F.col("n") > 2 * block_rows)
+    # a row per crowded cell: there are no more cells than pivots
+    crowded = edges.withColumn("every", F.greatest(F.lit(1), F.floor(F.lit(RINGS * block_rows) / F.col("n"))).cast("int"))
+    rings = crowded.select("cell", F.filter("edges", lambda x, i: (i + 1) % F.col("every") == 0).alias("edges"))
+    ringed = near.join(F.broadcast(rings), "cell", "left").withColumn("ring", F.coalesce(F.size(F.filter("edges", lambda x: x < F.col("gap"))), F.lit(0))).drop("edges")
+    # rows at one distance fill a ring of any size, which is then cut by hash
+    size = ringed.groupBy("cell", "ring").agg(F.ceil(F.count(F.lit(1)) / (2 * block_rows)).cast("int").alias("parts"))
+    parted = ringed.join(F.broadcast(size), ["cell", "ring"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    blocks = parted.groupBy("cell", "ring", "part").agg(F.count(F.lit(1)).alias("rows"), F.min("gap").alias("low"), F.max("gap").alias("high")).toPandas()
+    blocks = blocks.sort_values(["cell", "ring", "part"]).reset_index(drop=True)
+    numbers = points.sparkSession.createDataFrame([(int(c), int(r), int(p), i) for i, (c, r, p) in enumerate(zip(blocks["cell"], blocks["ring"], blocks["part"]))], "cell long, ring int, part int, block int")
+    table = Pivots(pivots, group, *(blocks[c].to_numpy() for c in ("cell", "low", "high", "rows")), metric)
+    return cut_lineage(parted.join(F.broadcast(numbers), ["cell", "ring", "part"]).select(*points.columns, "block")), table
+
+
+def _meet(visits: DataFrame, points: DataFrame, kernel: Callable, schema: str, report: dict | None) -> DataFrame:
+    """Bring every visit to the points of its ``block``; blocks with many visitors are met in several tasks."""
+    visits = cut_lineage(visits)
+    load = cut_lineage(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("tasks"), F.count(F.lit(1)).alias("visitors")))
+    if report is not None:
+        rows = points.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
+        report["pairs"] = report.get("pairs", 0) + (load.join(rows, "block").agg(F.sum(F.col("visitors") * F.col("rows"))).first()[0] or 0)
+        report["rounds"] = report.get("rounds", 0) + 1
+    tasks = load.select("block", "tasks")  # one row per block
+    left = visits.join(F.broadcast(tasks), "block").withColumn("task", F.pmod(F.xxhash64("id"), F.col("tasks")).cast("int")).drop("tasks")
+    right = points.join(F.broadcast(tasks), "block").withColumn("task", F.explode(F.sequence(F.lit(0), F.col("tasks") - 1))).drop("tasks")
+    right = right.select(*[F.col(c).alias(f"p_{c}") for c in right.columns])
+    return left.groupBy("block", "task").cogroup(right.groupBy("p_block", "p_task")).applyInPandas(kernel, schema)
+
+
+def search(queries: DataFrame, points: DataFrame, k: int, metric: Metric = euclidean, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
+    """``id, best``: the k nearest points as sorted (distance, neighbour), ties to the smaller id.
+
+    Both inputs are ``id`` (unique integer), ``g`` (a group: queries meet points of their own only) and ``v``.
     """
+    placed, table = place(points.select("id", "g", "v"), metric, block_rows)
+
+    def next_blocks(begin: int, end: int):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for g, same in rows.groupby("g"):
+                    for at in range(0, len(same), 256):
+                        part = same.iloc[at : at + 256]
+                        own, low, high = table.bounds(int(g), _matrix(part["v"]))
+                        if not len(own) or begin >= len(own):
+                            continue
+                        # the k-th distance is at most the largest one to blocks that hold k points
+                        order = np.argsort(high, axis=1)
+                        enough = np.minimum((np.cumsum(table.rows[own][order], axis=1) < k).sum(axis=1), len(own) - 1)
+                        reach = np.take_along_axis(high, order, 1)[np.arange(len(part)), enough]
+                        reach[table.rows[own].sum() < k] = np.inf
+                        reach = np.minimum(reach, part["kth"].to_numpy())
+                        first = np.argsort(low, axis=1, kind="stable")[:, begin:end]
+                        wanted = np.take_along_axis(low, first, 1) <= reach[:, None]
+                        q, b = np.nonzero(wanted)
+                        yield pd.DataFrame({"id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q], "block": own[first[q, b]]})
+
+        return run
 
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         if q.empty or p.empty:
-            return none
+            return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         p = p.sort_values("p_id", kind="stable")
-        d = _distances(_matrix(q["v"]), _matrix(p["p_v"]))
-        ids, own = p["p_id"].to_numpy(), q["id"].to_numpy()
-        if exclude_self:
-            d[own[:, None] == ids[None, :]] = np.inf
+        d = metric(_matrix(q["v"]), _matrix(p["p_v"]))
+        ids = p["p_id"].to_numpy()
         best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        out = pd.DataFrame({"id": np.repeat(own, best.shape[1]), "neighbour": ids[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
-        return out[np.isfinite(out["distance"])]
-
-    found = _cogrouped(queries.select("id", "v"), points.select("id", "v"), kernel, "id long, neighbour long, distance double", block_rows)
-    w = Window.partitionBy("id").orderBy("distance", "neighbour")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def class_sums(queries: DataFrame, points: DataFrame, transform: Callable[[np.ndarray], np.ndarray], exclude_self: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``id, label, total, n``: sum of ``transform(distance)`` to the points of every label."""
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), best.shape[1]), "neighbour": ids[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
+
+    entry = F.struct("distance", "neighbour")
+    state = queries.select("id", "g", "v", F.array().cast("array<struct<distance:double,neighbour:bigint>>").alias("best"))
+    begin, wave = 0, 1
+    while begin < len(table.cell):
+        kth = F.when(F.size("best") >= k, F.element_at("best", k)["distance"]).otherwise(float("inf"))
+        visits = state.select("id", "g", "v", kth.alias("kth")).mapInPandas(next_blocks(begin, begin + wave), "id long, v array<double>, block int")
+        found = _meet(visits, placed, kernel, "id long, neighbour long, distance double", report)
+        fresh = found.groupBy("id").agg(F.collect_list(entry).alias("fresh"))
+        merged = state.join(fresh, "id", "left").withColumn("best", F.slice(F.array_sort(F.concat("best", F.coalesce("fresh", F.array()))), 1, k))
+        begin, wave = begin + wave, 4 * wave
+        if begin >= len(table.cell):
+            return merged.select("id", "best")
+        state = cut_lineage(merged.withColumn("moved", F.col("fresh").isNotNull()).drop("fresh"))
+        if state.where("moved").isEmpty():
+            break
+        state = state.drop("moved")
+    return state.select("id", "best")
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    g = F.col("g").cast("int") if "g" in rows.columns else F.lit(0)
+    return rows.where(F.col("v").isNotNull()).select("id", g.alias("g"), "v")
+
+
+def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool = False, block_rows: int = BLOCK_ROWS, metric: Metric = euclidean, report: dict | None = None) -> DataFrame:
+    """``id, neighbour, distance, rank`` of the k nearest points; ties go to the smaller id.
 
+    Both inputs are ``id`` (unique integer), ``v`` (array<double>) and perhaps ``g``, an integer: rows meet rows
+    of their own group only.
+    """
+    alone = queries is points
+    points = cut_lineage(_grouped(points))
+    kept = cut_lineage(points.groupBy("g", "v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")))
+    queries = points if alone else cut_lineage(_grouped(queries))
+    asked = kept.drop("n") if alone else cut_lineage(queries.groupBy("g", "v").agg(F.min("id").alias("id")))
+    wide = k + 1 if exclude_self else k
+    found = search(asked, kept, wide, metric, block_rows, report).select(F.col("id").alias("first"), F.posexplode("best").alias("at", "b")).select("first", "b.distance", F.col("b.neighbour").alias("copy"))
+    if not kept.where("n > 1").isEmpty():
+        # the smallest ids among equal vectors, first within parts so that no vector is sorted whole
+        copies = points.join(kept.where("n > 1").select("g", "v", F.col("id").alias("copy"), "n"), ["g", "v"])
+        part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 10_000))
+        for keys in (["copy", "part"], ["copy"]):
+            copies = copies.withColumn("part", part).withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("id"))).where(F.col("r") <= wide)
+        members = copies.groupBy("copy").agg(F.collect_list("id").alias("ids"))  # at most k + 1 a vector
+        found = found.join(members, "copy", "left").select("first", "distance", F.explode(F.coalesce("ids", F.array("copy"))).alias("neighbour"))
+    else:
+        found = found.withColumnRenamed("copy", "neighbour")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, wide)
+    lists = found.groupBy("first").agg(best.alias("best"))
+    names = queries.join(asked.select("g", "v", F.col("id").alias("first")), ["g", "v"]).select("id", "first")
+    out = names.join(lists, "first").select("id", F.filter("best", lambda b: b["neighbour"] != F.col("id")).alias("best") if exclude_self else "best")
+    return out.select("id", F.posexplode(F.slice("best", 1, k)).alias("at", "b")).select("id", "b.neighbour", "b.distance", (F.col("at") + 1).alias("rank"))
+
+
+def _sums_kernel(transform: Callable[[np.ndarray], np.ndarray], exclude_self: bool) -> Callable:
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
             return pd.DataFrame({"id": [], "label": [], "total": [], "n": []})
-        d = transform(_distances(_matrix(q["v"]), _matrix(p["p_v"])))
-        ids, own = p["p_id"].to_numpy(), q["id"].to_numpy()
-        count = np.ones(d.shape)
-        if exclude_self:
-            same = own[:, None] == ids[None, :]
-            d, count = np.where(same, 0.0, d), np.where(same, 0.0, count)
+        d = euclidean(_matrix(q["v"]), _matrix(p["p_v"]))
         labels, code = np.unique(p["p_label"].to_numpy(), return_inverse=True)
+        count = np.broadcast_to(p["p_n"].to_numpy(dtype=float), d.shape)
+        if exclude_self:
+            count = count - ((d == 0) & (q["own"].to_numpy()[:, None] == p["p_label"].to_numpy()[None, :]))
         member = np.zeros((len(p), len(labels)))
         member[np.arange(len(p)), code] = 1.0
-        return pd.DataFrame(
-            {"id": np.repeat(own, len(labels)), "label": np.tile(labels, len(q)), "total": (d @ member).ravel(), "n": (count @ member).ravel().astype("int64")}
-        )
-
+        n = (count @ member).ravel()
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(labels)), "label": np.tile(labels, len(q)), "total": ((transform(d) * count) @ member).ravel(), "n": n.astype("int64")})
+
+    return kernel
+
+
+def _copies_merged(queries: DataFrame, points: DataFrame, exclude_self: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(different queries, different points with their number, id of every query with the id that stands for it)."""
+    queries = queries.where(F.col("v").isNotNull())
+    if exclude_self:
+        queries = queries.select("id", "v").join(points.select("id", F.col("label").alias("own")), "id")
+        keys = ["v", "own"]
+    else:
+        queries, keys = queries.select("id", "v"), ["v"]
+    queries = cut_lineage(queries)
+    asked = cut_lineage(queries.groupBy(*keys).agg(F.min("id").alias("id")))
+    same = [queries[c].eqNullSafe(asked[c]) for c in keys]
+    on = same[0] if len(same) == 1 else same[0] & same[1]
+    names = queries.join(asked, on).select(queries["id"], asked["id"].alias("first"))
+    kept = points.where(F.col("v").isNotNull()).groupBy("v", "label").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
+    return asked, cut_lineage(kept), names
+
+
+def class_sums(queries: DataFrame, points: DataFrame, transform: Callable[[np.ndarray], np.ndarray], exclude_self: bool = False, block_rows: int = BLOCK_ROWS, beyond: float | None = None, report: dict | None = None) -> DataFrame:
+    """``id, label, total, n``: sum of ``transform(distance)`` to the points of every label.
+
+    With ``beyond`` a query leaves out the blocks that lie farther than its nearest pivots by that much; ``n``
+    then counts the points that it met.
+    """
+    asked, kept, names = _copies_merged(queries, points, exclude_self)
+    placed, table = place(kept.withColumn("g", F.lit(0)), euclidean, block_rows)
+
+    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            for at in range(0, len(rows), 256):
+                part = rows.iloc[at : at + 256]
+                own, low, _ = table.bounds(0, _matrix(part["v"]))
+                if beyond is not None and len(own):
+                    d = np.sort(euclidean(_matrix(part["v"]), table.points), axis=1)
+                    # the nearest pivot may be the row itself, so the second one counts where there is one
+                    reach = d[:, min(1, d.shape[1] - 1)] + beyond if d.shape[1] > 1 else np.full(len(part), np.inf)
+                    q, b = np.nonzero(low <= reach[:, None])
+                else:
+                    q, b = np.nonzero(np.ones((len(part), len(own)), bool))
+                yield part.iloc[q].assign(block=own[b])
+
+    types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
     kind = points.schema["label"].dataType.simpleString()
-    parts = _cogrouped(queries.select("id", "v"), points.select("id", "v", "label"), kernel, f"id long, label {kind}, total double, n long", block_rows)
-    return parts.groupBy("id", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    met = _meet(asked.mapInPandas(blocks, f"{types}, block int"), placed, _sums_kernel(transform, exclude_self), f"id long, label {kind}, total double, n long", report)
+    sums = met.groupBy(F.col("id").alias("first"), "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return names.join(sums, "first").select("id", "label", "total", "n")
 
 
-def kernel_vote(queries: DataFrame, points: DataFrame, width: float = 1.0, exclude_self: bool = False) -> DataFrame:
-    """``id, label, p``: class scores sum(exp(-distance / width)), normalised."""
-    sums = class_sums(queries, points, lambda d: np.exp(-d / width), exclude_self)
-    whole = F.sum("total").over(Window.partitionBy("id"))
-    return sums.select("id", "label", ((F.col("total") + 0.0) / (whole + 1e-12)).alias("p"))
+def kernel_vote(queries: DataFrame, points: DataFrame, width: float = 1.0, exclude_self: bool = False, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
+    """``id, label, p``: class scores sum(exp(-distance / width)), normalised.
+
+    Points so far that all of them together weigh less than the last bit of the nearest pivot are not visited;
+    a class without a visited point scores 0.
+    """
+    rows = max(points.count(), 1)
+    beyond = width * (math.log(rows) + 37.0)
+    sums = class_sums(queries, points, lambda d: np.exp(-d / width), exclude_self, block_rows, beyond, report)
+    # every class stands in the result, so the list of classes is as long as the rows of one query
+    kind = points.schema["label"].dataType
+    names = [r["label"] for r in points.where(F.col("v").isNotNull() & F.col("label").isNotNull()).select("label").distinct().collect()]
+    found = sums.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("label", "total"))).alias("totals"), F.sum("total").alias("whole"))
+    cells = F.transform(F.array(*[F.lit(x).cast(kind) for x in names]), lambda x: F.struct(x.alias("label"), F.coalesce(F.try_element_at("totals", x), F.lit(0.0)).alias("total")))
+    return found.select("id", "whole", F.inline(cells)).select("id", "label", ((F.col("total") + 0.0) / (F.col("whole") + 1e-12)).alias("p"))
 
 
 def knn_vote(queries: DataFrame, points: DataFrame, k: int = 3, exclude_self: bool = False) -> DataFrame:
@@ -130,17 +346,55 @@ def knn_mean(queries: DataFrame, points: DataFrame, k: int = 3, exclude_self: bo
     return near.join(points.select(F.col("id").alias("neighbour"), "y"), "neighbour").groupBy("id").agg(F.avg("y").alias("prediction"))
 
 
-def silhouette(points: DataFrame) -> DataFrame:
-    """Exact Euclidean silhouette per row of ``id, v, label``; rows of one-row clusters score 0."""
-    sums = class_sums(points, points, lambda d: d, exclude_self=True)
-    own = points.select("id", F.col("label").alias("own"))
-    mean = F.try_divide(F.col("total"), F.col("n"))
-    mine = F.col("label") == F.col("own")
-    ab = sums.join(own, "id").groupBy("id").agg(
-        F.max("own").alias("label"), F.max(F.when(mine, mean)).alias("a"), F.min(F.when(~mine, mean)).alias("b")
-    )
+def _label_table(points: DataFrame) -> pd.DataFrame | None:
+    """Rows, mean and mean squared norm of every label; None if that is too much for a task to keep."""
+    size = points.select(F.size("v").alias("d")).agg(F.max("d")).first()[0] or 0
+    if points.select("label").distinct().count() * (size + 2) > LABEL_NUMBERS:
+        return None
+    sums = points.select("label", "n", F.posexplode("v").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x") * F.col("n")).alias("s"), F.sum(F.col("x") * F.col("x") * F.col("n")).alias("q"), F.sum("n").alias("n"))
+    flat = sums.orderBy("label", "i").toPandas()
+    rows = [(label, own["n"].iloc[0], (own["s"] / own["n"]).to_numpy(), float((own["q"] / own["n"]).sum())) for label, own in flat.groupby("label", sort=True)]
+    return pd.DataFrame(rows, columns=["label", "n", "mean", "square"])
+
+
+def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
+    """Exact Euclidean silhouette per row of ``id, v, label``; rows of one-row clusters score 0.
+
+    The mean distance to a cluster lies between the distance to its centre and the root of that squared plus the
+    cluster's variance, so a row visits its own cluster and those that may be the nearest one.
+    """
+    points = points.where(F.col("v").isNotNull() & F.col("label").isNotNull()).select("id", "v", "label")
+    asked, kept, names = _copies_merged(points, points, True)
+    parts = kept.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
+    dealt = cut_lineage(kept.join(parts, "label").withColumn("block", F.struct("label", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))).drop("parts"))
+    parts = cut_lineage(parts)
+    table = _label_table(kept)
+    kind = points.schema["label"].dataType.simpleString()
+    if table is None:
+        visits = asked.crossJoin(parts.select("label"))  # no bound is at hand, so every row meets every cluster
+    else:
+        means, square, n = np.stack(table["mean"]) if len(table) else np.zeros((0, 1)), table["square"].to_numpy(dtype=float), table["label"].to_numpy()
+        spread = np.maximum(square - (means * means).sum(axis=1), 0.0)
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                if rows.empty:
+                    continue
+                own = rows["own"].to_numpy()[:, None] == n[None, :]
+                low = euclidean(_matrix(rows["v"]), means)
+                room = SLACK * (low * low + square + spread)
+                high = np.where(own, np.inf, np.sqrt(low * low + spread + room))
+                q, b = np.nonzero(own | (low <= high.min(axis=1, initial=np.inf)[:, None] + np.sqrt(room)))
+                yield rows.iloc[q].assign(label=n[b])
+
+        visits = asked.mapInPandas(near, f"v array<double>, own {kind}, id long, label {kind}")
+    visits = visits.join(parts, "label").select("id", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("label", x.alias("part")))).alias("block"))
+    met = _meet(visits, dealt, _sums_kernel(lambda d: d, True), f"id long, label {kind}, total double, n long", report)
+    sums = met.groupBy("id", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    mean, mine = F.try_divide(F.col("total"), F.col("n")), F.col("label") == F.col("own")
+    ab = sums.join(asked.select("id", "own"), "id").groupBy("id").agg(F.max("own").alias("label"), F.max(F.when(mine, mean)).alias("a"), F.min(F.when(~mine, mean)).alias("b"))
     score = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return ab.select("id", "label", score.alias("silhouette"))
+    return names.join(ab.select(F.col("id").alias("first"), "label", score.alias("silhouette")), "first").select("id", "label", "silhouette")
 
 
 def smote(df: DataFrame, features: Sequence[str], label: str, minority: object, per_row: int = 1, k: int = 5, seed: int = 42, key: str = "id") -> DataFrame:
