@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -26,6 +27,7 @@ from plumbrule.core.frames import (
 from plumbrule.core.ordering import filled_quantiles, medians, neighbour_chunks, ordered_index, running_sums
 from plumbrule.core.session import cut_lineage
 from plumbrule.functions.significance import f_sf
+from plumbrule.operators.neighbours import chebyshev, nearest
 from plumbrule.operators.profile import column_stats
 from plumbrule.operators.schema_rules import issue, issues_from
 
@@ -107,15 +109,15 @@ def keeps_order(pairs: DataFrame, size: int) -> bool:
     return ranks.where(F.col("rf") != F.col("rt")).isEmpty()
 
 
-def identical_columns(df: DataFrame, target: str, facts: Sequence) -> set[str]:
+def identical_columns(df: DataFrame, target: str, facts: Sequence, counts: DataFrame) -> set[str]:
     """Columns whose sorted distinct values pair off with the sorted classes, row by row.
 
-    The counts rule out nearly all columns; only those with as many pairs as values and classes are read again.
+    The counts rule out nearly all columns; of the others, with as many pairs as values and classes, the pairs are compared.
     """
     found = set()
     for r in facts:
         if 0 < r["n_pairs"] == r["n_values"] == r["n_classes_seen"]:
-            pairs = pair_counts(df, [r["column"]], target).where(~F.col("is_missing"))
+            pairs = counts.where((F.col("column") == r["column"]) & ~F.col("is_missing"))
             if keeps_order(pairs, r["n_pairs"]):
                 found.add(r["column"])
     return found
@@ -159,9 +161,9 @@ def identity_scores(df: DataFrame, target: str, features: Sequence[str] | None =
     """1.0 for features that copy the target (order-preserving codes or correlation beyond 0.999), else 0.0."""
     names = list(features or [c for c in df.columns if c != target])
     usable = df.where(value_of(target, field_types(df)[target]).isNotNull())
-    counts = pair_counts(usable, names, target)
+    counts = cut_lineage(pair_counts(usable, names, target))
     facts = association_facts(counts).collect()
-    same = identical_columns(usable, target, facts) | _correlated(usable, names, target)
+    same = identical_columns(usable, target, facts, counts) | _correlated(usable, names, target)
     rows = [(c, 1.0 if c in same else 0.0) for c in names]
     return df.sparkSession.createDataFrame(rows, "column string, identity_score double")
 
@@ -173,8 +175,12 @@ def _correlated(df: DataFrame, names: Sequence[str], target: str) -> set[str]:
     return {c for c, r in correlations(df, numbers, target).items() if r is not None and abs(r) > 0.999}
 
 
-def leakage_scores(df: DataFrame, target: str, task: str, bins: int = BINS) -> DataFrame:
-    """Association of each feature with the target on [0, 1]: ``column, score``."""
+def leakage_scores(df: DataFrame, target: str, task: str, bins: int | None = None) -> DataFrame:
+    """Association of each feature with the target on [0, 1]: ``column, score``.
+
+    For classes that is the information divided by the logarithm of their number, of numbers by nearest
+    neighbours (by equal-frequency bins if ``bins`` is given).
+    """
     task = task.strip().lower()
     if target not in df.columns:
         raise ValueError(f"unknown target column: {target}")
@@ -186,14 +192,16 @@ def leakage_scores(df: DataFrame, target: str, task: str, bins: int = BINS) -> D
     return df.sparkSession.createDataFrame([(c, float(score[c])) for c in names], "column string, score double")
 
 
-def _class_scores(df: DataFrame, names: list[str], target: str, bins: int) -> dict[str, float]:
+def _class_scores(df: DataFrame, names: list[str], target: str, bins: int | None) -> dict[str, float]:
     numbers = [c for c in numeric_columns(df) if c in names]
-    binned = add_bins(df, numbers, bins)
-    counts = pair_counts(binned, [*names, *[BINNED + c for c in numbers]], target)
+    binned = add_bins(df, numbers, bins) if bins else df
+    counts = cut_lineage(pair_counts(binned, [*names, *([BINNED + c for c in numbers] if bins else [])], target))
     facts = {r["column"]: r for r in association_facts(counts).collect()}
     if not facts or max(r["n_classes"] for r in facts.values()) < 2:
         return dict.fromkeys(names, 0.0)
-    same = identical_columns(df, target, [facts[c] for c in names]) | _correlated(df, names, target)
+    same = identical_columns(df, target, [facts[c] for c in names], counts) | _correlated(df, names, target)
+    asked = [c for c in numbers if c not in same]
+    near = {} if bins or not asked else {r["feature"]: r["mutual_information"] for r in nearest_information(df, target, asked).collect()}
     out = {}
     for c in names:
         own = facts[c]
@@ -202,7 +210,7 @@ def _class_scores(df: DataFrame, names: list[str], target: str, bins: int) -> di
         elif c not in numbers and own["n_values"] / own["n"] > 0.50:
             out[c] = 0.0
         else:
-            mi = facts[BINNED + c if c in numbers else c]["mi"]
+            mi = own["mi"] if c not in numbers else facts[BINNED + c]["mi"] if bins else near.get(c, 0.0)
             out[c] = min(1.0, max(0.0, mi / math.log(own["n_classes"])))
     return out
 
@@ -210,8 +218,8 @@ def _class_scores(df: DataFrame, names: list[str], target: str, bins: int) -> di
 def _number_scores(df: DataFrame, names: list[str], target: str) -> dict[str, float]:
     if not is_numeric(field_types(df)[target]):
         raise ValueError("a regression target must be numeric")
-    counts = pair_counts(df, names, target)
-    same = identical_columns(df, target, association_facts(counts).collect())
+    counts = cut_lineage(pair_counts(df, names, target))
+    same = identical_columns(df, target, association_facts(counts).collect(), counts)
     numbers = [c for c in numeric_columns(df) if c in names]
     texts = [c for c in categorical_columns(df) if c in names]
     r = correlations(df, numbers, target)
@@ -237,19 +245,30 @@ def leakage_issues(df: DataFrame, target: str, task: str) -> DataFrame:
     )
 
 
-def feature_information(df: DataFrame, target: str, features: Sequence[str], bins: int = BINS) -> DataFrame:
+def feature_information(df: DataFrame, target: str, features: Sequence[str], bins: int | None = None, task: str = "classification") -> DataFrame:
     """Mutual information (nats) of every feature with the target: ``feature, mutual_information``.
 
-    Numbers are binned by equal frequency after median fill; a numeric regression target is binned too.
+    Numbers, filled by their median, are judged by nearest neighbours, against classes as well as against a
+    numeric target (``task="regression"``); texts count as classes.  With ``bins`` numbers are binned by equal
+    frequency instead, which caps their information at the logarithm of the number of bins.
     """
     types = field_types(df)
     usable = df.where(value_of(target, types[target]).isNotNull())
     numbers = [c for c in features if is_numeric(types[c])]
-    frame = add_bins(usable, numbers, bins)
-    names = {(BINNED + c if c in numbers else c): c for c in features}
-    facts = association_facts(pair_counts(frame, list(names), target))
-    lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return facts.select(lookup[F.col("column")].alias("feature"), F.col("mi").alias("mutual_information"))
+    texts = [c for c in features if c not in numbers]
+    if task == "regression":
+        parts = ([pair_information(usable, target, numbers)] if numbers else []) + ([text_information(usable, target, texts)] if texts else [])
+    else:
+        frame = add_bins(usable, numbers, bins) if bins else usable
+        names = {c: c for c in texts} | ({BINNED + c: c for c in numbers} if bins else {})
+        parts = [nearest_information(usable, target, numbers)] if numbers and not bins else []
+        if names:
+            lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+            facts = association_facts(pair_counts(frame, list(names), target))
+            parts.append(facts.select(lookup[F.col("column")].alias("feature"), F.col("mi").alias("mutual_information")))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "feature string, mutual_information double")
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 def digamma(x: Column) -> Column:
@@ -260,6 +279,55 @@ def digamma(x: Column) -> Column:
     return F.ln(y) - 0.5 / y - z * (1 / 12 - z * (1 / 120 - z / 252)) - shift
 
 
+#: Part of a radius that a range count leaves out, so that the neighbour at the radius itself is never counted.
+OPEN_END = 1e-9
+
+
+def _counted_inside(asked: DataFrame, line: DataFrame, value: str, name: str) -> DataFrame:
+    """Add ``name``: rows of ``line`` (``column, spot, n``) nearer to ``value`` than ``r``; at ``value`` itself where ``r`` is 0.
+
+    Both ends of a range become spots on the line, and two running counts differ by what lies between them.
+    """
+    room = F.col("r") * (1.0 - OPEN_END)
+    asked = cut_lineage(asked.withColumns({"_lo": F.col(value) - room, "_hi": F.col(value) + room}))
+    spots = asked.select("column", F.explode(F.array("_lo", "_hi")).alias("spot"), F.lit(0).cast("long").alias("n"))
+    sums = line.select("column", "spot", "n").unionByName(spots).groupBy("column", "spot").agg(F.sum("n").alias("n"))
+    sums = cut_lineage(running_sums(sums, "spot", ["n"], by=["column"]))
+    below = sums.select("column", F.col("spot").alias("_lo"), (F.col("cum_n") - F.col("n")).alias("_before"))
+    above = sums.select("column", F.col("spot").alias("_hi"), F.col("cum_n").alias("_upto"))
+    met = asked.join(below, ["column", "_lo"]).join(above, ["column", "_hi"])
+    return met.withColumn(name, F.greatest(F.col("_upto") - F.col("_before"), F.lit(1))).drop("_lo", "_hi", "_upto", "_before")
+
+
+def _kth_distance(sides: str, k: Column) -> Column:
+    """Distance at which ``k`` other rows are reached: first the copies of the row, then ``sides`` (d, n) from near to far."""
+    start = F.struct((F.col("n") - 1).alias("seen"), F.lit(0.0).alias("r"))
+    return F.aggregate(sides, start, lambda a, s: F.when(a["seen"] >= k, a).otherwise(F.struct((a["seen"] + s["n"]).alias("seen"), s["d"].alias("r"))))["r"]
+
+
+def _class_information(cells: DataFrame, k: int) -> DataFrame:
+    """Nearest-neighbour information of ``value`` with ``label`` for every ``column``: ``feature, mutual_information``."""
+    counts = cut_lineage(cells.groupBy("column", "label", "value").agg(F.count(F.lit(1)).alias("n")))
+    sizes = counts.groupBy("column", "label").agg(F.sum("n").alias("size")).where("size > 1")
+    # classes of one row have no neighbour and are left out of everything
+    counts = cut_lineage(counts.join(broadcast_if_small(sizes), ["column", "label"]))
+    chunks, w = neighbour_chunks(counts, ["value"], ["column", "label"], before=k, after=k)
+    other = [F.struct(F.abs(fn("value", j).over(w) - F.col("value")).alias("d"), fn("n", j).over(w).alias("n")) for j in range(1, k + 1) for fn in (F.lag, F.lead)]
+    sides = F.array_sort(F.filter(F.array(*other), lambda s: s["d"].isNotNull()))
+    placed = chunks.withColumn("sides", sides).where("_own").drop("_own", "_chunk", "_idx").withColumn("k", F.least(F.lit(k), F.col("size") - 1))
+    asked = placed.withColumn("r", _kth_distance("sides", F.col("k"))).select("column", "value", "n", "size", "k", "r")
+    # copies of one class only tell that class for certain, so at radius 0 the copies take the place of the neighbours
+    asked = asked.withColumn("k", F.when(F.col("r") > 0, F.col("k")).otherwise(F.col("n")))
+    line = counts.select("column", F.col("value").alias("spot"), "n")
+    both = _counted_inside(asked, line, "value", "m")
+    n = F.col("n")
+    terms = both.groupBy("column").agg(
+        F.sum(n).cast("double").alias("rows"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"d_{c}") for c in ("k", "size", "m")]
+    )
+    mi = digamma(F.col("rows")) + (F.col("d_k") - F.col("d_size") - F.col("d_m")) / F.col("rows")
+    return terms.select(F.col("column").alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
+
+
 def nearest_information(df: DataFrame, target: str, features: Sequence[str], k: int = 3) -> DataFrame:
     """Nearest-neighbour mutual information of numeric features with the classes: ``feature, mutual_information``.
 
@@ -272,48 +340,63 @@ def nearest_information(df: DataFrame, target: str, features: Sequence[str], k:
     usable = df.where(value_of(target, types[target]).isNotNull())
     middle = medians(usable, names)
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias("value")) for c in names])
-    counts = usable.select(F.col(quoted(target)).alias("label"), F.inline(cells)).groupBy("column", "label", "value").agg(F.count(F.lit(1)).alias("n"))
-    counts = cut_lineage(counts)
-    chunks, w = neighbour_chunks(counts, ["value"], ["column", "label"], before=k, after=k)
-    other = [F.struct(F.abs(fn("value", j).over(w) - F.col("value")).alias("d"), fn("n", j).over(w).alias("n")) for j in range(1, k + 1) for fn in (F.lag, F.lead)]
-    sides = F.array_sort(F.filter(F.array(*other), lambda s: s["d"].isNotNull()))
-    placed = chunks.withColumn("sides", sides).where("_own").drop("_own", "_chunk", "_idx")
-    sizes = counts.groupBy("column", "label").agg(F.sum("n").alias("size"))
-    placed = placed.join(broadcast_if_small(sizes), ["column", "label"]).where(F.col("size") > 1)
-    placed = placed.withColumn("k", F.least(F.lit(k), F.col("size") - 1))
-    # walk outwards until the k-th neighbour is reached; the other copies of the value come first, at distance 0
-    start = F.struct((F.col("n") - 1).alias("seen"), F.lit(0.0).alias("r"))
-    reach = F.aggregate("sides", start, lambda a, s: F.when(a["seen"] >= F.col("k"), a).otherwise(F.struct((a["seen"] + s["n"]).alias("seen"), s["d"].alias("r"))))["r"]
-    asked = cut_lineage(placed.withColumn("r", reach).select("column", "value", "n", "size", "k", (F.col("value") - F.col("r")).alias("lo"), (F.col("value") + F.col("r")).alias("hi"), "r"))
-    spots = asked.select("column", F.explode(F.array("lo", "hi")).alias("spot"), F.lit(0).cast("long").alias("n"))
-    line = counts.select("column", F.col("value").alias("spot"), "n").unionByName(spots).groupBy("column", "spot").agg(F.sum("n").alias("n"))
-    line = running_sums(line, "spot", ["n"], by=["column"])
-    below = line.select("column", F.col("spot").alias("lo"), F.col("cum_n").alias("upto_lo"), F.col("n").alias("at_lo"))
-    above = line.select("column", F.col("spot").alias("hi"), F.col("cum_n").alias("upto_hi"), F.col("n").alias("at_hi"))
-    both = asked.join(below, ["column", "lo"]).join(above, ["column", "hi"])
-    # a positive radius is open at both ends, a zero radius holds the copies of the value; both counts then take in
-    # the row itself, so copies of one class only tell that class for certain
-    inside = F.when(F.col("r") > 0, F.col("upto_hi") - F.col("at_hi") - F.col("upto_lo")).otherwise(F.col("at_lo"))
+    return _class_information(usable.select(F.col(quoted(target)).alias("label"), F.inline(cells)), k)
+
+
+def text_information(df: DataFrame, target: str, features: Sequence[str], k: int = 3) -> DataFrame:
+    """The same of text features with a numeric target: the texts are the classes, a missing one is a class of its own."""
+    types = field_types(df)
+    y = as_double(target, types[target])
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.coalesce(F.col(quoted(c)).cast("string"), F.lit("<MISSING>")).alias("label")) for c in features])
+    return _class_information(df.where(y.isNotNull()).select(y.alias("value"), F.inline(cells)), k)
+
+
+def pair_information(df: DataFrame, target: str, features: Sequence[str], k: int = 3, block_rows: int = 512) -> DataFrame:
+    """Nearest-neighbour mutual information of numeric features with a numeric target: ``feature, mutual_information``.
+
+    Both axes are divided by their standard deviations, missing features take the median.  The k nearest rows in
+    the plane, by the larger of both gaps, give each row its radius; the rows nearer than that on either axis are
+    counted on the line.  Equal points are merged; where k copies lie at a point the copies there are compared
+    with the copies of its values, which is the plain estimate for discrete numbers.  A constant tells nothing.
+    """
+    types = field_types(df)
+    names = list(features)
+    usable = df.where(as_double(target, types[target]).isNotNull())
+    middle = medians(usable, names)
+    filled = usable.select(as_double(target, types[target]).alias("_y"), *[F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias(f"_x{i}") for i, c in enumerate(names)])
+    spread = filled.agg(F.stddev_pop("_y").alias("_y"), *[F.stddev_pop(f"_x{i}").alias(f"_x{i}") for i in range(len(names))]).first()
+    scaled = lambda c: F.col(c) / F.lit(spread[c] or 1.0) + F.lit(0.0)
+    cells = F.array(*[F.struct(F.lit(i).alias("g"), scaled(f"_x{i}").alias("x")) for i in range(len(names))])
+    counts = filled.select(scaled("_y").alias("y"), F.inline(cells)).groupBy("g", "x", "y").agg(F.count(F.lit(1)).alias("n"))
+    counts = cut_lineage(counts.withColumn("id", F.monotonically_increasing_id()))
+    points = counts.select("id", "g", F.array("x", "y").alias("v"))
+    near = nearest(points, points, k, exclude_self=True, block_rows=block_rows, metric=chebyshev)
+    sides = near.join(counts.select(F.col("id").alias("neighbour"), "n"), "neighbour").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.col("distance").alias("d"), "n"))).alias("sides"))
+    rows = counts.groupBy("g").agg(F.sum("n").alias("rows")).agg(F.max("rows")).first()[0] or 0
+    few = F.lit(max(min(k, rows - 1), 0))
+    placed = counts.join(sides, "id", "left").withColumn("sides", F.coalesce("sides", F.array()))
+    asked = placed.withColumn("r", _kth_distance("sides", few)).select(F.col("g").alias("column"), "x", "y", "n", "r")
+    asked = asked.withColumn("k", F.when(F.col("r") > 0, few).otherwise(F.col("n")))
+    for axis in ("x", "y"):
+        line = counts.groupBy(F.col("g").alias("column"), F.col(axis).alias("spot")).agg(F.sum("n").alias("n"))
+        asked = _counted_inside(asked, line, axis, f"n_{axis}")
     n = F.col("n")
-    both = both.withColumn("k", F.when(F.col("r") > 0, F.col("k")).otherwise(n))
-    terms = both.withColumn("m", F.greatest(inside, F.lit(1)).cast("double")).groupBy("column").agg(
-        F.sum(n).cast("double").alias("rows"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"d_{c}") for c in ("k", "size", "m")]
-    )
-    mi = digamma(F.col("rows")) + (F.col("d_k") - F.col("d_size") - F.col("d_m")) / F.col("rows")
-    return terms.select(F.col("column").alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
+    terms = asked.groupBy("column").agg(F.sum(n).cast("double").alias("rows"), *[F.sum(n * digamma(F.col(c).cast("double"))).alias(f"d_{c}") for c in ("k", "n_x", "n_y")])
+    mi = digamma(F.col("rows")) + (F.col("d_k") - F.col("d_n_x") - F.col("d_n_y")) / F.col("rows")
+    named = F.element_at(F.array(*[F.lit(c) for c in names]), F.col("column") + 1)
+    return terms.select(named.alias("feature"), F.greatest(mi, F.lit(0.0)).alias("mutual_information"))
 
 
 def rank_features(df: DataFrame, target: str, features: Sequence[str], top_n: int | None = 12, task: str = "classification") -> DataFrame:
-    if task == "regression":
-        df = add_bins(df, [target], prefix="_t_").drop(target).withColumnRenamed("_t_" + target, target)
-    ranked = feature_information(df, target, features).orderBy(F.desc("mutual_information"), "feature")
+    """Features by their information about the target, the most telling first; ``None`` lists all."""
+    ranked = feature_information(df, target, features, task=task).orderBy(F.desc("mutual_information"), "feature")
     return ranked.limit(top_n) if top_n is not None else ranked
 
 
-def recommend_features(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None) -> DataFrame:
+def recommend_features(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None, task: str = "classification") -> DataFrame:
     """Quality score and a Strong / Moderate / Weak / Remove verdict per feature."""
     usable = df.where(value_of(target, field_types(df)[target]).isNotNull())
-    info = information if information is not None else feature_information(df, target, features)
+    info = information if information is not None else feature_information(df, target, features, task=task)
     stats = column_stats(usable, list(features)).select(
         F.col("column").alias("feature"), "dtype", F.col("distinct_values").alias("unique"), "missing_pct"
     )
@@ -348,9 +431,9 @@ def compact_features(recommended: DataFrame) -> list[str]:
     return [r["feature"] for r in rows]
 
 
-def feature_diagnostics(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None) -> DataFrame:
+def feature_diagnostics(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None, task: str = "classification") -> DataFrame:
     usable = df.where(value_of(target, field_types(df)[target]).isNotNull())
-    info = information if information is not None else feature_information(df, target, features)
+    info = information if information is not None else feature_information(df, target, features, task=task)
     stats = column_stats(usable, list(features)).select(
         F.col("column").alias("feature"), "missing_pct", F.col("distinct_values").alias("unique"), "dtype"
     )
@@ -371,7 +454,7 @@ def class_codes(df: DataFrame, target: str) -> DataFrame:
     return labels.withColumn("code", F.row_number().over(Window.orderBy("label")).cast("long") - 1)
 
 
-def target_associations(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None) -> DataFrame:
+def target_associations(df: DataFrame, target: str, features: Sequence[str], information: DataFrame | None = None, task: str = "classification") -> DataFrame:
     """Pearson correlation of median-filled numeric features with the (encoded) target."""
     types = field_types(df)
     usable = df.where(value_of(target, types[target]).isNotNull())
@@ -385,7 +468,7 @@ def target_associations(df: DataFrame, target: str, features: Sequence[str], inf
     filled = coded.select("_y", *[F.coalesce(as_double(c, types[c]), F.lit(middle.get(c, 0.0))).alias(c) for c in numbers])
     r = {c: v or 0.0 for c, v in correlations(filled, numbers, "_y").items()}
     rows = df.sparkSession.createDataFrame([(c, abs(r[c]), r[c]) for c in numbers], "feature string, abs_target_correlation double, target_correlation double")
-    info = information if information is not None else feature_information(df, target, numbers)
+    info = information if information is not None else feature_information(df, target, numbers, task=task)
     return (
         rows.join(info, "feature", "left")
         .fillna(0.0, subset=["mutual_information"])

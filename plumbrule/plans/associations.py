@@ -255,6 +255,31 @@ def q_discrete_mi(spark, sf_dir):
 NUMERIC_LINES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 
+def filled_cells(columns, target, source):
+    """One row per row and column: ``f, label, v``, missing values filled by the median."""
+    cells = ", ".join(f"{{'f': '{c}', 'v': coalesce({c}, (SELECT quantile_cont({c}, 0.5) FROM {source}))::DOUBLE}}" for c in columns)
+    return f"SELECT {target} AS label, unnest([{cells}], recursive := true) FROM {source}"
+
+
+def nearest_sql(cells, name="near", k=3):
+    """CTEs ending in ``name`` ("column", mi): nearest-neighbour information of v with label for every f of ``cells``."""
+    sides = ", ".join(f"{{'d': abs({fn}(v, {j}) OVER w - v), 'n': {fn}(n, {j}) OVER w}}" for j in range(1, k + 1) for fn in ("lag", "lead"))
+    p = name
+    return f"""{p}_f AS (SELECT f, label, v, count(*) AS n FROM ({cells}) GROUP BY ALL),
+ {p}_z AS (SELECT * FROM (SELECT *, sum(n) OVER (PARTITION BY f, label) AS size FROM {p}_f) WHERE size > 1),
+ {p}_w AS (SELECT *, least({k}, size - 1) AS kk, list_sort(list_filter([{sides}], lambda s: s.d IS NOT NULL)) AS sides FROM {p}_z WINDOW w AS (PARTITION BY f, label ORDER BY v)),
+ {p}_r AS (SELECT f, v, n, size, kk, CASE WHEN n - 1 >= kk THEN 0 ELSE list_min(list_transform(list_filter(range(1, len(sides) + 1),
+      lambda i: n - 1 + list_sum(list_transform(sides[1:i], lambda s: s.n)) >= kk), lambda i: sides[i].d)) END AS r FROM {p}_w),
+ {p}_c AS (SELECT f, v, sum(sum(n)) OVER (PARTITION BY f ORDER BY v) AS c FROM {p}_z GROUP BY f, v),
+ {p}_a AS (SELECT *, v + r * (1 - 1e-9) AS hi, v - r * (1 - 1e-9) AS lo FROM {p}_r),
+ {p}_h AS (SELECT a.*, h.c AS upto FROM {p}_a a ASOF JOIN {p}_c h ON a.f = h.f AND a.hi >= h.v),
+ {p}_m AS (SELECT a.*, upto - coalesce(l.c, 0) AS m FROM {p}_h a ASOF LEFT JOIN {p}_c l ON a.f = l.f AND a.lo > l.v),
+ {p}_p AS (SELECT i, -0.5772156649015329 + sum(CASE WHEN i > 1 THEN 1.0::DOUBLE / (i - 1) ELSE 0 END) OVER (ORDER BY i) AS psi FROM range(1, (SELECT max(t) FROM (SELECT sum(n)::BIGINT AS t FROM {p}_f GROUP BY f)) + 1) AS r(i)),
+ {p}_t AS (SELECT f, sum(n) AS rows, sum(n * (pk.psi - ps.psi - pm.psi)) / sum(n) AS e FROM {p}_m
+    JOIN {p}_p pk ON pk.i = CASE WHEN r > 0 THEN kk ELSE n END JOIN {p}_p ps ON ps.i = size JOIN {p}_p pm ON pm.i = m GROUP BY f),
+ {name} AS (SELECT f AS "column", greatest(psi + e, 0) AS mi FROM {p}_t JOIN {p}_p ON i = rows)"""
+
+
 @query(
     "binned_mi",
     f"""WITH {HOLED_LINES}, {binned_source(NUMERIC_LINES, 'li', 'lb')},
@@ -263,16 +288,12 @@ NUMERIC_LINES = ["l_quantity", "l_extendedprice", "l_discount"]
 )
 def q_binned_mi(spark, sf_dir):
     df = holed_lines(spark, sf_dir)
-    return rounded(association.feature_information(df, "l_returnflag", NUMERIC_LINES), "mutual_information")
+    return rounded(association.feature_information(df, "l_returnflag", NUMERIC_LINES, bins=10), "mutual_information")
 
 
 LEAK_CELLS = {
     "l_linestatus": "l_linestatus",
-    "l_quantity": "l_quantity_b",
-    "l_extendedprice": "l_extendedprice_b",
-    "l_linenumber": "l_linenumber_b",
     "flag_h": "coalesce(flag_h, '<MISSING>')",
-    "l_discount": "l_discount_b",
     "row_code": "row_code",
     "flag_copy": "flag_copy",
     "half_flag": "half_flag",
@@ -280,10 +301,12 @@ LEAK_CELLS = {
 LEAK_SOURCE = f"""{HOLED_LINES.replace("AS flag_h FROM lineitem)", '''AS flag_h,
    l_orderkey || '-' || l_partkey || '-' || l_suppkey || '-' || l_linenumber AS row_code, 'c' || l_returnflag AS flag_copy,
    CASE WHEN l_orderkey % 2 = 0 THEN l_returnflag END AS half_flag FROM lineitem)''')}"""
-LEAK = f"""WITH {LEAK_SOURCE}, {binned_source([*NUMERIC_LINES, 'l_linenumber'], 'li', 'lb')}, cells AS ({cells_sql(LEAK_CELLS, 'l_returnflag', 'lb')}), {MI_TAIL},
- same AS ({identity_sql(list(LEAK_CELLS), 'l_returnflag', 'li')}),
- scores AS (SELECT "column", CASE WHEN identity_score = 1.0 THEN 1.0::DOUBLE WHEN "column" IN ('row_code') AND kx / n > 0.5 THEN 0.0::DOUBLE
-   ELSE least(mi / ln(k), 1.0) END AS score FROM mi JOIN same USING ("column"))"""
+LEAK_NUMBERS = [*NUMERIC_LINES, "l_linenumber"]
+LEAK = f"""WITH {LEAK_SOURCE}, cells AS ({cells_sql(LEAK_CELLS, 'l_returnflag', 'li')}), {MI_TAIL}, {nearest_sql(filled_cells(LEAK_NUMBERS, 'l_returnflag', 'li'))},
+ same AS ({identity_sql([*LEAK_CELLS, *LEAK_NUMBERS], 'l_returnflag', 'li')}),
+ every AS (SELECT "column", mi, kx / n AS share FROM mi UNION ALL SELECT "column", mi, NULL FROM near),
+ scores AS (SELECT "column", CASE WHEN identity_score = 1.0 THEN 1.0::DOUBLE WHEN share > 0.5 THEN 0.0::DOUBLE
+   ELSE least(mi / ln((SELECT max(k) FROM mi)), 1.0) END AS score FROM every JOIN same USING ("column"))"""
 
 
 def leaky_lines(spark, sf_dir):
@@ -338,11 +361,11 @@ def q_leakage_reg(spark, sf_dir):
     return rounded(association.leakage_scores(df, "l_extendedprice", "regression"), "score")
 
 
-RANK_CELLS = {c: c + "_b" for c in ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]} | {
-    "l_linestatus": "l_linestatus",
-    "flag_h": "coalesce(flag_h, '<MISSING>')",
-}
-RANK = f"""WITH {HOLED_LINES}, {binned_source([*NUMERIC_LINES, 'l_linenumber'], 'li', 'lb')}, cells AS ({cells_sql(RANK_CELLS, 'l_returnflag', 'lb')}), {MI_TAIL}"""
+RANK_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_linenumber"]
+RANK_TEXTS = {"l_linestatus": "l_linestatus", "flag_h": "coalesce(flag_h, '<MISSING>')"}
+RANK_CELLS = [*RANK_NUMBERS, *RANK_TEXTS]
+RANK = f"""WITH {HOLED_LINES}, cells AS ({cells_sql(RANK_TEXTS, 'l_returnflag', 'li')}), {MI_TAIL.replace('mi AS (SELECT', 'mi_text AS (SELECT', 1)},
+  {nearest_sql(filled_cells(RANK_NUMBERS, 'l_returnflag', 'li'))}, mi AS (SELECT "column", mi FROM mi_text UNION ALL SELECT "column", mi FROM near)"""
 RANK_STATS = " UNION ALL ".join(
     f"""SELECT '{c}' AS feature, '{t}' AS dtype, count(DISTINCT {c}) AS "unique", (count(*) - count({c})) / count(*) AS missing_pct FROM li"""
     for c, t in {"l_quantity": "double", "l_extendedprice": "double", "l_discount": "double", "l_linenumber": "int", "l_linestatus": "string", "flag_h": "string"}.items()
@@ -357,6 +380,37 @@ def q_rank(spark, sf_dir):
     return rounded(out, "mutual_information")
 
 
+PART_NUMBERS = ["p_size", "p_partkey", "size_class", "flat"]
+PART_TEXTS = ["p_type", "p_brand"]
+PART_HOLED = """pa AS (SELECT p_retailprice, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_size END AS p_size, p_partkey, p_size // 10 AS size_class, 1 AS flat,
+   p_type, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_brand END AS p_brand FROM part)"""
+
+
+@query(
+    "rank_features_regression",
+    f"""WITH {PART_HOLED},
+    {nearest_sql(" UNION ALL ".join(f"SELECT '{c}' AS f, coalesce({c}, '<MISSING>') AS label, p_retailprice::DOUBLE AS v FROM pa" for c in PART_TEXTS))},
+    pc AS (SELECT f, p_partkey AS id, label / (SELECT stddev_pop(p_retailprice) FROM pa) AS y, v FROM (SELECT p_partkey, {filled_cells(PART_NUMBERS, 'p_retailprice', 'pa').removeprefix('SELECT ')})),
+    ps AS (SELECT f, id, y, v / coalesce(nullif(stddev_pop(v) OVER (PARTITION BY f), 0), 1) AS x FROM pc),
+    pd AS (SELECT a.f, a.id, greatest(abs(a.x - b.x), abs(a.y - b.y)) AS d, row_number() OVER (PARTITION BY a.f, a.id ORDER BY greatest(abs(a.x - b.x), abs(a.y - b.y))) AS rn FROM ps a JOIN ps b ON a.f = b.f AND a.id <> b.id),
+    pr AS (SELECT ps.*, d AS r FROM pd JOIN ps USING (f, id) WHERE rn = 3),
+    pn AS (SELECT a.f, a.id, CASE WHEN any_value(r) > 0 THEN 3 ELSE count(*) FILTER (a.x = b.x AND a.y = b.y) END AS k,
+        count(*) FILTER (abs(a.x - b.x) < r * (1 - 1e-9) OR (r = 0 AND a.x = b.x)) AS nx, count(*) FILTER (abs(a.y - b.y) < r * (1 - 1e-9) OR (r = 0 AND a.y = b.y)) AS ny
+      FROM pr a JOIN ps b USING (f) GROUP BY a.f, a.id),
+    pe AS (SELECT f, count(*) AS rows, avg(k.psi - x.psi - y.psi) AS e FROM pn JOIN near_p k ON k.i = pn.k JOIN near_p x ON x.i = nx JOIN near_p y ON y.i = ny GROUP BY f),
+    mi AS (SELECT "column", mi FROM near UNION ALL SELECT f, greatest(psi + e, 0) FROM pe JOIN near_p ON i = rows)
+    SELECT "column" AS feature, round(mi, 6) AS mutual_information FROM mi""",
+)
+def q_rank_regression(spark, sf_dir):
+    key = F.col("p_partkey")
+    df = table(spark, sf_dir, "part").select(
+        "p_retailprice", F.when(key % 7 != 0, F.col("p_size")).alias("p_size"), "p_partkey", F.floor(F.col("p_size") / 10).alias("size_class"), F.lit(1).alias("flat"),
+        "p_type", F.when(key % 5 != 0, F.col("p_brand")).alias("p_brand"),
+    )
+    out = association.rank_features(df, "p_retailprice", [*PART_NUMBERS, *PART_TEXTS], None, "regression")
+    return rounded(out, "mutual_information")
+
+
 @query(
     "recommend_features",
     RANK_FULL
@@ -384,7 +438,7 @@ def q_feature_diagnostics(spark, sf_dir):
     "target_associations",
     RANK
     + """, codes AS (SELECT l_returnflag AS lf, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag FROM li)),
-    f AS (SELECT code::DOUBLE AS y, coalesce(l_quantity, l_quantity_m) AS l_quantity, l_extendedprice, l_discount, l_linenumber FROM li JOIN codes ON lf = l_returnflag, lb_e),
+    f AS (SELECT code::DOUBLE AS y, coalesce(l_quantity, (SELECT quantile_cont(l_quantity, 0.5) FROM li)) AS l_quantity, l_extendedprice, l_discount, l_linenumber FROM li JOIN codes ON lf = l_returnflag),
     r AS (SELECT 'l_quantity' AS feature, corr(l_quantity, y) AS r FROM f UNION ALL SELECT 'l_extendedprice', corr(l_extendedprice, y) FROM f
       UNION ALL SELECT 'l_discount', corr(l_discount, y) FROM f UNION ALL SELECT 'l_linenumber', corr(l_linenumber, y) FROM f)
     SELECT feature, round(abs(r), 6) AS abs_target_correlation, round(r, 6) AS target_correlation, round(mi, 6) AS mutual_information
@@ -419,10 +473,9 @@ NEW_COLUMNS = {
     "priority_code": ("string", False),
     "o_orderpriority": ("string", False),
 }
+FULL_NUMBERS = ["o_custkey", "o_totalprice"]
 FULL_CELLS = {
-    "o_custkey": "o_custkey_b",
     "o_orderstatus": "o_orderstatus",
-    "o_totalprice": "o_totalprice_b",
     "o_currency": "o_currency",
     "priority_code": "priority_code",
 }
@@ -463,9 +516,10 @@ def shifted_orders(spark, sf_dir):
     report AS (SELECT "column", 'ks' AS test, statistic, p_value < 0.05 AS drifted, NULL::DOUBLE AS total_variation_distance, false AS low_expected_counts FROM ksr
       UNION ALL SELECT "column", 'chi', statistic, statistic > ({CRITICAL})[dof], total_variation_distance, low_expected_counts FROM chi),
     {stats_sql('news', NEW_COLUMNS)} {schema_issue_sql('o_orderpriority', len(NEW_COLUMNS), 'news', NEW_COLUMNS)},
-    {binned_source(['o_custkey', 'o_totalprice'], 'news', 'nb')}, cells AS ({cells_sql(FULL_CELLS, 'o_orderpriority', 'nb')}), {MI_TAIL},
-    same AS ({identity_sql(list(FULL_CELLS), 'o_orderpriority', 'news')}),
-    scores AS (SELECT "column", CASE WHEN identity_score = 1.0 THEN 1.0::DOUBLE ELSE least(mi / ln(k), 1.0) END AS score FROM mi JOIN same USING ("column"))
+    cells AS ({cells_sql(FULL_CELLS, 'o_orderpriority', 'news')}), {MI_TAIL}, {nearest_sql(filled_cells(FULL_NUMBERS, 'o_orderpriority', 'news'))},
+    same AS ({identity_sql([*FULL_CELLS, *FULL_NUMBERS], 'o_orderpriority', 'news')}),
+    every AS (SELECT "column", mi FROM mi UNION ALL SELECT "column", mi FROM near),
+    scores AS (SELECT "column", CASE WHEN identity_score = 1.0 THEN 1.0::DOUBLE ELSE least(mi / ln((SELECT max(k) FROM mi)), 1.0) END AS score FROM every JOIN same USING ("column"))
     SELECT severity, 'schema' AS category, "column", rule, round(measured, 6) AS measured FROM raw_issues
     UNION ALL SELECT CASE WHEN score > 0.95 THEN 'error' WHEN score >= 0.8 THEN 'warning' ELSE 'info' END, 'leakage', "column",
        CASE WHEN score > 0.95 THEN 'leak_extreme' WHEN score >= 0.8 THEN 'leak_very_strong' ELSE 'leak_strong' END, round(score, 6) FROM scores WHERE score >= 0.6
