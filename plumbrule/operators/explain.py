@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from plumbrule.core.frames import quoted
 from plumbrule.functions.columns import hashed_normal
 from plumbrule.operators.clean import even_sample
+from plumbrule.operators.shapley import coalitions
 
 MAX_EXACT = 10
 ScoreFn = Callable[[DataFrame], DataFrame]
@@ -36,15 +37,17 @@ def linear_attribution(df: DataFrame, key: str, features: Sequence[str], weights
     return df.withColumn("_m", means.scalar()).select(F.col(quoted(key)).alias("id"), F.inline(F.array(*cells)))
 
 
-def shapley(rows: DataFrame, key: str, features: Sequence[str], background: Sequence[dict], score: ScoreFn, output: str = "score") -> DataFrame:
-    """Exact Shapley values of ``score`` (a column ``output`` it adds) for up to ten features.
+def shapley(rows: DataFrame, key: str, features: Sequence[str], background: Sequence[dict], score: ScoreFn, output: str = "score", budget: int | None = None, seed: int = 42) -> DataFrame:
+    """Shapley values of ``score`` (a column ``output`` it adds), exact for up to ten features.
 
     Every row meets every coalition and every background row in one exploded table, which is
     scored once; averages per coalition then combine with the Shapley weights as one grouped sum.
+    Beyond ten features the coalitions are those of ``shapley.coalitions``.  Scores that are functions of a
+    matrix, and trees, are better served by ``shapley``, which explodes nothing.
     """
     d = len(features)
     if d > MAX_EXACT:
-        raise ValueError(f"exact Shapley values take at most {MAX_EXACT} features")
+        return _sampled(rows, key, features, background, score, output, budget, seed)
     back = F.array(*[F.struct(*[F.lit(float(b[f])).alias(f"b{i}") for i, f in enumerate(features)]) for b in background])
     base = rows.select(F.col(quoted(key)).alias("id"), *[F.col(quoted(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
     wide = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(2**d - 1))).alias("mask")).select("*", F.explode(back).alias("b"))
@@ -64,16 +67,42 @@ def shapley(rows: DataFrame, key: str, features: Sequence[str], background: Sequ
     return found.join(values, ["id", "feature"]).select("id", "feature", "value", "shap")
 
 
+def _sampled(rows: DataFrame, key: str, features: Sequence[str], background: Sequence[dict], score: ScoreFn, output: str, budget: int | None, seed: int) -> DataFrame:
+    """Attributions as weighted sums of the mean scores of listed coalitions, the empty and the whole one among them."""
+    d = len(features)
+    plan = coalitions(d, budget, seed)
+    masks = np.vstack([plan.masks, np.zeros((1, d), bool), np.ones((1, d), bool)])
+    weights = np.column_stack([plan.solve, -plan.solve.sum(axis=1) - plan.spread, plan.spread])
+    sums: dict[str, np.ndarray] = {}
+    for mask, weight in zip(masks, weights.T):
+        name = "".join("01"[int(inside)] for inside in mask)
+        sums[name] = sums.get(name, 0) + weight
+    back = F.array(*[F.struct(*[F.lit(float(b[f])).alias(f"b{i}") for i, f in enumerate(features)]) for b in background])
+    base = rows.select(F.col(quoted(key)).alias("id"), *[F.col(quoted(f)).cast("double").alias(f"x{i}") for i, f in enumerate(features)])
+    wide = base.select("*", F.explode(F.split(F.lit(",".join(sums)), ",")).alias("mask")).select("*", F.explode(back).alias("b"))
+    mixed = wide.select("id", "mask", *[F.when(F.substring("mask", i + 1, 1) == "1", F.col(f"x{i}")).otherwise(F.col(f"b.b{i}")).alias(f) for i, f in enumerate(features)])
+    value = score(mixed).groupBy("id", "mask").agg(F.avg(output).alias("v"))
+    table = rows.sparkSession.createDataFrame([(m, [float(x) for x in w]) for m, w in sums.items()], "mask string, w array<double>")
+    joined = value.join(F.broadcast(table), "mask")  # as many rows as the budget
+    found = joined.groupBy("id").agg(F.array(*[F.sum(F.col("w")[i] * F.col("v")) for i in range(d)]).alias("s"))
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"x{i}").alias("value"), F.col("s")[i].alias("shap")) for i, f in enumerate(features)])
+    return base.join(found, "id").select("id", F.inline(cells))
+
+
 def background_rows(df: DataFrame, order: Sequence[str], features: Sequence[str], size: int = 100) -> list[dict]:
     """Evenly spaced rows used as background; ``size`` rows reach the driver."""
     picked = even_sample(df.dropna("any", subset=list(features)), order, size)
     return [r.asDict() for r in picked.select(*map(quoted, features)).collect()]
 
 
-def explain_globally(df: DataFrame, key: str, features: Sequence[str], score: ScoreFn, rows: int = 500, background: int = 100, output: str = "score") -> DataFrame:
-    """Mean absolute Shapley value per feature over an even sample of rows."""
+def explain_globally(df: DataFrame, key: str, features: Sequence[str], score: ScoreFn, rows: int | None = None, background: int = 100, output: str = "score") -> DataFrame:
+    """Mean absolute Shapley value per feature over all rows, or over an even sample of ``rows``.
+
+    ``background`` evenly spaced rows stand for the features outside a coalition.
+    """
     back = background_rows(df, [key], features, background)
-    return global_importance(shapley(even_sample(df, [key], rows), key, features, back, score, output))
+    explained = df if rows is None else even_sample(df, [key], rows)
+    return global_importance(shapley(explained, key, features, back, score, output))
 
 
 def global_importance(attributions: DataFrame, by_class: str | None = None, classes: Sequence | None = None) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from plumbrule.operators import (
@@ -18,6 +20,7 @@ from plumbrule.operators import (
     prep,
     reduce,
     scoring,
+    shapley,
     split,
     tree_splits,
 )
@@ -608,6 +611,44 @@ def q_shapley(spark, sf_dir):
     return explain.shapley(df, "p_partkey", ["p_size", "p_retailprice"], back, product_score)
 
 
+def _embedding_columns(spark, sf_dir):
+    from plumbrule.core.moments import array_columns
+
+    names = [f"f{i}" for i in range(64)]
+    return array_columns(table(spark, sf_dir, "embeddings"), "embedding", 64), names
+
+
+@query(
+    "shapley_linear",
+    """WITH x AS (SELECT vec_id AS id, unnest(range(64)) AS i, unnest(embedding::DOUBLE[]) AS v FROM embeddings),
+    b AS (SELECT i, avg(v) AS m FROM x WHERE id < 20 GROUP BY i)
+    SELECT id, 'f' || i AS feature, round(v, 6) AS value, round(((i % 7) - 3) / 2.0::DOUBLE * (v - m), 6) + 0.0 AS shap FROM x JOIN b USING (i)""",
+)
+def q_shapley_linear(spark, sf_dir):
+    """Sampled coalitions of 64 features; a linear score has a closed form to compare with."""
+    df, names = _embedding_columns(spark, sf_dir)
+    weights = np.array([((i % 7) - 3) / 2 for i in range(64)])
+    back = [r.asDict() for r in df.where("vec_id < 20").orderBy("vec_id").select(*names).collect()]
+    out = shapley.kernel_shapley(df, "vec_id", names, back, lambda x: x @ weights, 256)
+    return rounded(out, "value", "shap")
+
+
+@query("tree_shapley", "SELECT vec_id AS id, 64 AS n_features, 0.0::DOUBLE AS gap FROM embeddings")
+def q_tree_shapley(spark, sf_dir):
+    """Attributions of a forest over 64 features add up to its prediction less the mean prediction of the background."""
+    from pyspark.ml.regression import RandomForestRegressor
+
+    df, names = _embedding_columns(spark, sf_dir)
+    x = df.withColumn("features", array_to_vector("embedding")).withColumn("label", F.col("label").cast("double"))
+    model = RandomForestRegressor(numTrees=10, maxDepth=5, seed=3).fit(x)
+    back = [r.asDict() for r in df.where("vec_id < 20").orderBy("vec_id").select(*names).collect()]
+    found = shapley.tree_shapley(df, "vec_id", names, shapley.tree_leaves(model), back)
+    predicted = model.transform(x).select(F.col("vec_id").alias("id"), "prediction")
+    base = predicted.where("id < 20").agg(F.avg("prediction").alias("base")).first()["base"]
+    sums = found.groupBy("id").agg(F.sum("shap").alias("total"), F.count("shap").cast("int").alias("n_features"))
+    return sums.join(predicted, "id").select("id", "n_features", (F.round(F.col("total") + base - F.col("prediction"), 6) + 0.0).alias("gap"))
+
+
 @query("lime_surrogate")
 def q_lime(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
