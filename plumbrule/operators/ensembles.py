@@ -119,12 +119,13 @@ class Samme:
     def __init__(self, rounds: int = 50, rate: float = 1.0, depth: int = 1, seed: int = 42):
         self.rounds, self.rate, self.depth, self.seed = rounds, rate, depth, seed
 
-    def fit(self, df: DataFrame, features: Sequence[str], label: str) -> Samme:
-        data = assembled(df, features, label).select(LABEL, FEATURES)
+    def fit(self, df: DataFrame, features: Sequence[str] | None = None, label: str = LABEL) -> Samme:
+        """Without ``features`` the table already holds the feature vector and the numeric label."""
+        data = df.select(LABEL, FEATURES) if features is None else assembled(df, features, label).select(LABEL, FEATURES)
         facts = data.agg(F.count(F.lit(1)).alias("n"), (F.max(LABEL) + 1).alias("k"), F.count_distinct(LABEL).alias("seen")).first()
         if facts["seen"] < 2:
             raise ValueError("boosting needs two or more classes")
-        k, self.features = int(facts["k"]), list(features)
+        k, self.features = int(facts["k"]), None if features is None else list(features)
         data = cut_lineage(data.withColumn("w", F.lit(1.0 / facts["n"])))
         self.classes, self.models, self.alphas, self.errors = k, [], [], []
         while len(self.models) < self.rounds:
@@ -155,10 +156,10 @@ class Samme:
 
     def votes(self, df: DataFrame) -> DataFrame:
         """One prediction column ``_v<i>`` per round."""
-        out = VectorAssembler(inputCols=self.features, outputCol=FEATURES, handleInvalid="keep").transform(df)
+        out = df if self.features is None else VectorAssembler(inputCols=self.features, outputCol=FEATURES, handleInvalid="keep").transform(df)
         for i, m in enumerate(self.models):
             out = m.transform(out).withColumnRenamed("prediction", f"_v{i}").drop("probability", "rawPrediction")
-        return out.drop(FEATURES)
+        return out if self.features is None else out.drop(FEATURES)
 
     def transform(self, df: DataFrame) -> DataFrame:
         cols = [f"_v{i}" for i in range(len(self.models))]
@@ -166,6 +167,59 @@ class Samme:
         return out.withColumn("prediction", argmax("_s").cast("double")).drop("_s", *cols)
 
 
+class BoostedMedian:
+    """Boosted regression trees by the errors of earlier rounds (AdaBoost.R2, Drucker 1997); the members' weighted median.
+
+    The error of a row is its absolute error divided by the largest one of the round.  Trees learn from weighted
+    rows, not from resampled ones, so a fit is the same on every run.  A round whose weighted error reaches one
+    half ends the boosting and is dropped unless it is the first.
+    """
+
+    def __init__(self, rounds: int = 50, rate: float = 1.0, depth: int = 3, seed: int = 42):
+        self.rounds, self.rate, self.depth, self.seed = rounds, rate, depth, seed
+
+    def fit(self, df: DataFrame) -> BoostedMedian:
+        data = cut_lineage(df.select(LABEL, FEATURES).withColumn("w", F.lit(1.0)))
+        self.models, self.alphas, self.errors = [], [], []
+        for number in range(self.rounds):
+            tree = DecisionTreeRegressor(featuresCol=FEATURES, labelCol=LABEL, weightCol="w", maxDepth=self.depth, seed=self.seed + number).fit(data)
+            scored = tree.transform(data).withColumn("e", F.abs(F.col("prediction") - F.col(LABEL)))
+            facts = scored.agg(F.max("e").alias("top"), (F.sum(F.col("w") * F.col("e")) / F.sum("w")).alias("mean"), F.sum("w").alias("whole"), F.count(F.lit(1)).alias("n")).first()
+            error = facts["mean"] / facts["top"] if facts["top"] else 0.0
+            if error >= 0.5 and self.models:
+                break
+            self.models.append(tree)
+            self.errors.append(float(error))
+            if error <= 0 or error >= 0.5:
+                self.alphas.append(1.0)
+                break
+            beta = error / (1 - error)
+            self.alphas.append(self.rate * math.log(1 / beta))
+            scale = facts["n"] / facts["whole"]
+            data = scored.select(LABEL, FEATURES, (F.col("w") * scale * F.pow(F.lit(beta), self.rate * (1 - F.col("e") / facts["top"]))).alias("w"))
+            if (number + 1) % CUT_EVERY == 0:
+                data = cut_lineage(data)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out, names = df, [f"_v{i}" for i in range(len(self.models))]
+        for name, m in zip(names, self.models):
+            out = m.transform(out).withColumnRenamed("prediction", name)
+        return out.withColumn("prediction", weighted_median(names, self.alphas)).drop(*names)
+
+
+def weighted_median(columns: Sequence[str], weights: Sequence[float]) -> Column:
+    """The smallest of the values at which the weights up to it reach half of all; NULL if a value is missing."""
+    cells = F.array_sort(F.array(*[F.struct(F.col(quoted(c)).cast("double").alias("v"), F.lit(float(w)).alias("w")) for c, w in zip(columns, weights)]))
+    start = F.struct(F.lit(0.0).alias("seen"), F.lit(None).cast("double").alias("v"))
+    half = sum(map(float, weights)) / 2
+    walk = lambda a, x: F.when(a["seen"] >= half, a).otherwise(F.struct((a["seen"] + x["w"]).alias("seen"), x["v"].alias("v")))
+    whole = F.lit(True)
+    for c in columns:
+        whole = whole & F.col(quoted(c)).isNotNull()
+    return F.when(whole, F.aggregate(cells, start, walk)["v"])
+
+
 def vote_scores(columns: Sequence[str], weights: Sequence[float], classes: Sequence) -> Column:
     """Weighted votes per class as an array."""
     return F.array(*[sum((F.when(F.col(quoted(c)) == F.lit(k), float(w)).otherwise(0.0) for c, w in zip(columns, weights)), F.lit(0.0)) for k in classes])

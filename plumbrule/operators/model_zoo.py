@@ -27,8 +27,11 @@ from pyspark.sql import functions as F
 
 from plumbrule.core.frames import as_double, field_types, is_numeric, quoted, require_columns, value_of
 from plumbrule.core.ordering import medians
+from plumbrule.core.session import cut_lineage
 from plumbrule.operators import metrics
 from plumbrule.operators.association import class_codes
+from plumbrule.operators.level_trees import ExtraTrees, HistogramBoosting
+from plumbrule.operators.neighbours import knn_mean, knn_vote
 from plumbrule.operators.prep import fourier_features, impute_median, modes, scale_facts, standard_scale
 from plumbrule.operators.profile import column_stats, suggest_features, task_type
 from plumbrule.operators.split import learning_subsets, random_folds, random_split, stratified_folds, stratified_split
@@ -149,8 +152,28 @@ class Constant:
         return df.withColumn("prediction", F.lit(self.value))
 
 
+class NeighbourVote:
+    """The k nearest training rows: their most frequent class, or the mean of a numeric target."""
+
+    def __init__(self, task: str, k: int = 3):
+        self.task, self.k = task, k
+
+    def fit(self, df: DataFrame) -> NeighbourVote:
+        kept = df.select(F.monotonically_increasing_id().alias("id"), vector_to_array(FEATURES).alias("v"), F.col(LABEL).alias("label"), F.col(LABEL).alias("y"))
+        self.points = cut_lineage(kept)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        rows = cut_lineage(df.withColumn("_id", F.monotonically_increasing_id()))
+        asked = rows.select(F.col("_id").alias("id"), vector_to_array(FEATURES).alias("v"))
+        found = knn_vote(asked, self.points, self.k) if self.task == "classification" else knn_mean(asked, self.points, self.k)
+        return rows.join(found.select(F.col("id").alias("_id"), "prediction"), "_id", "left").drop("_id")
+
+
 def classifiers(n_classes: int, rows: int, width: int, trees: int = 200, seed: int = 42) -> dict[str, object]:
-    """Estimators of the classification families; penalties use this engine's 1/n loss scaling."""
+    """Estimators of the classification families; penalties use this engine's 1/n loss scaling, ``trees`` scales all ensembles."""
+    from plumbrule.operators.ensembles import Samme
+
     reg = 1.0 / max(rows, 1)
     gbt = GBTClassifier(maxIter=50, seed=seed, **COLS)
     return {
@@ -160,20 +183,31 @@ def classifiers(n_classes: int, rows: int, width: int, trees: int = 200, seed: i
         "Linear SVM": OneVsRest(classifier=LinearSVC(regParam=reg, **COLS), **COLS) if n_classes > 2 else LinearSVC(regParam=reg, **COLS),
         "Gaussian NB": NaiveBayes(modelType="gaussian", **COLS),
         "Decision Tree": DecisionTreeClassifier(maxDepth=8, seed=seed, **COLS),
+        "KNN": NeighbourVote("classification"),
         "Random Forest": RandomForestClassifier(numTrees=trees, maxDepth=10, seed=seed, **COLS),
+        "Extra Trees": ExtraTrees(trees=max(1, trees // 2), seed=seed),
+        "Histogram Boosting": HistogramBoosting(rounds=max(1, trees // 2)),
+        "AdaBoost": Samme(rounds=max(1, trees // 4), seed=seed),
         "Gradient Boosting": OneVsRest(classifier=gbt, **COLS) if n_classes > 2 else gbt,
         "MLP": MultilayerPerceptronClassifier(layers=[width, 32, 16, n_classes], maxIter=200, seed=seed, **COLS),
     }
 
 
 def regressors(rows: int, trees: int = 200, seed: int = 42) -> dict[str, object]:
+    """Estimators of the regression families; ``trees`` scales all ensembles."""
+    from plumbrule.operators.ensembles import BoostedMedian
+
     return {
         "Dummy": Majority("regression"),
         "Ridge": LinearRegression(regParam=1.0 / max(rows, 1), elasticNetParam=0.0, standardization=False, **COLS),
         "Lasso": LinearRegression(regParam=0.01, elasticNetParam=1.0, standardization=False, **COLS),
         "Huber": LinearRegression(loss="huber", regParam=1.0 / max(rows, 1), **COLS),
         "Decision Tree": DecisionTreeRegressor(maxDepth=8, seed=seed, **COLS),
+        "KNN": NeighbourVote("regression"),
         "Random Forest": RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed, **COLS),
+        "Extra Trees": ExtraTrees("regression", trees=max(1, trees // 2), seed=seed),
+        "Histogram Boosting": HistogramBoosting("regression", rounds=max(1, trees // 2)),
+        "AdaBoost": BoostedMedian(rounds=max(1, trees // 4), seed=seed),
         "Gradient Boosting": GBTRegressor(maxIter=100, seed=seed, **COLS),
     }
 

@@ -14,6 +14,7 @@ from plumbrule.operators import (
     density,
     ensembles,
     explain,
+    level_trees,
     linear_models,
     model_zoo,
     neighbours,
@@ -649,6 +650,74 @@ def q_tree_shapley(spark, sf_dir):
     return sums.join(predicted, "id").select("id", "n_features", (F.round(F.col("total") + base - F.col("prediction"), 6) + 0.0).alias("gap"))
 
 
+# trees grown level by level
+
+LINE_X = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+FLAG_CODES = "li AS (SELECT l_quantity::DOUBLE AS f0, l_discount::DOUBLE AS f1, l_tax::DOUBLE AS f2, l_linenumber::DOUBLE AS f3, l_extendedprice AS price, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS y FROM lineitem)"
+
+
+def flagged_lines(spark, sf_dir):
+    flags = sorted(r[0] for r in table(spark, sf_dir, "lineitem").select("l_returnflag").distinct().collect())
+    code = F.array_position(F.array(*map(F.lit, flags)), F.col("l_returnflag")).cast("double") - 1
+    x = array_to_vector(F.array(*[F.col(c).cast("double") for c in LINE_X]))
+    return table(spark, sf_dir, "lineitem").select(x.alias("_features"), code.alias("y"), F.col("l_extendedprice").cast("double").alias("price"))
+
+
+@query(
+    "extra_trees_split",
+    f"""WITH {FLAG_CODES}, e AS (UNPIVOT (SELECT (min(f0) + max(f0)) / 2 AS f0, (min(f1) + max(f1)) / 2 AS f1, (min(f2) + max(f2)) / 2 AS f2, (min(f3) + max(f3)) / 2 AS f3 FROM li) ON COLUMNS(*) INTO NAME f VALUE cut),
+    x AS (SELECT y, price, unnest([{{'f': 'f0', 'v': f0}}, {{'f': 'f1', 'v': f1}}, {{'f': 'f2', 'v': f2}}, {{'f': 'f3', 'v': f3}}], recursive := true) FROM li),
+    s AS (SELECT f, cut, y, price, v <= cut AS l FROM x JOIN e USING (f)),
+    c AS (SELECT f, cut, l, y, count(*) AS k FROM s GROUP BY ALL), n AS (SELECT f, cut, l, sum(k) AS n, sum(k) - sum(k * k) / sum(k) AS loss FROM c GROUP BY ALL),
+    r AS (SELECT f, sum(k) AS n, sum(k) - sum(k * k) / sum(k) AS loss FROM (SELECT f, y, sum(k) AS k FROM c GROUP BY ALL) GROUP BY f),
+    g AS (SELECT 'classification' AS task, f, cut, (any_value(r.loss) - sum(n.loss)) / any_value(r.n) AS gain FROM n JOIN r USING (f) GROUP BY f, cut
+      UNION ALL SELECT 'regression', f, cut, (SELECT var_pop(price) FROM li) - sum(w) / sum(k) FROM (SELECT f, cut, l, var_pop(price) * count(*) AS w, count(*) AS k FROM s GROUP BY ALL) GROUP BY f, cut)
+    SELECT task, substr(f, 2)::INTEGER AS feature, round(cut, 6) AS threshold, round(gain, 3) AS gain FROM g QUALIFY row_number() OVER (PARTITION BY task ORDER BY gain DESC) = 1""",
+)
+def q_extra_trees(spark, sf_dir):
+    """Root splits with the middle of every range as threshold, so that SQL can choose as well."""
+    rows, out = flagged_lines(spark, sf_dir), []
+    for task, label in (("classification", "y"), ("regression", "price")):
+        learner = level_trees.ExtraTrees(task, 1, 1, len(LINE_X), label_col=label, draw=lambda tree, node, feature: np.full(np.shape(feature), 0.5))
+        trees = learner.fit(rows).trees
+        out.append((task, int(trees.feature[0, 0]), float(trees.threshold[0, 0]), learner.gains[0, 0]))
+    out = spark.createDataFrame(out, "task string, feature int, threshold double, gain double")
+    return rounded(rounded(out, "threshold"), "gain", digits=3)
+
+
+@query(
+    "boosting_round",
+    f"""WITH {FLAG_CODES}, p AS (SELECT y AS c, count(*) / (SELECT count(*) FROM li) AS p FROM li GROUP BY y),
+    x AS (SELECT y, unnest([{{'f': 0, 'v': f0}}, {{'f': 1, 'v': f1}}, {{'f': 2, 'v': f2}}, {{'f': 3, 'v': f3}}], recursive := true) FROM li),
+    b AS (SELECT c, f, v, sum(p - (y = c)::INTEGER) AS g, sum(p * (1 - p)) AS h, count(*) AS n FROM x, p GROUP BY c, f, v),
+    w AS (SELECT *, sum(g) OVER l AS gl, sum(h) OVER l AS hl, sum(n) OVER l AS nl, sum(g) OVER a AS ga, sum(h) OVER a AS ha, sum(n) OVER a AS na FROM b WINDOW l AS (PARTITION BY c, f ORDER BY v), a AS (PARTITION BY c, f)),
+    s AS (SELECT *, gl * gl / hl + (ga - gl) * (ga - gl) / (ha - hl) - ga * ga / ha AS gain FROM w WHERE nl >= 20 AND na - nl >= 20)
+    SELECT c::INTEGER AS class, f AS feature, v AS threshold, round(gain, 5) AS gain, round(-0.1 * gl / hl, 6) AS left_value, round(-0.1 * (ga - gl) / (ha - hl), 6) AS right_value
+    FROM s QUALIFY row_number() OVER (PARTITION BY c ORDER BY gain DESC, f, v) = 1""",
+)
+def q_boosting_round(spark, sf_dir):
+    """The first round of softmax boosting with stumps: one tree a class."""
+    learner = level_trees.HistogramBoosting(rounds=1, depth=1, label_col="y")
+    model = learner.fit(flagged_lines(spark, sf_dir))
+    value = model.trees.value
+    out = [(t, f, cut, learner.gains[0][t, 0], float(value[t, 1, t]), float(value[t, 2, t])) for t, _, f, cut in model.splits()]
+    out = spark.createDataFrame(out, "class int, feature int, threshold double, gain double, left_value double, right_value double")
+    return rounded(rounded(out, "left_value", "right_value"), "gain", digits=5)
+
+
+@query(
+    "weighted_median",
+    """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([{'v': l_quantity::DOUBLE, 'w': 0.5::DOUBLE}, {'v': l_extendedprice / 1000, 'w': 1.25}, {'v': l_discount * 100.0, 'w': 0.75}, {'v': 20.0::DOUBLE, 'w': 1.0}], recursive := true) FROM lineitem),
+    c AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY v, w) AS c FROM m)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(min(v) FILTER (c >= 1.75), 6) AS prediction FROM c GROUP BY ALL""",
+)
+def q_weighted_median(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("a"), (F.col("l_extendedprice") / 1000).alias("b"), (F.col("l_discount") * 100.0).alias("c"), F.lit(20.0).alias("d")
+    )
+    return rounded(df.withColumn("prediction", ensembles.weighted_median(["a", "b", "c", "d"], [0.5, 1.25, 0.75, 1.0])).drop("a", "b", "c", "d"), "prediction")
+
+
 @query("lime_surrogate")
 def q_lime(spark, sf_dir):
     df = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
