@@ -8,11 +8,13 @@ import numpy as np
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.core.frames import quoted
 from plumbrule.core.moments import moments
+from plumbrule.core.session import cut_lineage
+from plumbrule.operators.lloyd import labelled, many_kmeans
 from plumbrule.operators.neighbours import silhouette
 
 MAX_CENTRES = 2_000
@@ -177,8 +179,8 @@ def micro_linkage(df: DataFrame, features: Sequence[str], micro: int, clusters:
     return df.sparkSession.createDataFrame(rows, "micro int, n long, cluster int")
 
 
-def cluster_analysis(df: DataFrame, features: Sequence[str], key: str, max_k: int = 8, seed: int = 42) -> DataFrame:
-    """Inertia and exact silhouette per k on scaled columns, best k first."""
+def _sweep(df: DataFrame, features: Sequence[str], key: str, max_k: int, starts: int, seed: int) -> tuple[DataFrame, int, DataFrame, DataFrame, np.ndarray]:
+    """(table of inertia and silhouette per k, best k, scaled rows, their points, centres at the best k)."""
     from plumbrule.operators.prep import standard_scale
 
     rows = df.dropna("any", subset=list(features))
@@ -186,13 +188,38 @@ def cluster_analysis(df: DataFrame, features: Sequence[str], key: str, max_k: in
     if n < 4:
         raise ValueError("clustering needs at least four complete rows")
     scaled = standard_scale(rows, features)
-    out = []
-    for k in range(2, min(max_k, n - 1) + 1):
-        model, runs = kmeans(scaled, features, k, 1, seed=seed)
-        labelled = model.transform(assemble(scaled, features)).select(F.col(quoted(key)).alias("id"), vector_to_array("features").alias("v"), F.col("prediction").alias("label"))
-        score = silhouette(labelled).agg(F.avg("silhouette")).first()[0]
-        out.append((k, float(runs[0][1]), float(score)))
-    table = df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
-    return table.withColumn("best", F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1)
+    vector = F.array(*[F.col(quoted(c)).cast("double") for c in features])
+    points = cut_lineage(scaled.select(F.col(quoted(key)).alias("id"), vector.alias("v")))
+    found = many_kmeans(points, range(2, max(2, min(max_k, n - 1)) + 1), starts, seed)
+    out, scores = [], {}
+    for k, runs in found.items():
+        cost, centres = runs[0]
+        scores[k] = -1.0
+        if len(centres) > 1:
+            scores[k] = silhouette(labelled(points, centres)).agg(F.avg("silhouette")).first()[0]
+        out.append((k, float(cost), float(scores[k])))
+    best = max(scores, key=lambda k: (scores[k], -k))
+    sweep = df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
+    return sweep.withColumn("best", F.col("k") == best).orderBy(F.desc("silhouette"), "k"), best, scaled, points, found[best][0][1]
+
+
+def cluster_analysis(df: DataFrame, features: Sequence[str], key: str, max_k: int = 10, starts: int = 10, seed: int = 42) -> DataFrame:
+    """Inertia of the best start and exact silhouette per k on scaled columns, best k first.
+
+    All starts of all k share their passes over the table.  A k whose clusters all fall together scores -1.
+    """
+    return _sweep(df, features, key, max_k, starts, seed)[0]
+
 
+def cluster_report(df: DataFrame, features: Sequence[str], key: str, max_k: int = 10, starts: int = 10, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(the table of ``cluster_analysis``, ``id, kmeans, mixture, responsibilities`` of every row at the best k).
 
+    Rows with a missing feature teach nothing and have NULL labels.
+    """
+    sweep, best, scaled, points, centres = _sweep(df, features, key, max_k, starts, seed)
+    mixture, _ = gaussian_mixture(scaled, features, best, seed)
+    soft = mixture.setProbabilityCol("_p").setPredictionCol("_g").transform(assemble(scaled, features))
+    soft = soft.select(F.col(quoted(key)).alias("id"), F.col("_g").alias("mixture"), vector_to_array("_p").alias("responsibilities"))
+    hard = labelled(points, centres).select("id", F.col("label").alias("kmeans"))
+    labels = df.select(F.col(quoted(key)).alias("id")).join(hard, "id", "left").join(soft, "id", "left")
+    return sweep, labels

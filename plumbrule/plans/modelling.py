@@ -16,6 +16,7 @@ from plumbrule.operators import (
     explain,
     level_trees,
     linear_models,
+    lloyd,
     model_zoo,
     neighbours,
     prep,
@@ -463,7 +464,39 @@ def two_dims(spark, sf_dir):
 
 @query("kmeans_sweep")
 def q_kmeans(spark, sf_dir):
-    return clusters.cluster_analysis(two_dims(spark, sf_dir), ["e0", "e1", "e2", "e3"], "vec_id", 5)
+    df, names = _embedding_columns(spark, sf_dir)
+    return clusters.cluster_analysis(df, names, "vec_id")
+
+
+@query(
+    "lloyd_round",
+    """WITH v AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v FROM embeddings), c AS (SELECT m.model, c.id AS centre, c.v AS c FROM v c, (VALUES (0, 3), (1, 7), (2, 12)) AS m(model, k) WHERE c.id < m.k),
+    a AS (SELECT model, v.id, centre, v, list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS d FROM v, c QUALIFY row_number() OVER (PARTITION BY model, v.id ORDER BY d, centre) = 1),
+    e AS (SELECT model, centre, i, avg(x) AS x FROM (SELECT model, centre, unnest(range(64)) AS i, unnest(v) AS x FROM a) GROUP BY ALL)
+    SELECT model, centre::INTEGER AS centre, n, round(total, 6) AS total, round(inertia, 4) AS inertia FROM (SELECT model, centre, count(*) AS n, sum(d) AS own FROM a GROUP BY ALL)
+      JOIN (SELECT model, centre, sum(x * (i + 1)) AS total FROM e GROUP BY ALL) USING (model, centre) JOIN (SELECT model, sum(d) AS inertia FROM a GROUP BY model) USING (model)""",
+)
+def q_lloyd(spark, sf_dir):
+    """One step of three models in one pass, from the first rows as centres."""
+    points = vectors(spark, sf_dir).select("id", "v")
+    first = [r["v"] for r in points.where("id < 12").orderBy("id").collect()]
+    new, sizes, inertia = lloyd.lloyd_round(points, [np.array(first[:k]) for k in (3, 7, 12)])
+    weight = np.arange(1, 65)
+    rows = [(m, c, int(sizes[m][c]), float(centre @ weight), float(inertia[m])) for m, centres in enumerate(new) for c, centre in enumerate(centres) if sizes[m][c]]
+    out = spark.createDataFrame(rows, "model int, centre int, n long, total double, inertia double")
+    return rounded(rounded(out, "total"), "inertia", digits=4)
+
+
+@query(
+    "cluster_labels",
+    "WITH t AS (SELECT c_custkey AS id, c_acctbal AS a, c_nationkey AS b FROM customer) SELECT id, true AS has_labels, 1.0::DOUBLE AS shares FROM t",
+)
+def q_cluster_labels(spark, sf_dir):
+    """Every row has a label of K-means and of the mixture at the best k, and responsibilities that add up to one."""
+    df = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("a"), F.col("c_nationkey").cast("double").alias("b"))
+    _, labels = clusters.cluster_report(df, ["a", "b"], "c_custkey", 4, 3)
+    total = F.aggregate("responsibilities", F.lit(0.0), lambda a, x: a + x)
+    return labels.select("id", (F.col("kmeans").isNotNull() & F.col("mixture").isNotNull()).alias("has_labels"), F.round(total, 6).alias("shares"))
 
 
 @query("mixture_criteria")
