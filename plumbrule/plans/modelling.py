@@ -740,9 +740,8 @@ def q_boosting_round(spark, sf_dir):
 
 @query(
     "weighted_median",
-    """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, unnest([{'v': l_quantity::DOUBLE, 'w': 0.5::DOUBLE}, {'v': l_extendedprice / 1000, 'w': 1.25}, {'v': l_discount * 100.0, 'w': 0.75}, {'v': 20.0::DOUBLE, 'w': 1.0}], recursive := true) FROM lineitem),
-    c AS (SELECT *, sum(w) OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, l_suppkey ORDER BY v, w) AS c FROM m)
-    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(min(v) FILTER (c >= 1.75), 6) AS prediction FROM c GROUP BY ALL""",
+    """WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, list_sort([{'v': l_quantity::DOUBLE, 'w': 0.5::DOUBLE}, {'v': l_extendedprice / 1000, 'w': 1.25}, {'v': l_discount * 100.0, 'w': 0.75}, {'v': 20.0::DOUBLE, 'w': 1.0}]) AS s FROM lineitem)
+    SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(s[list_min(list_filter([1, 2, 3, 4], lambda i: list_sum(list_transform(s[1:i], lambda x: x.w)) >= 1.75))].v, 6) AS prediction FROM m""",
 )
 def q_weighted_median(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(
