@@ -7,8 +7,9 @@ earlier document has that length.  Suffixes are compared within small sets that
    equal anchors, and neighbouring windows mostly share one, so there are about ``length / 3`` times fewer
    anchors than bytes.  Anchors seen in one document only are dropped; they cannot repeat.
 2. The runs of windows with the other anchors are sent, with their bytes, to the task of their anchor.  There
-   the suffixes are sorted to the depth of ``length`` by prefix doubling.  Equal ones stand side by side, and
-   the previous and next smaller document in this order tell whether a suffix has an earlier match.
+   the suffixes are sorted to the depth of ``length`` by prefix doubling, neighbours are compared for their
+   common prefixes, and the previous and the next suffix of a smaller document give the longest previous
+   factor: the longer of the two prefixes shared with these.  Factors of ``length`` bytes are earlier matches.
 3. The spans of all matched windows of a document are merged and cut out.
 
 An anchor with a large share of all rows would fill one task.  Each map task first merges what it has of an
@@ -183,6 +184,12 @@ def _merged_segments(parts: list[tuple], length: int) -> pa.RecordBatch:
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
     same[1:] = (route[a] == route[b]) & (code[a] == code[b]) & (size[a] == size[b])
+    # equal hashes only propose; the bytes decide
+    pair = np.flatnonzero(same)
+    if len(pair):
+        width = widths[order[pair]]
+        sides = (_gathered(data, (ends - widths)[order[pair - i]], width) for i in (0, 1))
+        same[pair] = np.logical_and.reduceat(np.equal(*sides), np.cumsum(width) - width)
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     later = np.zeros(len(order), bool)
     later[order] = doc[order] > doc[order[head]]
@@ -283,18 +290,64 @@ def depth_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return rank - np.uint64(1)
 
 
-def previous_factors(rank: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Whether each suffix equals, to the compared depth, one of an earlier document.
+def common_prefixes(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+    """Bytes that each suffix shares with the one before it, ``length`` at most; 0 for the first.
 
-    In suffix order, ties in the order of documents, the previous smaller document of a suffix is the first one
-    of its rank, if that is smaller; no next one is, and a smaller one of another rank shares a shorter factor.
+    ``starts`` and ``rank`` stand in suffix order.  Eight bytes are compared at once; suffixes of one rank
+    share the whole length.
+    """
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    word = np.zeros(len(data), np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + len(data)]
+    out = np.full(len(starts), length, np.int64)
+    out[:1] = 0
+    pairs = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+    for at in range(0, length, 8):
+        differ = word[starts[pairs] + at] ^ word[starts[pairs - 1] + at]
+        ends = differ != 0
+        equal = np.full(int(ends.sum()), at, np.int64)
+        for bits in range(8, 64, 8):
+            equal += differ[ends] < np.uint64(1 << bits)
+        out[pairs[ends]] = np.minimum(equal, length)
+        pairs = pairs[~ends]
+        if not len(pairs):
+            break
+    return out
+
+
+def _shared_with_smaller(doc: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix shares with the nearest one before it of a smaller document, 0 without such.
+
+    Every suffix points at one before it, with the bytes shared up to there; all between belong to documents
+    that are not smaller.  So where the target is not smaller either, its own pointer is taken over, for all
+    suffixes at once; the distances grow as in pointer doubling.
+    """
+    near, low = np.arange(len(doc)) - 1, shared.copy()
+    todo = np.flatnonzero(low > 0)
+    todo = todo[doc[near[todo]] >= doc[todo]]
+    while len(todo):
+        over = near[todo]
+        low[todo] = np.minimum(low[todo], low[over])
+        near[todo] = near[over]
+        todo = todo[(near[todo] >= 0) & (low[todo] > 0)]
+        todo = todo[doc[near[todo]] >= doc[todo]]
+    return np.where(near >= 0, low, 0)
+
+
+def previous_factors(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """Length of the longest factor at each start that also starts in an earlier document, ``length`` at most.
+
+    The longest match among the suffixes of smaller documents is the nearest of these before or after the
+    suffix in suffix order: the previous or the next smaller document.
     """
     order = np.lexsort((doc, rank))
-    first = np.ones(len(order), bool)
-    first[1:] = rank[order[1:]] != rank[order[:-1]]
-    head = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
-    out = np.zeros(len(order), bool)
-    out[order] = doc[order[head]] < doc[order]
+    shared = common_prefixes(data, starts[order], rank[order], length)
+    ordered = doc[order]
+    before = _shared_with_smaller(ordered, shared)
+    after = _shared_with_smaller(ordered[::-1], np.concatenate([shared[:1], shared[:0:-1]]))[::-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.maximum(before, after)
     return out
 
 
@@ -313,7 +366,8 @@ def _matches(length: int):
             n = size[own]
             row = np.repeat(np.arange(len(own)), n)
             step = np.arange(n.sum()) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            hit = previous_factors(depth_ranks(data, offsets[row] + step, length), doc[own][row])
+            starts = offsets[row] + step
+            hit = previous_factors(data, starts, depth_ranks(data, starts, length), doc[own][row], length) >= length
             start, stop = hit.copy(), hit.copy()
             start[1:] &= ~(hit[:-1] & (row[1:] == row[:-1]))
             stop[:-1] &= ~(hit[1:] & (row[1:] == row[:-1]))
