@@ -2,9 +2,13 @@
 
 Every text has one label of ``DEPTH`` minimum hashes per tree.  A tree is the prefix trie of its labels: a
 node of the trie is the bucket of texts that share a prefix.  The join begins with whole labels and shortens
-the prefix by one number at a time.  After each step all new pairs have been verified exactly.  The join stops
-when a pair at the similarity threshold itself is found with the target chance: what has been found so far
-never stops it, since one large group of very similar texts would then decide for the pairs of all others.
+the prefix by one number at a time, text by text: a text goes on while the estimated recall of its own pairs is
+below the target, and meets all texts of its buckets, those that have stopped included.
+
+Each verified pair of a text stands for as many as its chance to be found at this depth leaves unseen, and
+every text is taken to have one more pair, at the similarity threshold, of which nothing has been seen.  So a
+text without pairs stops only where such a pair is found with the target chance, and the pairs of one text say
+nothing about those of another.
 """
 
 from __future__ import annotations
@@ -17,14 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.llm.minhash import (
-    LEAST, SIZE, compare_buckets, crowded, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
+    BLOCK_NODES, BLOCK_SHINGLES, LEAST, SIMILARITY_BINS, SIZE, _overlaps, _roots, crowded, groups_of, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
 )
 from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
 
 TREES = 16
 DEPTH = 8
-RECALL = 0.99
+RECALL = 0.995
 
 
 def least_depth(trees: int, least: float, recall: float) -> int:
@@ -76,6 +80,109 @@ def sets_of_texts(trees: int, depth: int, floor: int, size: int = SIZE):
     return run
 
 
+def open_buckets(nodes: DataFrame, state: DataFrame, depth: int, deepest: int) -> DataFrame:
+    """``tree, key, members, weight, opened, opened_weight`` of the buckets that an open text has to look through.
+
+    ``state`` has ``node, open``.  Buckets in which all pairs were compared before are left out.
+    """
+    own = f"k{depth}"
+    known = [(own, True)] + ([(f"k{depth + 1}", False)] if depth < deepest else [])
+    found = crowded(nodes, own, known)
+    slots = nodes.select("node", "n_shingles", F.posexplode(own).alias("tree", "key")).join(state.where("open").hint("merge"), "node")
+    opened = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("opened"), F.sum("n_shingles").alias("opened_weight"))
+    return found.join(opened.hint("merge"), ["tree", "key"])
+
+
+def _cells(nodes: DataFrame, state: DataFrame, own: str, buckets: DataFrame) -> DataFrame:
+    """One row per text and cell of two blocks of a bucket.
+
+    Open texts fill the first blocks, the others the rest, and a cell has at least one block of open texts: those
+    that have stopped are not compared with each other.  A bucket that fits one block is one cell.
+    """
+    parts = lambda n, w: F.greatest(F.ceil(n / BLOCK_NODES), F.ceil(w / BLOCK_SHINGLES)).cast("int")
+    whole = parts(F.col("members"), F.col("weight"))
+    rest = F.when(F.col("opened") < F.col("members"), parts(F.col("members") - F.col("opened"), F.col("weight") - F.col("opened_weight"))).otherwise(0)
+    sized = buckets.select(
+        "tree", "key", F.when(whole == 1, 1).otherwise(parts(F.col("opened"), F.col("opened_weight"))).alias("first"), F.when(whole == 1, 0).otherwise(rest).alias("rest")
+    )
+    rows = nodes.select("node", F.posexplode(own).alias("tree", "key")).join(sized.hint("merge"), ["tree", "key"]).join(state.hint("merge"), "node")
+    draw = F.xxhash64("node")
+    later = ~F.col("open") & (F.col("rest") > 0)
+    place = F.when(later, F.col("first") + F.pmod(draw, F.greatest("rest", F.lit(1)))).otherwise(F.pmod(draw, F.col("first")))
+    rows = rows.withColumn("own", place.cast("int"))
+    others = F.sequence(F.lit(0), F.when(later, F.col("first")).otherwise(F.col("first") + F.col("rest")) - 1)
+    rows = rows.withColumn("other", F.explode(others))
+    rows = rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("first", "rest", "other")
+    return rows.join(nodes.hint("merge"), "node")
+
+
+PAIRED = "node binary, root binary, n_texts long, n_copies long, similar array<long>"
+
+
+def _paired(rows: dict, tree: int, low: int, high: int, least: float, own: str, before: str | None) -> pa.RecordBatch | None:
+    """Rows of the texts of a cell with a new pair: a text linked with them, partners, and these by similarity."""
+    sets = [np.frombuffer(b, np.uint64) for b in rows["shingles"]]
+    sizes = np.array([len(s) for s in sets], np.float32)
+    shared = _overlaps(sets)
+    jaccard = shared / np.maximum(sizes[:, None] + sizes[None, :] - shared, 1)
+    linked = jaccard >= least - 1e-6
+    np.fill_diagonal(linked, False)
+    looks = np.array(rows["open"], bool)
+    linked &= looks[:, None] | looks[None, :]
+    if low != high:  # pairs inside a block belong to another cell
+        block = np.array(rows["own"])
+        linked &= block[:, None] != block[None, :]
+    # a pair belongs to its lowest tree; where longer prefixes are equal, it was compared at that depth
+    for name, trees in ((own, tree), (before, None)):
+        for column in np.array(rows[name]).T[:trees] if name else ():
+            linked &= column[:, None] != column[None, :]
+    at = np.flatnonzero(linked.any(axis=1))
+    if not len(at):
+        return None
+    linked, jaccard = linked[np.ix_(at, at)], jaccard[np.ix_(at, at)]
+    root, copies = at[_roots(linked)], np.array(rows["copies"], np.int64)[at]
+    level = np.clip(((jaccard - least) / (1 - least + 1e-9) * SIMILARITY_BINS).astype(int), 0, SIMILARITY_BINS - 1)
+    similar = np.bincount((np.arange(len(at))[:, None] * SIMILARITY_BINS + level)[linked], minlength=len(at) * SIMILARITY_BINS).reshape(-1, SIMILARITY_BINS)
+    names = rows["node"]
+    columns = [pa.array([names[i] for i in at], pa.binary()), pa.array([names[i] for i in root], pa.binary()), pa.array(linked.sum(axis=1).astype(np.int64)), pa.array(linked.astype(np.int64) @ copies)]
+    return pa.RecordBatch.from_arrays([*columns, list_column(similar.astype(np.int64))], names=["node", "root", "n_texts", "n_copies", "similar"])
+
+
+def verified_pairs(nodes: DataFrame, state: DataFrame, buckets: DataFrame, depth: int, deepest: int, least: float) -> DataFrame:
+    """``node, root, n_texts, n_copies, similar`` of texts with new pairs in some buckets, each pair counted once for both sides."""
+    own, before = f"k{depth}", f"k{depth + 1}" if depth < deepest else None
+    arrays = [own] + ([before] if before else [])
+    used = ["tree", "key", "low", "high"]
+    cells = _cells(nodes.select("node", "copies", "shingles", *arrays), state, own, buckets)
+    placed = cells.repartition(*used).sortWithinPartitions(*used, "node").select("node", "copies", "shingles", "own", "open", *arrays, *used)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (tree, _, low, high), rows in groups_of(batches, used):
+            found = _paired(rows, int(tree), int(low), int(high), least, own, before)
+            if found is not None:
+                yield found
+
+    return placed.mapInArrow(run, PAIRED)
+
+
+def estimated_recall(similar: list, depth: int, trees: int, least: float):
+    """Share of a text's pairs that is found at ``depth``, from its counts of found pairs by similarity.
+
+    A found pair stands for one over its chance; one pair at the threshold is added, of which nothing is known.
+    """
+    chance = [float(recall_at(least + (1 - least) * i / SIMILARITY_BINS, depth, trees)) for i in range(SIMILARITY_BINS)]
+    return (sum(similar) + chance[0]) / (sum(n * (1 / c) for n, c in zip(similar, chance)) + 1)
+
+
+def unfinished(state: DataFrame, found: DataFrame, depth: int, trees: int, least: float, recall: float) -> DataFrame:
+    """``node, open``: which of the open texts go on to shorter prefixes; a text that has stopped stays so."""
+    counts = [f"s{i}" for i in range(SIMILARITY_BINS)]
+    sums = found.groupBy("node").agg(*[F.sum(F.col("similar")[i]).alias(c) for i, c in enumerate(counts)])
+    seen = [F.coalesce(F.col(c), F.lit(0)) for c in counts]
+    goes_on = F.col("open") & (estimated_recall(seen, depth, trees, least) < recall)
+    return state.join(sums.hint("merge"), "node", "left").select("node", goes_on.alias("open"))
+
+
 def similarity_join(
     docs: DataFrame, *, least: float = LEAST, size: int = SIZE, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL, key: str = "doc_id", text: str = "text"
 ) -> tuple[DataFrame, DataFrame]:
@@ -101,19 +208,18 @@ def similarity_join(
     crowd = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     met = settle(slots.join(crowd.hint("merge"), ["tree", "key"], "left_semi").select("node").distinct())
     met = settle(distinct.drop("keys").join(met.hint("merge"), "node", "left_semi").withColumnRenamed("first_id", "doc_id"))
-    deepest = f"k{depth}"
     more = "".join(f", k{d} array<long>" for d in range(floor, depth + 1))
     nodes = settle(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
     distinct = distinct.drop("keys")
-    found = None
-    for d in range(depth, floor - 1, -1) if not nodes.isEmpty() else ():
-        own = f"k{d}"
-        known = [(own, True)] + ([(f"k{d + 1}", False)] if own != deepest else [])
-        buckets = settle(crowded(nodes, own, known))
-        step = settle(compare_buckets(nodes, own, buckets, least, known))
-        found = step if found is None else found.unionByName(step)
-    if found is None:
-        found = spark.createDataFrame([], "node binary, root binary, n_texts long, n_copies long, similar array<long>")
+    found = spark.createDataFrame([], PAIRED)
+    state = settle(nodes.select("node", F.lit(True).alias("open")))
+    for d in range(depth, floor - 1, -1):
+        if state.where("open").isEmpty():
+            break
+        buckets = settle(open_buckets(nodes, state, d, depth))
+        found = found.unionByName(settle(verified_pairs(nodes, state, buckets, d, depth, least)))
+        if d > floor:
+            state = settle(unfinished(state, found, d, trees, least, recall))
     labels = label_components(nodes.select("node"), found)
     sums = found.groupBy("node").agg(F.sum("n_texts").alias("n_texts"), F.sum("n_copies").alias("n_copies"))
     linked = labels.join(sums, "node", "left")
