@@ -253,6 +253,12 @@ def _dense(code: np.ndarray) -> np.ndarray:
     return out
 
 
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers in their order; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data), ">u8", padded, strides=(1,)).astype(np.uint64)
+
+
 def depth_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Rank of the suffix at each start in the order of its first ``length`` bytes; equal strings share a rank.
 
@@ -271,10 +277,7 @@ def depth_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
             asked[places[-1] + o] = True
         places.append(np.flatnonzero(asked))
     place = places.pop()
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    code = np.zeros(len(place), np.uint64)
-    for i in range(min(8, length)):
-        code = (code << np.uint64(8)) | padded[place + i]
+    code = _words(data)[place] >> np.uint64(8 * max(0, 8 - length))
     full = np.zeros(len(data), np.uint64)
     rank = _dense(code)
     for offsets in steps:
@@ -290,26 +293,22 @@ def depth_ranks(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray
     return rank - np.uint64(1)
 
 
-def common_prefixes(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, length: int) -> np.ndarray:
+def common_prefixes(data: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
     """Bytes that each suffix shares with the one before it, ``length`` at most; 0 for the first.
 
-    ``starts`` and ``rank`` stand in suffix order.  Eight bytes are compared at once; suffixes of one rank
-    share the whole length.
+    ``starts`` stand in suffix order.  Eight bytes are compared at once; the first that differ hold the end.
     """
-    padded = np.concatenate([data, np.zeros(8, np.uint8)])
-    word = np.zeros(len(data), np.uint64)
-    for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + len(data)]
+    word = _words(data)
     out = np.full(len(starts), length, np.int64)
     out[:1] = 0
-    pairs = np.flatnonzero(rank[1:] != rank[:-1]) + 1
+    pairs = np.arange(1, len(starts))
     for at in range(0, length, 8):
         differ = word[starts[pairs] + at] ^ word[starts[pairs - 1] + at]
         ends = differ != 0
-        equal = np.full(int(ends.sum()), at, np.int64)
-        for bits in range(8, 64, 8):
-            equal += differ[ends] < np.uint64(1 << bits)
-        out[pairs[ends]] = np.minimum(equal, length)
+        first = differ[ends]
+        first &= ~(first >> np.uint64(1))  # a float of this has the exponent of the highest bit, without rounding up
+        bit = (first.astype(np.float64).view(np.int64) >> 52) - 1023
+        out[pairs[ends]] = np.minimum(at + 7 - (bit >> 3), length)
         pairs = pairs[~ends]
         if not len(pairs):
             break
@@ -341,13 +340,21 @@ def previous_factors(data: np.ndarray, starts: np.ndarray, rank: np.ndarray, doc
     The longest match among the suffixes of smaller documents is the nearest of these before or after the
     suffix in suffix order: the previous or the next smaller document.
     """
-    order = np.lexsort((doc, rank))
-    shared = common_prefixes(data, starts[order], rank[order], length)
-    ordered = doc[order]
-    before = _shared_with_smaller(ordered, shared)
-    after = _shared_with_smaller(ordered[::-1], np.concatenate([shared[:1], shared[:0:-1]]))[::-1]
+    if len(rank) and len(data) < 1 << 24 and doc.min() >= 0 and doc.max() < 1 << 40:
+        order = np.argsort((rank << np.uint64(40)) | doc.astype(np.uint64))
+    else:
+        order = np.lexsort((doc, rank))
+    new = np.ones(len(order), bool)
+    new[1:] = rank[order[1:]] != rank[order[:-1]]
+    # of one rank only the first document looks beyond: the others share the whole length with it
+    head = np.flatnonzero(new)
+    shared = common_prefixes(data, starts[order[head]], length)
+    least = doc[order[head]]
+    before = _shared_with_smaller(least, shared)
+    after = _shared_with_smaller(least[::-1], np.concatenate([shared[:1], shared[:0:-1]]))[::-1]
+    group = np.cumsum(new) - 1
     out = np.empty(len(order), np.int64)
-    out[order] = np.maximum(before, after)
+    out[order] = np.where(doc[order] > least[group], length, np.maximum(before, after)[group])
     return out
 
 
