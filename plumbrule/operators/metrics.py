@@ -253,7 +253,8 @@ def permutation_importance(
     parts = []
     for f in features:
         donor = right.select("_rep", "_at", F.col(quoted(f)).alias("_new"))
-        mixed = left.drop(f).join(donor, ["_rep", "_at"]).withColumnRenamed("_new", f)
+        # Spark's size estimate does not see that every row stands ``repeats`` times, so no side may be sent whole
+        mixed = left.drop(f).join(donor.hint("merge"), ["_rep", "_at"]).withColumnRenamed("_new", f)
         parts.append(score_fn(mixed).groupBy("_rep").agg(metric.alias("m")).select(F.lit(f).alias("feature"), "m"))
     out = parts[0]
     for p in parts[1:]:
