@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from plumbrule.core.frames import quoted
 from plumbrule.core.moments import moments
 from plumbrule.core.session import cut_lineage
-from plumbrule.operators.lloyd import labelled, many_kmeans
-from plumbrule.operators.neighbours import silhouette
+from plumbrule.operators.lloyd import labelled, many_kmeans, many_labelled
+from plumbrule.operators.neighbours import mean_silhouettes
 
 MAX_CENTRES = 2_000
 
@@ -191,13 +191,13 @@ def _sweep(df: DataFrame, features: Sequence[str], key: str, max_k: int, starts:
     vector = F.array(*[F.col(quoted(c)).cast("double") for c in features])
     points = cut_lineage(scaled.select(F.col(quoted(key)).alias("id"), vector.alias("v")))
     found = many_kmeans(points, range(2, max(2, min(max_k, n - 1)) + 1), starts, seed)
-    out, scores = [], {}
-    for k, runs in found.items():
-        cost, centres = runs[0]
-        scores[k] = -1.0
-        if len(centres) > 1:
-            scores[k] = silhouette(labelled(points, centres)).agg(F.avg("silhouette")).first()[0]
-        out.append((k, float(cost), float(scores[k])))
+    # centres that fell together are one cluster, and a k with one cluster scores -1
+    split = [k for k, runs in found.items() if len(runs[0][1]) > 1]
+    chosen = [found[k][0][1] for k in split]
+    scores = dict.fromkeys(found, -1.0)
+    if split:
+        scores |= dict(zip(split, mean_silhouettes(many_labelled(points, chosen), [len(c) for c in chosen])))
+    out = [(k, float(runs[0][0]), float(scores[k])) for k, runs in found.items()]
     best = max(scores, key=lambda k: (scores[k], -k))
     sweep = df.sparkSession.createDataFrame(out, "k int, inertia double, silhouette double")
     return sweep.withColumn("best", F.col("k") == best).orderBy(F.desc("silhouette"), "k"), best, scaled, points, found[best][0][1]

@@ -31,14 +31,18 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.tolist(), float)
 
 
+def _vectors(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column(batch.schema.get_field_index("v")).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(batch.num_rows, -1)
+
+
 def _added(points: DataFrame, size: int, partial) -> np.ndarray:
-    """Sums of ``size`` cells; ``partial`` adds the rows of a batch to an array."""
+    """Sums of ``size`` cells; ``partial`` adds the vectors of a batch to an array."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for batch in batches:
             if batch.num_rows:
-                partial(out, batch.to_pandas())
+                partial(out, _vectors(batch))
         used = np.flatnonzero(out)
         yield pa.RecordBatch.from_pydict({"cell": pa.array(used.astype(np.int64)), "s": pa.array(out[used])})
 
@@ -56,8 +60,7 @@ def lloyd_round(points: DataFrame, models: Sequence[np.ndarray]) -> tuple[list[n
     width = models[0].shape[1]
     starts = np.cumsum([0, *[len(m) * (width + 1) for m in models]])
 
-    def partial(out: np.ndarray, batch: pd.DataFrame) -> None:
-        x = _matrix(batch["v"])
+    def partial(out: np.ndarray, x: np.ndarray) -> None:
         for i, centres in enumerate(models):
             gaps = squared_gaps(x, centres)
             own = gaps.argmin(axis=1)
@@ -82,8 +85,7 @@ def seeds(points: DataFrame, k: int, starts: int, seed: int = 42) -> list[np.nda
     wanted = OVERSAMPLE * k
     for turn in range(DRAWS):
 
-        def cost(out: np.ndarray, batch: pd.DataFrame, drawn=drawn) -> None:
-            x = _matrix(batch["v"])
+        def cost(out: np.ndarray, x: np.ndarray, drawn=drawn) -> None:
             for s in range(starts):
                 out[s] += squared_gaps(x, drawn[s]).min(axis=1).sum()
 
@@ -160,3 +162,16 @@ def labelled(points: DataFrame, centres: np.ndarray) -> DataFrame:
 
     kind = points.schema["id"].dataType.simpleString()
     return points.select("id", "v").mapInPandas(work, f"id {kind}, v array<double>, label int")
+
+
+def many_labelled(points: DataFrame, models: Sequence[np.ndarray]) -> DataFrame:
+    """``id, v, labels`` with the number of the nearest centre of every model."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                x = _matrix(batch["v"])
+                yield batch.assign(labels=np.stack([squared_gaps(x, m).argmin(axis=1) for m in models], axis=1).tolist())
+
+    kind = points.schema["id"].dataType.simpleString()
+    return points.select("id", "v").mapInPandas(work, f"id {kind}, v array<double>, labels array<int>")

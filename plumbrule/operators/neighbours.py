@@ -35,6 +35,14 @@ RINGS = 64
 CHUNK = 64
 #: Rounding room of a bound.
 SLACK = 1e-9
+#: Dimensions up to which distances are added up column by column; squared distances, for the squared norms, that are measured again.
+FEW_DIMENSIONS = 8
+CLOSE = 1e-4
+#: Points and visitors of one task where bounds spare little; distances that a task holds at once.
+WIDE_ROWS = 32_768
+#: Blocks that a query has visited when it is seen whether the bounds spare much; more than four times as many must be there.
+MANY_VISITED = 5
+CELLS = 1 << 20
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -46,7 +54,7 @@ def vector(df: DataFrame, features: Sequence[str] | str) -> Column:
     return F.array(*[F.col(quoted(c)).cast("double") for c in features])
 
 
-def euclidean(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+def _by_differences(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     out = np.empty((len(q), len(p)))
     for at in range(0, len(q), CHUNK):
         gap = q[at : at + CHUNK, None, :] - p[None, :, :]
@@ -54,6 +62,46 @@ def euclidean(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return out
 
 
+def pair_distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Euclidean distance of each row of ``q`` to the row of ``p`` beside it."""
+    gap = q - p
+    return np.sqrt(np.einsum("ij,ij->i", gap, gap))
+
+
+def euclidean(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """All distances, column by column in few dimensions, else by a product of matrices.
+
+    The product loses digits where rows are close for their size, so those pairs are measured again by their
+    differences; every distance is right to some ``SLACK`` of itself, and equal rows are at 0.
+    """
+    if q.shape[1] <= FEW_DIMENSIONS:
+        out, gap = np.zeros((len(q), len(p))), np.empty((min(CHUNK, len(q)), len(p)))
+        for at in range(0, len(q), CHUNK):
+            part = out[at : at + CHUNK]
+            for i in range(q.shape[1]):
+                own = np.subtract(q[at : at + CHUNK, i, None], p[None, :, i], out=gap[: len(part)])
+                part += np.multiply(own, own, out=own)
+            np.sqrt(part, out=part)
+        return out
+    centre = p.mean(axis=0) if len(p) else 0.0
+    a, b = q - centre, p - centre
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    if not (np.isfinite(aa).all() and np.isfinite(bb).all()):
+        return _by_differences(q, p)
+    out = a @ (-2.0 * b.T)
+    out += aa[:, None]
+    out += bb[None, :]
+    largest = bb.max(initial=0.0)
+    for at in range(0, len(q), CHUNK):
+        part = out[at : at + CHUNK]
+        close, column = np.nonzero(part <= CLOSE * (aa[at : at + CHUNK, None] + largest))
+        if len(close):
+            gap = q[at + close] - p[column]
+            part[close, column] = np.einsum("ij,ij->i", gap, gap)
+        np.sqrt(part, out=part)
+    return out
+
+
 def chebyshev(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     out = np.zeros((len(q), len(p)))
     for i in range(q.shape[1]):
@@ -65,6 +113,19 @@ def _matrix(series: pd.Series) -> np.ndarray:
     return np.array(series.tolist(), dtype=float)
 
 
+def _least(values: np.ndarray, n: int) -> np.ndarray:
+    """Columns of the ``n`` least values of every row, in order; the smaller column first on ties."""
+    if n >= values.shape[1]:
+        return np.argsort(values, axis=1, kind="stable")
+    edge = np.partition(values, n - 1, axis=1)[:, n - 1 : n]
+    # with a NaN at the edge every value may be asked for
+    row, column = np.nonzero((values <= edge) | np.isnan(edge))
+    order = np.lexsort((column, values[row, column], row))
+    row, column = row[order], column[order]
+    at = np.arange(len(row)) - np.searchsorted(row, row)
+    return column[at < n].reshape(len(values), n)
+
+
 @dataclass(frozen=True)
 class Pivots:
     """Pivots with their groups, and the blocks: number of the pivot, distances to it, rows."""
@@ -85,6 +146,20 @@ class Pivots:
         low = np.maximum(np.maximum(d - self.high[own], self.low[own] - d), 0.0)
         return own, low - SLACK * (d + self.low[own]), (d + self.high[own]) * (1 + SLACK)
 
+    def merged(self, rows: int) -> np.ndarray:
+        """For every block the number of the wide block, of about ``rows`` rows of one group, that it is part of."""
+        group, out, base = self.group[self.cell], np.zeros(len(self.cell), np.int64), 0
+        for one in np.unique(group):
+            own = np.flatnonzero(group == one)
+            out[own] = base + (np.cumsum(self.rows[own]) - self.rows[own]) // rows
+            base = out[own].max() + 1
+        return out
+
+
+def _in_wide_blocks(points: DataFrame, number: np.ndarray) -> DataFrame:
+    names = points.sparkSession.createDataFrame([(i, int(w)) for i, w in enumerate(number)], "block int, wide int")
+    return points.join(F.broadcast(names), "block").withColumn("block", F.col("wide")).drop("wide")
+
 
 def _choose(points: DataFrame, n: int, block_rows: int) -> pd.DataFrame:
     """Pivots by hash, at least one of every group; bounded by ``PIVOTS`` and the number of groups."""
@@ -144,10 +219,15 @@ def place(points: DataFrame, metric: Metric = euclidean, block_rows: int = BLOCK
     return cut_lineage(parted.join(F.broadcast(numbers), ["cell", "ring", "part"]).select(*points.columns, "block")), table
 
 
-def _meet(visits: DataFrame, points: DataFrame, kernel: Callable, schema: str, report: dict | None) -> DataFrame:
+def _wide(n: int, block_rows: int = BLOCK_ROWS) -> int:
+    """Rows of a side of a task where most rows meet most rows, so that a row travels some 32 times in tables of up to a million rows."""
+    return max(block_rows, min(WIDE_ROWS, n // 32))
+
+
+def _meet(visits: DataFrame, points: DataFrame, kernel: Callable, schema: str, report: dict | None, visitors: int = VISITORS) -> DataFrame:
     """Bring every visit to the points of its ``block``; blocks with many visitors are met in several tasks."""
     visits = cut_lineage(visits)
-    load = cut_lineage(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / VISITORS).cast("int").alias("tasks"), F.count(F.lit(1)).alias("visitors")))
+    load = cut_lineage(visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("tasks"), F.count(F.lit(1)).alias("visitors")))
     if report is not None:
         rows = points.groupBy("block").agg(F.count(F.lit(1)).alias("rows"))
         report["pairs"] = report.get("pairs", 0) + (load.join(rows, "block").agg(F.sum(F.col("visitors") * F.col("rows"))).first()[0] or 0)
@@ -166,25 +246,41 @@ def search(queries: DataFrame, points: DataFrame, k: int, metric: Metric = eucli
     """
     placed, table = place(points.select("id", "g", "v"), metric, block_rows)
 
-    def next_blocks(begin: int, end: int):
+    def in_reach(rows: pd.DataFrame, begin: int, end: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, int]]:
+        """(rows, number of the row and block of every visit, blocks that are left) for some rows at a time."""
+        for g, same in rows.groupby("g"):
+            for at in range(0, len(same), 256):
+                part = same.iloc[at : at + 256]
+                own, low, high = table.bounds(int(g), _matrix(part["v"]))
+                if begin >= len(own):
+                    continue
+                # the k-th distance is at most the largest one to blocks that hold k points; a block has one at least
+                order = _least(high, k)
+                enough = np.minimum((np.cumsum(table.rows[own][order], axis=1) < k).sum(axis=1), order.shape[1] - 1)
+                reach = np.take_along_axis(high, order, 1)[np.arange(len(part)), enough]
+                if table.rows[own].sum() < k:
+                    reach[:] = np.inf
+                reach = np.minimum(reach, part["kth"].to_numpy())
+                first = _least(low, end)[:, begin:]
+                wanted = np.take_along_axis(low, first, 1) <= reach[:, None]
+                q, b = np.nonzero(wanted)
+                yield part, q, own[first[q, b]], wanted.size
+
+    def next_blocks(begin: int, end: int, number: np.ndarray | None = None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for part, q, block, _ in in_reach(rows, begin, end):
+                    if number is not None:
+                        q, block = np.unique(np.stack([q, number[block]]), axis=1)
+                    yield pd.DataFrame({"id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q], "kth": part["kth"].to_numpy()[q], "block": block})
+
+        return run
+
+    def reached(begin: int):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for rows in batches:
-                for g, same in rows.groupby("g"):
-                    for at in range(0, len(same), 256):
-                        part = same.iloc[at : at + 256]
-                        own, low, high = table.bounds(int(g), _matrix(part["v"]))
-                        if not len(own) or begin >= len(own):
-                            continue
-                        # the k-th distance is at most the largest one to blocks that hold k points
-                        order = np.argsort(high, axis=1)
-                        enough = np.minimum((np.cumsum(table.rows[own][order], axis=1) < k).sum(axis=1), len(own) - 1)
-                        reach = np.take_along_axis(high, order, 1)[np.arange(len(part)), enough]
-                        reach[table.rows[own].sum() < k] = np.inf
-                        reach = np.minimum(reach, part["kth"].to_numpy())
-                        first = np.argsort(low, axis=1, kind="stable")[:, begin:end]
-                        wanted = np.take_along_axis(low, first, 1) <= reach[:, None]
-                        q, b = np.nonzero(wanted)
-                        yield pd.DataFrame({"id": part["id"].to_numpy()[q], "v": part["v"].to_numpy()[q], "block": own[first[q, b]]})
+                for _, q, _, left in in_reach(rows, begin, len(table.cell)):
+                    yield pd.DataFrame({"wanted": [len(q)], "left": [left]})
 
         return run
 
@@ -192,20 +288,48 @@ def search(queries: DataFrame, points: DataFrame, k: int, metric: Metric = eucli
         if q.empty or p.empty:
             return pd.DataFrame({"id": [], "neighbour": [], "distance": []})
         p = p.sort_values("p_id", kind="stable")
-        d = metric(_matrix(q["v"]), _matrix(p["p_v"]))
-        ids = p["p_id"].to_numpy()
-        best = np.argsort(d, axis=1, kind="stable")[:, :k]
-        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), best.shape[1]), "neighbour": ids[best.ravel()], "distance": np.take_along_axis(d, best, 1).ravel()})
+        ids, asked, own, points = p["p_id"].to_numpy(), q["id"].to_numpy(), _matrix(q["v"]), _matrix(p["p_v"])
+        kth, step, out = q["kth"].to_numpy(), max(1, CELLS // len(p)), []
+        for at in range(0, len(own), step):
+            d = metric(own[at : at + step], points)
+            limit = kth[at : at + step]
+            open_rows = np.isinf(limit)
+            if open_rows.any() and k < d.shape[1]:
+                limit = np.where(open_rows, np.partition(d, k - 1, axis=1)[:, k - 1], limit)
+            # a product of matrices is right but for rounding, so what may be among the k nearest is measured again
+            row, column = np.nonzero((d <= (limit * (1 + 4 * SLACK))[:, None]) | np.isnan(limit)[:, None])
+            exact = pair_distances(own[at + row], points[column]) if metric is euclidean else d[row, column]
+            order = np.lexsort((column, exact, row))
+            row, column, exact = row[order], column[order], exact[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((asked[at + row[keep]], ids[column[keep]], exact[keep]))
+        columns = [np.concatenate(c) for c in zip(*out)]
+        return pd.DataFrame(dict(zip(("id", "neighbour", "distance"), columns)))
 
     entry = F.struct("distance", "neighbour")
     state = queries.select("id", "g", "v", F.array().cast("array<struct<distance:double,neighbour:bigint>>").alias("best"))
+    known = F.col("best")["neighbour"]
     begin, wave = 0, 1
     while begin < len(table.cell):
         kth = F.when(F.size("best") >= k, F.element_at("best", k)["distance"]).otherwise(float("inf"))
-        visits = state.select("id", "g", "v", kth.alias("kth")).mapInPandas(next_blocks(begin, begin + wave), "id long, v array<double>, block int")
-        found = _meet(visits, placed, kernel, "id long, neighbour long, distance double", report)
+        asking = state.select("id", "g", "v", kth.alias("kth"))
+        dense = False
+        if begin == MANY_VISITED and len(table.cell) > 4 * MANY_VISITED:
+            ahead = asking.mapInPandas(reached(begin), "wanted long, left long").agg(F.sum("wanted"), F.sum("left")).first()
+            dense = 2 * (ahead[0] or 0) > (ahead[1] or 0)
+        if dense:
+            # bounds spare little, so a query meets all that is left at once, in blocks so large that it travels seldom
+            rows = _wide(int(table.rows.sum()), block_rows)
+            number = table.merged(rows)
+            visits = asking.mapInPandas(next_blocks(begin, len(table.cell), number), "id long, v array<double>, kth double, block int")
+            found = _meet(visits, _in_wide_blocks(placed, number), kernel, "id long, neighbour long, distance double", report, rows)
+            wave = len(table.cell)
+        else:
+            visits = asking.mapInPandas(next_blocks(begin, begin + wave), "id long, v array<double>, kth double, block int")
+            found = _meet(visits, placed, kernel, "id long, neighbour long, distance double", report)
         fresh = found.groupBy("id").agg(F.collect_list(entry).alias("fresh"))
-        merged = state.join(fresh, "id", "left").withColumn("best", F.slice(F.array_sort(F.concat("best", F.coalesce("fresh", F.array()))), 1, k))
+        more = F.filter(F.coalesce("fresh", F.array()), lambda x: ~F.array_contains(known, x["neighbour"]))
+        merged = state.join(fresh, "id", "left").withColumn("best", F.slice(F.array_sort(F.concat("best", more)), 1, k))
         begin, wave = begin + wave, 4 * wave
         if begin >= len(table.cell):
             return merged.select("id", "best")
@@ -255,15 +379,23 @@ def _sums_kernel(transform: Callable[[np.ndarray], np.ndarray], exclude_self: bo
     def kernel(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if q.empty or p.empty:
             return pd.DataFrame({"id": [], "label": [], "total": [], "n": []})
-        d = euclidean(_matrix(q["v"]), _matrix(p["p_v"]))
         labels, code = np.unique(p["p_label"].to_numpy(), return_inverse=True)
-        count = np.broadcast_to(p["p_n"].to_numpy(dtype=float), d.shape)
-        if exclude_self:
-            count = count - ((d == 0) & (q["own"].to_numpy()[:, None] == p["p_label"].to_numpy()[None, :]))
+        copies = p["p_n"].to_numpy(dtype=float)
         member = np.zeros((len(p), len(labels)))
-        member[np.arange(len(p)), code] = 1.0
-        n = (count @ member).ravel()
-        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(labels)), "label": np.tile(labels, len(q)), "total": ((transform(d) * count) @ member).ravel(), "n": n.astype("int64")})
+        member[np.arange(len(p)), code] = copies
+        own, points, step = _matrix(q["v"]), _matrix(p["p_v"]), max(1, CELLS // len(p))
+        total, n = np.empty((len(q), len(labels))), np.tile(member.sum(axis=0), (len(q), 1))
+        for at in range(0, len(q), step):
+            d = euclidean(own[at : at + step], points)
+            row, column = np.nonzero(d == 0) if exclude_self else (np.zeros(0, int), np.zeros(0, int))
+            weight = transform(d)
+            if len(row):
+                mine = q["own"].to_numpy()[at + row] == p["p_label"].to_numpy()[column]
+                row, column = row[mine], column[mine]
+                np.subtract.at(n, (at + row, code[column]), 1.0)
+                weight[row, column] *= (copies[column] - 1) / copies[column]
+            total[at : at + step] = weight @ member
+        return pd.DataFrame({"id": np.repeat(q["id"].to_numpy(), len(labels)), "label": np.tile(labels, len(q)), "total": total.ravel(), "n": n.ravel().astype("int64")})
 
     return kernel
 
@@ -294,23 +426,47 @@ def class_sums(queries: DataFrame, points: DataFrame, transform: Callable[[np.nd
     asked, kept, names = _copies_merged(queries, points, exclude_self)
     placed, table = place(kept.withColumn("g", F.lit(0)), euclidean, block_rows)
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def reached(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+        """(number of the row and block of every visit, pairs of a row and a block)."""
+        own, low, _ = table.bounds(0, _matrix(part["v"]))
+        if beyond is not None and len(own):
+            d = np.sort(euclidean(_matrix(part["v"]), table.points), axis=1)
+            # the nearest pivot may be the row itself, so the second one counts where there is one
+            reach = d[:, min(1, d.shape[1] - 1)] + beyond if d.shape[1] > 1 else np.full(len(part), np.inf)
+            q, b = np.nonzero(low <= reach[:, None])
+        else:
+            q, b = np.nonzero(np.ones((len(part), len(own)), bool))
+        return q, own[b], low.size
+
+    def blocks(number: np.ndarray | None):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for rows in batches:
+                for at in range(0, len(rows), 256):
+                    part = rows.iloc[at : at + 256]
+                    q, block, _ = reached(part)
+                    if number is not None:
+                        q, block = np.unique(np.stack([q, number[block]]), axis=1)
+                    yield part.iloc[q].assign(block=block)
+
+        return run
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in batches:
             for at in range(0, len(rows), 256):
-                part = rows.iloc[at : at + 256]
-                own, low, _ = table.bounds(0, _matrix(part["v"]))
-                if beyond is not None and len(own):
-                    d = np.sort(euclidean(_matrix(part["v"]), table.points), axis=1)
-                    # the nearest pivot may be the row itself, so the second one counts where there is one
-                    reach = d[:, min(1, d.shape[1] - 1)] + beyond if d.shape[1] > 1 else np.full(len(part), np.inf)
-                    q, b = np.nonzero(low <= reach[:, None])
-                else:
-                    q, b = np.nonzero(np.ones((len(part), len(own)), bool))
-                yield part.iloc[q].assign(block=own[b])
+                q, _, every = reached(rows.iloc[at : at + 256])
+                yield pd.DataFrame({"wanted": [len(q)], "every": [every]})
 
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in asked.schema.fields)
     kind = points.schema["label"].dataType.simpleString()
-    met = _meet(asked.mapInPandas(blocks, f"{types}, block int"), placed, _sums_kernel(transform, exclude_self), f"id long, label {kind}, total double, n long", report)
+    number, visitors = None, VISITORS
+    if len(table.cell) > 4 * MANY_VISITED:
+        met = asked.mapInPandas(counted, "wanted long, every long").agg(F.sum("wanted"), F.sum("every")).first()
+        if 2 * (met[0] or 0) > (met[1] or 0):
+            # bounds spare little, so rows travel to blocks so large that they travel seldom
+            visitors = _wide(int(table.rows.sum()), block_rows)
+            number = table.merged(visitors)
+            placed = _in_wide_blocks(placed, number)
+    met = _meet(asked.mapInPandas(blocks(number), f"{types}, block int"), placed, _sums_kernel(transform, exclude_self), f"id long, label {kind}, total double, n long", report, visitors)
     sums = met.groupBy(F.col("id").alias("first"), "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     return names.join(sums, "first").select("id", "label", "total", "n")
 
@@ -365,6 +521,8 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS, report: dict | N
     """
     points = points.where(F.col("v").isNotNull() & F.col("label").isNotNull()).select("id", "v", "label")
     asked, kept, names = _copies_merged(points, points, True)
+    # a row meets a cluster whole or not at all, so parts of a cluster may be large
+    block_rows = _wide(kept.count(), block_rows)
     parts = kept.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("parts"))
     dealt = cut_lineage(kept.join(parts, "label").withColumn("block", F.struct("label", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))).drop("parts"))
     parts = cut_lineage(parts)
@@ -389,7 +547,7 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS, report: dict | N
 
         visits = asked.mapInPandas(near, f"v array<double>, own {kind}, id long, label {kind}")
     visits = visits.join(parts, "label").select("id", "v", "own", F.explode(F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda x: F.struct("label", x.alias("part")))).alias("block"))
-    met = _meet(visits, dealt, _sums_kernel(lambda d: d, True), f"id long, label {kind}, total double, n long", report)
+    met = _meet(visits, dealt, _sums_kernel(lambda d: d, True), f"id long, label {kind}, total double, n long", report, max(VISITORS, block_rows))
     sums = met.groupBy("id", "label").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
     mean, mine = F.try_divide(F.col("total"), F.col("n")), F.col("label") == F.col("own")
     ab = sums.join(asked.select("id", "own"), "id").groupBy("id").agg(F.max("own").alias("label"), F.max(F.when(mine, mean)).alias("a"), F.min(F.when(~mine, mean)).alias("b"))
@@ -397,6 +555,72 @@ def silhouette(points: DataFrame, block_rows: int = BLOCK_ROWS, report: dict | N
     return names.join(ab.select(F.col("id").alias("first"), "label", score.alias("silhouette")), "first").select("id", "label", "silhouette")
 
 
+def _tile_sums(starts: Sequence[int]) -> Callable:
+    """Sums of distances to every cluster of every labelling, for the rows of both sides of a tile."""
+    width = starts[-1]
+
+    def member(rows: pd.DataFrame) -> np.ndarray:
+        out, n = np.zeros((len(rows), width)), rows["n"].to_numpy(dtype=float)
+        labels = np.array(rows["labels"].tolist(), np.int64).reshape(len(rows), len(starts) - 1)
+        for i, start in enumerate(starts[:-1]):
+            out[np.arange(len(rows)), start + labels[:, i]] = n
+        return out
+
+    def kernel(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i, j = key
+        sides = [rows[rows["chunk"] == i]] if i == j else [rows[rows["chunk"] == i], rows[rows["chunk"] == j]]
+        own, other = sides[0], sides[-1]
+        q, p = _matrix(own["v"]), _matrix(other["v"])
+        if not len(q) or not len(p):
+            return pd.DataFrame({"id": [], **{f"s{c}": [] for c in range(width)}})
+        theirs, mine = member(other), member(own)
+        there, back, step = np.empty((len(q), width)), np.zeros((len(p), width)), max(1, CELLS // len(p))
+        for at in range(0, len(q), step):
+            d = euclidean(q[at : at + step], p)
+            there[at : at + step] = d @ theirs
+            if i != j:
+                back += d.T @ mine[at : at + step]
+        ids, sums = [own["id"].to_numpy()], [there]
+        if i != j:
+            ids, sums = [*ids, other["id"].to_numpy()], [*sums, back]
+        return pd.DataFrame(np.concatenate(sums), columns=[f"s{c}" for c in range(width)]).assign(id=np.concatenate(ids))
+
+    return kernel
+
+
+def mean_silhouettes(points: DataFrame, sizes: Sequence[int], chunk_rows: int | None = None) -> list[float]:
+    """Exact mean silhouette of every labelling of ``id, v, labels``; labelling i has the labels 0 to ``sizes[i] - 1``.
+
+    Equal vectors have equal labels.  All labellings share their distances: the rows are cut into chunks, and
+    every pair of chunks is a tile, whose distances serve the rows of both.  Rows of one-row clusters score 0.
+    """
+    starts = [0, *np.cumsum(list(sizes)).tolist()]
+    width = starts[-1]
+    kept = cut_lineage(points.groupBy("v").agg(F.min("id").alias("id"), F.min("labels").alias("labels"), F.count(F.lit(1)).alias("n")))
+    n = kept.count()
+    chunks = max(1, math.ceil(n / (chunk_rows or _wide(n))))
+    dealt = kept.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("other")
+    sides = dealt.select("id", "v", "labels", "n", "chunk", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("other")
+    tiles = sides.repartition(chunks * (chunks + 1) // 2, "i", "j")
+    met = tiles.groupBy("i", "j").applyInPandas(_tile_sums(starts), ", ".join(["id long", *[f"s{c} double" for c in range(width)]]))
+    sums = met.groupBy("id").agg(F.array(*[F.sum(f"s{c}") for c in range(width)]).alias("sums"))
+    rows = cut_lineage(kept.select("id", "labels", "n").join(sums, "id"))
+    counts = rows.agg(*[F.sum(F.when(F.col("labels")[i] == c, F.col("n"))).alias(f"n{start + c}") for i, start in enumerate(starts[:-1]) for c in range(sizes[i])]).first()
+    count = [float(counts[f"n{c}"] or 0) for c in range(width)]
+    scores = []
+    for i, start in enumerate(starts[:-1]):
+        mine, cells = F.col("labels")[i], range(start, starts[i + 1])
+        # sums and sizes of the own cluster without the row, and the nearest of the other clusters that have rows
+        a = F.coalesce(*[F.when(mine == c - start, F.try_divide(F.col("sums")[c], F.lit(count[c] - 1))) for c in cells])
+        means = [F.when(mine != c - start, F.col("sums")[c] / F.lit(count[c])) for c in cells if count[c]]
+        b = F.array_min(F.array(*means))
+        score = F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
+        scores.append(F.sum(score * F.col("n")) / F.sum("n"))
+    found = rows.agg(*[s.alias(f"m{i}") for i, s in enumerate(scores)]).first()
+    return [float(found[f"m{i}"] or 0.0) for i in range(len(sizes))]
+
+
 def smote(df: DataFrame, features: Sequence[str], label: str, minority: object, per_row: int = 1, k: int = 5, seed: int = 42, key: str = "id") -> DataFrame:
     """Synthetic minority rows between a row and one of its k nearest minority neighbours."""
     small = df.where(F.col(quoted(label)) == F.lit(minority)).select(F.col(quoted(key)).alias("id"), vector(df, features).alias("v"))
