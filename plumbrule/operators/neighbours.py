@@ -592,11 +592,13 @@ def mean_silhouettes(points: DataFrame, sizes: Sequence[int], chunk_rows: int |
     """Exact mean silhouette of every labelling of ``id, v, labels``; labelling i has the labels 0 to ``sizes[i] - 1``.
 
     Equal vectors have equal labels.  All labellings share their distances: the rows are cut into chunks, and
-    every pair of chunks is a tile, whose distances serve the rows of both.  Rows of one-row clusters score 0.
+    every pair of chunks is a tile, whose distances serve the rows of both.  Rows of one-row clusters score 0.  In
+    the mean a row counts once for every row of its id, as in the join of :func:`silhouette`.
     """
     starts = [0, *np.cumsum(list(sizes)).tolist()]
     width = starts[-1]
-    kept = cut_lineage(points.groupBy("v").agg(F.min("id").alias("id"), F.min("labels").alias("labels"), F.count(F.lit(1)).alias("n")))
+    weighed = points.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy("id")))
+    kept = cut_lineage(weighed.groupBy("v").agg(F.min("id").alias("id"), F.min("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")))
     n = kept.count()
     chunks = max(1, math.ceil(n / (chunk_rows or _wide(n))))
     dealt = kept.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
@@ -605,7 +607,7 @@ def mean_silhouettes(points: DataFrame, sizes: Sequence[int], chunk_rows: int |
     tiles = sides.repartition(chunks * (chunks + 1) // 2, "i", "j")
     met = tiles.groupBy("i", "j").applyInPandas(_tile_sums(starts), ", ".join(["id long", *[f"s{c} double" for c in range(width)]]))
     sums = met.groupBy("id").agg(F.array(*[F.sum(f"s{c}") for c in range(width)]).alias("sums"))
-    rows = cut_lineage(kept.select("id", "labels", "n").join(sums, "id"))
+    rows = cut_lineage(kept.select("id", "labels", "n", "weight").join(sums, "id"))
     counts = rows.agg(*[F.sum(F.when(F.col("labels")[i] == c, F.col("n"))).alias(f"n{start + c}") for i, start in enumerate(starts[:-1]) for c in range(sizes[i])]).first()
     count = [float(counts[f"n{c}"] or 0) for c in range(width)]
     scores = []
@@ -616,7 +618,7 @@ def mean_silhouettes(points: DataFrame, sizes: Sequence[int], chunk_rows: int |
         means = [F.when(mine != c - start, F.col("sums")[c] / F.lit(count[c])) for c in cells if count[c]]
         b = F.array_min(F.array(*means))
         score = F.when(a.isNull() | b.isNull(), 0.0).otherwise(F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0)))
-        scores.append(F.sum(score * F.col("n")) / F.sum("n"))
+        scores.append(F.sum(score * F.col("weight")) / F.sum("weight"))
     found = rows.agg(*[s.alias(f"m{i}") for i, s in enumerate(scores)]).first()
     return [float(found[f"m{i}"] or 0.0) for i in range(len(sizes))]
 
