@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbrule.operators import clusters, lloyd, metrics, neighbours
+from plumbrule.operators import association, clusters, lloyd, metrics, neighbours
 
 
 def plan_of(df) -> str:
@@ -83,3 +83,14 @@ def test_silhouettes_of_many_labellings_share_their_distances(spark, monkeypatch
     table = df.select("id", *[F.col("v")[i].alias(c) for i, c in enumerate("abc")])
     sweep = {r["k"]: r["silhouette"] for r in clusters.cluster_analysis(table, list("abc"), "id", 4, 2).collect()}
     assert len(sweep) == 3 and len(calls) == 2
+
+
+def test_numbers_need_no_contingency_table(spark, monkeypatch):
+    rows = [(i, float(i % 5), float(i % 97), i * 2.0 + 1, "abc"[i % 3], float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, few double, more double, copy double, text string, y double")
+    asked, pairs = [], association.pair_counts
+    monkeypatch.setattr(association, "pair_counts", lambda d, names, target: asked.extend(names) or pairs(d, names, target))
+    scores = {r["column"]: r["score"] for r in association.leakage_scores(df, "y", "regression").collect()}
+    assert scores["copy"] == scores["k"] == 1.0 and scores["few"] < 0.1 and asked == []
+    scores = {r["column"]: r["score"] for r in association.leakage_scores(df.withColumn("code", F.ascii("text")), "text", "classification").collect()}
+    assert scores["code"] == 1.0 and scores["few"] < 0.1 and asked == ["code"]
