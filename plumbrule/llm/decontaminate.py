@@ -41,6 +41,10 @@ KEY_BITS = 26
 BLOCK_BYTES = 2 << 20
 #: Of the candidate starts in so many bytes one is verified, in a region that holds the item wherever it starts there.
 PART = 64
+#: Pairs verified at once; from ``FEW_PAIRS`` on by columns of bits, if their letters and tables keep to ``PAIR_CELLS`` numbers.
+FEW_PAIRS = 128
+MANY_PAIRS = 2048
+PAIR_CELLS = 1 << 22
 _GRAM_FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -150,8 +154,8 @@ def key_slots(keys: np.ndarray) -> np.ndarray:
     return ((keys * _GRAM_FACTOR) >> np.uint64(64 - KEY_BITS)).astype(np.int64)
 
 
-def semi_global(items: list[bytes], regions: list[bytes]) -> np.ndarray:
-    """Edit distance of each item to the best part of its region, for all at once."""
+def _by_rows(items: list[bytes], regions: list[bytes]) -> np.ndarray:
+    """:func:`semi_global` row by row of the table of edit distances, for few pairs or long items."""
     n, m = max(map(len, items)), max(map(len, regions))
     item = np.zeros((len(items), n), np.int16)
     region = np.full((len(items), m), -1, np.int16)
@@ -172,6 +176,76 @@ def semi_global(items: list[bytes], regions: list[bytes]) -> np.ndarray:
     return out
 
 
+def _by_bits(items: list[bytes], regions: list[bytes]) -> np.ndarray:
+    """:func:`semi_global` by columns of bits (Myers, 1999): a word holds the steps of 64 rows; all items need as many words."""
+    one, last = np.uint64(1), np.uint64(63)
+    number = {a: i for i, a in enumerate(dict.fromkeys(items))}
+    words, m = (len(items[0]) + 63) // 64, max(map(len, regions))
+    # the rows at which an item has a letter; the letter 256, which fills up the regions, is in none
+    equal = np.zeros((words, len(number) * 257), np.uint64)
+    for a, i in number.items():
+        at = np.arange(len(a), dtype=np.uint64)
+        np.bitwise_or.at(equal, ((at >> np.uint64(6)).astype(np.int64), i * 257 + np.frombuffer(a, np.uint8).astype(np.int64)), one << (at & last))
+    letters = np.full((len(items), m), 256, np.int32)
+    for i, b in enumerate(regions):
+        letters[i, : len(b)] = np.frombuffer(b, np.uint8)
+    letters += np.array([number[a] * 257 for a in items], np.int32)[:, None]
+    letters = np.ascontiguousarray(letters.T)
+    distance = np.array([len(a) for a in items], np.int64)
+    edge = ((distance - 1) % 64).astype(np.uint64)
+    best, none = distance.copy(), np.zeros(len(items), np.uint64)
+    rise, fall = [~none for _ in range(words)], [none.copy() for _ in range(words)]
+    for column in letters:
+        up, down = none, none  # steps along the row above the word; the row above the item is 0 everywhere
+        for w in range(words):
+            same, r, f = equal[w].take(column), rise[w], fall[w]
+            vertical = same | f
+            same |= down
+            level = same & r
+            level += r
+            level ^= r
+            level |= same
+            plus = level | r
+            np.invert(plus, out=plus)
+            plus |= f
+            minus = level
+            minus &= r
+            if w == words - 1:
+                distance += ((plus >> edge) & one).view(np.int64)
+                distance -= ((minus >> edge) & one).view(np.int64)
+            else:
+                next_up, next_down = plus >> last, minus >> last
+            plus <<= one
+            plus |= up
+            minus <<= one
+            minus |= down
+            np.bitwise_and(plus, vertical, out=f)
+            vertical |= plus
+            np.invert(vertical, out=vertical)
+            np.bitwise_or(vertical, minus, out=r)
+            if w < words - 1:
+                up, down = next_up, next_down
+        np.minimum(best, distance, out=best)
+    return best
+
+
+def semi_global(items: list[bytes], regions: list[bytes]) -> np.ndarray:
+    """Edit distance of each item to the best part of its region, for all at once."""
+    words = np.array([(len(a) + 63) // 64 for a in items])
+    out = np.zeros(len(items), np.int64)
+    for w in np.unique(words[words > 0]):
+        own = np.flatnonzero(words == w)
+        own = own[np.argsort([len(regions[k]) for k in own], kind="stable")]
+        at, longest = 0, max(len(regions[own[-1]]), 1)
+        many = min(MANY_PAIRS, PAIR_CELLS // longest, PAIR_CELLS // (257 * int(w)))
+        while at < len(own):
+            part = own[at : at + (many if many >= FEW_PAIRS else FEW_PAIRS)]
+            how = _by_bits if many >= FEW_PAIRS and len(part) >= FEW_PAIRS else _by_rows
+            out[part] = how([items[k] for k in part], [regions[k] for k in part])
+            at += len(part)
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """What every task needs; of fixed size but for the random bits, which grow with the longest item.
@@ -307,11 +381,7 @@ def _find(shared):
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         items, regions = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-        order = np.argsort([len(a) for a in items], kind="stable")
-        distance = np.zeros(len(items), np.int64)
-        for i in range(0, len(order), 128):
-            own = order[i : i + 128]
-            distance[own] = semi_global([items[k] for k in own], [regions[k] for k in own])
+        distance = semi_global(items, regions)
         lengths = np.array([len(a) for a in items], np.int64)
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(distance), pa.array(lengths)], names=["doc_id", "mark", "item_id", "start", "distance", "length"])
 

@@ -355,6 +355,20 @@ def test_edit_distance():
     assert decontaminate.semi_global(items, regions).tolist() == [brute(a, b) for a, b in zip(items, regions)]
 
 
+def test_many_edit_distances_go_by_columns_of_bits(monkeypatch):
+    """As many pairs as a task of candidates has, items of one to four words of bits, regions of any length."""
+    rng = np.random.default_rng(2)
+    letters = lambda n: bytes(rng.integers(97, 101, n).tolist())
+    pool = [letters(n) for n in (8, 63, 64, 65, 127, 128, 129, 200, 250)]
+    items = [pool[i] for i in rng.integers(0, len(pool), 1500)]
+    regions = [letters(rng.integers(0, 60)) + a[: rng.integers(0, len(a) + 1)] + letters(rng.integers(0, 60)) for a in items]
+    regions[0] = b""
+    got = decontaminate.semi_global(items, regions).tolist()
+    assert got == [int(decontaminate._by_rows([a], [b])[0]) for a, b in zip(items, regions)]
+    monkeypatch.setattr(decontaminate, "_by_rows", lambda *a: 1 / 0)
+    assert decontaminate.semi_global(items * 2, regions * 2).tolist() == got * 2
+
+
 def test_pipeline_stages(spark):
     """Every stage against brute force on what its predecessor kept."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
