@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 
@@ -16,7 +17,7 @@ from plumbrule.core.frames import quoted
 from plumbrule.core.session import cut_lineage
 from plumbrule.functions.columns import argmax
 from plumbrule.operators.model_zoo import FEATURES, LABEL
-from plumbrule.operators.split import bootstrap_weights, feature_subsets
+from plumbrule.operators.split import feature_subsets, member_weight
 
 CUT_EVERY = 5
 
@@ -36,15 +37,19 @@ class Bagging:
     def fit(self, df: DataFrame, features: Sequence[str], label: str, key: Sequence[str]) -> Bagging:
         self.features, self.label, self.key = list(features), label, list(key)
         self.subsets = feature_subsets(self.features, self.estimators, self.share, self.seed)
-        weighted = bootstrap_weights(df, key, self.estimators, self.seed, self.replace, self.rows)
+        # every member reads its rows several times, so what they are made of is computed once
+        rows = cut_lineage(df.select(*map(quoted, dict.fromkeys([*self.key, *self.features, label]))))
         self.models = []
         for i, names in enumerate(self.subsets):
-            mine = assembled(weighted.where((F.col("estimator") == i) & (F.col("weight") > 0)), names, label)
+            mine = assembled(rows.withColumn("weight", self._weight(i)).where("weight > 0"), names, label)
             kind = DecisionTreeClassifier if self.task == "classification" else DecisionTreeRegressor
             self.models.append(kind(featuresCol=FEATURES, labelCol=LABEL, weightCol="weight", maxDepth=self.depth, seed=self.seed + i).fit(mine))
         self.classes = max(getattr(m, "numClasses", 0) for m in self.models)
         return self
 
+    def _weight(self, i: int) -> Column:
+        return member_weight(self.key, F.lit(i), self.seed, self.replace, self.rows)
+
     def _member(self, df: DataFrame, i: int) -> DataFrame:
         out = self.models[i].transform(VectorAssembler(inputCols=self.subsets[i], outputCol=FEATURES, handleInvalid="keep").transform(df))
         if self.task == "regression":
@@ -77,10 +82,10 @@ class Bagging:
         """Score of every row by the members that did not draw it (rows drawn by all drop out): one row."""
         if not self.replace and self.rows >= 1.0:
             return df.sparkSession.createDataFrame([(None, 0)], "oob_score double, rows long")
-        drawn = bootstrap_weights(df.select(*map(quoted, self.key)), self.key, self.estimators, self.seed, self.replace, self.rows)
-        # the weights are a function of the key, so the members a row may use are known without a join
-        out_of_bag = drawn.where(F.col("weight") == 0).groupBy(*map(quoted, self.key)).agg(F.collect_set("estimator").alias("_free"))
-        rows = self._all(df.join(out_of_bag, self.key))
+        # the weights are a function of the key, so a row tells itself which members may score it; a row without a key has none
+        keyed = functools.reduce(Column.__and__, [F.col(quoted(c)).isNotNull() for c in self.key])
+        free = F.array_compact(F.array(*[F.when(self._weight(i) == 0, i) for i in range(self.estimators)]))
+        rows = self._all(df.where(keyed).withColumn("_free", free).where(F.size("_free") > 0))
         cols = [F.when(F.array_contains("_free", i), F.col(f"_m{i}")) for i in range(self.estimators)]
         scored = self._combine(rows, F.array_compact(F.array(*cols)), F.size("_free").cast("double"))
         y = F.col(quoted(self.label)).cast("double")

@@ -102,21 +102,26 @@ def chrono_split(df: DataFrame, order: Sequence[str], train: float = 0.70, valid
     return placed.withColumn("part", part).drop("_i", "_n")
 
 
-def bootstrap_weights(df: DataFrame, key: Sequence[str], estimators: int, seed: int = 42, replace: bool = True, share: float = 1.0) -> DataFrame:
-    """One row per (row, estimator) with a resampling weight; weight 0 means out of bag.
+def member_weight(key: Sequence[str], estimator: Column, seed: int = 42, replace: bool = True, share: float = 1.0) -> Column:
+    """Resampling weight of a row in an estimator, a function of the row's key; weight 0 means out of bag.
 
     With replacement the weight is Poisson(share) of a hashed uniform number, the large-table form of a
     bootstrap; without, each row joins an estimator with probability ``share``.
     """
-    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))).alias("estimator"))
-    u = F.xxhash64(F.lit(seed), F.col("estimator"), *map(quoted, key)).cast("double") / 2.0**64 + 0.5
+    u = F.xxhash64(F.lit(seed), estimator, *map(quoted, key)).cast("double") / 2.0**64 + 0.5
     if not replace:
-        return rows.withColumn("weight", (u < share).cast("double"))
+        return (u < share).cast("double")
     steps = np.cumsum([np.exp(-share) * share**i / float(np.prod(np.arange(1, i + 1))) for i in range(12)])
     weight: Column = F.lit(0.0)
     for s in steps:
         weight = weight + (u > float(s)).cast("double")
-    return rows.withColumn("weight", weight)
+    return weight
+
+
+def bootstrap_weights(df: DataFrame, key: Sequence[str], estimators: int, seed: int = 42, replace: bool = True, share: float = 1.0) -> DataFrame:
+    """One row per (row, estimator) with its :func:`member_weight`."""
+    rows = df.select("*", F.explode(F.sequence(F.lit(0), F.lit(estimators - 1))).alias("estimator"))
+    return rows.withColumn("weight", member_weight(key, F.col("estimator"), seed, replace, share))
 
 
 def feature_subsets(features: Sequence[str], estimators: int, size: float | int, seed: int = 42) -> list[list[str]]:

@@ -8,6 +8,7 @@ from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from plumbrule.core.session import cut_lineage
 from plumbrule.operators import (
     bayes,
     clusters,
@@ -328,7 +329,8 @@ def q_score(spark, sf_dir):
 
 @query("bagging_oob")
 def q_bagging(spark, sf_dir):
-    df = quality_data(spark, sf_dir).withColumn("y", (F.col("quality") == "good").cast("double"))
+    # texts are measured once, not in every pass of every member
+    df = cut_lineage(quality_data(spark, sf_dir)).withColumn("y", (F.col("quality") == "good").cast("double"))
     return ensembles.Bagging(estimators=5, depth=5).fit(df, ["n_chars", "n_words", "n_lines", "n_digits"], "y", ["doc_id"]).oob(df)
 
 

@@ -371,3 +371,19 @@ def test_margins_and_support_vectors(spark):
     assert rbf.where("prediction = y").count() >= 75
     with pytest.raises(ValueError):
         model_zoo.MarginClassifier().fit(df.where("y = 'hi'"), ["a"], "y")
+
+
+def test_bagging_computes_its_rows_once(spark):
+    """Members read a written table, not the rows' expressions; out-of-bag members are known without a join."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(200).select("id", F.udf(counted, "double")("id").alias("x")).withColumn("y", (F.col("id") % 7 > 3).cast("double"))
+    bag = ensembles.Bagging(estimators=3, depth=2).fit(rows, ["x"], "y", ["id"])
+    assert seen.value == 200
+    keys = spark.createDataFrame([(i // 2 if i % 10 else None, float(i % 7), float(i % 7 > 3)) for i in range(200)], "id long, x double, y double")
+    free = split.bootstrap_weights(keys.where("id IS NOT NULL").select("id").distinct(), ["id"], 3).where("weight = 0").select("id").distinct()
+    assert bag.oob(keys).first()["rows"] == keys.join(free, "id").count()
