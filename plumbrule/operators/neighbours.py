@@ -43,6 +43,9 @@ WIDE_ROWS = 32_768
 #: Blocks that a query has visited when it is seen whether the bounds spare much; more than four times as many must be there.
 MANY_VISITED = 5
 CELLS = 1 << 20
+#: Squared norms up to which single precision has room to spare, and its largest number.
+SINGLE = 1e30
+FLOAT_MOST = float(np.finfo(np.float32).max)
 
 Metric = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
@@ -68,6 +71,38 @@ def pair_distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
 
+def _listed_distances(q: np.ndarray, p: np.ndarray, row: np.ndarray, column: np.ndarray) -> np.ndarray:
+    """:func:`pair_distances` of the listed rows, some at a time."""
+    step = max(1, CELLS // max(q.shape[1], 1))
+    return np.concatenate([np.zeros(0), *[pair_distances(q[row[at : at + step]], p[column[at : at + step]]) for at in range(0, len(row), step)]])
+
+
+def _may_be_near(q: np.ndarray, p: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """(row, column) of all pairs within ``limit``, or with an infinite limit of all that may be among the ``k`` nearest; a few more.
+
+    Squared distances are a product of matrices in single precision.  ``room`` is twice what rounding of the
+    operands, the product over the dimensions and the sums may add up to, so no pair is lost; the caller measures
+    the pairs again.  None where single precision does not hold the numbers.
+    """
+    centre = p.mean(axis=0)
+    a, b = q - centre, p - centre
+    aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+    if not (aa.max(initial=0.0) < SINGLE and bb.max(initial=0.0) < SINGLE):
+        return None
+    dimensions = q.shape[1] + 10
+    room = 2 * dimensions * (2.0**-24 * (aa + bb.max(initial=0.0)) + 1e-37)
+    squares = a.astype(np.float32) @ (-2.0 * b.T).astype(np.float32)
+    squares += aa.astype(np.float32)[:, None]
+    squares += bb.astype(np.float32)[None, :]
+    edge = limit * limit * (1 + 4 * SLACK) + room
+    open_rows = np.isinf(limit)
+    if open_rows.any() and k < len(p):
+        edge[open_rows] = np.partition(squares[open_rows], k - 1, axis=1)[:, k - 1] + 2 * room[open_rows]
+    # the edge is rounded up, so that single precision does not pull it in
+    edge = np.nextafter(np.minimum(edge, FLOAT_MOST).astype(np.float32), np.float32(np.inf))
+    return np.nonzero(squares <= edge[:, None])
+
+
 def euclidean(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     """All distances, column by column in few dimensions, else by a product of matrices.
 
@@ -291,14 +326,20 @@ def search(queries: DataFrame, points: DataFrame, k: int, metric: Metric = eucli
         ids, asked, own, points = p["p_id"].to_numpy(), q["id"].to_numpy(), _matrix(q["v"]), _matrix(p["p_v"])
         kth, step, out = q["kth"].to_numpy(), max(1, CELLS // len(p)), []
         for at in range(0, len(own), step):
-            d = metric(own[at : at + step], points)
             limit = kth[at : at + step]
-            open_rows = np.isinf(limit)
-            if open_rows.any() and k < d.shape[1]:
-                limit = np.where(open_rows, np.partition(d, k - 1, axis=1)[:, k - 1], limit)
-            # a product of matrices is right but for rounding, so what may be among the k nearest is measured again
-            row, column = np.nonzero((d <= (limit * (1 + 4 * SLACK))[:, None]) | np.isnan(limit)[:, None])
-            exact = pair_distances(own[at + row], points[column]) if metric is euclidean else d[row, column]
+            product = metric is euclidean and points.shape[1] > FEW_DIMENSIONS and not np.isnan(limit).any()
+            near = _may_be_near(own[at : at + step], points, limit, k) if product else None
+            if near is not None:
+                row, column = near
+                exact = _listed_distances(own[at : at + step], points, row, column)
+            else:
+                d = metric(own[at : at + step], points)
+                open_rows = np.isinf(limit)
+                if open_rows.any() and k < d.shape[1]:
+                    limit = np.where(open_rows, np.partition(d, k - 1, axis=1)[:, k - 1], limit)
+                # a product of matrices is right but for rounding, so what may be among the k nearest is measured again
+                row, column = np.nonzero((d <= (limit * (1 + 4 * SLACK))[:, None]) | np.isnan(limit)[:, None])
+                exact = _listed_distances(own[at : at + step], points, row, column) if metric is euclidean else d[row, column]
             order = np.lexsort((column, exact, row))
             row, column, exact = row[order], column[order], exact[order]
             keep = np.arange(len(row)) - np.searchsorted(row, row) < k
@@ -418,7 +459,7 @@ def _copies_merged(queries: DataFrame, points: DataFrame, exclude_self: bool) ->
 
 
 def class_sums(queries: DataFrame, points: DataFrame, transform: Callable[[np.ndarray], np.ndarray], exclude_self: bool = False, block_rows: int = BLOCK_ROWS, beyond: float | None = None, report: dict | None = None) -> DataFrame:
-    """``id, label, total, n``: sum of ``transform(distance)`` to the points of every label.
+    """``id, label, total, n``: sum of ``transform(distance)`` to the points of every label; ``transform`` may write into its argument.
 
     With ``beyond`` a query leaves out the blocks that lie farther than its nearest pivots by that much; ``n``
     then counts the points that it met.
@@ -479,7 +520,7 @@ def kernel_vote(queries: DataFrame, points: DataFrame, width: float = 1.0, exclu
     """
     rows = max(points.count(), 1)
     beyond = width * (math.log(rows) + 37.0)
-    sums = class_sums(queries, points, lambda d: np.exp(-d / width), exclude_self, block_rows, beyond, report)
+    sums = class_sums(queries, points, lambda d: np.exp(np.divide(d, -width, out=d), out=d), exclude_self, block_rows, beyond, report)
     # every class stands in the result, so the list of classes is as long as the rows of one query
     kind = points.schema["label"].dataType
     names = [r["label"] for r in points.where(F.col("v").isNotNull() & F.col("label").isNotNull()).select("label").distinct().collect()]

@@ -159,3 +159,21 @@ def test_synthetic_rows_lie_between_minority_neighbours(spark):
         p = np.array([r["a"], r["b"]])
         gaps = [abs(np.linalg.norm(p - few[i]) + np.linalg.norm(p - few[j]) - np.linalg.norm(few[i] - few[j])) for i in range(30) for j in near[i]]
         assert min(gaps) < 1e-9
+
+
+def test_near_pairs_by_single_precision_lose_none():
+    """Far from the origin, in crowds and with equal rows every pair within the limit is listed, and few others."""
+    rng = np.random.default_rng(5)
+    for scale, shift in ((1.0, 0.0), (1e-6, 0.0), (1.0, 1e6), (1e-25, 0.0), (1e12, 0.0)):
+        p = rng.normal(size=(600, 32)) * scale + shift
+        p[100:120] = p[7]
+        q = np.concatenate([p[:50], rng.normal(size=(50, 32)) * scale + shift])
+        exact = neighbours._by_differences(q, p)
+        kth = np.sort(exact, axis=1)[:, 4]
+        limit = np.where(np.arange(100) % 2 == 0, kth, np.inf)
+        row, column = neighbours._may_be_near(q, p, limit, 5)
+        listed = np.zeros(exact.shape, bool)
+        listed[row, column] = True
+        assert listed[exact <= kth[:, None]].all()
+        assert scale < 1e-20 or len(row) < 0.1 * exact.size
+    assert neighbours._may_be_near(q * 1e10, p * 1e10, limit, 5) is None
