@@ -1,9 +1,11 @@
 """Nearest-neighbour information of numbers with classes and with other numbers."""
 
+import math
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbrule.operators import association
 
@@ -93,3 +95,13 @@ def test_ranking_by_task(spark):
     assert association.rank_features(df, "y", ["z", "x"], 1, "regression").count() == 1
     told = association.recommend_features(df, "y", ["z", "x"], task="regression").collect()
     assert {r["feature"]: r["recommendation"] for r in told} == {"x": "Strong", "z": "Weak"}
+
+
+def test_blocks_of_the_plane_grow_with_the_root_of_the_points(spark, monkeypatch):
+    """A point is held against all blocks, so their number may not grow with the points; blocks do not change the result."""
+    asked, search = [], association.nearest
+    monkeypatch.setattr(association, "nearest", lambda *a, **o: (asked.append(o["block_rows"]), search(*a, **o))[1])
+    df = spark.range(400).select(F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double").alias("y"), F.sqrt(F.col("id") + 1.0).alias("x"))
+    found = [association.pair_information(df, "y", ["x"], block_rows=n).first()["mutual_information"] for n in (4, 1000)]
+    points = df.distinct().count()
+    assert asked == [math.isqrt(points // 2), 1000] and abs(found[0] - found[1]) < 1e-9
