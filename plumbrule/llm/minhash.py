@@ -24,6 +24,7 @@ LEAST = 0.8
 #: Nodes, and shingles, that one side of a comparison holds at most.
 BLOCK_NODES = 512
 BLOCK_SHINGLES = 500_000
+UPPER_HALF = -1 << 32
 
 
 @functools.lru_cache(maxsize=4)
@@ -69,14 +70,18 @@ def crowded(nodes: DataFrame, keys: str, known: list[tuple[str, bool]]) -> DataF
     slots = nodes.select("node", "n_shingles", F.posexplode(keys).alias("tree", "key"))
     # only buckets with two members are looked at more closely, and half of a key's bits tell keys apart there
     several = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    short = [F.transform(name, lambda x: F.shiftright(x, 32).cast("int")).alias(name) for name in arrays]
+    # the halves of two keys are one number, and bits that all or any members have differ where the members do
+    upper = lambda name, t: F.col(name)[t].bitwiseAND(F.lit(UPPER_HALF))
+    pair = lambda name, t: upper(name, t).bitwiseOR(F.shiftrightunsigned(F.col(name)[t + 1], 32)) if t + 1 < trees else upper(name, t)
+    words = [(f"{name}_{t}", pair(name, t)) for name in arrays for t in range(0, trees, 2)]
+    short = [column.alias(word) for word, column in words]
     rows = slots.drop("n_shingles").join(several.hint("merge"), ["tree", "key"]).join(nodes.select("node", *short).hint("merge"), "node")
-    spans = [e for name in arrays for t in range(trees) for e in (F.min(F.col(name)[t]).alias(f"lo_{name}_{t}"), F.max(F.col(name)[t]).alias(f"hi_{name}_{t}"))]
-    full = rows.groupBy("tree", "key", "members", "weight").agg(*spans)
+    full = rows.groupBy("tree", "key", "members", "weight").agg(*[F.bit_or(word).bitwiseXOR(F.bit_and(word)).alias(word) for word, _ in words])
     done = F.lit(False)
     for name, lower in known:
         for t in range(trees):
-            same = F.col(f"lo_{name}_{t}") == F.col(f"hi_{name}_{t}")
+            differs = F.col(f"{name}_{t // 2 * 2}").bitwiseAND(F.lit(~UPPER_HALF if t % 2 else UPPER_HALF))
+            same = differs == 0
             done = done | (same & (F.col("tree") > t) if lower else same)
     return full.where(~done).select("tree", "key", "members", "weight")
 

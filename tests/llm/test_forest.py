@@ -37,3 +37,13 @@ def test_stopped_texts_are_met_by_open_ones(spark, monkeypatch, nodes):
     assert 0.985 * want <= got <= want and all(found[k]["n_links"] <= len(links[k]) for k in found)
     assert all(found[k]["class_id"] == 0 for k in found if links[k])
     assert 0 < stopped[0].where("open").count() <= 20  # nearly all of the crowd stop at once
+
+
+def test_buckets_compared_before_are_left_out(spark):
+    """Halves of keys share a number; an odd number of trees, and keys below zero."""
+    key = lambda x: x << 32 | 77
+    keys = {"a": (1, 2, 9), "b": (1, 3, 9), "c": (4, 5, 8), "d": (-6, 7, 8), "e": (10, -11, 12), "f": (-13, -11, 14), "g": (20, 21, -22), "h": (23, 21, -22)}
+    nodes = spark.createDataFrame([(bytearray(n.encode()), 3, [key(x) for x in k]) for n, k in keys.items()], "node binary, n_shingles long, k array<long>")
+    found = minhash.crowded(nodes, "k", [("k", True)])
+    assert {(r["tree"], r["key"] >> 32, r["members"], r["weight"]) for r in found.collect()} == {(0, 1, 2, 6), (1, -11, 2, 6), (1, 21, 2, 6), (2, 8, 2, 6)}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("bit_or(") == 2  # a number for two trees
