@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.llm.minhash import (
-    BLOCK_NODES, BLOCK_SHINGLES, LEAST, SIMILARITY_BINS, SIZE, _overlaps, _roots, crowded, groups_of, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures,
+    BLOCK_NODES, BLOCK_SHINGLES, LEAST, SIMILARITY_BINS, SIZE, _overlaps, _roots, differing, groups_of, label_components, list_column, prefix_keys, recall_at, shingle_sets, signatures, unlike,
 )
 from plumbrule.llm.steps import settle
 from plumbrule.llm.text import blocks, digests, packed, plain_strings, raw_bytes, shingle_hashes, tokens
@@ -80,17 +80,21 @@ def sets_of_texts(trees: int, depth: int, floor: int, size: int = SIZE):
     return run
 
 
-def open_buckets(nodes: DataFrame, state: DataFrame, depth: int, deepest: int) -> DataFrame:
+def open_buckets(state: DataFrame, depth: int, deepest: int, trees: int) -> DataFrame:
     """``tree, key, members, weight, opened, opened_weight`` of the buckets that an open text has to look through.
 
-    ``state`` has ``node, open``.  Buckets in which all pairs were compared before are left out.
+    ``state`` has ``node, n_shingles, open`` and the keys.  Buckets in which all pairs were compared before are
+    left out.  One aggregate, combined before the shuffle: ``state`` has only texts that meet another one somewhere.
     """
     own = f"k{depth}"
     known = [(own, True)] + ([(f"k{depth + 1}", False)] if depth < deepest else [])
-    found = crowded(nodes, own, known)
-    slots = nodes.select("node", "n_shingles", F.posexplode(own).alias("tree", "key")).join(state.where("open").hint("merge"), "node")
-    opened = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("opened"), F.sum("n_shingles").alias("opened_weight"))
-    return found.join(opened.hint("merge"), ["tree", "key"])
+    words, done = unlike(known, trees)
+    marked = state.select("n_shingles", "open", own, *[column.alias(word) for word, column in words])
+    slots = marked.select("n_shingles", "open", *[word for word, _ in words], F.posexplode(own).alias("tree", "key"))
+    full = slots.groupBy("tree", "key").agg(
+        F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight"), F.count_if("open").alias("opened"), F.sum(F.when(F.col("open"), F.col("n_shingles"))).alias("opened_weight"), *differing(words)
+    )
+    return full.where((F.col("members") > 1) & (F.col("opened") > 0) & ~done).select("tree", "key", "members", "weight", "opened", "opened_weight")
 
 
 def _cells(nodes: DataFrame, state: DataFrame, own: str, buckets: DataFrame) -> DataFrame:
@@ -105,7 +109,7 @@ def _cells(nodes: DataFrame, state: DataFrame, own: str, buckets: DataFrame) ->
     sized = buckets.select(
         "tree", "key", F.when(whole == 1, 1).otherwise(parts(F.col("opened"), F.col("opened_weight"))).alias("first"), F.when(whole == 1, 0).otherwise(rest).alias("rest")
     )
-    rows = nodes.select("node", F.posexplode(own).alias("tree", "key")).join(sized.hint("merge"), ["tree", "key"]).join(state.hint("merge"), "node")
+    rows = state.select("node", "open", F.posexplode(own).alias("tree", "key")).join(sized.hint("merge"), ["tree", "key"])
     draw = F.xxhash64("node")
     later = ~F.col("open") & (F.col("rest") > 0)
     place = F.when(later, F.col("first") + F.pmod(draw, F.greatest("rest", F.lit(1)))).otherwise(F.pmod(draw, F.col("first")))
@@ -175,12 +179,13 @@ def estimated_recall(similar: list, depth: int, trees: int, least: float):
 
 
 def unfinished(state: DataFrame, found: DataFrame, depth: int, trees: int, least: float, recall: float) -> DataFrame:
-    """``node, open``: which of the open texts go on to shorter prefixes; a text that has stopped stays so."""
+    """``state`` for the next depth: which of the open texts go on to shorter prefixes; a text that has stopped stays so."""
     counts = [f"s{i}" for i in range(SIMILARITY_BINS)]
     sums = found.groupBy("node").agg(*[F.sum(F.col("similar")[i]).alias(c) for i, c in enumerate(counts)])
     seen = [F.coalesce(F.col(c), F.lit(0)) for c in counts]
     goes_on = F.col("open") & (estimated_recall(seen, depth, trees, least) < recall)
-    return state.join(sums.hint("merge"), "node", "left").select("node", goes_on.alias("open"))
+    kept = state.drop(f"k{depth + 1}").columns
+    return state.join(sums.hint("merge"), "node", "left").select(*[goes_on.alias(c) if c == "open" else c for c in kept])
 
 
 def similarity_join(
@@ -212,11 +217,12 @@ def similarity_join(
     nodes = settle(met.join(shingle_sets(rows, met.select("doc_id", "node"), sets_of_texts(trees, depth, floor, size), more), "node"))
     distinct = distinct.drop("keys")
     found = spark.createDataFrame([], PAIRED)
-    state = settle(nodes.select("node", F.lit(True).alias("open")))
+    # what buckets are found from travels with the state, apart from the sets
+    state = settle(nodes.select("node", "n_shingles", F.lit(True).alias("open"), *[f"k{d}" for d in range(floor, depth + 1)]))
     for d in range(depth, floor - 1, -1):
         if state.where("open").isEmpty():
             break
-        buckets = settle(open_buckets(nodes, state, d, depth))
+        buckets = settle(open_buckets(state, d, depth, trees))
         found = found.unionByName(settle(verified_pairs(nodes, state, buckets, d, depth, least)))
         if d > floor:
             state = settle(unfinished(state, found, d, trees, least, recall))

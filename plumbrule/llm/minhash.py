@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbrule.llm.steps import settle
@@ -58,6 +58,29 @@ def list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.reshape(-1)))
 
 
+def unlike(known: list[tuple[str, bool]], trees: int) -> tuple[list[tuple[str, Column]], Column]:
+    """Numbers of a node for the arrays of keys in ``known``, and whether the members of a bucket all share such a key.
+
+    The numbers are ``(name, column)``; the second column reads, under the same names, the bits in which the
+    members of a bucket differ.  Half of a key's bits tell keys apart inside a bucket.
+    """
+    upper = lambda name, t: F.col(name)[t].bitwiseAND(F.lit(UPPER_HALF))
+    pair = lambda name, t: upper(name, t).bitwiseOR(F.shiftrightunsigned(F.col(name)[t + 1], 32)) if t + 1 < trees else upper(name, t)
+    words = [(f"{name}_{t}", pair(name, t)) for name in dict.fromkeys(name for name, _ in known) for t in range(0, trees, 2)]
+    done = F.lit(False)
+    for name, lower in known:
+        for t in range(trees):
+            differs = F.col(f"{name}_{t // 2 * 2}").bitwiseAND(F.lit(~UPPER_HALF if t % 2 else UPPER_HALF))
+            same = differs == 0
+            done = done | (same & (F.col("tree") > t) if lower else same)
+    return words, done
+
+
+def differing(words: list[tuple[str, Column]]) -> list[Column]:
+    """Aggregates over a bucket: bits that all or any members have differ where the members do."""
+    return [F.bit_or(word).bitwiseXOR(F.bit_and(word)).alias(word) for word, _ in words]
+
+
 def crowded(nodes: DataFrame, keys: str, known: list[tuple[str, bool]]) -> DataFrame:
     """``tree, key, members, weight`` of the buckets in which some pair has not been compared before.
 
@@ -65,24 +88,14 @@ def crowded(nodes: DataFrame, keys: str, known: list[tuple[str, bool]]) -> DataF
     which an equal key means "already compared"; with ``True`` this holds for lower trees only.  A bucket whose
     members all share such a key is left out.
     """
-    arrays = list(dict.fromkeys(name for name, _ in known))
     trees = len(nodes.select(keys).first()[0])
     slots = nodes.select("node", "n_shingles", F.posexplode(keys).alias("tree", "key"))
-    # only buckets with two members are looked at more closely, and half of a key's bits tell keys apart there
+    # only buckets with two members are looked at more closely
     several = slots.groupBy("tree", "key").agg(F.count(F.lit(1)).alias("members"), F.sum("n_shingles").alias("weight")).where("members > 1")
-    # the halves of two keys are one number, and bits that all or any members have differ where the members do
-    upper = lambda name, t: F.col(name)[t].bitwiseAND(F.lit(UPPER_HALF))
-    pair = lambda name, t: upper(name, t).bitwiseOR(F.shiftrightunsigned(F.col(name)[t + 1], 32)) if t + 1 < trees else upper(name, t)
-    words = [(f"{name}_{t}", pair(name, t)) for name in arrays for t in range(0, trees, 2)]
+    words, done = unlike(known, trees)
     short = [column.alias(word) for word, column in words]
     rows = slots.drop("n_shingles").join(several.hint("merge"), ["tree", "key"]).join(nodes.select("node", *short).hint("merge"), "node")
-    full = rows.groupBy("tree", "key", "members", "weight").agg(*[F.bit_or(word).bitwiseXOR(F.bit_and(word)).alias(word) for word, _ in words])
-    done = F.lit(False)
-    for name, lower in known:
-        for t in range(trees):
-            differs = F.col(f"{name}_{t // 2 * 2}").bitwiseAND(F.lit(~UPPER_HALF if t % 2 else UPPER_HALF))
-            same = differs == 0
-            done = done | (same & (F.col("tree") > t) if lower else same)
+    full = rows.groupBy("tree", "key", "members", "weight").agg(*differing(words))
     return full.where(~done).select("tree", "key", "members", "weight")
 
 

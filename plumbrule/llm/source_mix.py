@@ -9,7 +9,7 @@ bin per source are put in order.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from plumbrule.core.ordering import ordered_index
@@ -49,20 +49,23 @@ def water_fill(weighted: DataFrame, total: float, epochs: float) -> DataFrame:
     limit; the round without a new one is the last.  A round is one sum over the table of sources.
     If all sources close, ``total`` cannot be reached and every target is its limit.
     """
-    level = 0.0
-    while True:
+
+    def filled(level: float) -> Row:
         closed = F.col("weight") * level >= F.col("source_size") * epochs
-        row = weighted.agg(
+        return weighted.agg(
             F.sum(F.when(closed, F.col("source_size") * epochs)).alias("spent"),
             F.sum(F.when(~closed, F.col("weight"))).alias("open"),
             F.count(F.when(closed, 1)).alias("n"),
         ).first()
+
+    level = 0.0
+    row = filled(level)
+    while True:
         if not row["open"]:
             return weighted.withColumn("target", F.col("source_size") * F.lit(float(epochs)))
-        new = max(level, (total - (row["spent"] or 0.0)) / row["open"])
-        still = weighted.agg(F.count(F.when(F.col("weight") * new >= F.col("source_size") * epochs, 1)).alias("n")).first()["n"]
-        level = new
-        if still == row["n"]:
+        level = max(level, (total - (row["spent"] or 0.0)) / row["open"])
+        before, row = row, filled(level)
+        if row["n"] == before["n"]:
             break
     return weighted.withColumn("target", F.least(F.col("weight") * level, F.col("source_size") * F.lit(float(epochs))))
 
@@ -108,7 +111,9 @@ def mix_sources(
     bins = cut_lineage(rows.groupBy("source", "coarse").agg(F.sum("size").alias("words")))
     sizes = cut_lineage(bins.groupBy("source").agg(F.sum("words").alias("source_size")))
     total = (sizes.agg(F.sum("source_size")).first()[0] or 0) * budget
-    targets = water_fill(source_weights(sizes, weights), total, epochs).withColumn("target", F.round("target", 6))
+    # the rounds read the weights, they do not put the sources in order again
+    weighted = cut_lineage(source_weights(sizes, weights))
+    targets = water_fill(weighted, total, epochs).withColumn("target", F.round("target", 6))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     plan = targets.withColumn("whole", whole).withColumn("rest", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     plan = cut_lineage(plan.select(F.col("source").alias("name"), "source_size", "target", "whole", "rest"))

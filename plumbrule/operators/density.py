@@ -160,10 +160,11 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 def _roots(pointers: DataFrame) -> DataFrame:
     """Follow ``from -> to`` (never upwards) to the end by repeated doubling."""
+    pointers = cut_lineage(pointers)
     while True:
-        pointers = cut_lineage(pointers)
         ahead = pointers.select(F.col("from").alias("to"), F.col("to").alias("next"))
-        doubled = pointers.join(ahead, "to", "left").select("from", "to", F.coalesce("next", "to").alias("next"))
+        # written before it is asked: the test and the next round read the join, they do not repeat it
+        doubled = cut_lineage(pointers.join(ahead, "to", "left").select("from", "to", F.coalesce("next", "to").alias("next")))
         if doubled.where("next != to").isEmpty():
             return pointers
         pointers = doubled.select("from", F.col("next").alias("to"))
