@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbrule.core.frames import quoted
 from plumbrule.core.session import cut_lineage
+from plumbrule.operators import plane
 
 #: Rows of a block, and visitors of one task of a block.
 BLOCK_ROWS = 4096
@@ -43,6 +44,8 @@ WIDE_ROWS = 32_768
 #: Blocks that a query has visited when it is seen whether the bounds spare much; more than four times as many must be there.
 MANY_VISITED = 5
 CELLS = 1 << 20
+#: Rows of one or two numbers beyond which they are cut by a k-d tree.
+PLANE_ROWS = 32_768
 #: Squared norms up to which single precision has room to spare, and its largest number.
 SINGLE = 1e30
 FLOAT_MOST = float(np.finfo(np.float32).max)
@@ -274,11 +277,21 @@ def _meet(visits: DataFrame, points: DataFrame, kernel: Callable, schema: str, r
     return left.groupBy("block", "task").cogroup(right.groupBy("p_block", "p_task")).applyInPandas(kernel, schema)
 
 
+def _in_plane(points: DataFrame) -> int:
+    """Number of rows if all have the same one or two finite numbers, else 0."""
+    finite = F.forall("v", lambda x: F.abs(x) < float("inf"))
+    facts = points.agg(F.count(F.lit(1)).alias("n"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most"), F.bool_and(finite).alias("finite")).first()
+    return facts["n"] if facts["finite"] and facts["least"] == facts["most"] in (1, 2) else 0
+
+
 def search(queries: DataFrame, points: DataFrame, k: int, metric: Metric = euclidean, block_rows: int = BLOCK_ROWS, report: dict | None = None) -> DataFrame:
     """``id, best``: the k nearest points as sorted (distance, neighbour), ties to the smaller id.
 
     Both inputs are ``id`` (unique integer), ``g`` (a group: queries meet points of their own only) and ``v``.
+    Many points in the plane, by the larger gap, are searched by :func:`plane.search`, which visits next to no blocks.
     """
+    if metric is chebyshev and report is None and _in_plane(points) > PLANE_ROWS and _in_plane(queries):
+        return plane.search(queries, points, k)
     placed, table = place(points.select("id", "g", "v"), metric, block_rows)
 
     def in_reach(rows: pd.DataFrame, begin: int, end: int) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, int]]:
@@ -398,8 +411,12 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     queries = points if alone else cut_lineage(_grouped(queries))
     asked = kept.drop("n") if alone else cut_lineage(queries.groupBy("g", "v").agg(F.min("id").alias("id")))
     wide = k + 1 if exclude_self else k
-    found = search(asked, kept, wide, metric, block_rows, report).select(F.col("id").alias("first"), F.posexplode("best").alias("at", "b")).select("first", "b.distance", F.col("b.neighbour").alias("copy"))
-    if not kept.where("n > 1").isEmpty():
+    lists, copied = search(asked, kept, wide, metric, block_rows, report), not kept.where("n > 1").isEmpty()
+    if alone and not copied:
+        # every row stands for itself
+        return _ranked(lists, k, exclude_self)
+    found = lists.select(F.col("id").alias("first"), F.posexplode("best").alias("at", "b")).select("first", "b.distance", F.col("b.neighbour").alias("copy"))
+    if copied:
         # the smallest ids among equal vectors, first within parts so that no vector is sorted whole
         copies = points.join(kept.where("n > 1").select("g", "v", F.col("id").alias("copy"), "n"), ["g", "v"])
         part = F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / 10_000))
@@ -412,7 +429,11 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     best = F.slice(F.array_sort(F.collect_list(F.struct("distance", "neighbour"))), 1, wide)
     lists = found.groupBy("first").agg(best.alias("best"))
     names = queries.join(asked.select("g", "v", F.col("id").alias("first")), ["g", "v"]).select("id", "first")
-    out = names.join(lists, "first").select("id", F.filter("best", lambda b: b["neighbour"] != F.col("id")).alias("best") if exclude_self else "best")
+    return _ranked(names.join(lists, "first"), k, exclude_self)
+
+
+def _ranked(lists: DataFrame, k: int, exclude_self: bool) -> DataFrame:
+    out = lists.select("id", F.filter("best", lambda b: b["neighbour"] != F.col("id")).alias("best") if exclude_self else "best")
     return out.select("id", F.posexplode(F.slice("best", 1, k)).alias("at", "b")).select("id", "b.neighbour", "b.distance", (F.col("at") + 1).alias("rank"))
 
 
