@@ -655,13 +655,16 @@ def mean_silhouettes(points: DataFrame, sizes: Sequence[int], chunk_rows: int |
 
     Equal vectors have equal labels.  All labellings share their distances: the rows are cut into chunks, and
     every pair of chunks is a tile, whose distances serve the rows of both.  Rows of one-row clusters score 0.  In
-    the mean a row counts once for every row of its id, as in the join of :func:`silhouette`.
+    the mean a row counts once for every row of its id, as in the join of :func:`silhouette`.  Many rows of one or
+    two numbers are not compared in pairs: :func:`plane.mean_silhouettes`.
     """
     starts = [0, *np.cumsum(list(sizes)).tolist()]
     width = starts[-1]
     weighed = points.withColumn("weight", F.count(F.lit(1)).over(Window.partitionBy("id")))
     kept = cut_lineage(weighed.groupBy("v").agg(F.min("id").alias("id"), F.min("labels").alias("labels"), F.count(F.lit(1)).alias("n"), F.sum("weight").alias("weight")))
     n = kept.count()
+    if chunk_rows is None and n > PLANE_ROWS and _in_plane(kept):
+        return plane.mean_silhouettes(kept, starts)
     chunks = max(1, math.ceil(n / (chunk_rows or _wide(n))))
     dealt = kept.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("other")

@@ -285,3 +285,191 @@ def search(queries: DataFrame, points: DataFrame, k: int, block_rows: int | None
 
 def _lists(ends: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), values)
+
+
+class Tree:
+    """Halves of the rows of a block down to leaves; parents come before their children."""
+
+    def __init__(self, x: np.ndarray, leaf: int = 0):
+        order, self.begin, self.end, self.left, self.right = np.arange(len(x)), [0], [len(x)], [-1], [-1]
+        at = 0
+        while at < len(self.begin):
+            begin, end = self.begin[at], self.end[at]
+            if end - begin > (leaf or SUM_LEAF):
+                own, half = x[order[begin:end]], (end - begin) // 2
+                axis = (own.max(axis=0) - own.min(axis=0)).argmax()
+                order[begin:end] = order[begin:end][np.argpartition(own[:, axis], half)]
+                self.left[at], self.right[at] = len(self.begin), len(self.begin) + 1
+                self.begin += [begin, begin + half]
+                self.end += [begin + half, end]
+                self.left += [-1, -1]
+                self.right += [-1, -1]
+            at += 1
+        self.order, self.x = order, x[order]
+        self.low = np.array([self.x[a:b].min(axis=0) for a, b in zip(self.begin, self.end)])
+        self.high = np.array([self.x[a:b].max(axis=0) for a, b in zip(self.begin, self.end)])
+        self.middle, self.half = ((self.low + self.high) / 2).tolist(), ((self.high - self.low) / 2).tolist()
+        self.size = [max(h) for h in self.half]
+        self.nodes = [nodes(a, b) for a, b in zip(self.low, self.high)]
+
+    def moments(self, weights: np.ndarray) -> list[np.ndarray]:
+        """Weights at the nodes of every box that act from afar as the rows of the box."""
+        out: list[np.ndarray] = [np.zeros(0)] * len(self.begin)
+        for at in range(len(out) - 1, -1, -1):
+            low, high = self.low[at], self.high[at]
+            if self.left[at] < 0:
+                out[at] = basis(self.x[self.begin[at] : self.end[at]], low, high).T @ weights[self.begin[at] : self.end[at]]
+            else:
+                out[at] = sum(basis(self.nodes[c], low, high).T @ out[c] for c in (self.left[at], self.right[at]))
+        return out
+
+
+_CHEBYSHEV = np.cos((2 * np.arange(NODES) + 1) * np.pi / (2 * NODES))
+_AT_NODES = np.cos(np.arange(NODES)[:, None] * np.arccos(_CHEBYSHEV)[None, :]) * np.where(np.arange(NODES) > 0, 2.0, 1.0)[:, None] / NODES
+
+
+def nodes(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Chebyshev nodes of a box, one row each."""
+    axes = [(a + b) / 2 + (b - a) / 2 * _CHEBYSHEV for a, b in zip(low, high)]
+    return np.stack([c.ravel() for c in np.meshgrid(*axes, indexing="ij")], axis=1)
+
+
+def basis(x: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Value at every row of the polynomial that is 1 at one node of the box and 0 at the others."""
+    out = np.ones((len(x), 1))
+    for i, (a, b) in enumerate(zip(low, high)):
+        t = np.clip((x[:, i] - (a + b) / 2) / ((b - a) / 2), -1.0, 1.0) if b > a else np.zeros(len(x))
+        own = np.cos(np.arccos(t)[:, None] * np.arange(NODES)) @ _AT_NODES
+        out = (out[:, :, None] * own[:, None, :]).reshape(len(x), -1)
+    return out
+
+
+def _distances(q: np.ndarray, p: np.ndarray) -> np.ndarray:
+    out = np.subtract.outer(q[:, 0], p[:, 0])
+    if q.shape[1] == 1:
+        return np.abs(out, out=out)
+    np.multiply(out, out, out=out)
+    other = np.subtract.outer(q[:, 1], p[:, 1])
+    out += np.multiply(other, other, out=other)
+    return np.sqrt(out, out=out)
+
+
+def _gap(a: Sequence[float], b: Sequence[float], half_a: Sequence[float], half_b: Sequence[float]) -> float:
+    return math.hypot(*[max(0.0, abs(x - y) - h - k) for x, y, h, k in zip(a, b, half_a, half_b)])
+
+
+def distance_sums(target: Tree, sources: Sequence[tuple[Tree, np.ndarray]], far: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """For every row of ``target.x`` the weighted sums of its distances to the rows of the sources, a column for each weight.
+
+    ``far`` are nodes and moments of boxes apart from the whole target.
+    """
+    width = sources[0][1].shape[1] if sources else far[1].shape[1]
+    many = NODES ** target.x.shape[1]
+    out, local = np.zeros((len(target.x), width)), [None] * len(target.begin)
+    if far is not None and len(far[0]):
+        local[0] = sum(_distances(target.nodes[0], far[0][at : at + 4096]) @ far[1][at : at + 4096] for at in range(0, len(far[0]), 4096))
+    near, apart = {}, {}
+    for source, weights in sources:
+        pairs = [(0, 0)]
+        while pairs:
+            a, b = pairs.pop()
+            size_a, size_b = target.size[a], source.size[b]
+            rows_a, rows_b = target.end[a] - target.begin[a], source.end[b] - source.begin[b]
+            if _gap(target.middle[a], source.middle[b], target.half[a], source.half[b]) >= APART * max(size_a, size_b) and max(size_a, size_b) > 0 and rows_a * rows_b > many * many:
+                apart.setdefault(a, []).append((source, weights, b))
+            elif target.left[a] < 0 and source.left[b] < 0:
+                near.setdefault(a, []).append((source, weights, b))
+            elif source.left[b] < 0 or (target.left[a] >= 0 and size_a >= size_b):
+                pairs += [(target.left[a], b), (target.right[a], b)]
+            else:
+                pairs += [(a, source.left[b]), (a, source.right[b])]
+    moments = {id(s): s.moments(w) for s, w in sources if any(s is x for seen in apart.values() for x, _, _ in seen)}
+    for a in range(len(target.begin)):
+        for at in range(0, len(apart.get(a, [])), 32):
+            some = apart[a][at : at + 32]
+            seen = _distances(target.nodes[a], np.concatenate([s.nodes[b] for s, _, b in some])) @ np.concatenate([moments[id(s)][b] for s, _, b in some])
+            local[a] = seen if local[a] is None else local[a] + seen
+        rows = slice(target.begin[a], target.end[a])
+        if target.left[a] >= 0:
+            for child in (target.left[a], target.right[a]) if local[a] is not None else ():
+                passed = basis(target.nodes[child], target.low[a], target.high[a]) @ local[a]
+                local[child] = passed if local[child] is None else local[child] + passed
+        elif local[a] is not None:
+            out[rows] += basis(target.x[rows], target.low[a], target.high[a]) @ local[a]
+        for at in range(0, len(near.get(a, [])), 16):
+            some = near[a][at : at + 16]
+            d = _distances(target.x[rows], np.concatenate([s.x[s.begin[b] : s.end[b]] for s, _, b in some]))
+            out[rows] += d @ np.concatenate([w[s.begin[b] : s.end[b]] for s, w, b in some])
+    return out
+
+
+def _members(codes: np.ndarray, n: np.ndarray, width: int) -> np.ndarray:
+    """Weight of every row for every cluster of every labelling."""
+    out = np.zeros((len(codes), width))
+    for i in range(codes.shape[1]):
+        out[np.arange(len(codes)), codes[:, i]] = n
+    return out
+
+
+def mean_silhouettes(points: DataFrame, starts: Sequence[int], block_rows: int | None = None) -> list[float]:
+    """Mean silhouette of every labelling of different ``id, v, labels, n, weight`` with finite numbers.
+
+    Labelling i has the clusters ``starts[i]`` to ``starts[i + 1]``.  Blocks that lie apart meet by their moments,
+    the others travel to one another.
+    """
+    width, models, rows = starts[-1], len(starts) - 1, points.count()
+    axes = len(points.first()["v"])
+    many = NODES**axes
+    splits = split(points.withColumn("g", F.lit(0)), max(block_rows or BLOCK_ROWS, rows * many * width // MOMENT_NUMBERS))
+    shift = np.array(starts[:-1], np.int64)
+
+    def pack(key: tuple, rows: pa.Table) -> pa.Table:
+        order = np.lexsort(_vectors(rows.column("v")).T)
+        x, codes = _vectors(rows.column("v"))[order], _vectors(rows.column("labels")).astype(np.int64)[order] + shift
+        n, weight = _numbers(rows.column("n"), float)[order], _numbers(rows.column("weight"), float)[order]
+        members, low, high = _members(codes, n, width), x.min(axis=0), x.max(axis=0)
+        moments = sum(basis(x[at : at + 4096], low, high).T @ members[at : at + 4096] for at in range(0, len(x), 4096))
+        cells = {"block": key[0].as_py(), "low": low.tolist(), "high": high.tolist(), "counts": members.sum(axis=0).tolist(), "moments": moments.tobytes(), "x": x.tobytes(), "codes": codes.astype(np.int32).tobytes(), "n": n.tobytes(), "weight": weight.tobytes()}
+        return pa.Table.from_pylist([cells])
+
+    placed = place(points.withColumn("g", F.lit(0)), splits).select("block", "v", "labels", "n", "weight")
+    packed = cut_lineage(placed.groupBy("block").applyInArrow(pack, "block long, low array<double>, high array<double>, counts array<double>, moments binary, x binary, codes binary, n binary, weight binary"))
+    table = packed.select("block", "low", "high", "counts", "moments").orderBy("block").collect()
+    low, high = (np.array([r[c] for r in table]) for c in ("low", "high"))
+    count = np.array([r["counts"] for r in table]).sum(axis=0)
+    names = [r["block"] for r in table]
+    spots, moments = [nodes(a, b) for a, b in zip(low, high)], [_floats(bytes(r["moments"]), width) for r in table]
+    half = ((high - low) / 2).max(axis=1)
+    gap = np.sqrt((np.maximum(np.maximum(low[:, None] - high[None], low[None] - high[:, None]), 0.0) ** 2).sum(axis=2))
+    # a block whose rows all lie at one spot is no polynomial of its own width
+    apart = (gap >= APART * np.maximum(half[:, None], half[None])) & (gap > 0)
+    pairs = [(names[a], names[b]) for a, b in zip(*np.nonzero(~apart))]
+
+    def scores(key: tuple, rows: pa.Table) -> pa.Table:
+        own, sources, target = key[0].as_py(), [], None
+        for r in sorted(rows.to_pylist(), key=lambda r: r["block"]):
+            tree = Tree(_floats(r["x"], axes))
+            codes, n = np.frombuffer(r["codes"], np.int32).reshape(-1, models)[tree.order], _floats(r["n"])[tree.order]
+            sources.append((tree, _members(codes, n, width)))
+            if r["block"] == own:
+                target, mine, weight = tree, codes, _floats(r["weight"])[tree.order]
+        far = np.flatnonzero(apart[names.index(own)])
+        sent = (np.concatenate([spots[j] for j in far]), np.concatenate([moments[j] for j in far])) if len(far) else None
+        sums, found = distance_sums(target, sources, sent), []
+        for i in range(models):
+            cells = np.arange(starts[i], starts[i + 1])
+            at, code = np.arange(len(sums)), mine[:, i]
+            others = np.divide(sums[:, cells], count[cells], out=np.full((len(sums), len(cells)), np.inf), where=count[cells] > 0)
+            others[at, code - starts[i]] = np.inf
+            b, alone = others.min(axis=1), count[code] <= 1
+            a = sums[at, code] / np.where(alone, 1.0, count[code] - 1)
+            most = np.maximum(a, b)
+            fair = ~alone & np.isfinite(b) & (most > 0)
+            found.append(float(((b - a)[fair] / most[fair]) @ weight[fair]))
+        return pa.Table.from_pylist([{"scores": found, "weight": float(weight.sum())}])
+
+    visits = points.sparkSession.createDataFrame([(int(a), int(b)) for a, b in pairs], "target long, block long")
+    met = visits.join(packed.select("block", "x", "codes", "n", "weight"), "block").repartition(len(names), "target")
+    found = met.groupBy("target").applyInArrow(scores, "scores array<double>, weight double").collect()
+    whole = sum(r["weight"] for r in found)
+    return [math.fsum(r["scores"][i] for r in found) / whole for i in range(models)]

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plumbrule.operators import neighbours, plane
+from plumbrule.operators import lloyd, neighbours, plane
 
 
 def gaps(q, p):
@@ -76,3 +76,44 @@ def test_many_rows_in_the_plane_need_no_pivots(spark, monkeypatch):
     monkeypatch.setattr(plane, "BLOCK_ROWS", 200)
     got = {(r["id"], r["rank"]): (r["neighbour"], r["distance"]) for r in neighbours.nearest(df, df, 3, True, metric=neighbours.chebyshev).collect()}
     assert got == want and len(got) == 3 * len(v)
+
+
+@pytest.mark.parametrize("width", [1, 2])
+def test_sums_of_distances_to_every_cluster(width):
+    rng = np.random.default_rng(width)
+    for x in (rng.uniform(size=(3000, width)), rng.standard_cauchy((3000, width)), np.c_[rng.integers(0, 25, 3000) / 7.0, rng.uniform(-2, 2, 3000)][:, -width:], np.zeros((700, width))):
+        weights = np.zeros((len(x), 5))
+        weights[np.arange(len(x)), rng.integers(0, 5, len(x))] = rng.integers(1, 4, len(x))
+        tree = plane.Tree(x, 100)
+        got = plane.distance_sums(tree, [(tree, weights[tree.order])])
+        want = np.sqrt(((tree.x[:, None] - tree.x[None]) ** 2).sum(2)) @ weights[tree.order]
+        assert np.allclose(got, want, rtol=1e-10, atol=0)
+
+
+def test_boxes_apart_meet_by_their_moments(monkeypatch):
+    """Four times the rows are not sixteen times the distances."""
+    rng, cells, measure = np.random.default_rng(2), [], plane._distances
+    monkeypatch.setattr(plane, "_distances", lambda q, p: cells.append(len(q) * len(p)) or measure(q, p))
+    whole = []
+    for n in (10_000, 40_000):
+        tree = plane.Tree(rng.uniform(size=(n, 2)))
+        cells.clear()
+        plane.distance_sums(tree, [(tree, np.ones((n, 1)))])
+        whole.append(sum(cells))
+    assert whole[1] < 7 * whole[0] and whole[1] < 0.6 * 40_000**2
+
+
+def test_silhouettes_of_many_rows_in_the_plane_build_no_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    v = np.concatenate([crowd(rng), rng.normal(size=(2500, 2)) + 4])
+    v = np.concatenate([v, v[:300]])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>")
+    far = v[np.abs(v).sum(axis=1).argmax()]
+    models = [v[[0, 900]], np.array([v[0], v[400], far])]
+    labelled = lloyd.many_labelled(df, models)
+    want = neighbours.mean_silhouettes(labelled, [2, 3])
+    monkeypatch.setattr(neighbours, "PLANE_ROWS", 300)
+    monkeypatch.setattr(neighbours, "_tile_sums", None)
+    monkeypatch.setattr(plane, "BLOCK_ROWS", 300)
+    monkeypatch.setattr(plane, "SUM_LEAF", 64)
+    assert np.allclose(neighbours.mean_silhouettes(labelled, [2, 3]), want, rtol=1e-9, atol=0)
