@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import threading
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
@@ -38,6 +39,8 @@ from plumbrule.operators.split import learning_subsets, random_folds, random_spl
 
 LABEL, FEATURES, FOLD = "_label", "_features", "fold"
 MAX_CLASSES = 1_000
+#: Rows of a partition that is read many times: its block is held, sent or turned into tree points by one task.
+TASK_ROWS = 500_000
 
 
 @dataclass
@@ -233,17 +236,24 @@ def _width(model: PipelineModel, df: DataFrame) -> int:
     return int(model.transform(df.limit(1)).select(F.size(vector_to_array(FEATURES))).first()[0])
 
 
+def _on_disk(df: DataFrame) -> DataFrame:
+    """The frame on the disks of the executors, whose memory is left to the fits; large partitions are dealt out anew."""
+    rows = df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.max("n").alias("most")).first()
+    dealt = df.repartition(math.ceil(rows["n"] / TASK_ROWS)) if (rows["most"] or 0) > 2 * TASK_ROWS else df
+    return dealt.persist(StorageLevel.DISK_ONLY)
+
+
 def cross_validate(data: PreparedData, build: Callable[[int, int], dict[str, object]], k: int = 5, seed: int = 42, parallelism: int = 2, frame: DataFrame | None = None) -> DataFrame:
     """``model, fold, metric, value`` with the preprocessing fitted inside every fold."""
     base = frame if frame is not None else data.frame
     folded = stratified_folds(base, LABEL, data.key, k, seed) if data.task == "classification" else random_folds(base, data.key, k, seed)
-    folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    folded = _on_disk(folded.select(*map(quoted, dict.fromkeys([*data.numeric, *data.categorical])), LABEL, FOLD))
     rows, lock = [], threading.Lock()
     try:
         for fold in range(k):
             train, test = folded.where(F.col(FOLD) != fold), folded.where(F.col(FOLD) == fold)
             prep = fit_features(train, data.numeric, data.categorical)
-            train_x = prep.transform(train).select(LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+            train_x = prep.transform(train).select(LABEL, FEATURES).persist(StorageLevel.DISK_ONLY)
             test_x = prep.transform(test).select(LABEL, FEATURES)
             try:
                 models = build(train_x.count(), _width(prep, train))
@@ -272,7 +282,7 @@ def leaderboard(data: PreparedData, names: Sequence[str] | None = None, k: int =
     Models are chosen by their cross-validation score; the holdout only reports.
     """
     train, test = holdout(data, seed=seed)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)
+    train = _on_disk(train)
 
     def build(rows: int, width: int) -> dict[str, object]:
         every = classifiers(len(data.classes), rows, width, trees, seed) if data.task == "classification" else regressors(rows, trees, seed)
@@ -281,7 +291,7 @@ def leaderboard(data: PreparedData, names: Sequence[str] | None = None, k: int =
     try:
         folds = cross_validate(data, build, k, seed, parallelism, frame=train)
         prep = fit_features(train, data.numeric, data.categorical)
-        train_x = prep.transform(train).select(LABEL, FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
+        train_x = prep.transform(train).select(LABEL, FEATURES).persist(StorageLevel.DISK_ONLY)
         test_x = prep.transform(test).select(LABEL, FEATURES)
         built = build(train_x.count(), _width(prep, train))
         scored = _in_parallel([lambda n=n, e=e: (n, evaluate(e.fit(train_x).transform(test_x), data.task)) for n, e in built.items()], parallelism)

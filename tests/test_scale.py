@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbrule.operators import association, clusters, lloyd, metrics, neighbours
+from plumbrule.operators import association, clusters, lloyd, metrics, model_zoo, neighbours
 
 
 def plan_of(df) -> str:
@@ -94,3 +94,22 @@ def test_numbers_need_no_contingency_table(spark, monkeypatch):
     assert scores["copy"] == scores["k"] == 1.0 and scores["few"] < 0.1 and asked == []
     scores = {r["column"]: r["score"] for r in association.leakage_scores(df.select("few", "more", "text", F.ascii("text").alias("code")), "text", "classification").collect()}
     assert scores["code"] == 1.0 and scores["few"] < 0.1 and asked == ["code"]
+
+
+def test_folds_are_kept_on_disk_in_small_partitions(spark, monkeypatch):
+    """What every fit reads again takes no memory of the executors, and no partition grows with the table."""
+    monkeypatch.setattr(model_zoo, "TASK_ROWS", 100)
+    df = spark.range(0, 2000, 1, 2).select("id", (F.col("id") % 50).cast("double").alias("a"), (F.col("id") % 3).cast("string").alias("b"), (F.col("id") % 50 + F.col("id") % 3).cast("double").alias("y"))
+    data, seen = model_zoo.prepare_dataset(df, "y", ["a", "b"], "regression", ["id"]), []
+
+    class Watched(model_zoo.Majority):
+        def fit(self, rows):
+            parts = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+            seen.append((rows.storageLevel.useMemory, rows.storageLevel.useDisk, max(parts), sum(parts)))
+            return super().fit(rows)
+
+    monkeypatch.setattr(model_zoo, "regressors", lambda *_: {"Dummy": Watched("regression")})
+    board = model_zoo.leaderboard(data, ["Dummy"], k=3).first()
+    assert board["cv_mae"] > 0 and len(seen) == 4
+    assert all(not memory and disk and most <= 120 for memory, disk, most, _ in seen)
+    assert sum(n for *_, n in seen[:3]) == 2 * seen[3][3] and 1500 < seen[3][3] < 1700
