@@ -412,7 +412,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int, exclude_self: bool =
     asked = kept.drop("n") if alone else cut_lineage(queries.groupBy("g", "v").agg(F.min("id").alias("id")))
     wide = k + 1 if exclude_self else k
     lists, copied = search(asked, kept, wide, metric, block_rows, report), not kept.where("n > 1").isEmpty()
-    if alone and not copied:
+    if alone and not copied and metric is chebyshev:
         # every row stands for itself
         return _ranked(lists, k, exclude_self)
     found = lists.select(F.col("id").alias("first"), F.posexplode("best").alias("at", "b")).select("first", "b.distance", F.col("b.neighbour").alias("copy"))
